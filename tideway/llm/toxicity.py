@@ -30,7 +30,8 @@ from tideway.llm.common import batch, held_out, small_batches
 from tideway.llm.features import Adam, Places, chosen_buckets, gathered, presence, sample_ids, sigmoid, training, words
 
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 8_000
-MOST_WORDS = 512
+MOST_WORDS = 256
+LEAST_Z = 5.0
 THRESHOLD = 0.7
 
 
@@ -47,22 +48,23 @@ class Model:
         return sigmoid(np.array([self.bias + sum([w[k] for k in map(at.__getitem__, words(t))]) for t in texts], float)).tolist()
 
 
-def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 800, rows: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 11) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic classifier by the non-negative risk estimator, in mini-batches."""
-    rng = np.random.default_rng(seed)
+def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic classifier by the non-negative risk estimator. Equal rows are one row with a share."""
+    (pos, p_rows), (unl, u_rows) = (np.unique(x, axis=0, return_counts=True) for x in (pos, unl))
+    p_share, u_share = p_rows / p_rows.sum(), u_rows / u_rows.sum()
     w, b = np.zeros(pos.shape[1]), np.array([np.log(prior / (1 - prior))])
     adam = Adam([w, b], rate)
     for _ in range(steps):
-        p, u = pos[rng.integers(0, len(pos), rows)], unl[rng.integers(0, len(unl), rows)]
-        sp, su = sigmoid(p @ w + b), sigmoid(u @ w + b)
-        negative = np.log1p(np.exp(np.clip(u @ w + b, -40, 40))).mean() - prior * np.log1p(np.exp(np.clip(p @ w + b, -40, 40))).mean()
-        # d/dz of the positive loss is s - 1, of the negative loss s.
-        gp, gu = prior * (sp - 1) / rows, np.zeros(rows)
+        zp, zu = pos @ w + b, unl @ w + b
+        sp, su = sigmoid(zp), sigmoid(zu)
+        negative = u_share @ np.logaddexp(0, zu) - prior * (p_share @ np.logaddexp(0, zp))
+        # By z, the loss of a positive has slope s - 1 and that of a negative s.
+        gp, gu = prior * p_share * (sp - 1), np.zeros(len(unl))
         if negative >= 0:
-            gp, gu = gp - prior * sp / rows, su / rows
+            gp, gu = gp - prior * p_share * sp, u_share * su
         else:
-            gp, gu = prior * sp / rows, -su / rows
-        adam.step([p.T @ gp + u.T @ gu + decay * prior * w, np.array([gp.sum() + gu.sum()])])
+            gp, gu = prior * p_share * sp, -u_share * su
+        adam.step([pos.T @ gp + unl.T @ gu + decay * prior * w, np.array([gp.sum() + gu.sum()])])
     return w, float(b[0])
 
 
@@ -75,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     label, found, _ = gathered(docs, positive.select("doc_id", "label").unionByName(others))
     if not (label == 1).any() or not (label == 0).any():
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    chosen = chosen_buckets(label, found, MOST_WORDS)
+    chosen = chosen_buckets(label, found, MOST_WORDS, least_z=LEAST_Z)
     x = presence(found, chosen)
     w, b = nnpu(x[label == 1].astype(float), x[label == 0].astype(float), prior)
     return Model(chosen, w, b)
