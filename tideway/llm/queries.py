@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideway.llm import mixing, packing, token_files
+from tideway.llm import mixing, packing, quality, secrets, simhash, substrings, token_files, toxicity
 from tideway.llm.common import read
 
 
@@ -10,6 +10,26 @@ def op2_token_files(spark, sf_dir):
     return token_files.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substrings.digest(read(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark, sf_dir):
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark, sf_dir):
+    return simhash.digest(read(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.taken(read(spark, sf_dir, "documents"))
 
@@ -19,7 +39,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_files, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op2_token_files, op3_substring_dedup, op4_secret_scan, op6_simhash, op7_toxicity, op8_quality, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
