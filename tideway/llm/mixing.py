@@ -24,32 +24,36 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.llm.common import WORD, cut, indexed
 
 FAN_IN = 64
-GROUP_ROWS = 16_384
+#: Rows of a source that one group rounds.
+GROUP_ROWS = 4_096
 EPS = 1e-9
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: the words of each document."""
-    n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", n.alias("size"))
+    return docs.select("doc_id", "source", _size())
+
+
+def _size():
+    return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source_no, source, source_size, target, ratio. Weights repeat over the sources in order.
+    """source_no, source, source_size, groups, target, ratio. Weights repeat over the sources in order.
 
     share of all words is dealt by weight; a source gets at most ``most`` times
     its size, and what it leaves is dealt again among the rest by weight.
     """
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / GROUP_ROWS).cast("long").alias("groups"))
     by = indexed(by, [F.col("source").asc_nulls_last()], "source_no")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
-    by = by.select("source_no", "source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("top"))
+    by = by.select("source_no", "source", "source_size", "groups", weight.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("top"))
     by = cut(by)
     total = share * float(by.agg(F.sum("source_size")).first()[0] or 0)
     level, full = 0.0, -1
@@ -61,7 +65,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
         full, level = r[2] or 0, (total - (r[0] or 0.0)) / r[1]
     target = F.least(F.col("top"), F.col("w") * F.lit(level))
     ratio = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(min(share, most)))
-    return by.select("source_no", "source", "source_size", target.alias("target"), ratio.alias("ratio"))
+    return by.select("source_no", "source", "source_size", "groups", target.alias("target"), ratio.alias("ratio"))
 
 
 def pivot(size: np.ndarray, part: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
@@ -88,56 +92,60 @@ def pivot(size: np.ndarray, part: np.ndarray, seed: int) -> tuple[np.ndarray, in
     return out, held
 
 
-def _rounded(seed: int, last: bool):
+def _rounded(seed: int, level: int):
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         # Large documents settle first, so the one left over at the end is rarely large.
         rows = rows.sort_values(["size", "doc_id", "part"], kind="stable", ascending=[False, True, True], na_position="first").reset_index(drop=True)
-        own = zlib.crc32(f"{seed}:{rows.source_no[0]}:{rows.grp[0]}:{last}".encode())
-        size = rows["size"].to_numpy(float)
+        own = zlib.crc32(f"{seed}:{rows.source_no[0]}:{rows.grp[0]}:{level}".encode())
         part = rows["part"].to_numpy(float).copy()
-        empty = size == 0
-        part[empty] = 0
-        out, held = pivot(size, part, own)
-        if held >= 0 and last:
+        part[rows["size"] == 0] = 0
+        out, held = pivot(rows["size"].to_numpy(float), part, own)
+        if held >= 0 and rows.groups[0] == 1:
             out[held] = round(out[held])
             held = -1
         rows["part"] = out
         rows["open"] = np.arange(len(rows)) == held
-        rows["grp"] = rows["grp"] // FAN_IN
+        rows["grp"] //= FAN_IN
+        rows["groups"] = -(-rows["groups"] // FAN_IN)
         return rows
 
     return work
 
 
 def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for each row of sized (doc_id, source, size)."""
-    sized = cut(sized.select("doc_id", "source", F.col("size").cast("long").alias("size")))
+    """Rows of sized (doc_id, source, size and any others) with source_size, target and copies."""
+    sized = cut(sized)
     to = targets(sized, weights, share, most)
-    groups = max(1, -(-sized.count() // GROUP_ROWS))
-    base = F.floor(F.col("ratio") + EPS)
-    rows = (
-        sized.join(to, sized.source.eqNullSafe(to.source))
-        .drop(to.source)
-        .withColumns({"base": base.cast("long"), "grp": F.pmod(F.xxhash64("doc_id", "size"), F.lit(groups))})
-        .withColumn("part", F.greatest(F.lit(0.0), F.col("ratio") - F.col("base")))
-    )
-    columns = ["doc_id", "source_no", "grp", "size", "part", "open"]
-    carried = ["source", "source_size", "target", "base"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("doc_id", "source", "source_no", "source_size", "target", "base", "grp", "size", "part").schema) + ", open boolean"
-    done, last = [], groups == 1
+    base = F.floor(F.col("ratio") + EPS).cast("long")
+    rows = sized.join(to, sized.source.eqNullSafe(to.source)).drop(to.source)
+    rows = rows.withColumns({"base": base, "grp": F.pmod(F.xxhash64("doc_id", "size"), F.col("groups"))}).withColumn("part", F.greatest(F.lit(0.0), F.col("ratio") - F.col("base"))).drop("ratio")
+    columns = rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", open boolean"
+    out, level = [], 0
     while True:
-        rows = cut(rows.select(*columns[:-1], *carried).groupBy("source_no", "grp").applyInPandas(_rounded(seed, last), schema))
-        done.append(rows.where("not open"))
-        if last:
+        rows = cut(rows.select(*columns).groupBy("source_no", "grp").applyInPandas(_rounded(seed, level), schema))
+        out.append(rows.where("not open"))
+        if not rows.where("open").limit(1).count():
             break
-        rows, groups = rows.where("open"), -(-groups // FAN_IN)
-        last = groups == 1
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("part").cast("long")).alias("copies"))
+        rows, level = rows.where("open"), level + 1
+    done = out[0]
+    for x in out[1:]:
+        done = done.unionByName(x)
+    return done.withColumn("copies", F.col("base") + F.col("part").cast("long")).select(*sized.columns, "source_size", "target", "copies")
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """The digest of a mix: doc_id, size, source_size, target, taken (words), source, copies."""
     return mix(sizes(docs)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it: zero, one or two times. Equal rows are told apart by nothing, so their copies are pooled."""
+    hashed = F.xxhash64("text").alias("_hash")
+    plan = mix(docs.select("doc_id", "source", _size(), hashed)).groupBy("doc_id", "source", "_hash").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_{c}") for c in ("doc_id", "source")]
+    plan = plan.select(*key, "_hash", "_copies")
+    rows = docs.select("*", *key, hashed)
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc_id", "_source", "_hash").orderBy("_hash"))).where("_nth = 1")
+    rows = rows.join(plan, ["_doc_id", "_source", "_hash"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

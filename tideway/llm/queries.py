@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tideway.llm import mixing, packing, quality, secrets, simhash, substrings, token_files, toxicity
+from tideway.llm import embeddings, mixing, packing, quality, secrets, simhash, spotsigs, substrings, token_files, toxicity
 from tideway.llm.common import read
 
 
+def op1_spot_signatures(spark, sf_dir):
+    return spotsigs.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark, sf_dir):
     return token_files.round_trip(read(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.digest(read(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_files, op3_substring_dedup, op4_secret_scan, op6_simhash, op7_toxicity, op8_quality, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_spot_signatures, op2_token_files, op3_substring_dedup, op4_secret_scan, op5_embedding_near_dedup, op6_simhash, op7_toxicity, op8_quality, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

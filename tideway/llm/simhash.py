@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.llm.common import batch, binary, components, cut, small_batches
@@ -55,22 +55,22 @@ def fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("fp", pa.int64())])
 
 
 def _prints(words: int, seed: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([fingerprint(t, words, seed) for t in binary(b.column(1))], np.uint64)
-            yield batch(_PRINTS, b.column(0), pa.array(got.view(np.int64)))
+            got = np.array([fingerprint(t, words, seed) for t in binary(b.column(2))], np.uint64)
+            yield batch(_PRINTS, b.column(0), b.column(1), pa.array(got.view(np.int64)))
 
     return work
 
 
 def prints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed 64-bit number."""
+    """doc_id, hash (of the text), fp: the fingerprint as a signed 64-bit number."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_prints(words, seed), "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(_prints(words, seed), "doc_id long, hash long, fp long")
 
 
 def shards(fps: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_links(radius), "a long, b long")
 
 
-def groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = RADIUS) -> DataFrame:
+def groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = RADIUS, keep_hash: bool = False) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable, itself included)."""
     rows = cut(prints(docs, words, seed))
     least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -200,8 +200,18 @@ def groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = RADIUS
     named = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = cut(named.join(smallest, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", *["hash"] * keep_hash, "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def kept(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each group, that of the smallest doc_id. Rows without doc_id stay."""
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    found = groups(docs, words, seed, radius, keep_hash=True).where("doc_id = component_id")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash")).alias("f")).select("f.doc_id", F.col("f.hash").alias("_hash"))
+    stay = keyed.where("doc_id is not null").join(first, ["doc_id", "_hash"], "left_semi")
+    one = stay.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("doc_id"))).where("_nth = 1")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
