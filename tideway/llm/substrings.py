@@ -32,11 +32,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tideway.llm.common import batch, binary, small_batches
 
@@ -53,8 +55,6 @@ class Numbers(dict):
     """Word -> its number; remembers the words it met."""
 
     def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
         if len(self) >= MEMORY:
             self.clear()
         got = self[word] = xxh64_intdigest(word)
@@ -68,8 +68,7 @@ def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all words, and where each text's words start (one more entry at the end)."""
     split = [t.split() for t in texts]
     at = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
-    get = NUMBERS.__getitem__
-    return np.fromiter((n for x in split for n in map(get, x)), np.uint64, int(at[-1])), at
+    return np.fromiter(map(NUMBERS.__getitem__, chain.from_iterable(split)), np.uint64, int(at[-1])), at
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -143,8 +142,8 @@ def by_document(doc: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, lis
         yield int(doc[a]), [v[order[a:b]] for v in values]
 
 
-def chunks(batches: Iterable[pa.RecordBatch], extra: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """doc ids, text hashes, words, starts and an extra column of as many documents as have about CHUNK_WORDS words."""
+def chunks(batches: Iterable[pa.RecordBatch], words: int, extra: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """doc ids, text hashes, words, starts and an extra column of as many documents as have about so many words."""
     ids, hashes, texts, more, size = [], [], [], [], 0
     for b in batches:
         for d, h, t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), binary(b.column(2)), b.column(extra).to_pylist() if extra else [None] * b.num_rows, strict=True):
@@ -153,7 +152,7 @@ def chunks(batches: Iterable[pa.RecordBatch], extra: int | None = None) -> Itera
             texts.append(t)
             more.append(x)
             size += len(t)
-            if size >= 6 * CHUNK_WORDS:
+            if size >= 6 * words:
                 yield np.array(ids, np.int64), np.array(hashes, np.int64), *numbered(texts), more
                 ids, hashes, texts, more, size = [], [], [], [], 0
     if ids:
@@ -164,15 +163,12 @@ _BLOB = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.in
 _BLOB_DDL = "shard int, doc_id long, hash long, blob binary"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("blob", pa.binary())])
 _FOUND_DDL = "doc_id long, hash long, blob binary"
-#: Rows of a document that are already final have this shard.
-SETTLED = -1
-
 
-def _keys(shards: int):
+def _keys(shards: int, chunk_words: int):
     """For each shard the keys of a chunk; keys that two documents of the chunk share are settled at once."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, hashes, words, at, _ in chunks(batches):
+        for ids, hashes, words, at, _ in chunks(batches, chunk_words):
             s = Segments(words, at)
             if not len(s.key):
                 continue
@@ -182,7 +178,7 @@ def _keys(shards: int):
             group = np.repeat(np.arange(len(edge)), np.diff([*edge, len(key)]))
             shared = np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)
             again = order[shared[group]]
-            rows = [(SETTLED, int(ids[d]), int(hashes[d]), packed(small(np.sort(o)))) for d, (o,) in by_document(s.doc[again], s.ordinal[again])]
+            rows = [(int(hashes[d]) % shards, int(ids[d]), int(hashes[d]), packed(small(np.sort(o)))) for d, (o,) in by_document(s.doc[again], s.ordinal[again])]
             # A document may have a key in several segments: each asks.
             ask = np.concatenate([order[~shared[group]], order[edge[shared]]])
             known = np.concatenate([np.zeros(len(ask) - int(shared.sum()), bool), np.ones(int(shared.sum()), bool)])
@@ -196,42 +192,49 @@ def _keys(shards: int):
     return work
 
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which segments of which documents have a key that other documents have too. One shard is in one task."""
-
-    def answer(blobs: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
-        key = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs])
-        known = np.concatenate([b[1] for b in blobs]).astype(bool)
-        doc = np.concatenate([b[4][b[2]] for b in blobs])
-        order = np.argsort(key, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        group = np.empty(len(key), np.int64)
-        group[order] = np.repeat(np.arange(len(edge)), np.diff([*edge, len(key)]))
-        shared = (np.minimum.reduceat(doc[order], edge) != np.maximum.reduceat(doc[order], edge)) | np.logical_or.reduceat(known[order], edge)
-        tell, at = shared[group] & ~known, 0
-        for b in blobs:
-            t = tell[at : at + len(b[0])]
-            at += len(b[0])
-            for d, (o,) in by_document(b[2][t].astype(np.int64), b[3][t]):
-                yield int(b[4][d]), int(b[5][d]), packed(small(np.sort(o)))
-
-    for blobs in _shards(batches):
-        for i in range(0, len(rows := list(answer(blobs))), 4096):
-            yield batch(_FOUND, *zip(*rows[i : i + 4096], strict=True))
-
-
-def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list[np.ndarray]]]:
-    """The blobs of each shard, from rows sorted by shard."""
-    now, held = None, []
-    for b in batches:
-        for k, raw in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if k != now and held:
-                yield held
-                held = []
-            now = k
-            held.append(unpacked(raw))
-    if held:
-        yield held
+def repeated(blobs: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
+    """Which segments of which documents have a key that other documents have too."""
+    key = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs])
+    known = np.concatenate([b[1] for b in blobs]).astype(bool)
+    doc = np.concatenate([b[4][b[2]] for b in blobs])
+    order = np.argsort(key, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    group = np.empty(len(key), np.int64)
+    group[order] = np.repeat(np.arange(len(edge)), np.diff([*edge, len(key)]))
+    shared = (np.minimum.reduceat(doc[order], edge) != np.maximum.reduceat(doc[order], edge)) | np.logical_or.reduceat(known[order], edge)
+    tell, at = shared[group] & ~known, 0
+    for b in blobs:
+        t = tell[at : at + len(b[0])]
+        at += len(b[0])
+        for d, (o,) in by_document(b[2][t].astype(np.int64), b[3][t]):
+            yield int(b[4][d]), int(b[5][d]), packed(small(np.sort(o)))
+
+
+def _by_shard(answer):
+    """One shard's rows at a time, sorted by shard: its blobs are answered together, rows of a document are final and go on as they are."""
+
+    def rows(found) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(found), 4096):
+            yield batch(_FOUND, *zip(*found[i : i + 4096], strict=True))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            final = []
+            for k, d, h, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if k != now and held:
+                    yield from rows(list(answer(held)))
+                    held = []
+                now = k
+                if d is None:
+                    held.append(unpacked(raw))
+                else:
+                    final.append((d, h, raw))
+            yield from rows(final)
+        if held:
+            yield from rows(list(answer(held)))
+
+    return work
 
 
 class WaveletMatrix:
@@ -308,11 +311,11 @@ class FMIndex:
         return reached, sp, ep
 
 
-def _needed(shards: int):
+def _needed(shards: int, chunk_words: int):
     """For each shard the segments of a chunk that were said to repeat, each distinct one once, with the smallest document that has it."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, hashes, words, at, flags in chunks(batches, extra=3):
+        for ids, hashes, words, at, flags in chunks(batches, chunk_words, extra=3):
             s = Segments(words, at)
             first = np.searchsorted(s.doc, np.arange(len(ids)))
             pick = [first[d] + unpacked(x)[0].astype(np.int64) for d, xs in enumerate(flags) for x in xs or ()]
@@ -331,7 +334,7 @@ def _needed(shards: int):
             least = ids[doc[order]][np.maximum.accumulate(np.where(run, np.arange(len(order)), 0))]
             own = ids[doc[order]] == least
             gone, kept, of = order[~own], order[run], np.cumsum(run) - 1
-            rows = [(SETTLED, int(ids[d]), int(hashes[d]), packed(small(np.sort(a - at[d])), small(n[np.argsort(a)]))) for d, (a, n) in by_document(doc[gone], start[gone], many[gone])]
+            rows = [(int(hashes[d]) % shards, int(ids[d]), int(hashes[d]), packed(small(np.sort(a - at[d])), small(n[np.argsort(a)]))) for d, (a, n) in by_document(doc[gone], start[gone], many[gone])]
             owner, group = order[own], of[own]  # occurrences in the smallest document
             shard = (key[kept] % np.uint64(shards)).astype(np.int64)
             members = np.argsort(group, kind="stable")
@@ -405,11 +408,9 @@ def matched(blobs: list[list[np.ndarray]], window: int = WINDOW) -> Iterator[tup
         yield int(names[0][d, 0]), int(names[0][d, 1]), x, y
 
 
-def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for blobs in _shards(batches):
-        rows = [(d, h, packed(small(a), small(k))) for d, h, a, k in matched(blobs)]
-        for i in range(0, len(rows), 4096):
-            yield batch(_FOUND, *zip(*rows[i : i + 4096], strict=True))
+def removed(blobs: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
+    for d, h, a, k in matched(blobs):
+        yield d, h, packed(small(a), small(k))
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
@@ -440,39 +441,29 @@ def _strip(digest: bool):
     return work
 
 
-def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, digest: bool = False, chunk_words: int = CHUNK_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept: what is left of each text, its words joined by one space (or its SHA-256)."""
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(max(8, size // SHARD_BYTES))
+    shards = int(max(8, size // shard_bytes))
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     dealt = texts.repartition("doc_id", "hash")
 
-    def of_document(final: DataFrame, shard_rows: DataFrame, work) -> DataFrame:
+    def of_document(rows: DataFrame, answer) -> DataFrame:
         """The blobs for each document, from the tasks that settled them and from the shards."""
-        asked = shard_rows.where(f"shard <> {SETTLED}").repartition("shard").sortWithinPartitions("shard").mapInArrow(work, _FOUND_DDL)
-        found = final.where(f"shard = {SETTLED}").select("doc_id", "hash", "blob").unionByName(asked)
+        found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_by_shard(answer), _FOUND_DDL)
         return found.groupBy("doc_id", "hash").agg(F.collect_list("blob").alias("blobs"))
 
-    keys = _stored(texts.mapInArrow(_keys(shards), _BLOB_DDL))
-    flags = of_document(keys, keys, _repeated)
+    # One plan: both joins read the same exchange of the texts.
+    flags = of_document(texts.mapInArrow(_keys(shards, chunk_words), _BLOB_DDL), repeated)
     flagged = dealt.join(flags.hint("shuffle_hash"), ["doc_id", "hash"], "inner")
-    segments = _stored(flagged.select("doc_id", "hash", "text", "blobs").mapInArrow(_needed(shards), _BLOB_DDL))
-    spans = of_document(segments, segments, _search)
+    segments = flagged.select("doc_id", "hash", "text", "blobs").mapInArrow(_needed(shards, chunk_words), _BLOB_DDL)
+    spans = of_document(segments, removed)
     joined = dealt.join(spans.hint("shuffle_hash"), ["doc_id", "hash"], "left")
     out = joined.select("doc_id", "hash", "text", "blobs").mapInArrow(_strip(digest), "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
-def _stored(rows: DataFrame) -> DataFrame:
-    """rows, written once to the shared folder."""
-    from tideway.llm.common import new_folder
-
-    path = new_folder(rows.sparkSession, "substrings")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def digest(docs: DataFrame) -> DataFrame:
     return deduplicated(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
