@@ -42,7 +42,7 @@ from xxhash import xxh64_intdigest
 
 from tideway.llm.common import batch, binary, small_batches
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 7
 #: Words that a map task works on at once, and text bytes for each shard.
 CHUNK_WORDS, SHARD_BYTES = 1_500_000, 7_500_000
 #: Windows that are extended at once.
@@ -182,11 +182,13 @@ def _keys(shards: int, chunk_words: int):
             # A document may have a key in several segments: each asks.
             ask = np.concatenate([order[~shared[group]], order[edge[shared]]])
             known = np.concatenate([np.zeros(len(ask) - int(shared.sum()), bool), np.ones(int(shared.sum()), bool)])
+            # 40 bits of a key within its shard: two keys that look alike here only send more words later.
+            short = (s.key // np.uint64(shards)) & np.uint64((1 << 40) - 1)
             shard = (s.key[ask] % np.uint64(shards)).astype(np.int64)
             for k, (a, m) in by_document(shard, ask, known):
-                a, m = a[o := np.argsort(s.key[a], kind="stable")], m[o]
+                a, m = a[o := np.argsort(short[a], kind="stable")], m[o]
                 have, place = np.unique(s.doc[a], return_inverse=True)
-                rows.append((k, None, None, packed(np.diff(s.key[a] // np.uint64(shards), prepend=np.uint64(0)), m.view(np.uint8), small(place), small(s.ordinal[a]), ids[have], hashes[have])))
+                rows.append((k, None, None, packed(small(np.diff(short[a], prepend=np.uint64(0))), m.view(np.uint8), small(place), small(s.ordinal[a]), ids[have], hashes[have])))
             yield batch(_BLOB, *zip(*rows, strict=True))
 
     return work
@@ -311,6 +313,14 @@ class FMIndex:
         return reached, sp, ep
 
 
+def segment_numbers(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each segment: the sum of its words' numbers by powers of an odd base, and its length."""
+    power = np.cumprod(np.full(int(size.max(initial=1)), 0xC6BC279692B5C323, np.uint64))
+    edge = np.cumsum(size) - size
+    flat = np.repeat(start - edge, size) + np.arange(int(size.sum()))
+    return mixed(np.add.reduceat(mixed(words[flat]) * power[flat - np.repeat(start, size)], edge)) + size.astype(np.uint64)
+
+
 def _needed(shards: int, chunk_words: int):
     """For each shard the segments of a chunk that were said to repeat, each distinct one once, with the smallest document that has it."""
 
@@ -323,12 +333,8 @@ def _needed(shards: int, chunk_words: int):
                 continue
             pick = np.unique(np.concatenate(pick))
             start, many, key, doc = s.first[pick], s.many[pick], s.key[pick], s.doc[pick]
-            # A segment's number: the sum of its words' numbers by powers of an odd base.
-            power = np.cumprod(np.full(int(many.max()) + WINDOW, 0xC6BC279692B5C323, np.uint64))
             size = many + WINDOW - 1
-            edge = np.cumsum(size) - size
-            flat = np.repeat(start - edge, size) + np.arange(int(size.sum()))
-            number = mixed(np.add.reduceat(mixed(words[flat]) * power[flat - np.repeat(start, size)], edge)) + size.astype(np.uint64)
+            number = segment_numbers(words, start, size)
             order = np.lexsort((ids[doc], number))
             run = np.concatenate([[True], number[order][1:] != number[order][:-1]])
             least = ids[doc[order]][np.maximum.accumulate(np.where(run, np.arange(len(order)), 0))]
@@ -363,15 +369,35 @@ def matched(blobs: list[list[np.ndarray]], window: int = WINDOW) -> Iterator[tup
     hashed = np.concatenate([b[8][b[5]] for b in blobs])
     place = np.concatenate([b[6].astype(np.int64) for b in blobs])
     words = np.concatenate(body)
-    first = np.cumsum(count) - count
+    first, source = np.cumsum(count) - count, np.cumsum(size) - size
     least = doc[first]
+    # Of equal segments only the one of the smallest document is searched; in all others each window is a repeat.
+    number = segment_numbers(words, source, size)
+    order = np.lexsort((least, number))
+    run = np.concatenate([[True], number[order][1:] != number[order][:-1]])
+    smallest = least[order][np.maximum.accumulate(np.where(run, np.arange(len(order)), 0))]
+    later = order[least[order] > smallest]
+    times = count[later]
+    lost = np.repeat(first[later] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    seg, same = order[run], order[~run & (least[order] == smallest)]  # equal segments of one document are searched each, which is rare
+    seg = np.concatenate([seg, same])
     # A segment alone under its key has no window that another has.
-    _, of, n_key = np.unique(key, return_inverse=True, return_counts=True)
-    seg = np.flatnonzero(n_key[of] > 1)
-    if not len(seg):
-        return
+    _, of, n_key = np.unique(key[seg], return_inverse=True, return_counts=True)
+    seg = seg[n_key[of] > 1]
+    names, doc_at = np.unique(np.stack([doc, hashed], 1), axis=0, return_inverse=True)
+    doc_at = doc_at.ravel()
+    found = [(doc_at[lost], place[lost], np.repeat(size[later], times) - window + 1)]
+    if len(seg):
+        found.append(_searched(words, size, source, seg, least, first, count, place, doc_at, window))
+    who, begin, length = (np.concatenate(x) for x in zip(*found, strict=True))
+    for d, (x, y) in by_document(who, begin, length):
+        yield int(names[d, 0]), int(names[d, 1]), x, y
+
+
+def _searched(words, size, source, seg, least, first, count, place, doc_at, window) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """document, first window, windows in a row of the segments' windows that a smaller document has too."""
     n = size[seg]
-    source = np.cumsum(size) - size
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.cumsum(n + 1) - (n + 1)
     text = np.zeros(int((n + 1).sum()), np.int64)
     flat = np.repeat(edge - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -384,7 +410,7 @@ def matched(blobs: list[list[np.ndarray]], window: int = WINDOW) -> Iterator[tup
     reached, sp, ep = index.match(start, window)
     full = np.flatnonzero(reached == window)
     if not len(full):
-        return
+        return none
     belongs = np.repeat(np.arange(len(seg)), n + 1)[index.suffix]
     low = least[seg][belongs]
     begin, which = np.unique(sp[full], return_inverse=True)
@@ -402,10 +428,7 @@ def matched(blobs: list[list[np.ndarray]], window: int = WINDOW) -> Iterator[tup
     s, offset = own[hit[begin]], start[hit[begin]] - edge[own[hit[begin]]]
     times = count[seg[s]]
     occ = np.repeat(first[seg[s]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-    a, k = place[occ] + np.repeat(offset, times), np.repeat(length, times)
-    names = np.unique(np.stack([doc[occ], hashed[occ]], 1), axis=0, return_inverse=True)
-    for d, (x, y) in by_document(names[1].ravel(), a, k):
-        yield int(names[0][d, 0]), int(names[0][d, 1]), x, y
+    return doc_at[occ], place[occ] + np.repeat(offset, times), np.repeat(length, times)
 
 
 def removed(blobs: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
@@ -420,10 +443,12 @@ def _strip(digest: bool):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for text, found in zip(binary(b.column(2)), b.column(3).to_pylist(), strict=True):
+            for copy, text, found in zip(b.column(1).to_pylist(), binary(b.column(2)), b.column(3).to_pylist(), strict=True):
                 words = text.split()
                 n = len(words)
-                if found:
+                if copy and n >= WINDOW:
+                    words = []
+                elif found:
                     change = np.zeros(n + 1, np.int64)
                     for raw in found:
                         a, k = (x.astype(np.int64) for x in unpacked(raw))
@@ -448,7 +473,12 @@ def deduplicated(docs: DataFrame, digest: bool = False, chunk_words: int = CHUNK
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(max(8, size // shard_bytes))
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
-    dealt = texts.repartition("doc_id", "hash")
+    # A text that a smaller document has as a whole has no other window: such copies are known by a digest and travel no further.
+    digests = texts.select("doc_id", "hash", F.md5("text").alias("md5"))
+    first = digests.groupBy("md5").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = digests.join(first, "md5").where("doc_id > first").select("doc_id", "hash", F.lit(True).alias("copy")).distinct()
+    dealt = texts.repartition("doc_id", "hash").join(copies.hint("shuffle_hash"), ["doc_id", "hash"], "left")
+    own = dealt.where("copy is null").drop("copy")
 
     def of_document(rows: DataFrame, answer) -> DataFrame:
         """The blobs for each document, from the tasks that settled them and from the shards."""
@@ -456,12 +486,12 @@ def deduplicated(docs: DataFrame, digest: bool = False, chunk_words: int = CHUNK
         return found.groupBy("doc_id", "hash").agg(F.collect_list("blob").alias("blobs"))
 
     # One plan: both joins read the same exchange of the texts.
-    flags = of_document(texts.mapInArrow(_keys(shards, chunk_words), _BLOB_DDL), repeated)
-    flagged = dealt.join(flags.hint("shuffle_hash"), ["doc_id", "hash"], "inner")
+    flags = of_document(own.mapInArrow(_keys(shards, chunk_words), _BLOB_DDL), repeated)
+    flagged = own.join(flags.hint("shuffle_hash"), ["doc_id", "hash"], "inner")
     segments = flagged.select("doc_id", "hash", "text", "blobs").mapInArrow(_needed(shards, chunk_words), _BLOB_DDL)
     spans = of_document(segments, removed)
     joined = dealt.join(spans.hint("shuffle_hash"), ["doc_id", "hash"], "left")
-    out = joined.select("doc_id", "hash", "text", "blobs").mapInArrow(_strip(digest), "doc_id long, n_words long, n_removed long, kept binary")
+    out = joined.select("doc_id", "copy", "text", "blobs").mapInArrow(_strip(digest), "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
