@@ -86,7 +86,7 @@ def outage_headline(customers: Column, planned: Column, county: Column) -> Colum
 
 
 def near_fire(gap_km: Column) -> Column:
-    return F.when(gap_km < 0.1, "within the fire's extent").otherwise(F.format_string("%.1f km from the fire", gap_km))
+    return F.when(gap_km < 0.1, "within the fire's extent").otherwise(F.format_string("%.1f km from the fire", F.bround(gap_km, 1)))
 
 
 def rough_duration(seconds: Column) -> Column:
