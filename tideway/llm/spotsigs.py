@@ -2,7 +2,8 @@
 
 Common function words are anchors. The CHAIN content words that follow an
 anchor, anchors between them skipped, are a spot signature; the start of a
-text counts as an anchor, so that short texts have signatures too. A text's
+text counts as an anchor, and a text with few anchors starts a chain at every
+content word, so that short texts have signatures too. A text's
 fingerprint is the sorted set of its signatures, each 8 hexadecimal digits of
 an XXH64. It depends on nothing but the text.
 
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from tideway.llm.common import batch, cut, range_bounds, small_batches
 
 CHAIN = 2
+#: With fewer anchors than this every content word starts a chain: short texts and texts without function words.
+FEWEST = 32
 WORDS = re.compile(r"\w+")
 #: Anchors: common function words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -63,6 +66,8 @@ def signatures(text: str) -> np.ndarray:
     # How many content words come before each anchor: where its chain starts.
     is_anchor = np.fromiter((w in anchors for w in words), bool, len(words))
     at = np.unique(np.concatenate([[0], (np.cumsum(~is_anchor))[is_anchor]]))
+    if len(at) < FEWEST:
+        at = np.arange(len(content))
     chains = [" ".join(content[i : i + CHAIN]) for i in at.tolist() if i < len(content)]
     return np.unique(np.array([xxh32_intdigest(c, SEED) for c in set(chains)], np.uint32))
 
