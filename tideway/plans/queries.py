@@ -387,7 +387,8 @@ def t1_normalized_text(v: Views) -> DataFrame:
     return v.table("conversations").where(~F.col("text").rlike("[0-9]")).select("conv_id", "turn", F.length(t).cast("bigint").alias("n"), F.sha2(t, 256).alias("hash"))
 
 
-@query()
+@query("""WITH g AS (SELECT node, reported_at, reported_at - lag(reported_at) OVER (PARTITION BY node ORDER BY reported_at) AS gap FROM telemetry), l AS (SELECT node, list(CAST(gap AS DOUBLE) ORDER BY reported_at) FILTER (gap >= 30) AS gaps FROM g GROUP BY node)
+    SELECT node, CASE WHEN len(gaps) > 0 THEN list_reduce(gaps, lambda s, x: s + 0.3 * (x - s)) END AS ewma, CAST(coalesce(len(gaps), 0) AS INT) AS n_gaps FROM l""")
 def n5_ewma(v: Views) -> DataFrame:
     return series.ewma(v.telemetry, "node", "reported_at")
 
