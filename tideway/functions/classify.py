@@ -69,7 +69,7 @@ def from_lane_closure(facility: Column, kind: Column, lanes: Column, total: Colu
     """The closure's type comes before its list of lanes; a ramp that closes is a detour."""
     closed = F.when(F.lower(F.coalesce(facility, F.lit(""))).contains("ramp"), MODERATE).otherwise(SEVERE)
     k = plain(kind)
-    listed = F.filter(F.transform(F.split(F.coalesce(lanes, F.lit("")), ","), F.trim), lambda t: t != "")
+    listed = F.filter(F.transform(F.split(F.coalesce(lanes, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
     travel, every = F.size(F.filter(listed, lambda t: t.rlike("^[0-9]+$"))), F.exists(listed, lambda t: F.lower(t) == "all")
     other = F.size(F.filter(listed, lambda t: ~t.rlike("^[0-9]+$") & (F.lower(t) != "all")))
     return ladder(

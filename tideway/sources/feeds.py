@@ -87,7 +87,7 @@ def weather_alerts(bodies: DataFrame, zones: str = "") -> DataFrame:
     """Alerts of the wanted zones (all, when none is wanted or an alert names none), with whom they replace."""
     schema = "features array<struct<properties:struct<id:string,event:string,severity:string,headline:string,effective:string,onset:string,expires:string,messageType:string,replacedBy:string,geocode:struct<UGC:array<string>>,references:array<struct<identifier:string>>>>>"
     r = _rows(bodies, schema, "features").select("r.properties.*")
-    wanted = F.array_distinct(F.transform(text.list_of(F.upper(F.lit(zones))), F.trim))
+    wanted = F.array_distinct(F.transform(text.list_of(F.upper(F.lit(zones))), lambda z: F.trim(z)))
     own = F.coalesce("geocode.UGC", F.array().cast("array<string>"))
     rows = r.where((F.size(wanted) == 0) | (F.size(own) == 0) | F.arrays_overlap(wanted, own))
     starts = F.coalesce(F.try_to_timestamp("onset"), F.try_to_timestamp("effective"))
