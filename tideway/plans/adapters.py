@@ -143,4 +143,6 @@ def with_views(sql: str) -> str:
     ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in reversed(used))
     if not ctes:
         return sql
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql[15:]}"
     return f"WITH {ctes}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {ctes} {sql}"
