@@ -45,6 +45,8 @@ from tideway.llm.common import batch, binary, small_batches
 WINDOW, GRAM = 13, 7
 #: Words that a map task works on at once, and text bytes for each shard.
 CHUNK_WORDS, SHARD_BYTES = 1_500_000, 7_500_000
+#: A small table still spreads over a cluster.
+LEAST_SHARDS = 64
 #: Windows that are extended at once.
 HELD = 1 << 18
 NULL_ID = -(1 << 63)
@@ -471,7 +473,7 @@ def deduplicated(docs: DataFrame, digest: bool = False, chunk_words: int = CHUNK
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(max(8, size // shard_bytes))
+    shards = int(max(LEAST_SHARDS, size // shard_bytes))
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     # A text that a smaller document has as a whole has no other window: such copies are known by a digest and travel no further.
     digests = texts.select("doc_id", "hash", F.md5("text").alias("md5"))
