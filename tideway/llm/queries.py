@@ -50,5 +50,25 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_spot_signatures, op2_token_files, op3_substring_dedup, op4_secret_scan, op5_embedding_near_dedup, op6_simhash, op7_toxicity, op8_quality, op9_mixing, op10_packing)}
 
 
+SUBSTRINGS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT win, min(doc_id) AS first_doc FROM p GROUP BY win),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM p JOIN f USING (win) WHERE first_doc < doc_id),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+k AS (SELECT x.doc_id, count(r.j) AS n_removed, string_agg(word, ' ' ORDER BY x.j) FILTER (r.j IS NULL) AS kept FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.j = x.j GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+EMBEDDINGS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_dot_product(e, e) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93),
+r AS (SELECT vec_id AS n, vec_id AS root FROM v UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.n)
+SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id) AS n_links, m.root AS component_id, v.vec_id = m.root AS kept FROM v JOIN (SELECT n, min(root) AS root FROM r GROUP BY n) m ON m.n = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The operators that SQL can express."""
+    return {"op3_substring_dedup": SUBSTRINGS_SQL, "op5_embedding_near_dedup": EMBEDDINGS_SQL}
