@@ -97,3 +97,18 @@ def test_numbered_ids(spark):
 def test_box_polygon(spark):
     g = spark.range(1).select(spatial.box_polygon(*map(F.lit, (0.0, 1.0, 2.0, 3.0))).alias("g")).first().g
     assert kernel.bounds(kernel.shape(g)) == (1.0, 0.0, 3.0, 2.0)
+
+
+def test_perimeter_clusters(spark):
+    rows = [
+        (1, "gann", "A1", 38.0, -120.0, 10, True, 1, 5.0), (2, "gann", "A1", 39.0, -121.0, 20, True, 1, 6.0), (3, "gann", "", 38.1, -120.0, 30, False, 1, 7.0),
+        (4, "gann", "B2", 40.0, -120.0, 5, True, 1, 8.0), (5, "bear", "", 38.0, -120.0, 5, True, 1, 8.0), (6, "bear", "", 38.0, -120.0, 5, True, 0, 1.0),
+    ]
+    frame = spark.createDataFrame(rows, "seq long, norm string, incident string, lat double, lng double, at long, active boolean, rank int, acres double")
+    assert {r.seq for r in grouped.perimeters_deduped(frame).collect()} == {3, 4, 6}
+
+
+def test_continued_ids(spark):
+    winners = spark.createDataFrame([("z", 1, "c", 1.0, 1.0), ("z", 2, "c", 1.1, 1.0), ("z", 3, "d", 0.0, 0.0), ("y", 1, "c", 0.0, 0.0)], "base string, n long, county string, lat double, lng double")
+    prior = spark.createDataFrame([("z", "z", "c", 5.0, 5.0), ("z", "z-2", "c", 1.0, 1.0)], "base string, id string, county string, lat double, lng double")
+    assert {(r.base, r.n): r.id for r in grouped.continued_ids(winners, prior).collect()} == {("z", 1): "z-2", ("z", 2): "z", ("z", 3): "z-3", ("y", 1): "y"}

@@ -48,3 +48,54 @@ def numbered_groups(rows: DataFrame, keys: list[str], order: list[str], base: st
 
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_n", n).withColumn("numbered", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws(":", base, F.col("_n").cast("string")))).drop("_n")
+
+
+def perimeters_deduped(perimeters: DataFrame, degrees: float = 0.15) -> DataFrame:
+    """The freshest perimeter of each cluster of one fire name, of (seq, norm, incident, lat, lng, at, active, rank, acres).
+
+    In feed order a row joins the first cluster whose first row has its
+    incident number, or lies within ``degrees``; a cluster keeps its latest,
+    then active, then lowest rank of source, then largest row.
+    """
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        clusters: list[list[int]] = []
+        rows = rows.sort_values("seq", kind="stable").reset_index(drop=True)
+        for i, r in rows.iterrows():
+            for c in clusters:
+                head = rows.loc[c[0]]
+                if (r.incident and r.incident == head.incident) or ((r.lat - head.lat) ** 2 + (r.lng - head.lng) ** 2) ** 0.5 < degrees:
+                    c.append(i)
+                    break
+            else:
+                clusters.append([i])
+        best = [max(c, key=lambda i: (rows["at"][i], rows.active[i], -rows["rank"][i], rows.acres[i], -i)) for c in clusters]
+        return rows.loc[best]
+
+    return perimeters.groupBy("norm").applyInPandas(keep, perimeters.schema)
+
+
+def continued_ids(winners: DataFrame, prior: DataFrame) -> DataFrame:
+    """winners (base, n, county, lat, lng) with the id each goes on under.
+
+    In order, a winner takes the nearest unused prior id of its base and
+    county; the others take the base, or the next free suffix ``base-2`` on.
+    """
+
+    def assign(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        new, used, ids = new.sort_values("n", kind="stable").reset_index(drop=True), set(), {}
+        for i, r in new.iterrows():
+            near = [((p.lat - r.lat) ** 2 + (p.lng - r.lng) ** 2, p.id) for p in old.itertuples() if p.county == r.county and p.id not in used]
+            if near:
+                ids[i] = min(near)[1]
+                used.add(ids[i])
+        taken, k = used | set(old["id"]), 1
+        for i in new.index:
+            if i not in ids:
+                while (name := key[0] if k == 1 else f"{key[0]}-{k}") in taken:
+                    k += 1
+                ids[i] = name
+                taken.add(name)
+        return new.assign(id=[ids[i] for i in new.index])[["base", "n", "id"]]
+
+    return winners.groupBy("base").cogroup(prior.groupBy("base")).applyInPandas(assign, "base string, n long, id string")

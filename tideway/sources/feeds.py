@@ -255,3 +255,60 @@ def packets(bodies: DataFrame) -> DataFrame:
 
 def point(lat: Column, lng: Column) -> Column:
     return geo.point_json(lat, lng)
+
+
+def perimeters(bodies: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Active fire perimeters in a stable order, those in a box (min_lat, min_lng, max_lat, max_lng) where one is given."""
+    schema = "features array<struct<properties:struct<OBJECTID:bigint,incident_name:string,incident_number:string,displayStatus:string,area_acres:double,poly_DateCurrent:bigint>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
+    r = _rows(bodies, schema, "features")
+    rings = F.col("r.geometry.coordinates")
+    rows = r.where("r.properties.displayStatus = 'Active' OR r.properties.displayStatus IS NULL OR r.properties.displayStatus = ''").select(
+        F.col("r.properties.OBJECTID").alias("object_id"), F.col("r.properties.incident_name").alias("name"), text.fire_key(F.col("r.properties.incident_name")).alias("norm"), F.coalesce("r.properties.area_acres", F.lit(0.0)).alias("acres"),
+        F.floor(F.col("r.properties.poly_DateCurrent") / 1000).alias("current_at"), *(v.alias(n) for v, n in zip(geo.ring_box(rings), ("min_lat", "min_lng", "max_lat", "max_lng"), strict=True)),
+    )
+    if box:
+        rows = rows.where(geo.boxes_meet(tuple(map(F.lit, box)), tuple(F.col(n) for n in ("min_lat", "min_lng", "max_lat", "max_lng"))))
+    return rows
+
+
+def newest_stamp(bodies: DataFrame) -> DataFrame:
+    """The latest readable stamp of a load log, in seconds; rows that do not read are skipped."""
+    r = _rows(bodies, "features array<struct<attributes:struct<LAST_UPDATE:string>>>", "features")
+    return r.agg(F.max(F.unix_timestamp(F.try_to_timestamp("r.attributes.LAST_UPDATE", F.lit("yyyy-MM-dd HH:mm:ss")))).alias("newest"))
+
+
+def weather_now(bodies: DataFrame) -> DataFrame:
+    """Current weather as whole numbers: degrees cut towards zero, wind in km/h, sight in km."""
+    r = bodies.select(F.from_json("body", "id string, dt bigint, main struct<temp:double,feels_like:double,humidity:int>, wind struct<speed:double,deg:int>, visibility int").alias("r")).select("r.*")
+    return r.select("id", F.col("dt").alias("at_seconds"), F.col("main.temp").cast("int").alias("celsius"), F.col("main.humidity").alias("humidity"), (F.col("wind.speed") * 3.6).cast("int").alias("wind_kmh"), (F.coalesce("visibility", F.lit(0)) / 1000).cast("int").alias("sight_km"))
+
+
+def repeater_reports(bodies: DataFrame, now: Column) -> DataFrame:
+    """A monitor's node rows: valid ids, the first of each, stamps of the future held at now. Absent gauges stay null."""
+    schema = "reporter string, repeaters array<struct<id:string,name:string,last_attempt:bigint,last_success:bigint,battery_voltage:double,uptime_s:bigint>>"
+    r = bodies.select(F.from_json("body", schema).alias("b")).select("b.reporter", F.posexplode("b.repeaters").alias("n", "r"))
+    node = F.lower(F.trim("r.id"))
+    valid = r.withColumn("node", node).where(node.rlike("^[0-9a-f]{2,64}$"))
+    first = valid.groupBy("reporter", "node").agg(F.min_by("r", "n").alias("r"))
+    return first.select("reporter", "node", F.col("r.name").alias("name"), F.least("r.last_attempt", now).alias("last_attempt"), F.least("r.last_success", now).alias("last_success"), F.col("r.battery_voltage").alias("battery"), F.col("r.uptime_s").alias("uptime"))
+
+
+def burn_readings(bodies: DataFrame, lines: list[str], now: Column) -> DataFrame:
+    """Readings of known lines with a colour, a confidence and a stamp; the first of a line in a body counts."""
+    r = bodies.select(F.posexplode(F.from_json("body", "readings array<struct<line_id:string,status:string,confidence:int,observed_at:string>>")["readings"]).alias("n", "r"), F.monotonically_increasing_id().alias("m"))
+    at = F.unix_timestamp(F.try_to_timestamp("r.observed_at"))
+    ok = F.col("r.line_id").isin(lines) & F.lower("r.status").isin("green", "red", "orange") & F.col("r.confidence").between(0, 100) & at.isNotNull()
+    first = r.where(ok).groupBy("m", F.col("r.line_id").alias("line")).agg(F.min_by(F.struct(F.lower("r.status").alias("status"), F.least(at, now).alias("observed_at")), "n").alias("x"))
+    return first.select("line", "x.*")
+
+
+def place_seed(areas: DataFrame, towns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Areas (name, box) and towns (name, lat, lng) as one directory with slugs and the area each town is in, and slugs used twice."""
+    a = areas.select(F.concat(F.lit("area:"), text.slug(F.col("name"))).alias("place_id"), text.slug(F.col("name")).alias("slug"), "name", F.lit("AREA").alias("kind"), "min_lat", "min_lng", "max_lat", "max_lng")
+    t = towns.select(F.concat(F.lit("town:"), text.slug(F.col("name"))).alias("place_id"), text.slug(F.col("name")).alias("slug"), "name", F.lit("TOWN").alias("kind"), F.col("lat").alias("min_lat"), F.col("lng").alias("min_lng"), F.col("lat").alias("max_lat"), F.col("lng").alias("max_lng"))
+    cell = lambda d, lat, lng: d.withColumns({"_y": lat, "_x": lng})
+    wide = a.select(F.col("place_id").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in ("min_lat", "min_lng", "max_lat", "max_lng")), F.explode(F.sequence(F.floor("min_lat"), F.floor("max_lat"))).alias("_y")).select("*", F.explode(F.sequence(F.floor("p_min_lng"), F.floor("p_max_lng"))).alias("_x"))
+    inside = (F.col("min_lat") >= F.col("p_min_lat")) & (F.col("min_lat") < F.col("p_max_lat")) & (F.col("min_lng") >= F.col("p_min_lng")) & (F.col("min_lng") < F.col("p_max_lng"))
+    held = cell(t, F.floor("min_lat"), F.floor("min_lng")).join(wide, ["_y", "_x"]).where(inside).groupBy("place_id").agg(F.min("parent").alias("parent"))
+    every = a.withColumn("parent", F.lit(None).cast("string")).unionByName(t.join(held, "place_id", "left"))
+    return every, every.groupBy("slug").count().where("count > 1").select("slug")
