@@ -182,9 +182,9 @@ def a17_burn_day(v: Views) -> DataFrame:
     return r.groupBy(F.col("user_id").alias("line_group")).agg(F.when(any_of(0), "NO").when(any_of(1), "MARGINAL").when(F.count("*") >= 4, "YES").otherwise("UNKNOWN").alias("day"))
 
 
-@query("""SELECT id, arg_min(seq, (lat, lng)) AS seq FROM observed WHERE k < 30 GROUP BY id""")
+@query("""SELECT id, arg_min(seq, (lat, lng, seq)) AS seq FROM observed WHERE k < 30 GROUP BY id""")
 def a19_southwest_end(v: Views) -> DataFrame:
-    return v.observed.where("k < 30").groupBy("id").agg(F.min_by("seq", F.struct("lat", "lng")).alias("seq"))
+    return v.observed.where("k < 30").groupBy("id").agg(F.min_by("seq", F.struct("lat", "lng", "seq")).alias("seq"))
 
 
 @query(f"""SELECT node, CASE WHEN max(CASE WHEN battery IS NOT NULL THEN reported_at END) >= {T0 + 30 * DAY} THEN 'REACHABLE' WHEN max(reported_at) >= {T0 + 30 * DAY} THEN 'UNREACHABLE' ELSE 'UNKNOWN' END AS reachability FROM telemetry GROUP BY node""")
