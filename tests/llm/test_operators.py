@@ -167,6 +167,21 @@ def test_lexed_secrets(text, kinds):
     assert [secrets.KINDS[k] for _, k, _ in secrets.scan(text)[1]] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "spans", "masked"),
+    [
+        ('password = "hunter2!Qz9$kLm#4"\n', "assign:0:19,literal:12:29", '[SECRET]"\n'),
+        ('secret = "q8ZJk2" + "pl0Ax9Q"\n', "assign:0:16,literal:10:28", '[SECRET]"\n'),
+        ("api_key=Zx81!kdQ9mmA0 next", "literal:8:21", "api_key=[SECRET] next"),
+        ('token = "abcdef12"', "assign:0:17", '[SECRET]"'),
+    ],
+)
+def test_literals_wider_than_a_base_span(spark, text, spans, masked):
+    assert secrets.shown(secrets.scan(text)[1]) == spans
+    row = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact(row).first().text == masked and secrets.digest(row).first().spans == spans
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 48))

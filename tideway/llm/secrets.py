@@ -8,7 +8,9 @@ right-hand side through them, and scores each literal by how sensitive its
 target name is and how much it looks like a generated or chosen secret.
 Literals that reach THRESHOLD are added, as kind ``literal`` where they stand
 beside the sensitive name and as kind ``flow`` where a constant carried them
-there. Spans of the base always stay; a literal inside one is not told twice.
+there. Spans of the base always stay; a literal inside one is not told twice,
+and one that goes beyond it (a base pattern ends at the first character
+outside its set) stands beside it. Masking merges spans that overlap.
 
 Offsets are code points, the end is exclusive. Each text is scanned whole, in
 the task that reads it: nothing is shuffled.
@@ -135,7 +137,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base = base_spans(text)
     more = []
     for s, k, e in lexed_spans(text):
-        if not any(a < e and s < b for a, _, b in base) and not any(a == s and b == e for a, _, b in more):
+        if not any(a <= s and e <= b for a, _, b in base) and not any(a == s and b == e for a, _, b in more):
             more.append((s, k, e))
     return base, sorted(base + more)
 
