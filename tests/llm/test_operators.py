@@ -78,6 +78,18 @@ def test_spot_signature_pairs(spark):
     assert got == {(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if spotsigs.jaccard(x, y) >= 0.8} and got
 
 
+def test_near_copies_on_both_sides_of_32_anchors(spark):
+    """Texts of 30 to 33 function words and about 100 other words: one word more or less changes few signatures."""
+    more = " ".join(f"the bar{i} kel{i} mon{i}" for i in range(33))
+    texts = [more, more.removeprefix("the bar0 kel0 mon0 "), more.removeprefix("the "), more.replace("the bar9", "bar9"), more.replace("the bar9", "bar9").replace("the bar20", "bar20")]
+    sigs = [spotsigs.signatures(t) for t in texts]
+    assert min(spotsigs.jaccard(x, y) for x in sigs for y in sigs) > 0.9
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.a, r.b) for r in spotsigs.near_pairs(frame, 0.8)[1].collect()} == {(i, j) for i in range(5) for j in range(i + 1, 5)}
+    short = spotsigs.signatures(" ".join(f"bar{i}" for i in range(10)))
+    assert len(short) == 10
+
+
 def test_tokens_equal_the_library():
     e = tokens.encoder(tokens.tokenizer_path())
     odd = ["", "a", " a", "  a", "a  ", "a   b", "a \n b", "a\n\n b", "x <|endoftext|> y", "don't we're", "\t\tx y\n", "end.\n Next", "a　 b", "\x1c\x1d x", "a \n\n  b  \n", "  x", "日本 語。 ok", "a\r\n b", " 's 't", "12 3a b4"]

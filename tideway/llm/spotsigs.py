@@ -1,11 +1,12 @@
 """Document fingerprints by spot signatures.
 
-Common function words are anchors. The CHAIN content words that follow an
-anchor, anchors between them skipped, are a spot signature; the start of a
-text counts as an anchor, and a text with few anchors starts a chain at every
-content word, so that short texts have signatures too. A text's
+Common function words are anchors. An anchor and the CHAIN content words that
+follow it, anchors between them skipped, are a spot signature. Besides, every
+text has the chain at each of its content words as a signature, so that short
+texts and texts without function words have enough. This is one rule for all
+texts: a changed word changes the few signatures it is part of. A text's
 fingerprint is the sorted set of its signatures, each 8 hexadecimal digits of
-an XXH64. It depends on nothing but the text.
+an XXH32. It depends on nothing but the text.
 
 Two fingerprints are as alike as the Jaccard index of their sets. ``near_pairs``
 finds all pairs at or above a threshold between distinct fingerprints: a set
@@ -38,8 +39,6 @@ from pyspark.sql import functions as F
 from tideway.llm.common import batch, cut, range_bounds, small_batches
 
 CHAIN = 2
-#: With fewer anchors than this every content word starts a chain: short texts and texts without function words.
-FEWEST = 32
 WORDS = re.compile(r"\w+")
 #: Anchors: common function words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -63,13 +62,14 @@ def signatures(text: str) -> np.ndarray:
     content = [w for w in words if w not in anchors]
     if not content:
         return np.array([xxh32_intdigest(" ".join(words), SEED)], np.uint32)
-    # How many content words come before each anchor: where its chain starts.
-    is_anchor = np.fromiter((w in anchors for w in words), bool, len(words))
-    at = np.unique(np.concatenate([[0], (np.cumsum(~is_anchor))[is_anchor]]))
-    if len(at) < FEWEST:
-        at = np.arange(len(content))
-    chains = [" ".join(content[i : i + CHAIN]) for i in at.tolist() if i < len(content)]
-    return np.unique(np.array([xxh32_intdigest(c, SEED) for c in set(chains)], np.uint32))
+    chains = [" ".join(content[i : i + CHAIN]) for i in range(len(content))]
+    spots, at = set(chains), 0
+    for w in words:
+        if w not in anchors:
+            at += 1
+        elif at < len(chains):
+            spots.add(f"{w}:{chains[at]}")
+    return np.unique(np.array([xxh32_intdigest(c, SEED) for c in spots], np.uint32))
 
 
 def shown(sigs: np.ndarray) -> str:
