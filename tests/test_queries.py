@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tideway.plans import shapes
+from tideway.plans.adapters import Views
 from tideway.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,6 +39,28 @@ def test_query_equals_sql(spark, second, sf, name):
     assert rows
 
 
+def test_components_of_every_reception(spark, tmp_path):
+    """One chain of nodes over many receptions, and a group of its own, against a plain union-find."""
+    paths = {i: [f"s{i}", f"s{i + 1}"] for i in range(1, 60)} | {60: ["s200", "", "s201"], 61: ["s300", "s301"]}
+    rows = [(i, f"c{i if i > 59 else 0}", 0, 0, p) for i, p in paths.items()]
+    views = Views(spark, str(tmp_path))
+    views.mesh_observations = spark.createDataFrame(rows, "obs_id long, pubkey string, heard_at long, snr int, path_nodes array<string>")
+    above = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for _, sender, _, _, path in rows:
+        for x, y in zip([sender, *path], path, strict=False):
+            if x and y and x != y:
+                low, high = sorted((root(x), root(y)))
+                above[high] = low
+    assert {r.node: r.root for r in shapes.a18_components_whole(views).collect()} == {x: root(x) for x in list(above)}
+    assert {root(x) for x in list(above)} == {"c0", "c60", "c61"}
+
+
 def test_entry_and_registry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and df.columns[0] == "id"
