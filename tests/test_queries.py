@@ -9,6 +9,7 @@ import __spark_entry__
 from tideway.plans import shapes
 from tideway.plans.adapters import Views
 from tideway.plans.registry import ORACLES, QUERIES
+from tideway.sources import feeds
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -61,6 +62,15 @@ def test_components_of_every_reception(spark, tmp_path):
     assert {root(x) for x in list(above)} == {"c0", "c60", "c61"}
 
 
+def test_forecast_hours_of_many_bodies(spark):
+    """The later block counts, whatever the places in the bodies."""
+    item = '{"validTime":"2024-01-01T00:00:00Z/PT%dH","value":%d}'
+    body = '{"properties":{"amount":{"values":[%s]}}}'
+    rows = [(1, body % (item % (2, 6))), (0, body % ",".join([item % (3, 9), item % (3, 12)]))]
+    got = feeds.forecast_hours(spark.createDataFrame(rows, "block long, body string"), "amount").orderBy("hour").collect()
+    assert [(r.value, r.share) for r in got] == [(6, 3), (6, 3), (12, 4)]
+
+
 def test_entry_and_registry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and df.columns[0] == "id"

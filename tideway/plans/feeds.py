@@ -14,6 +14,10 @@ from tideway.sources import feeds
 DAY = 86400
 
 
+#: Rows in one body at most, where a whole table is told in bodies.
+BODY_ROWS = 10_000
+
+
 def bodies(rows: DataFrame, by: Column, item: Column, name: str | None, **extra: Column) -> DataFrame:
     """One JSON body for each group: {name: [items]}, or the bare list."""
     items = F.collect_list(item)
@@ -173,7 +177,7 @@ def n8_forecast_hours(v: Views) -> DataFrame:
     """Interval-coded values as hours; amounts are spread over their hours."""
     o = v.observed.where("event_type = 'view'").select("seq", F.struct(F.concat(F.date_format(F.timestamp_seconds("observed_at"), "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit("/PT"), F.col("k") % 5 + 1, F.lit("H")).alias("validTime"), "value").alias("v"))
     values = F.transform(F.array_sort(F.collect_list(F.struct("seq", "v"))), lambda x: x["v"])
-    body = o.agg(F.to_json(F.struct(F.struct(F.struct(values.alias("values")).alias("amount")).alias("properties"))).alias("body"))
+    body = o.groupBy(F.floor(F.col("seq") / BODY_ROWS).alias("block")).agg(F.to_json(F.struct(F.struct(F.struct(values.alias("values")).alias("amount")).alias("properties"))).alias("body"))
     return feeds.forecast_hours(body, "amount").select("hour", "value", "share")
 
 

@@ -231,8 +231,9 @@ def burn_table(bodies: DataFrame) -> DataFrame:
 
 
 def forecast_hours(bodies: DataFrame, variable: str, columns: str = "value double") -> DataFrame:
-    """Interval-coded values as hourly rows (hour, value); of two intervals for an hour the later one counts."""
-    v = bodies.select(F.posexplode(F.from_json(F.get_json_object("body", f"$.properties.{variable}.values"), "array<struct<validTime:string,value:double>>")).alias("n", "v"))
+    """Interval-coded values as hourly rows (hour, value); of two intervals for an hour the later one counts, in the order of ``block`` where the bodies have that column."""
+    block = F.col("block") if "block" in bodies.columns else F.lit(0)
+    v = bodies.select(block.alias("block"), F.posexplode(F.from_json(F.get_json_object("body", f"$.properties.{variable}.values"), "array<struct<validTime:string,value:double>>")).alias("n", "v")).withColumn("n", F.struct("block", "n"))
     parts = F.split("v.validTime", "/")
     span = lambda unit: F.coalesce(F.nullif(F.regexp_extract(parts[1], rf"(\d+){unit}", 1), F.lit("")).cast("bigint"), F.lit(0))
     start = F.unix_timestamp(F.try_to_timestamp(parts[0]))
