@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of every contract: runs without ASCII white space. ``bytes.split()`` cuts at the same characters, \x20 and \x09-\x0D.
@@ -41,9 +42,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what a Python worker holds at once: long texts come in batches of few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the bytes that a Python worker is handed at once: long texts come in batches of few rows, at least one.
+
+    A frame is planned when it is run, so the setting stays in the session; a
+    smaller one that the user chose is kept, and the bound on rows is the user's.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", spark.conf.get(name)))
+    if now > most or now <= 0:
+        spark.conf.set(name, str(most))
 
 
 def batch(schema: pa.Schema, *columns: Sequence | pa.Array) -> pa.RecordBatch:
@@ -55,17 +66,35 @@ def binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def row_key(df: DataFrame) -> Column:
+    """A struct of two hashes, 96 bits, of a row's every column: rows alike in all columns share it. Nulls count by their place, maps by their text."""
+    cols = [(F.col(f"`{f.name}`"), f.dataType.simpleString()) for f in df.schema]
+    plain = [F.to_json(F.struct(c)) if "map<" in t or "variant" in t else c for c, t in cols]
+    nulls = F.array(*(c.isNull() for c, _ in cols))
+    return F.struct(F.xxhash64(nulls, *plain).alias("h1"), F.hash(nulls, *plain).alias("h2"))
+
+
+def one_of_alike(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key, of rows that are alike where their keys are: all but one of a task go before the shuffle."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(key))).where("nth = 1").drop("nth")
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels no model may learn: crc32 of the id as text, modulo 3, is 1 (a null id is the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+#: Ranges of a key at most: what they cost the driver does not grow with the table.
+MOST_RANGES = 4_096
+
+
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most parts - 1 increasing values of an integer key that cut the rows into runs of about equal counts."""
+    """At most parts - 1 increasing values of an integer key that cut the rows into runs of about equal counts; parts is held at MOST_RANGES."""
+    parts = min(parts, MOST_RANGES)
     if parts < 2:
         return []
     at = [i / parts for i in range(1, parts)]
-    got = df.select(F.percentile_approx(key, F.array(*map(F.lit, at)), 100 * parts)).first()[0]
+    got = df.select(F.percentile_approx(key, F.array(*map(F.lit, at)), max(10_000, 20 * parts))).first()[0]
     return sorted(set(got or []))
 
 
@@ -81,7 +110,7 @@ def indexed(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges (a, b): root is the smallest node reachable.
+    """(node, root) for each node of edges (a, b), of any type that has an order: root is the smallest node reachable.
 
     Alternating large and small stars: each round moves every edge towards the
     smallest neighbour, in a number of rounds that grows as the logarithm of

@@ -46,8 +46,12 @@ def op10_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def spot_signature_pairs(spark, sf_dir):
+    return spotsigs.near_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_spot_signatures, op2_token_files, op3_substring_dedup, op4_secret_scan, op5_embedding_near_dedup, op6_simhash, op7_toxicity, op8_quality, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_spot_signatures, op2_token_files, op3_substring_dedup, op4_secret_scan, op5_embedding_near_dedup, op6_simhash, op7_toxicity, op8_quality, op9_mixing, op10_packing, spot_signature_pairs)}
 
 
 SUBSTRINGS_SQL = r"""

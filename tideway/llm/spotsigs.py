@@ -1,12 +1,11 @@
 """Document fingerprints by spot signatures.
 
-Common function words are anchors. An anchor and the CHAIN content words that
-follow it, anchors between them skipped, are a spot signature. Besides, every
-text has the chain at each of its content words as a signature, so that short
-texts and texts without function words have enough. This is one rule for all
-texts: a changed word changes the few signatures it is part of. A text's
-fingerprint is the sorted set of its signatures, each 8 hexadecimal digits of
-an XXH32. It depends on nothing but the text.
+Anchors are common function words and the start of the text. An anchor and the
+CHAIN content words that follow it, anchors between them skipped, are a spot
+signature; the last chains of a text may be shorter. A text of function words
+alone has itself as its only signature. A text's fingerprint is the sorted set
+of its signatures, each 8 hexadecimal digits of an XXH32. It depends on nothing
+but the text.
 
 Two fingerprints are as alike as the Jaccard index of their sets. ``near_pairs``
 finds all pairs at or above a threshold between distinct fingerprints: a set
@@ -19,8 +18,9 @@ threshold.
 Edge cases: null and empty texts, and texts without words, have the empty
 fingerprint; two empty sets are alike (1), an empty and another are not (0);
 the text after the last document is the first document's; rows with one doc_id
-follow each other by text, a null doc_id comes last; an empty table gives no
-rows; other columns are left alone.
+follow each other by text, a null doc_id comes last; a class without any doc_id
+has a null class_id; an empty table gives no rows; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -51,25 +51,28 @@ SEED = 1
 BAND_ROWS = 1_024
 
 
-def signatures(text: str) -> np.ndarray:
-    """The sorted distinct signatures of a text, as unsigned 32-bit numbers."""
-    from xxhash import xxh32_intdigest
-
+def spots(text: str) -> set[str]:
+    """The spot signatures of a text, as text: anchor (empty for the start) and chain."""
     words = WORDS.findall(text.lower())
-    if not words:
-        return np.zeros(0, np.uint32)
     anchors = ANCHORS
     content = [w for w in words if w not in anchors]
     if not content:
-        return np.array([xxh32_intdigest(" ".join(words), SEED)], np.uint32)
+        return {" ".join(words)} if words else set()
     chains = [" ".join(content[i : i + CHAIN]) for i in range(len(content))]
-    spots, at = set(chains), 0
+    out, at = {":" + chains[0]}, 0
     for w in words:
         if w not in anchors:
             at += 1
         elif at < len(chains):
-            spots.add(f"{w}:{chains[at]}")
-    return np.unique(np.array([xxh32_intdigest(c, SEED) for c in spots], np.uint32))
+            out.add(f"{w}:{chains[at]}")
+    return out
+
+
+def signatures(text: str) -> np.ndarray:
+    """The sorted distinct signatures of a text, as unsigned 32-bit numbers."""
+    from xxhash import xxh32_intdigest
+
+    return np.unique(np.array([xxh32_intdigest(s, SEED) for s in spots(text)], np.uint32))
 
 
 def shown(sigs: np.ndarray) -> str:
@@ -123,8 +126,10 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to both that and the next document's.
 
     The order is descending doc_id. Documents are dealt to bands by ranges of
-    doc_id; the first of each band also goes to the band before, so the texts
-    move once. Bands come from the ids alone.
+    doc_id, MOST_RANGES at most; the first of each band also goes to the band
+    before, so the texts move once. Bands come from the ids alone. A worker
+    streams through its band and holds one document before the present one, so
+    a band may have any number of rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -170,25 +175,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", own("text").alias("fingerprint"))
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal fingerprints (doc_id, class_id), and pairs (a, b, likeness) of class ids at or above the threshold.
+def near_classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal fingerprints (cls, class_id, fingerprint), their documents (doc_id, fingerprint), and pairs (a, b, likeness) of cls at or above the threshold.
 
     class_id is the smallest doc_id of a class. All counts of signatures are of
     all classes, so the rarest come first in each set.
     """
     prints = cut(fingerprints(docs))
-    classes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")))
-    sets = classes.where("fingerprint <> ''").select("class_id", "fingerprint", (F.length("fingerprint") / 8).cast("int").alias("n"))
-    each = sets.select("class_id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("fingerprint"), i * 8 + 1, F.lit(8)))).alias("sig"))
+    classes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))).select(F.monotonically_increasing_id().alias("cls"), "class_id", "fingerprint")
+    sets = classes.where("fingerprint <> ''").select("cls", "fingerprint", (F.length("fingerprint") / 8).cast("int").alias("n"))
+    each = sets.select("cls", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("fingerprint"), i * 8 + 1, F.lit(8)))).alias("sig"))
     often = each.groupBy("sig").agg(F.count("*").alias("often"))
-    ranked = each.join(often, "sig").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("sigs"))
+    ranked = each.join(often, "sig").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("sigs"))
     # A match shares one of the first n - ceil(threshold n) + 1 signatures, rarest first.
     prefix = F.slice("sigs", 1, (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
-    keyed = ranked.select("class_id", "n", band.alias("band"), F.explode(F.transform(prefix, lambda s: s["sig"])).alias("sig"))
-    a = keyed.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "sig", F.col("band").alias("at"))
+    keyed = ranked.select("cls", "n", band.alias("band"), F.explode(F.transform(prefix, lambda s: s["sig"])).alias("sig"))
+    a = keyed.select(F.col("cls").alias("a"), F.col("n").alias("na"), "sig", F.col("band").alias("at"))
     # A set asks in its own band and the next one up.
-    b = keyed.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("at"), "band")
+    b = keyed.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("at"), "band")
     size_ok = (F.least("na", "nb") >= F.lit(threshold - 1e-12) * F.greatest("na", "nb")) & ((F.col("band") > F.col("at")) | (F.col("a") < F.col("b")))
     candidates = a.join(b, ["sig", "at"]).where(size_ok).select("a", "b").distinct()
 
@@ -196,7 +201,22 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
         return x.combine(y, lambda p, q: jaccard(parsed(p), parsed(q), threshold))
 
-    of = sets.select("class_id", "fingerprint")
-    both = candidates.join(of.select(F.col("class_id").alias("a"), F.col("fingerprint").alias("fa")), "a").join(of.select(F.col("class_id").alias("b"), F.col("fingerprint").alias("fb")), "b")
-    pairs = both.select("a", "b", likeness("fa", "fb").alias("likeness")).where(F.col("likeness") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
-    return prints.join(classes, "fingerprint").select("doc_id", "class_id"), pairs
+    of = sets.select("cls", "fingerprint")
+    both = candidates.join(of.select(F.col("cls").alias("a"), F.col("fingerprint").alias("fa")), "a").join(of.select(F.col("cls").alias("b"), F.col("fingerprint").alias("fb")), "b")
+    return classes, prints, both.select("a", "b", likeness("fa", "fb").alias("likeness")).where(F.col("likeness") >= threshold)
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Membership (doc_id, class_id), and pairs (a, b, likeness) of class ids at or above the threshold, a below b."""
+    classes, prints, pairs = near_classes(docs, threshold)
+    name = lambda c: classes.select(F.col("cls").alias(c), F.col("class_id").alias(f"{c}_id"))
+    named = pairs.join(name("a"), "a").join(name("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "likeness")
+    return prints.join(classes, "fingerprint").select("doc_id", "class_id"), named
+
+
+def near_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id, n_near (other classes at or above the threshold), likest (the highest likeness among them, else null)."""
+    classes, prints, pairs = near_classes(docs, threshold)
+    both = pairs.select(F.col("a").alias("cls"), "likeness").unionByName(pairs.select(F.col("b").alias("cls"), "likeness"))
+    told = classes.join(both.groupBy("cls").agg(F.count("*").alias("n_near"), F.max("likeness").alias("likest")), "cls", "left")
+    return prints.join(told, "fingerprint").select("doc_id", "class_id", F.coalesce("n_near", F.lit(0)).alias("n_near"), "likest")
