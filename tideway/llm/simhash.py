@@ -11,10 +11,15 @@ together, which takes the place of a broadcast whose size would grow with the
 table. Trees are built and searched as arrays, level by level, all shards of a
 task at once. A shard hands on links of a spanning forest, never all pairs.
 
+Beyond HOT_ROWS fingerprints a shard's queries are dealt to several tasks, each
+with the same tree, so no dense group is one task's work.
+
 Edge cases: a null text is empty; a text without words has fingerprint zero,
 linked like any other; fewer words than a shingle are one shingle; repeated
-rows share their fingerprint; an empty table gives no rows; other columns are
-left alone; a null doc_id never names a component unless nothing else does.
+rows share their fingerprint; an empty table gives no rows; a null doc_id never
+names a component unless nothing else does. ``kept`` keeps other columns
+whatever their names; of rows that share the smallest doc_id of a group one
+stays, chosen by a hash of all its columns.
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.common import batch, binary, components, cut, small_batches
+from tideway.llm.common import batch, binary, components, cut, one_of_alike, row_key, small_batches
 
 RADIUS = 4
 #: First bit and width of the six blocks.
@@ -55,29 +60,30 @@ def fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("fp", pa.int64())])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("fp", pa.int64())])
 
 
 def _prints(words: int, seed: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([fingerprint(t, words, seed) for t in binary(b.column(2))], np.uint64)
-            yield batch(_PRINTS, b.column(0), b.column(1), pa.array(got.view(np.int64)))
+            got = np.array([fingerprint(t, words, seed) for t in binary(b.column(3))], np.uint64)
+            yield batch(_PRINTS, *(b.column(i) for i in range(3)), pa.array(got.view(np.int64)))
 
     return work
 
 
 def prints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, hash (of the text), fp: the fingerprint as a signed 64-bit number."""
+    """doc_id, h1 and h2 (hashes of the row), fp: the fingerprint as a signed 64-bit number."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(_prints(words, seed), "doc_id long, hash long, fp long")
+    keyed = docs.select("doc_id", row_key(docs).alias("key"), "text").select("doc_id", "key.h1", "key.h2", "text")
+    return keyed.mapInArrow(_prints(words, seed), "doc_id long, h1 long, h2 int, fp long")
 
 
 def shards(fps: DataFrame) -> DataFrame:
-    """key, fp: each fingerprint under each of its 15 pairs of blocks."""
+    """key, fp, first: each fingerprint under each of its 15 pairs of blocks."""
     part = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
     keys = [F.lit(k << 32) + part[i] * F.lit(1 << 11) + part[j] for k, (i, j) in enumerate(combinations(range(6), 2))]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp", "first")
 
 
 class Forest:
@@ -144,63 +150,77 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = nxt
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGES = pa.schema([("a", pa.int64()), ("first_a", pa.int64()), ("b", pa.int64()), ("first_b", pa.int64())])
 TREE_ROWS = 200_000
+#: Rows of a shard whose queries one task answers.
+HOT_ROWS = 20_000
+#: What a fingerprint without any doc_id is ordered by.
+NO_ID = (1 << 63) - 1
 
 
 def _links(radius: int):
-    def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        trees, label = Forest(key, fp), np.arange(len(fp))
-        for i in range(0, len(fp), 4096):
-            for q, at in trees.search(np.arange(i, min(i + 4096, len(fp))), radius):
+    def linked(key: np.ndarray, mine: np.ndarray, fp: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        trees, label, asked = Forest(key, fp), np.arange(len(fp)), np.flatnonzero(mine)
+        for i in range(0, len(asked), 4096):
+            for q, at in trees.search(asked[i : i + 4096], radius):
                 joined(label, q, at)
         own = np.flatnonzero(label != np.arange(len(fp)))
-        return batch(_EDGES, pa.array(fp[own]), pa.array(fp[label[own]]))
+        to = label[own]
+        return batch(_EDGES, *map(pa.array, (fp[own], first[own], fp[to], first[to])))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, held = [], [], 0
+        held, rows = [], 0
         for b in batches:
-            keys.append(b.column(0).to_numpy())
-            fps.append(b.column(1).to_numpy())
-            held += len(keys[-1])
-            if held >= TREE_ROWS:  # whole shards only: the last key may go on
-                key, fp = np.concatenate(keys), np.concatenate(fps)
-                end = int(np.searchsorted(key, key[-1]))
+            key = b.column(0).to_numpy() * 4096 + b.column(1).to_numpy()  # a shard's deal for one task is a tree of its own
+            held.append((key, b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(), b.column(4).to_numpy()))
+            rows += len(key)
+            if rows >= TREE_ROWS:  # whole shards only: the last key may go on
+                every = [np.concatenate(x) for x in zip(*held, strict=True)]
+                end = int(np.searchsorted(every[0], every[0][-1]))
                 if end:
-                    yield linked(*_several(key[:end], fp[:end]))
-                keys, fps, held = [key[end:]], [fp[end:]], len(key) - end
-        if keys:
-            yield linked(*_several(np.concatenate(keys), np.concatenate(fps)))
+                    yield linked(*_several(*(x[:end] for x in every)))
+                held, rows = [tuple(x[end:] for x in every)], len(every[0]) - end
+        if held:
+            yield linked(*_several(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     return work
 
 
-def _several(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _several(key: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
     """The rows whose key has others."""
     if len(key) < 2:
-        return key[:0], fp[:0]
+        return key[:0], *(x[:0] for x in others)
     same = key[1:] == key[:-1]
     keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    return key[keep], fp[keep]
+    return key[keep], *(x[keep] for x in others)
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: links within the radius between distinct fingerprints that join all that are linked, a forest for each task."""
+    """a, first_a, b, first_b: links within the radius between distinct fingerprints (fp, first) that join all that are linked, a forest for each task."""
     if radius != RADIUS:
         raise ValueError("six blocks, two agreed, hold for a radius of 4")
-    dealt = shards(fps).repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_links(radius), "a long, b long")
-
-
-def groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = RADIUS, keep_hash: bool = False) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable, itself included)."""
+    entries = shards(fps)
+    hot = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("key", F.least(F.lit(4096), F.ceil(F.col("n") / HOT_ROWS)).cast("int").alias("parts"))
+    hot = cut(hot)
+    if hot.limit(1).count():
+        entries = entries.join(hot, "key", "left").select("key", "fp", "first", F.coalesce("parts", F.lit(1)).alias("parts"))
+        entries = entries.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        entries = entries.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")) == F.col("part"))
+    else:
+        entries = entries.withColumns({"part": F.lit(0), "mine": F.lit(True)})
+    dealt = entries.select("key", "part", "mine", "fp", "first").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
+    return dealt.mapInArrow(_links(radius), "a long, first_a long, b long, first_b long")
+
+
+def groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = RADIUS) -> DataFrame:
+    """doc_id, h1, h2 (hashes of the row), fp, component_id (the smallest doc_id reachable, itself included)."""
     rows = cut(prints(docs, words, seed))
-    least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(least.select("fp"), radius))
-    named = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(named.join(smallest, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", *["hash"] * keep_hash, "fp", "component_id")
+    least = cut(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first")))
+    # A node is ordered by its smallest doc_id, so that a component's smallest node names it.
+    node = lambda k: F.struct(F.col(f"first_{k}").alias("first"), F.col(k).alias("fp")).alias(k)
+    roots = components(links(least, radius).select(node("a"), node("b"))).select(F.col("node.fp").alias("fp"), F.col("root.first").alias("root"))
+    named = least.join(roots, "fp", "left").select("fp", F.nullif(F.coalesce("root", "first"), F.lit(NO_ID)).alias("component_id"))
+    return rows.join(cut(named), "fp").select("doc_id", "h1", "h2", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -209,9 +229,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group, that of the smallest doc_id. Rows without doc_id stay."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = groups(docs, words, seed, radius, keep_hash=True).where("doc_id = component_id")
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash")).alias("f")).select("f.doc_id", F.col("f.hash").alias("_hash"))
-    stay = keyed.where("doc_id is not null").join(first, ["doc_id", "_hash"], "left_semi")
-    one = stay.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("doc_id"))).where("_nth = 1")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = groups(docs, words, seed, radius).where("doc_id = component_id")
+    first = found.groupBy("component_id").agg(F.min(F.struct("h1", "h2")).alias("key")).select("key")
+    keyed = docs.where("doc_id is not null").select(row_key(docs).alias("key"), F.struct("*").alias("row"))
+    stay = one_of_alike(keyed.join(first, "key", "left_semi"), "key")
+    return stay.select("row.*").unionByName(docs.where("doc_id is null"))
