@@ -12,10 +12,17 @@ Groups of a source are rounded side by side; each hands on at most one
 fractional document, and these residuals meet in a tree of fixed fan-in. A hot
 source is many groups. All draws come from the ids and a seed: reruns agree.
 
+Rows alike in all columns are one item with a count n: of its n fractions whole
+copies are dealt to its rows at once, and one fraction is left to be rounded.
+So no draw depends on the order in which rows arrive, and no id, however often
+it repeats, fills a group.
+
 Edge cases: a null text has size 0; a document of size 0 is taken the shared
 whole number of times and counts 0 words; a null source is a source of its
-own, last in order; repeated rows are mixed each on its own; an empty table
-gives no rows; other columns are left alone.
+own, last in order; repeated rows are each taken zero, one or two times; rows
+alike in doc_id but not in all columns are documents of their own; an empty
+table gives no rows; ``mixed`` keeps other columns whatever their names, ``mix``
+replaces those named source_size, target or copies.
 """
 
 from __future__ import annotations
@@ -23,11 +30,12 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tideway.llm.common import WORD, cut, indexed
+from tideway.llm.common import WORD, cut, indexed, one_of_alike, row_key
 
 FAN_IN = 64
 #: Rows of a source that one group rounds.
@@ -93,37 +101,42 @@ def pivot(size: np.ndarray, part: np.ndarray, seed: int) -> tuple[np.ndarray, in
 
 
 def _rounded(seed: int, level: int):
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
+    def work(rows: pa.Table) -> pa.Table:
+        size, part, key = (rows[c].to_numpy() for c in ("size", "part", "key"))
         # Large documents settle first, so the one left over at the end is rarely large.
-        rows = rows.sort_values(["size", "doc_id", "part"], kind="stable", ascending=[False, True, True], na_position="first").reset_index(drop=True)
-        own = zlib.crc32(f"{seed}:{rows.source_no[0]}:{rows.grp[0]}:{level}".encode())
-        part = rows["part"].to_numpy(float).copy()
-        part[rows["size"] == 0] = 0
-        out, held = pivot(rows["size"].to_numpy(float), part, own)
-        if held >= 0 and rows.groups[0] == 1:
+        order = np.lexsort((part, key, -size))
+        group, groups = rows["grp"][0].as_py(), rows["groups"][0].as_py()
+        draws = zlib.crc32(f"{seed}:{rows['source_no'][0].as_py()}:{group}:{level}".encode())
+        out, held = pivot(size[order].astype(float), np.where(size[order] > 0, part[order], 0.0), draws)
+        if held >= 0 and groups == 1:
             out[held] = round(out[held])
             held = -1
-        rows["part"] = out
-        rows["open"] = np.arange(len(rows)) == held
-        rows["grp"] //= FAN_IN
-        rows["groups"] = -(-rows["groups"] // FAN_IN)
-        return rows
+        rows = rows.take(pa.array(order))
+        n = rows.num_rows
+        new = {"part": out, "open": np.arange(n) == held, "grp": np.full(n, group // FAN_IN), "groups": np.full(n, -(-groups // FAN_IN))}
+        return pa.table({f: pa.array(new[f]) if f in new else rows[f] for f in [*rows.column_names, "open"]})
 
     return work
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """Rows of sized (doc_id, source, size and any others) with source_size, target and copies."""
-    sized = cut(sized)
-    to = targets(sized, weights, share, most)
-    base = F.floor(F.col("ratio") + EPS).cast("long")
-    rows = sized.join(to, sized.source.eqNullSafe(to.source)).drop(to.source)
-    rows = rows.withColumns({"base": base, "grp": F.pmod(F.xxhash64("doc_id", "size"), F.col("groups"))}).withColumn("part", F.greatest(F.lit(0.0), F.col("ratio") - F.col("base"))).drop("ratio")
-    columns = rows.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", open boolean"
+def items(sized: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
+    """c0, c1 … (the columns of sized in order), n, source_size, target, copies (of one row) and extra (so many of the n rows have one copy more)."""
+    alike = sized.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sized.columns)))
+    columns = alike.columns
+    source, size = (f"c{sized.columns.index(c)}" for c in ("source", "size"))
+    alike = cut(alike.groupBy(*columns).agg(F.count("*").alias("n")))
+    to = targets(alike.select(F.col(source).alias("source"), (F.col(size) * F.col("n")).alias("size")), weights, share, most)
+    base, part = F.floor(F.col("ratio") + EPS).cast("long"), F.greatest(F.lit(0.0), F.col("ratio") - F.floor(F.col("ratio") + EPS))
+    sure = F.floor(F.col("n") * part + EPS).cast("long")
+    rows = alike.join(to, F.col(source).eqNullSafe(to["source"])).drop("source")
+    nulls = F.array(*(F.col(c).isNull() for c in columns))
+    rows = rows.withColumns({"base": base, "sure": sure, "part": F.greatest(F.lit(0.0), F.col("n") * part - sure), "size": F.col(size), "key": F.xxhash64(nulls, *columns)}).drop("ratio")
+    rows = rows.withColumn("grp", F.pmod("key", "groups"))
+    kept = rows.columns
+    schema = StructType([*rows.schema.fields, StructField("open", BooleanType())])
     out, level = [], 0
     while True:
-        rows = cut(rows.select(*columns).groupBy("source_no", "grp").applyInPandas(_rounded(seed, level), schema))
+        rows = cut(rows.select(*kept).groupBy("source_no", "grp").applyInArrow(_rounded(seed, level), schema))
         out.append(rows.where("not open"))
         if not rows.where("open").limit(1).count():
             break
@@ -131,7 +144,16 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     done = out[0]
     for x in out[1:]:
         done = done.unionByName(x)
-    return done.withColumn("copies", F.col("base") + F.col("part").cast("long")).select(*sized.columns, "source_size", "target", "copies")
+    return done.select(*columns, "n", "source_size", "target", F.col("base").alias("copies"), (F.col("sure") + F.col("part").cast("long")).alias("extra"))
+
+
+def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """Rows of sized (doc_id, source, size and any others) with source_size, target and copies."""
+    sized = sized.drop("source_size", "target", "copies")
+    done = items(sized, weights, share, most, seed)
+    each = done.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    copies = F.col("copies") + (F.col("nth") <= F.col("extra")).cast("long")
+    return each.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(sized.columns)), "source_size", "target", copies.alias("copies"))
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -139,13 +161,9 @@ def taken(docs: DataFrame) -> DataFrame:
     return mix(sizes(docs)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it: zero, one or two times. Equal rows are told apart by nothing, so their copies are pooled."""
-    hashed = F.xxhash64("text").alias("_hash")
-    plan = mix(docs.select("doc_id", "source", _size(), hashed)).groupBy("doc_id", "source", "_hash").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    key = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_{c}") for c in ("doc_id", "source")]
-    plan = plan.select(*key, "_hash", "_copies")
-    rows = docs.select("*", *key, hashed)
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc_id", "_source", "_hash").orderBy("_hash"))).where("_nth = 1")
-    rows = rows.join(plan, ["_doc_id", "_source", "_hash"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """docs with each row as often as the mix takes it: zero, one or two times. Rows alike in all columns share their copies."""
+    sized = docs.select("source", _size(), row_key(docs).alias("row"))
+    plan = items(sized, weights, share, most, seed).select(F.col("c2").alias("key"), (F.col("n") * F.col("copies") + F.col("extra")).alias("times")).where("times > 0")
+    rows = one_of_alike(docs.select(row_key(docs).alias("key"), F.struct("*").alias("row")), "key").join(plan, "key")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
