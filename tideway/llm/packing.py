@@ -7,14 +7,17 @@ come longest first, so the short ones are there to close what is left.
 
 Only documents longer than a sequence are cut: the pieces have full length but
 for the first, which takes the rest, and full pieces are sequences of their
-own. Pieces are dealt by hash to groups of about GROUP_ROWS rows, packed side
-by side; what a group leaves open is packed again among the leftovers of
-FAN_IN groups, until one group is left. So the rows of one task are bounded and
-the open sequences of a few tasks at a time meet.
+own. Pieces are dealt evenly to groups of about GROUP_ROWS rows, whatever their
+ids, packed side by side. A sequence is final when it is FULL, or when its gap
+is smaller than every piece in a sequence that is not. Of the others a group
+hands on the emptiest, GROUP_ROWS / FAN_IN rows at most, to be packed again
+among those of FAN_IN groups, until one group is left. So no task ever has more
+than about GROUP_ROWS rows, whatever the sizes, and the open sequences of a few
+tasks at a time meet.
 
 Edge cases: a null text is empty and has one id, the end id; repeated rows are
-packed each on its own; an empty table gives no rows; other columns are left
-alone; a null doc_id stays null.
+packed each on its own; an empty table gives no rows; other columns, whatever
+their names, are not read; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,34 +102,49 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return seq, off
 
 
-def _packed(length: int, level: int, last: bool, carry: int):
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
+def final(seq: np.ndarray, sizes: np.ndarray, length: int, most: int) -> np.ndarray:
+    """Which sequences stay as they are: all but the emptiest that may still gain, with ``most`` pieces in all."""
+    fill, pieces = np.bincount(seq, sizes), np.bincount(seq)
+    done = fill >= FULL * length
+    least = np.full(len(fill), length)
+    np.minimum.at(least, seq, sizes)
+    if not done.all():
+        done |= length - fill < least[~done].min()
+    order = np.argsort(fill, kind="stable")
+    order = order[~done[order]]
+    done[order[np.cumsum(pieces[order]) > most]] = True
+    return done
+
+
+_PACKED = pa.schema([*_PIECES, ("grp", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
+_PACKED_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, sequence_id long, offset long, open boolean"
+
+
+def _packed(length: int, level: int, last: bool):
+    def work(rows: pa.Table) -> pa.Table:
+        n, crc = rows["length"].to_numpy(), rows["ids_crc32"].to_numpy()
+        rows = rows.take(pa.array(np.lexsort((crc, -n))))
         n = rows["length"].to_numpy()
         seq, off = sum_of_squares(n, length)
-        fill = np.bincount(seq, n, minlength=0) if len(seq) else np.zeros(0)
-        final = np.ones(len(rows), bool) if last else fill[seq] >= FULL * length
-        group = int(rows["grp"].iloc[0])
-        rows["sequence_id"] = (np.int64(level) << 58) + (np.int64(group) << 26) + seq
-        rows["offset"] = off
-        rows["open"] = ~final
-        rows["grp"] = group // carry
-        return rows
+        done = np.ones(len(n), bool) if last else final(seq, n, length, GROUP_ROWS // FAN_IN)[seq]
+        group = rows["grp"][0].as_py()
+        columns = [rows[f] for f in _PIECES.names] + [np.full(len(n), group // FAN_IN), (np.int64(level) << 58) + (np.int64(group) << 26) + seq, off, ~done]
+        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], schema=_PACKED)
 
     return work
 
 
 def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of pieces() with sequence_id and offset."""
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    columns = _PIECES.names
     parts = cut(parts.select(*columns))
     groups = max(1, -(-parts.count() // GROUP_ROWS))
-    rows = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, sequence_id long, offset long, open boolean"
+    # The rows are stored, so their numbers are the same whenever a task runs again.
+    rows = parts.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     done, level = [], 0
     while True:
         last = groups == 1
-        rows = cut(rows.select(*columns, "grp").groupBy("grp").applyInPandas(_packed(length, level, last, FAN_IN), schema))
+        rows = cut(rows.select(*columns, "grp").groupBy("grp").applyInArrow(_packed(length, level, last), _PACKED_DDL))
         done.append(rows.where("not open"))
         if last:
             break
