@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +40,15 @@ class Places(dict):
         return got
 
 
-_SAMPLE = pa.schema([("label", pa.int32()), ("words", pa.binary()), ("text", pa.string())])
+_SAMPLE = pa.schema([("label", pa.int32()), ("words", pa.binary()), ("numbers", pa.binary())])
 
 
-def _hashed(with_text: bool):
+def _hashed(numbers: Callable[[str, int | None], list[float]] | None):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            packed = [np.unique(np.fromiter(map(bucket, words(t or "")), np.uint32)).astype("<u4").tobytes() for t in texts]
-            yield batch(_SAMPLE, b.column(0), packed, texts if with_text else [None] * len(texts))
+            texts, chars = ([t or "" for t in b.column(1).to_pylist()], b.column(2).to_pylist())
+            packed = [np.unique(np.fromiter(map(bucket, words(t)), np.uint32)).astype("<u4").tobytes() for t in texts]
+            yield batch(_SAMPLE, b.column(0), packed, [np.array(numbers(t, n), "<f8").tobytes() if numbers else b"" for t, n in zip(texts, chars, strict=True)])
 
     return work
 
@@ -58,16 +58,24 @@ def sample_ids(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def gathered(docs: DataFrame, ids: DataFrame, with_text: bool = False) -> tuple[np.ndarray, list[np.ndarray], list[str]]:
-    """Labels, distinct word buckets and texts of the sampled documents.
+def gathered(docs: DataFrame, ids: DataFrame, numbers: Callable[[str, int | None], list[float]] | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Labels, distinct word buckets and numbers(text, n_chars) of the sampled documents, computed where they are read.
 
     ids(doc_id, label) is bounded by the caller, which is why it may be
-    broadcast and why its rows may come to the driver.
+    broadcast and why one row for each of its rows may come to the driver. Of
+    documents that share an id the least text counts.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text").mapInArrow(_hashed(with_text), "label int, words binary, text string").toArrow()
+    rows = docs.select("doc_id", "text", stated_length(docs)).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", "n_chars")).alias("d"))
+    rows = rows.select("label", "d.text", "d.n_chars").mapInArrow(_hashed(numbers), "label int, words binary, numbers binary").toArrow()
     label = np.array(rows["label"].to_pylist(), np.int64)
-    return label, [np.frombuffer(x, "<u4") for x in rows["words"].to_pylist()], rows["text"].to_pylist() if with_text else []
+    found = [np.frombuffer(x, "<f8") for x in rows["numbers"].to_pylist()]
+    return label, [np.frombuffer(x, "<u4") for x in rows["words"].to_pylist()], np.array(found) if found else np.zeros((0, 0))
+
+
+def stated_length(docs: DataFrame):
+    """The length that a row's metadata states; null where there is none."""
+    return (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("n_chars")
 
 
 def training(labels: DataFrame, column: str) -> DataFrame:
@@ -75,8 +83,8 @@ def training(labels: DataFrame, column: str) -> DataFrame:
     return labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
 
 
-def chosen_buckets(label: np.ndarray, found: list[np.ndarray], most: int, least_docs: int = 5, least_z: float = 3.5) -> np.ndarray:
-    """Buckets whose share of documents differs most between label 1 and label 0, by a two-proportion z."""
+def chosen_buckets(label: np.ndarray, found: list[np.ndarray], most: int | None, least_docs: int = 5, least_z: float = 3.5) -> np.ndarray:
+    """Buckets whose share of documents differs between label 1 and label 0 by least_z, a two-proportion z; the clearest ``most`` of them where that is given."""
     n1, n0 = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
     count = [np.bincount(np.concatenate([np.zeros(0, np.uint32), *(x for x, y in zip(found, label, strict=True) if y == k)]), minlength=1 << BITS) for k in (0, 1)]
     p = (count[0] + count[1]) / (n0 + n1)

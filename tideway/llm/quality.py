@@ -6,14 +6,18 @@ numbers; a pair of inputs counts by the product of their vectors. The sum over
 all pairs is half the sum, over the RANK places, of the square of the sum less
 the sum of the squares, so scoring is linear in the inputs.
 
-Fitted in numpy on at most MOST_LABELLED rows of each label, chosen by a hash
-of their ids among rows that may be learnt from. Every document is scored
-whole, in the task that reads it.
+Fitted in numpy on at most most_labelled rows of each label (a parameter of
+``fit``), chosen by a hash of their ids among rows that may be learnt from. The
+words are those whose share of documents differs between the labels by least_z
+standard errors, all of them unless most_words is given. Words, statistics and
+the stated length are taken in the tasks that read the texts, the same way for
+fitting and for scoring. Every document is scored whole.
 
 Edge cases: null and empty texts have the statistics of the empty text; a null
 length is the text's own; with only one label, or none, each score is the
 smoothed share of label 1; repeated rows score alike; an empty table gives no
-rows; other columns are left alone.
+rows; other columns, whatever their names, are left alone; of labelled documents
+that share an id the least text is learnt from.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideway.llm.common import batch, held_out, small_batches
-from tideway.llm.features import Adam, Places, chosen_buckets, gathered, presence, sample_ids, sigmoid, training, words
+from tideway.llm.features import Adam, Places, chosen_buckets, gathered, presence, sample_ids, sigmoid, stated_length, training, words
 
 MOST_LABELLED = 4_000
-MOST_WORDS = 384
+LEAST_Z = 5.0
 RANK = 8
 THRESHOLD = 0.5
 
@@ -96,16 +100,15 @@ def factorise(x: np.ndarray, y: np.ndarray, balance: np.ndarray, steps: int = 70
     return float(b[0]), w, v
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_words: int | None = None, least_z: float = LEAST_Z) -> Model:
     known = training(labels, "quality")
-    ids = sample_ids(known.where("label = 1"), MOST_LABELLED).unionByName(sample_ids(known.where("label = 0"), MOST_LABELLED))
-    label, found, texts = gathered(docs, ids, with_text=True)
+    ids = sample_ids(known.where("label = 1"), most_labelled).unionByName(sample_ids(known.where("label = 0"), most_labelled))
+    label, found, stats = gathered(docs, ids, structure)
     ones, n = int((label == 1).sum()), len(label)
     if ones in (0, n):
         share = (ones + 1) / (n + 2)
         return Model(np.zeros(0, np.int64), np.zeros(0), np.ones(0), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, RANK)))
-    chosen = chosen_buckets(label, found, MOST_WORDS)
-    stats = np.array([structure(t or "") for t in texts])
+    chosen = chosen_buckets(label, found, most_words, least_z=least_z)
     mean, scale = stats.mean(0), stats.std(0) + 1e-6
     x = np.hstack([presence(found, chosen), np.clip((stats - mean) / scale, -4, 4)])
     balance = np.where(label == 1, n / (2 * ones), n / (2 * (n - ones)))
@@ -123,8 +126,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for b in batches:
             yield batch(_SCORED, b.column(0), b.column(1), model.scores([t or "" for t in b.column(2).to_pylist()], b.column(3).to_pylist()))
 
-    length = F.col("n_chars") if "n_chars" in docs.columns else F.length("text")
-    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", length.cast("long").alias("n_chars")).mapInArrow(work, "doc_id long, held_out boolean, score double")
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", stated_length(docs)).mapInArrow(work, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

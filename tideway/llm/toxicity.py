@@ -6,14 +6,17 @@ the unlabelled risk less p times the positive texts' share of it; where that
 estimate falls below zero the step goes against it, so the classifier cannot
 profit from fitting the unlabelled texts as all clean.
 
-Fitted on at most MOST_POSITIVE toxic and MOST_UNLABELLED other rows, chosen by
-a hash of their ids among rows that may be learnt from; the class prior is the
-share of label 1 among the labelled ones. Every document is then scored whole,
-in the task that reads it.
+Fitted on at most most_positive toxic and most_unlabelled other rows (parameters
+of ``fit``), chosen by a hash of their ids among rows that may be learnt from;
+the class prior is the share of label 1 among the labelled ones. The inputs of
+the model are the hashed words whose share of documents differs between the two
+samples by least_z standard errors, all of them unless most_words is given.
+Every document is then scored whole, in the task that reads it.
 
 Edge cases: null and empty texts score what a text without known words scores;
 without any toxic example each score is the prior; repeated rows score alike;
-an empty table gives no rows; other columns are left alone.
+an empty table gives no rows; other columns, whatever their names, are left
+alone; of labelled documents that share an id the least text is learnt from.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from tideway.llm.common import batch, held_out, small_batches
 from tideway.llm.features import Adam, Places, chosen_buckets, gathered, presence, sample_ids, sigmoid, training, words
 
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 8_000
-MOST_WORDS = 256
 LEAST_Z = 5.0
 THRESHOLD = 0.7
 
@@ -68,16 +70,16 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1000, rate
     return w, float(b[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_words: int | None = None, least_z: float = LEAST_Z) -> Model:
     known = training(labels, "toxic")
     n, ones = known.agg(F.count("*"), F.sum("label")).first()
     prior = min(0.95, max(0.001, (ones or 0) / n)) if n else 0.01
-    positive = sample_ids(known.where("label = 1"), MOST_POSITIVE)
-    others = sample_ids(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct(), MOST_UNLABELLED).select("doc_id", F.lit(0).alias("label"))
+    positive = sample_ids(known.where("label = 1"), most_positive)
+    others = sample_ids(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct(), most_unlabelled).select("doc_id", F.lit(0).alias("label"))
     label, found, _ = gathered(docs, positive.select("doc_id", "label").unionByName(others))
     if not (label == 1).any() or not (label == 0).any():
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    chosen = chosen_buckets(label, found, MOST_WORDS, least_z=LEAST_Z)
+    chosen = chosen_buckets(label, found, most_words, least_z=least_z)
     x = presence(found, chosen)
     w, b = nnpu(x[label == 1].astype(float), x[label == 0].astype(float), prior)
     return Model(chosen, w, b)
@@ -87,7 +89,7 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted. The model's size is fixed by MOST_WORDS."""
+    """doc_id, held_out, score, predicted. The model is as large as the words of its bounded samples allow."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
