@@ -15,10 +15,11 @@ File layout
 A reader takes the last bytes, then only the frames that hold the documents it
 wants; a frame whose checksum differs raises an error.
 
-Documents are dealt by ranges of doc_id, a range a file, sorted inside; the
-ranges' order and the files' token counts give each document's place among all
-ids. Files are written under a name of their own attempt, then renamed, so a
-task that runs again leaves no half file in the manifest.
+Documents are dealt by ranges of doc_id, MOST_RANGES at most, sorted inside, and
+a range is one file or, beyond FILE_IDS ids, several; the order of ranges and
+files and their token counts give each document's place among all ids. Files
+are written under a name of their own attempt, then renamed, so a task that
+runs again leaves no half file in the manifest.
 
 Edge cases: a null text is the empty text, whose ids are the end id alone; a
 null doc_id comes first; rows with one doc_id are ordered by their ids; an
@@ -34,14 +35,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideway.llm import tokens
 from tideway.llm.common import batch, cut, new_folder, range_bounds, small_batches
 
 FRAME_IDS = 1 << 17
-FILE_ROWS = 4_096
+#: Documents that a range is made for, and ids after which a range goes on in a new file.
+RANGE_ROWS, FILE_IDS = 4_096, 1 << 25
 NULL_ID = -(1 << 63)
 INDEX, SEEK, END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 LEVEL = 1
@@ -141,7 +143,7 @@ class Reader:
 
 
 _CODED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
-_MANIFEST = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+_MANIFEST = pa.schema([("bucket", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -157,44 +159,44 @@ def _encode(path: str, bounds: list[int], end_id: int):
     return work
 
 
-def _write(folder: str, width: int):
+def _write(folder: str, width: int, file_ids: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
-        now, w, sink, name = None, None, None, ""
+        now, nth, size, w, sink, name = None, 0, 0, None, None, ""
 
         def done():
             n = w.close()
             sink.close()
-            final = f"{root}/{now:06d}-{uuid.uuid4().hex}.ids"
+            final = f"{root}/{now:06d}-{nth:06d}-{uuid.uuid4().hex}.ids"
             fs.move(name, final)
-            return batch(_MANIFEST, [now], [f"{folder}/{final.rsplit('/', 1)[1]}"], [len(w.docs)], [n])
+            return batch(_MANIFEST, [now], [nth], [f"{folder}/{final.rsplit('/', 1)[1]}"], [len(w.docs)], [n])
 
         for b in batches:
             for at, doc, ids in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if at != now:
+                if at != now or size >= file_ids * width:
                     if w:
                         yield done()
-                    now, name = at, f"{root}/.{uuid.uuid4().hex}.open"
+                    nth, now, size, name = nth + 1 if at == now else 0, at, 0, f"{root}/.{uuid.uuid4().hex}.open"
                     sink = fs.open_output_stream(name)
                     w = Writer(sink, width)
                 w.add(doc, ids)
+                size += len(ids)
         if w:
             yield done()
 
     return work
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0) -> DataFrame:
-    """Encodes docs(doc_id, text) and writes them in ascending doc_id order; the manifest (bucket, path, n_docs, n_tokens)."""
+def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, file_ids: int = FILE_IDS) -> DataFrame:
+    """Encodes docs(doc_id, text) and writes them in ascending doc_id order; the manifest (bucket, nth, path, n_docs, n_tokens), a row a file."""
     small_batches(docs.sparkSession)
     path = path or tokens.tokenizer_path()
-    parts = max(1, docs.count() // FILE_ROWS)
-    bounds = range_bounds(docs, "doc_id", parts)
+    bounds = range_bounds(docs, "doc_id", max(1, docs.count() // RANGE_ROWS))
     width = tokens.encoder(path).dtype.itemsize
     coded = docs.select("doc_id", "text").mapInArrow(_encode(path, bounds, end_id), "bucket int, doc_id long, ids binary")
     dealt = coded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
-    return cut(dealt.mapInArrow(_write(folder, width), "bucket int, path string, n_docs long, n_tokens long"))
+    return cut(dealt.mapInArrow(_write(folder, width, file_ids), "bucket int, nth int, path string, n_docs long, n_tokens long"))
 
 
 def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +213,16 @@ def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files. One row a file reaches the driver."""
-    files, start = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r["bucket"]):
-        files.append((r["path"], start))
-        start += r["n_tokens"]
-    rows = spark.createDataFrame(files, "path string, start long").repartition(max(1, len(files)))
-    return rows.mapInArrow(_read_back, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files. One row for each range, MOST_RANGES at most, reaches the driver."""
+    starts, start = [], 0
+    for r in sorted(manifest.groupBy("bucket").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("files")).collect(), key=lambda r: r["bucket"]):
+        starts.append((r["bucket"], start, r["files"]))
+        start += r["n"]
+    offsets = spark.createDataFrame([s[:2] for s in starts], "bucket int, before long")
+    earlier = F.sum("n_tokens").over(Window.partitionBy("bucket").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    files = manifest.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(F.broadcast(offsets), "bucket")
+    files = files.select("path", (F.col("before") + F.col("earlier")).alias("start")).repartition(max(1, sum(s[2] for s in starts)))
+    return files.mapInArrow(_read_back, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
