@@ -41,20 +41,38 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert got == {i: 1 for i in range(2, 61)} | {i: 100 for i in range(101, 140)} | {450: 400, 500: 400}
 
 
-def test_spot_signatures(docs, empty):
-    got = {(r.doc_id, r.n_chars): r for r in spotsigs.compare_with_next(docs).collect()}
-    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    assert spotsigs.compare_with_next(docs).count() == len(ROWS)
-    for k, (d, t, *_) in enumerate(order):
-        t, after = t or "", order[(k + 1) % len(order)][1] or ""
-        n = len(t) // 3
-        new = t[: len(t) - n] + after[:n]
-        r = got[(d, len(t))]
-        assert r.fingerprint == spotsigs.shown(spotsigs.signatures(t)) and 0 <= r.near_next <= 1
-        if d != 7:
-            assert r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-            assert r.near_edited == pytest.approx(spotsigs.jaccard(spotsigs.signatures(t), spotsigs.signatures(new)))
+def plain_spots(text):
+    """Spot signatures by cutting the list of words at each anchor, without the operator's code."""
+    import xxhash
+
+    listed = re.findall(r"\w+", text.lower())
+    content = lambda ws: [w for w in ws if w not in spotsigs.ANCHORS]
+    if listed and not content(listed):
+        found = {" ".join(listed)}
+    else:
+        found = {f":{' '.join(content(listed)[:2])}"} if listed else set()
+        found |= {f"{w}:{' '.join(content(listed[i + 1:])[:2])}" for i, w in enumerate(listed) if w in spotsigs.ANCHORS and content(listed[i + 1 :])}
+    return {xxhash.xxh32_intdigest(f.encode(), 1) for f in found}
+
+
+def plain_jaccard(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_spot_signatures(spark, docs, empty, sf):
     assert spotsigs.compare_with_next(empty).count() == 0
+    real = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
+    for frame, rows in ((docs, [r[:2] for r in ROWS]), (read(spark, sf, "documents"), real)):
+        got = Counter(tuple(r) for r in spotsigs.compare_with_next(frame).collect())
+        order, want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or "")), Counter()
+        for k, (d, t) in enumerate(order):
+            t, after = t or "", order[(k + 1) % len(order)][1] or ""
+            n = len(t) // 3
+            new = t[: len(t) - n] + after[:n]
+            own, changed, other = plain_spots(t), plain_spots(new), plain_spots(after)
+            show = lambda x: "".join(f"{v:08x}" for v in sorted(x))
+            want[(d, len(t), hashlib.sha256(new.encode()).hexdigest(), show(own), show(changed), plain_jaccard(own, changed), plain_jaccard(own, other))] += 1
+        assert got == want
 
 
 def test_spot_signature_pairs(spark):
@@ -78,16 +96,30 @@ def test_spot_signature_pairs(spark):
     assert got == {(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if spotsigs.jaccard(x, y) >= 0.8} and got
 
 
-def test_near_copies_on_both_sides_of_32_anchors(spark):
-    """Texts of 30 to 33 function words and about 100 other words: one word more or less changes few signatures."""
+def test_near_copies_with_few_and_many_anchors(spark):
+    """Texts of 30 to 33 function words and about 100 other words: one word more or less changes one signature of some 34."""
     more = " ".join(f"the bar{i} kel{i} mon{i}" for i in range(33))
     texts = [more, more.removeprefix("the bar0 kel0 mon0 "), more.removeprefix("the "), more.replace("the bar9", "bar9"), more.replace("the bar9", "bar9").replace("the bar20", "bar20")]
     sigs = [spotsigs.signatures(t) for t in texts]
-    assert min(spotsigs.jaccard(x, y) for x in sigs for y in sigs) > 0.9
+    assert min(spotsigs.jaccard(x, y) for x in sigs for y in sigs) > 0.85
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r.a, r.b) for r in spotsigs.near_pairs(frame, 0.8)[1].collect()} == {(i, j) for i in range(5) for j in range(i + 1, 5)}
-    short = spotsigs.signatures(" ".join(f"bar{i}" for i in range(10)))
-    assert len(short) == 10
+    assert len(spotsigs.signatures("bar kel mon")) == 1 and len(spotsigs.signatures("the of")) == 1
+
+
+def test_spot_signature_documents(spark, docs, empty, sf):
+    """Whole tables, null and empty texts, and an id that two texts share, against all pairs."""
+    assert spotsigs.near_documents(empty).count() == 0 and spotsigs.near_pairs(empty)[1].count() == 0
+    twice = spark.createDataFrame([(7, "the red house of stone"), (7, "quite other words here"), (8, "the red house of stone"), (None, "")], "doc_id long, text string")
+    for frame in (docs, read(spark, sf, "documents"), twice):
+        rows = [(r.doc_id, spotsigs.shown(np.array(sorted(plain_spots(r.text or "")), np.uint32))) for r in frame.collect()]
+        first = {}
+        for d, f in rows:
+            first[f] = min([x for x in (first.get(f), d) if x is not None], default=None)
+        sets = {f: set(spotsigs.parsed(f).tolist()) for f in first}
+        near = {f: [plain_jaccard(x, y) for g, y in sets.items() if g != f and x and y and plain_jaccard(x, y) >= 0.8] for f, x in sets.items()}
+        want = Counter((d, first[f], len(near[f]), max(near[f], default=None)) for d, f in rows)
+        assert Counter(tuple(r) for r in spotsigs.near_documents(frame).collect()) == want
 
 
 def test_tokens_equal_the_library():
@@ -107,6 +139,9 @@ def test_token_files(spark, docs, empty, tmp_path):
         start += len(ids)
     assert got == sorted(want, key=str)
     assert token_files.round_trip(empty).count() == 0
+    many = token_files.write(docs, f"file://{tmp_path}/many", file_ids=100)
+    assert many.count() > 3
+    assert sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_back(spark, many).collect()), key=str) == got
     folder = f"file://{tmp_path}/ids"
     path = token_files.write(docs.where("doc_id is not null"), folder).first()["path"]
     fs, at = token_files._open(path)
@@ -159,6 +194,75 @@ def test_fm_index_counts_every_run():
             assert b - a == n[2]
 
 
+NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
+VALUE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+
+def plain_base(text):
+    """The base spans by walking through the text letter by letter, without regular expressions."""
+    out, low, n = [], "".join(c.lower() if c.isascii() else c for c in text), len(text)
+
+    def run(i, allowed):
+        while i < n and text[i] in allowed:
+            i += 1
+        return i
+
+    def assigned(i):
+        for name in NAMES:  # of names that start alike the longest listed comes first; none is the start of another
+            if not low.startswith(name, i):
+                continue
+            j = i + len(name)
+            j += j < n and text[j] in "\"'"
+            j = run(j, " ")
+            if not (j < n and text[j] in ":="):
+                return None
+            j = run(j + 1, " ")
+            j += j < n and text[j] in "\"'"
+            end = run(j, VALUE)
+            return (j, end) if end > j else None
+        return None
+
+    i = 0
+    while i < n:
+        if found := assigned(i):
+            if found[1] - found[0] >= 6:
+                out.append((i, 0, found[1]))
+            i = found[1]
+        else:
+            i += 1
+    i = 0
+    while i < n:
+        end = run(i + 4, frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", i) else i
+        if end - i > 4:
+            out += [(i, 1, end)] if end - i >= 20 else []
+            i = end
+        else:
+            i += 1
+    i = 0
+    while i < n:
+        end = run(i, frozenset("0123456789abcdef"))
+        if end - i >= 24:
+            out.append((i, 2, end))
+        i = max(end, i + 1)
+    return sorted(out)
+
+
+def test_base_spans_letter_by_letter(spark, sf):
+    rng = np.random.default_rng(11)
+    bits = [*NAMES, "PassWord", "API_KEY", "\"", "'", " ", "  ", ":", "=", "==", "AKIA", "AKIAAKIA", "ABCDEFGHIJKLMNOPQRST", "0123456789abcdef", "deadbeef", "x", "é", "漢", "\n", "\t", "Zq81+/x=", "abc.def-", "$", "ſecret", "toKen"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 14))) for _ in range(4_000)] + ["", None, "secret=abcdef" * 400]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in secrets.digest(frame).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect())
+    want, hits = Counter(), 0
+    for d, t in rows:
+        spans = plain_base(t or "")
+        hits += len(spans)
+        shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans)
+        want[(d, *(sum(x[1] == k for x in spans) for k in range(3)), hashlib.sha256(shown.encode()).hexdigest())] += 1
+    assert got == want and hits > 400
+
+
 def test_secrets(docs, empty):
     got = {r.doc_id: r for r in secrets.digest(docs).collect()}
     assert (got[8].n_assign, got[8].n_access, got[8].n_hex) == (1, 1, 0)
@@ -227,6 +331,29 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(frame.where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("hashes", [2, 3, 4])
+def test_embedding_recall(spark, hashes):
+    """Pairs of cosines from 0.93 on, most of them close to it, at each number of hashes that a table's size asks for."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(1_500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    away = rng.normal(size=a.shape)
+    away -= (away * a).sum(1, keepdims=True) * a
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = (0.931 + 0.06 * rng.random(1_500) ** 2)[:, None]
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * away])
+    frame = spark.createDataFrame([(i, i, 1, 1, v.tolist()) for i, v in enumerate(x)], "cls long, first long, copies long, label long, vector array<double>")
+    found = embeddings.links(frame, hashes).groupBy("cls").agg(F.sum("links").alias("n")).agg(F.sum("n")).first()[0]
+    want = int((x @ x.T >= 0.93).sum()) - len(x)
+    assert 0.9 * want <= found <= want
+    assert hashes < 4 or found >= 0.93 * want
+
+
+def test_hashes_grow_with_the_table():
+    assert [embeddings.hashes_for(n, 64) for n in (1, 100, 1_000, 100_000, 10**7, 10**10)] == [2, 2, 3, 4, 4, 4]
+    assert embeddings.hashes_for(10**10, 1024) == 2 + 1
+
+
 def test_embedding_blocks_agree(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, (rng.normal(size=16) * 0.1 + 1).tolist(), 1) for i in range(300)]
@@ -262,6 +389,60 @@ def test_simhash(docs, empty):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([*{d for d, _, c in got if d is not None and d == c}, *(d for d, *_ in ROWS if d is None)])
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _hash long, _copies int, _nth int, key string, row string, copies double, n long, tags map<string,int>"
+
+
+def clashing(spark):
+    rows = [(1, "a b c d e", g, "s", 9, -5, 1, 2, "k", "r", 0.5, 7, {"x": 1}) for g in ("en", "de", None)]
+    rows += [(1, "a b c d e", "en", "s", 9, -5, 1, 2, "k", "r", 0.5, 7, {"x": 2})] + [(i, f"w{i} " * 5, "en", None, 9, i, 1, 2, None, "r", None, 7, None) for i in (2, 3, 3, 4)]
+    return spark.createDataFrame(rows, CLASHING)
+
+
+def told(rows):
+    return Counter(repr(tuple(r)) for r in rows)
+
+
+def test_stages_keep_columns_and_rows_whole(spark):
+    frame = clashing(spark)
+    every = told(frame.collect())
+    out = mixing.mixed(frame)
+    assert out.columns == frame.columns and out.schema == frame.schema
+    took = told(out.collect())
+    assert set(took) <= set(every) and all(took[r] <= 2 * every[r] for r in took)
+    assert told(mixing.mixed(frame).collect()) == took
+    # Every row twice at most, and with a share of 200 % each exactly twice, the rows that differ in one column too.
+    assert told(mixing.mixed(frame, weights=(1,), share=2.0).collect()) == Counter({r: 2 * k for r, k in every.items()})
+    assert told(mixing.mixed(frame, weights=(1,), share=1.0).collect()) == every
+    kept = simhash.kept(frame)
+    assert kept.columns == frame.columns
+    rows = kept.collect()
+    assert set(told(rows)) <= set(every) and sorted(r.doc_id for r in rows) == [1, 2, 3, 4] and {r["_hash"] for r in rows} <= {-5, 2, 3, 4}
+    assert told(simhash.kept(frame.repartition(7)).collect()) == told(rows)
+    assert packing.packed(frame).count() == frame.count() and secrets.redact(frame).columns == frame.columns
+
+
+def test_mix_of_one_repeated_row(spark):
+    """A row that fills a whole source is rounded once, exactly."""
+    frame = spark.createDataFrame([(None, "same words here", "en", "s")] * 5_000 + [(1, "a b", "en", "t")], "doc_id long, text string, lang string, source string")
+    rows = mixing.taken(frame).collect()
+    assert len(rows) == 5_001 and {r.copies for r in rows} <= {0, 1, 2}
+    for source in "st":
+        mine = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= mine[0].size
+
+
+def test_hot_shards_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    near = {int(x) for x in rng.integers(0, 1 << 60, 3)}
+    near |= {b ^ (1 << int(i)) ^ (1 << int(j)) for b in list(near) for i, j in rng.integers(0, 64, (150, 2))}
+    fps = [(x - (1 << 64) if x >= 1 << 63 else x, k) for k, x in enumerate(sorted(near))]
+    frame = spark.createDataFrame(fps, "fp long, first long")
+    component = lambda: {(r.node, r.root) for r in components(simhash.links(frame).select("a", "b")).collect()}
+    whole = component()
+    monkeypatch.setattr(simhash, "HOT_ROWS", 20)
+    assert component() == whole and whole
+
+
 def test_bk_trees_find_what_pairs_find():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -305,6 +486,58 @@ def test_classifiers_learn_and_hold_out(spark, docs, empty, module, column):
     assert module.classify(empty, labels).count() == 0
 
 
+def plain_risk(w, b, pos, unl, prior):
+    """The positive-unlabelled risk and its two parts, row by row."""
+    from math import exp, log1p
+
+    loss = lambda z, y: log1p(exp(-z if y else z))
+    score = lambda x: sum(p * q for p, q in zip(w, x, strict=True)) + b
+    positive = prior * sum(loss(score(x), 1) for x in pos) / len(pos)
+    negative = sum(loss(score(x), 0) for x in unl) / len(unl) - prior * sum(loss(score(x), 0) for x in pos) / len(pos)
+    return positive, negative
+
+
+def test_risk_of_positive_and_unlabelled():
+    """The fit lowers the risk with the negative part held at zero, and steps against that part where it falls below zero."""
+    rng = np.random.default_rng(0)
+    pos = (rng.random((60, 6)) < [0.9, 0.8, 0.5, 0.5, 0.5, 0.5]).astype(float)
+    unl = (rng.random((400, 6)) < np.where(rng.random((400, 1)) < 0.2, [0.9, 0.8, 0.5, 0.5, 0.5, 0.5], [0.1, 0.1, 0.5, 0.5, 0.5, 0.5])).astype(float)
+    risk = lambda w, b: (lambda p, n: p + max(0.0, n))(*plain_risk(w, b, pos, unl, 0.2))
+    w, b = toxicity.nnpu(pos, unl, 0.2, decay=0.0)
+    start = risk(np.zeros(6), float(np.log(0.2 / 0.8)))
+    assert risk(w, b) < start and plain_risk(w, b, pos, unl, 0.2)[1] > -0.05
+    assert w[0] > 0.5 and w[1] > 0.5 and np.abs(w[2:]).max() < w[0]
+    # One step of each kind moves the weights against the slope, told by differences.
+    for prior in (0.2, 0.9):
+        at = np.zeros(6), float(np.log(prior / (1 - prior)))
+        positive, negative = plain_risk(*at, pos, unl, prior)
+        part = (lambda v, c: sum(plain_risk(v, c, pos, unl, prior))) if negative >= 0 else (lambda v, c: -plain_risk(v, c, pos, unl, prior)[1])
+        slope = np.array([(part(at[0] + 1e-5 * e, at[1]) - part(at[0] - 1e-5 * e, at[1])) / 2e-5 for e in np.eye(6)])
+        moved = toxicity.nnpu(pos, unl, prior, steps=1, decay=0.0)[0]
+        assert (np.sign(moved) == -np.sign(slope)).all()
+
+
+def test_classifiers_read_rows_once_and_metadata(spark):
+    """An id that repeats is learnt once; the stated length is an input of the fit as of the score."""
+    frame, labels = labelled(spark)
+    twice = frame.unionByName(frame).unionByName(frame)
+    for module in (toxicity, quality):
+        one, more = (np.array(sorted(set((r.doc_id, r.score) for r in module.classify(f, labels).collect()))) for f in (frame, twice))
+        assert one.shape == more.shape and np.allclose(one, more)
+    stated = frame.withColumn("n_chars", F.when(F.col("doc_id") % 3 != 0, 10).otherwise(100_000).cast("long")).withColumn("text", F.lit("same text for all. It tells nothing"))
+    got = {r.doc_id: r.predicted for r in quality.classify(stated, labels).collect()}
+    assert got == {i: int(i % 3 != 0) for i in got}
+
+
+def test_toxicity_stage_keeps_clean_rows(spark, docs, empty):
+    frame, labels = labelled(spark)
+    kept = toxicity.clean(frame.unionByName(frame), labels)
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert kept.columns == frame.columns and set(ids) == {i for i in range(400) if i % 5} and set(ids.values()) == {2}
+    assert told(toxicity.clean(docs, labels).collect()) == told(docs.collect()) and toxicity.clean(empty, labels).count() == 0
+    assert toxicity.clean(docs, labels.where("1 = 0")).count() == docs.count()
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     v, s = rng.normal(size=(18, quality.RANK)), quality.structure("A b c. D!\nsome 12 | text")
@@ -376,6 +609,30 @@ def test_packing(docs, empty, monkeypatch):
     assert packing.packed(empty).count() == 0
 
 
+@pytest.mark.parametrize("low,high", [(1_100, 1_101), (1_030, 1_400), (300, 2_047), (20, 700)])
+def test_no_task_packs_more_than_a_group(spark, monkeypatch, low, high):
+    """Whatever the sizes, a level hands on a bounded number of pieces, and few sequences are lost to that."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 1_024)
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(low, high, 16_000)
+    parts = spark.createDataFrame([(None, 0, 0, int(n), i % 7) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    held, seen = {}, []
+    work = packing._packed(2048, 0, False)
+    for r in packing.pack(parts).collect():
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in held.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 2048
+    assert sum(map(len, held.values())) == len(sizes)
+    best = len(set(packing.sum_of_squares(np.sort(sizes)[::-1], 2048)[0].tolist()))
+    assert len(held) <= 1.02 * best
+    import pyarrow as pa
+
+    rows = pa.table({"doc_id": pa.array([None] * 1_024, pa.int64()), "piece": pa.array([0] * 1_024, pa.int32()), "start": pa.array([0] * 1_024), "length": sizes[:1_024], "ids_crc32": pa.array([0] * 1_024), "grp": pa.array([3] * 1_024)})
+    seen = work(rows)
+    assert sum(seen["open"].to_pylist()) <= packing.GROUP_ROWS // packing.FAN_IN
+
+
 def test_sum_of_squares_fills_well():
     rng = np.random.default_rng(4)
     sizes = np.sort(np.minimum(2048, rng.lognormal(6, 1, 4_000).astype(int) + 1))[::-1]
@@ -402,3 +659,21 @@ def test_pipeline(spark, sf):
         if name == "secrets":
             assert secrets.digest(docs).where("spans <> ''").count() == 0 and kept[name] == kept["near_duplicates"]
     assert [n for n, _ in corpus_pipeline.STAGES] == list(kept) and corpus_pipeline.run(spark, sf).count() == kept["packing"]
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, docs, empty, sf):
+    import corpus_pipeline
+
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+    for frame in (docs.select(*plain), empty.select(*plain), docs):
+        for name, stage in corpus_pipeline.STAGES:
+            columns, frame = frame.columns, stage(spark, frame, sf).cache()
+            assert name == "packing" or frame.columns == columns
+            frame.count()
+
+
+def test_ids_survive_beyond_double_precision(spark):
+    big = (1 << 62) + 1
+    frame = spark.createDataFrame([(big, "some words here", "en", "s", 15), (None, "other words", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    for rows in (mixing.taken(frame), packing.packed(frame), simhash.digest(frame), token_files.round_trip(frame), spotsigs.compare_with_next(frame)):
+        assert {r.doc_id for r in rows.collect()} == {big, None}
