@@ -51,10 +51,72 @@ def in_polygon(rings: Column, lat: Column, lng: Column) -> Column:
     return F.aggregate(F.transform(rings, lambda r: crossings(r, lat, lng)), F.lit(0), lambda s, x: s + x) % 2 == 1
 
 
+def _read(geojson: Column, **kinds: str) -> Column:
+    """Coordinates of the listed types by their schema, as the widest of them; null for other types and for text that does not read."""
+    said, kind = F.get_json_object(geojson, "$.coordinates"), F.get_json_object(geojson, "$.type")
+    (one, narrow), (many, wide) = kinds.items()
+    return F.when(kind == one, F.array(F.from_json(said, narrow))).when(kind == many, F.from_json(said, wide))
+
+
 def polygon_rings(geojson: Column) -> Column:
-    """Rings of a GeoJSON Polygon; null for other types or text that does not read."""
-    kind = F.get_json_object(geojson, "$.type")
-    return F.when(kind == "Polygon", F.from_json(F.get_json_object(geojson, "$.coordinates"), RINGS))
+    """Rings of a GeoJSON Polygon or MultiPolygon, all polygons' in a row; null for other types."""
+    return F.flatten(polygons(geojson))
+
+
+def polygons(geojson: Column) -> Column:
+    """Polygons of rings of [lng, lat] points."""
+    return _read(geojson, Polygon=RINGS, MultiPolygon=f"array<{RINGS}>")
+
+
+def lines(geojson: Column) -> Column:
+    return _read(geojson, LineString="array<array<double>>", MultiLineString=RINGS)
+
+
+def points(geojson: Column) -> Column:
+    return _read(geojson, Point="array<double>", MultiPoint="array<array<double>>")
+
+
+def vertices(geojson: Column) -> Column:
+    """All [lng, lat] points of any GeoJSON geometry without their heights; null where there is none."""
+    found = F.coalesce(points(geojson), F.flatten(lines(geojson)), F.flatten(F.flatten(polygons(geojson))))
+    flat = F.transform(F.filter(found, lambda p: F.size(p) >= 2), lambda p: F.slice(p, 1, 2))
+    return F.when(F.size(flat) > 0, flat)
+
+
+def box(geojson: Column) -> tuple[Column, Column, Column, Column]:
+    """min_lat, min_lng, max_lat, max_lng of any GeoJSON geometry."""
+    found = vertices(geojson)
+    lats, lngs = F.transform(found, lambda p: p[1]), F.transform(found, lambda p: p[0])
+    return F.array_min(lats), F.array_min(lngs), F.array_max(lats), F.array_max(lngs)
+
+
+def centre(b: tuple[Column, ...]) -> tuple[Column, Column]:
+    """lat, lng of a box's middle, which stands for a shape's centroid."""
+    return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
+
+
+def padded(b: tuple[Column, ...], degrees: float = 1e-4) -> tuple[Column, ...]:
+    """A box without height or width is widened to either side, so that a point has an extent."""
+    thin = lambda lo, hi: F.when(b[lo] == b[hi], degrees).otherwise(0.0)
+    return b[0] - thin(0, 2), b[1] - thin(1, 3), b[2] + thin(0, 2), b[3] + thin(1, 3)
+
+
+def multi_polygon_json(many: Column) -> Column:
+    """GeoJSON of polygons; null for none."""
+    return F.when(F.size(many) > 0, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), many.alias("coordinates"))))
+
+
+def line_json(line: Column) -> Column:
+    """GeoJSON of a line of [lng, lat] points, to five places."""
+    trimmed = F.transform(line, lambda p: F.transform(p, lambda v: F.round(v, 5)))
+    return F.to_json(F.struct(F.lit("LineString").alias("type"), trimmed.alias("coordinates")))
+
+
+def box_json(b: tuple[Column, ...]) -> Column:
+    """GeoJSON polygon of a box, to five places."""
+    y0, x0, y1, x1 = (F.round(v, 5) for v in b)
+    ring = F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array(x0, y0))
+    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
 
 
 def ring_box(rings: Column) -> tuple[Column, Column, Column, Column]:
@@ -87,3 +149,18 @@ def line_metres(lat: Column, lng: Column, line: Column) -> Column:
     ends = F.slice(line, F.lit(2), F.size(line) - 1)
     starts = F.slice(line, F.lit(1), F.size(line) - 1)
     return F.array_min(F.zip_with(starts, ends, lambda a, b: segment_metres(lat, lng, a, b)))
+
+
+def in_shape(geojson: Column, lat: Column, lng: Column) -> Column:
+    """Whether one of a shape's polygons holds a point."""
+    return F.coalesce(F.exists(polygons(geojson), lambda rings: in_polygon(rings, lat, lng)), F.lit(False))
+
+
+def nearest_vertex(lat: Column, lng: Column, line: Column) -> Column:
+    """Great-circle metres to the nearest point of a line of [lng, lat] points."""
+    return F.array_min(F.transform(line, lambda p: haversine(lat, lng, p[1], p[0])))
+
+
+def near_line(lat: Column, lng: Column, line: Column, metres: float) -> Column:
+    """Whether a point lies within so many metres of a segment of a line of [lng, lat] points."""
+    return F.coalesce(line_metres(lat, lng, line) <= metres, F.lit(False))

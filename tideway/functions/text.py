@@ -19,12 +19,13 @@ def swap(x: Column, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), pairs, x)
 
 
+#: What two reports of one thing may differ in: a date by numbers or by month, a time of day, punctuation.
+DATE, NAMED_DATE, TIME_OF_DAY, PUNCTUATION = r"\d{1,2}/\d{1,2}/\d{4}", r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+\d{1,2}\s+\d{4}\b", r"\b\d{1,2}:\d{2}\s*([ap]m)?\b", r"[.,;:!?()-]"
+
+
 def normalized(text: Column) -> Column:
     """Lower case, one space, no dates, times or punctuation, one spelling."""
-    t = swap(
-        F.lower(text), (r"\s+", " "), (r"\d{1,2}/\d{1,2}/\d{4}", ""), (r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+\d{1,2}\s+\d{4}\b", ""),
-        (r"\b\d{1,2}:\d{2}\s*([ap]m)?\b", ""), (r"[.,;:!?()-]", ""),
-    )
+    t = swap(F.lower(text), (r"\s+", " "), *((p, "") for p in (DATE, NAMED_DATE, TIME_OF_DAY, PUNCTUATION)))
     return F.trim(reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), SPELLINGS, t))
 
 

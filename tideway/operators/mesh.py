@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,13 @@ def links(rollup: DataFrame, tail: DataFrame, since: int) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("n").alias("observations"), F.max("best_snr").alias("best_snr"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.countDistinct("day").alias("days"))
 
 
+def heard_times(observations: DataFrame, most: int) -> DataFrame:
+    """(pubkey, times): the latest ``most`` times of each node, ascending; only they are collected."""
+    w = Window.partitionBy("pubkey").orderBy(F.desc("heard_at"))
+    last = observations.select("pubkey", "heard_at", F.row_number().over(w).alias("n")).where(F.col("n") <= most)
+    return last.groupBy("pubkey").agg(F.array_sort(F.collect_list("heard_at")).alias("times"))
+
+
 def unique_prefix(prefixes: DataFrame, keys: DataFrame, lengths: tuple[int, ...] = (2, 4, 6)) -> DataFrame:
     """(prefix, key) where exactly one key starts with the prefix, by equality on the keys' own prefixes."""
     own = keys.select("key", F.explode(F.array(*(F.substring("key", 1, n) for n in lengths))).alias("prefix")).distinct()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions import times
@@ -20,25 +21,28 @@ def status_run(samples: DataFrame, key: str) -> DataFrame:
 
 
 def typical_minutes(samples: DataFrame, key: str, at: int, open_status: int = 1, least: int = 3) -> DataFrame:
-    """The median of open samples of the same hour of the week, or of all where there are too few; even counts round up."""
+    """The median of open samples of the same hour of the week, or of all where there are too few; even counts round up.
+
+    Samples are ranked, once among all and once among the hour's, and the one
+    or two middle ranks are kept: no key's samples are held together.
+    """
     rows = samples.where((F.col("status") == open_status) & F.col("minutes").isNotNull())
     same = times.hour_of_week(F.col("sampled_at")) == times.hour_of_week(F.lit(at))
-    both = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(same, F.col("minutes")))).alias("hour"), F.array_sort(F.collect_list("minutes")).alias("all"))
-
-    def median(a: Column) -> Column:
-        n = F.size(a)
-        low, high = F.element_at(a, ((n + 1) / 2).cast("int")), F.element_at(a, (n / 2).cast("int") + 1)
-        return F.when(n % 2 == 1, high).otherwise(F.floor((low + high + 1) / 2).cast("int"))
-
-    enough = F.size("hour") >= least
-    out = both.select(key, F.when(enough, median(F.col("hour"))).when(F.size("all") >= least, median(F.col("all"))).alias("minutes"), F.when(enough, "HOUR_OF_WEEK").otherwise("ALL_HOURS").alias("basis"))
-    return out.where("minutes is not null")
+    both = rows.select(key, "minutes", F.explode(F.when(same, F.array(F.lit("HOUR_OF_WEEK"), F.lit("ALL_HOURS"))).otherwise(F.array(F.lit("ALL_HOURS")))).alias("basis"))
+    w = Window.partitionBy(key, "basis")
+    ranked = both.withColumns({"r": F.row_number().over(w.orderBy("minutes")), "n": F.count("*").over(w)}).where(F.col("n") >= least)
+    middle = ranked.where((F.col("r") == F.floor((F.col("n") + 1) / 2)) | (F.col("r") == F.floor(F.col("n") / 2) + 1))
+    median = F.when(F.max("n") % 2 == 1, F.max("minutes")).otherwise(F.floor((F.min("minutes") + F.max("minutes") + 1) / 2)).cast("int")
+    by = middle.groupBy(key, "basis").agg(median.alias("minutes"))
+    return by.groupBy(key).agg(F.max_by("minutes", "basis").alias("minutes"), F.max("basis").alias("basis"))
 
 
 def cadence(rows: DataFrame, key: str, at: str) -> DataFrame:
     """The upper median of the positive gaps between consecutive rows."""
-    gaps = rows.withColumn("gap", F.col(at) - F.lag(at).over(Window.partitionBy(key).orderBy(at))).where("gap > 0")
-    return gaps.groupBy(key).agg(F.array_sort(F.collect_list("gap")).alias("g")).select(key, F.element_at("g", (F.size("g") / 2).cast("int") + 1).alias("cadence"))
+    gaps = rows.withColumn("gap", F.col(at) - F.lag(at).over(Window.partitionBy(key).orderBy(at))).where("gap > 0").select(key, "gap")
+    w = Window.partitionBy(key)
+    ranked = gaps.withColumns({"r": F.row_number().over(w.orderBy("gap")), "n": F.count("*").over(w)})
+    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(key, F.col("gap").alias("cadence"))
 
 
 def reboots(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -47,19 +51,44 @@ def reboots(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def ewma(rows: DataFrame, key: str, at: str, alpha: float = 0.3, least_gap: int = 30) -> DataFrame:
-    """The exponential average of gaps of at least least_gap seconds, seeded by the first."""
-    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("t"))
-    gaps = F.filter(F.zip_with(F.slice("t", F.lit(2), F.size("t")), F.slice("t", F.lit(1), F.size("t") - 1), lambda b, a: (b - a).cast("double")), lambda g: g >= least_gap)
-    fold = F.aggregate("gaps", F.lit(None).cast("double"), lambda s, g: F.coalesce(s + alpha * (g - s), g))
-    return ordered.where(F.size("t") > 0).select(key, gaps.alias("gaps")).select(key, fold.alias("ewma"), F.size("gaps").alias("n_gaps"))
+    """The exponential average of gaps of at least least_gap seconds, seeded by the first.
+
+    Of n gaps the first weighs (1 - alpha)^(n - 1), the i-th alpha (1 -
+    alpha)^(n - i): a weighted sum over numbered gaps, not a fold of a list.
+    """
+    ordered = gaps_in_order(rows, key, at, least_gap)
+    weight = F.pow(F.lit(1 - alpha), F.col("n") - F.col("i")) * F.when(F.col("i") == 1, 1.0).otherwise(alpha)
+    by = ordered.groupBy(key).agg(F.sum(weight * F.col("gap")).alias("ewma"), F.count("*").cast("int").alias("n_gaps"))
+    return rows.select(key).distinct().join(by, key, "left").select(key, "ewma", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"))
+
+
+def gaps_in_order(rows: DataFrame, key: str, at: str, least_gap: int) -> DataFrame:
+    """key, gap, i (from 1) and n of each key's gaps of at least least_gap, in time."""
+    w = Window.partitionBy(key)
+    gaps = rows.select(key, F.col(at).alias("at"), (F.col(at) - F.lag(at).over(w.orderBy(at))).cast("double").alias("gap")).where(F.col("gap") >= least_gap)
+    return gaps.withColumns({"i": F.row_number().over(w.orderBy("at")), "n": F.count("*").over(w)}).select(key, "gap", "i", "n")
 
 
 def kept_apart(rows: DataFrame, keys: list[str], at: str, floor: int) -> DataFrame:
-    """Times kept when at least floor after the last kept one of their key, which a plain lag cannot tell."""
-    ordered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("t"))
-    empty = F.array().cast("array<bigint>")
-    kept = F.aggregate("t", empty, lambda k, x: F.when((F.size(k) == 0) | (x - F.element_at(k, -1) >= floor), F.concat(k, F.array(x))).otherwise(k))
-    return ordered.select(*keys, F.explode(kept).alias(at))
+    """Times kept when at least floor after the last kept one of their key, which a plain lag cannot tell.
+
+    Each key's times come in order and are streamed: what is remembered is the
+    last kept time of the key at hand.
+    """
+    schema = rows.select(*keys, at).schema
+
+    def keep(batches):
+        now, last = None, None
+        for b in batches:
+            names, found = list(zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)), []
+            for i, (k, t) in enumerate(zip(names, b.column(len(keys)).to_pylist(), strict=True)):
+                if k != now or t - last >= floor:
+                    now, last = k, t
+                    found.append(i)
+            yield b.take(pa.array(found, pa.int64()))
+
+    ordered = rows.select(*keys, at).where(F.col(at).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, at)
+    return ordered.mapInArrow(keep, schema)
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, columns: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions import geo, kernel
@@ -73,6 +73,18 @@ def points_near(points: DataFrame, shapes: DataFrame, metres: float) -> DataFram
     return pairs.withColumn("metres", apart(F.col("a.lat"), F.col("a.lng"), F.col("b.geojson"))).where(F.col("metres") <= metres).select("a", "b", "metres")
 
 
+def mutual_matches(a: DataFrame, b: DataFrame, keys: list[str], degrees: float) -> DataFrame:
+    """Pairs (a, b) of points (lat, lng) with equal keys, nearer than so many degrees, where either has no other match."""
+    cells = lambda d: d.withColumns({"_y": geo.cell(F.col("lat"), degrees), "_x": geo.cell(F.col("lng"), degrees), "_id": F.monotonically_increasing_id()})
+    about = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    left = cells(a).select(*keys, about("_y").alias("_y"), "_x", F.col("_id").alias("_a"), F.struct(*a.columns).alias("a")).withColumn("_x", about("_x"))
+    right = cells(b).select(*keys, "_y", "_x", F.col("_id").alias("_b"), F.struct(*b.columns).alias("b"))
+    near = F.sqrt(F.pow(F.col("a.lat") - F.col("b.lat"), 2) + F.pow(F.col("a.lng") - F.col("b.lng"), 2)) < degrees
+    pairs = left.join(right, [*keys, "_y", "_x"]).where(near)
+    one = lambda c: F.count("*").over(Window.partitionBy(c)) == 1
+    return pairs.select("a", "b", one("_a").alias("_1"), one("_b").alias("_2")).where("_1 AND _2").select("a", "b")
+
+
 def box_polygon(*corners: Column) -> Column:
     """GeoJSON of the box min_lat, min_lng, max_lat, max_lng."""
     y0, x0, y1, x1 = corners

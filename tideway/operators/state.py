@@ -54,6 +54,55 @@ def refreshed(rows: DataFrame, key: str, order: Sequence[str], volatile: Sequenc
     return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in volatile})
 
 
+def hash_lookup(batch: DataFrame, stored: DataFrame, key: str, *columns: str) -> DataFrame:
+    """batch with ``unchanged``: whether what is stored under its key has the same content hash."""
+    have = stored.select(key, content_hash(*columns).alias("_stored"))
+    return batch.join(have, key, "left").withColumn("unchanged", F.coalesce(content_hash(*columns) == F.col("_stored"), F.lit(False))).drop("_stored")
+
+
+def ordered_append(rows: DataFrame, order: Sequence[str], name: str, keep, start: int = 1) -> DataFrame:
+    """rows with gapless numbers that ascend in the given order: a range sort, and the rows before each partition.
+
+    ``keep`` stores its argument and returns it, so that the numbers of a
+    partition are the same whenever it is read; one count for each partition
+    reaches the driver.
+    """
+    stored = keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    before, starts = start, []
+    for r in sorted(stored.groupBy("_part").count().collect()):
+        starts.append((r["_part"], before))
+        before += r["count"]
+    offsets = rows.sparkSession.createDataFrame(starts or [(0, start)], "_part int, _start long")
+    return stored.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
+def prune(rows: DataFrame, at: str, cutoff: int, number: str | None = None, watermark: int | None = None) -> DataFrame:
+    """rows without those older than the cutoff; where a watermark is given only rows up to it, which are rolled up, may go."""
+    old = F.col(at) < cutoff
+    if number is not None:
+        old &= F.col(number) <= watermark
+    return rows.where(~F.coalesce(old, F.lit(False)))
+
+
+def version_counters(revisions: DataFrame, key: str = "layer") -> DataFrame:
+    """For each key the events that were created and the revisions that changed one."""
+    return revisions.groupBy(key).agg(F.count_if(F.col("revision") == 1).alias("created"), F.count_if(F.col("revision") > 1).alias("changed"))
+
+
+def upsert_places(stored: DataFrame, batch: DataFrame, key: str, compared: Sequence[str]) -> DataFrame:
+    """batch with ``written``: whether a place is new or differs from what is stored; an equal one is not written again."""
+    have = stored.select(key, F.struct(*compared).alias("_have"), F.lit(True).alias("_known"))
+    both = batch.join(have, key, "left")
+    same = F.coalesce(F.col("_known"), F.lit(False)) & F.struct(*compared).eqNullSafe(F.col("_have"))
+    return both.withColumn("written", ~same).drop("_have", "_known")
+
+
+def exists_flag(rows: DataFrame, stored: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """rows with whether stored has one with the same keys."""
+    have = stored.select(*keys).distinct().withColumn(name, F.lit(True))
+    return rows.join(have, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def transition(current: DataFrame, ids: DataFrame, to: str, at: Column) -> DataFrame:
     """New revisions of the rows named in ids that are not already in the target status."""
     hit = current.join(ids.select("id").distinct(), "id", "left_semi").where(F.col("status") != to)

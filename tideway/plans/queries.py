@@ -31,9 +31,9 @@ def p6_next_page(v: Views) -> DataFrame:
     return paging.page(rows.select(*EVENT), EVENT_ORDER, 25, {"severity": 3, "observed_at": T0 + 20 * DAY, "id": "m"})
 
 
-@query("SELECT id, revision, severity, status, observed_at FROM revisions WHERE user_id = 7 AND revision < 40 ORDER BY id, revision DESC")
+@query("SELECT id, revision, severity, status, observed_at FROM revisions WHERE user_id = 7 ORDER BY id, revision DESC")
 def q3_event_history(v: Views) -> DataFrame:
-    return v.revisions.where("user_id = 7 AND revision < 40").select("id", "revision", "severity", "status", "observed_at").orderBy("id", F.desc("revision"))
+    return v.revisions.where("user_id = 7").select("id", "revision", "severity", "status", "observed_at").orderBy("id", F.desc("revision"))
 
 
 @query(f"""SELECT r.id, r.revision, r.observed_at, c.layer AS current_layer, r.severity FROM revisions r JOIN current_events c ON r.id = c.id JOIN event_places p ON p.id = r.id
@@ -263,8 +263,7 @@ def a3_coverage(v: Views) -> DataFrame:
 @query("""SELECT pubkey, list_slice(list(heard_at ORDER BY heard_at), -5, -1) AS times FROM mesh_observations GROUP BY pubkey""")
 def a24_heard_times(v: Views) -> DataFrame:
     """The latest five times of each node, ascending."""
-    t = F.array_sort(F.collect_list("heard_at"))
-    return v.mesh_observations.groupBy("pubkey").agg(t.alias("t")).select("pubkey", F.slice("t", F.greatest(F.size("t") - 4, F.lit(1)), F.lit(5)).alias("times"))
+    return mesh.heard_times(v.mesh_observations, 5)
 
 
 @query("""SELECT node, seq, reported_at FROM (SELECT *, lag(uptime) OVER (PARTITION BY node ORDER BY reported_at, seq) AS b FROM telemetry) WHERE uptime < b""")
@@ -379,20 +378,21 @@ def t2_html_text(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
-@query("""SELECT conv_id, turn, length(t) AS n, sha256(t) AS hash FROM (SELECT conv_id, turn, trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '[.,;:!?()-]', '', 'g'),
-    'hwy', 'highway'), 'nb', 'northbound'), 'sb', 'southbound'), 'eb', 'eastbound'), 'wb', 'westbound'), 'incident', 'inc'), 'closure', 'closed')) AS t FROM conversations WHERE NOT regexp_matches(text, '[0-9]'))""")
+@query("""SELECT conv_id, turn, length(t) AS n, sha256(t) AS hash FROM (SELECT conv_id, turn, trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}', '', 'g'),
+    '\\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\\s+[0-9]{1,2}\\s+[0-9]{4}\\b', '', 'g'), '\\b[0-9]{1,2}:[0-9]{2}\\s*([ap]m)?\\b', '', 'g'), '[.,;:!?()-]', '', 'g'),
+    'hwy', 'highway'), 'nb', 'northbound'), 'sb', 'southbound'), 'eb', 'eastbound'), 'wb', 'westbound'), 'incident', 'inc'), 'closure', 'closed')) AS t FROM conversations)""")
 def t1_normalized_text(v: Views) -> DataFrame:
-    """Turns without digits, made comparable and hashed."""
+    """Turns made comparable and hashed: without dates, times and punctuation, in one spelling."""
     t = text.normalized(F.col("text"))
-    return v.table("conversations").where(~F.col("text").rlike("[0-9]")).select("conv_id", "turn", F.length(t).cast("bigint").alias("n"), F.sha2(t, 256).alias("hash"))
+    return v.table("conversations").select("conv_id", "turn", F.length(t).cast("bigint").alias("n"), F.sha2(t, 256).alias("hash"))
 
 
 @query("""WITH g AS (SELECT node, reported_at, reported_at - lag(reported_at) OVER (PARTITION BY node ORDER BY reported_at) AS gap FROM telemetry), l AS (SELECT node, list(CAST(gap AS DOUBLE) ORDER BY reported_at) FILTER (gap >= 30) AS gaps FROM g GROUP BY node)
-    SELECT node, CASE WHEN len(gaps) > 0 THEN list_reduce(gaps, lambda s, x: s + 0.3 * (x - s)) END AS ewma, CAST(coalesce(len(gaps), 0) AS INT) AS n_gaps FROM l""")
+    SELECT node, round(CASE WHEN len(gaps) > 0 THEN list_reduce(gaps, lambda s, x: s + 0.3 * (x - s)) END, 6) AS ewma, CAST(coalesce(len(gaps), 0) AS INT) AS n_gaps FROM l""")
 def n5_ewma(v: Views) -> DataFrame:
-    return series.ewma(v.telemetry, "node", "reported_at")
+    return series.ewma(v.telemetry, "node", "reported_at").withColumn("ewma", F.round("ewma", 6))
 
 
-@query()
+@query("""SELECT node, reporter, unnest(list_reduce(list_transform(list(reported_at ORDER BY reported_at), lambda x: [x]), lambda kept, x: CASE WHEN x[1] - kept[-1] >= 21600 THEN kept || x ELSE kept END)) AS reported_at FROM telemetry GROUP BY node, reporter""")
 def n6_spam_floor(v: Views) -> DataFrame:
     return series.kept_apart(v.telemetry, ["node", "reporter"], "reported_at", 6 * 3600)

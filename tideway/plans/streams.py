@@ -25,18 +25,38 @@ def folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def keeper(spark: SparkSession):
+    """A function that writes a frame to a new shared folder and reads it back, so that it is computed once."""
+
+    def keep(rows: DataFrame) -> DataFrame:
+        at = f"{folder(spark)}/kept"
+        rows.write.parquet(at)
+        return spark.read.schema(rows.schema).parquet(at)
+
+    return keep
+
+
 class Arriving(Views):
-    """The same views with the events, or the orders, arriving as a stream of files."""
+    """The same views with the events, or the orders, arriving as a stream of files: a range of ``order`` (an expression) after the other, so that state is carried from batch to batch."""
+
+    FILES = 3
 
-    def __init__(self, spark: SparkSession, sf_dir: str, name: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, name: str, order: str):
         super().__init__(spark, sf_dir)
-        self.name = name
+        self.name, self.order, self.landed = name, order, None
 
     def table(self, name: str) -> DataFrame:
         if name != self.name:
             return super().table(name)
-        schema = super().table(name).schema
-        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{self.sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+        whole = super().table(name)
+        if self.landed is None:
+            self.landed = f"{folder(self.spark)}/landed"
+            edges = whole.select(F.percentile_approx(F.expr(self.order), F.array(*(F.lit(i / self.FILES) for i in range(1, self.FILES))))).first()[0] or []
+            at = F.expr(self.order)
+            for lo, hi in zip([None, *edges], [*edges, None], strict=True):
+                part = whole if lo is None else whole.where(at > lo)
+                (part if hi is None else part.where(at <= hi)).coalesce(1).write.mode("append").parquet(self.landed)
+        return self.spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(self.landed)
 
 
 @query()
@@ -45,7 +65,7 @@ def m1_revision_stream(v: Views) -> DataFrame:
     path = folder(v.spark)
     columns = ["seq", "id", "observed_at", "severity", "status"]
     work = jobs.revise(v.spark, path, v.observed.select(*columns).schema, "id", ["observed_at", "seq"], ["severity", "status"])
-    stream = Arriving(v.spark, v.sf_dir, "events").observed.select(*columns)
+    stream = Arriving(v.spark, v.sf_dir, "events", "unix_timestamp(CAST(ts AS TIMESTAMP))").observed.select(*columns)
     jobs.run_available(stream.writeStream.foreachBatch(work), f"{path}/checkpoint")
     return v.spark.read.parquet(f"{path}/revisions").select("id", "revision", "observed_at", "severity", "status")
 
@@ -58,7 +78,7 @@ def m8_rollup_stream(v: Views) -> DataFrame:
     """The link rollup of a stream of receptions joined to their stored relay paths."""
     path = folder(v.spark)
     schema = queries.w16_link_rollup(v).schema
-    stream = Arriving(v.spark, v.sf_dir, "orders").mesh_observations
+    stream = Arriving(v.spark, v.sf_dir, "orders", "o_orderkey").mesh_observations
     jobs.run_available(stream.writeStream.foreachBatch(jobs.roll_up(v.spark, path + "/rollup", schema, mesh.edges)), f"{path}/checkpoint")
     parts = v.spark.read.parquet(f"{path}/rollup")
     newest = parts.agg(F.max("batch")).first()[0]
@@ -72,7 +92,7 @@ ORACLES["m8_rollup_stream"] = ORACLES["w16_link_rollup"]
 def m4_cadence_stream(v: Views) -> DataFrame:
     """The average gap of each node's reports, kept as keyed state."""
     path, found = folder(v.spark), []
-    stream = jobs.cadence(Arriving(v.spark, v.sf_dir, "events").telemetry, "node", "reported_at")
+    stream = jobs.cadence(Arriving(v.spark, v.sf_dir, "events", "unix_timestamp(CAST(ts AS TIMESTAMP))").telemetry, "node", "reported_at")
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{path}/cadence/batch={n}")
@@ -80,7 +100,7 @@ def m4_cadence_stream(v: Views) -> DataFrame:
 
     jobs.run_available(stream.writeStream.outputMode("update").foreachBatch(keep), f"{path}/checkpoint")
     rows = v.spark.read.parquet(f"{path}/cadence")
-    return rows.groupBy("node").agg(F.max_by("ewma", "n").alias("ewma"), F.max_by("n_gaps", "n").alias("n_gaps"))
+    return rows.groupBy("node").agg(F.round(F.max_by("ewma", "n"), 6).alias("ewma"), F.max_by("n_gaps", "n").alias("n_gaps"))
 
 
 ORACLES["m4_cadence_stream"] = ORACLES["n5_ewma"]

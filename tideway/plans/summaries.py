@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions import classify, geo, text, times
-from tideway.operators import mesh, state
+from tideway.operators import mesh, spatial, state
 from tideway.plans.adapters import Views
 from tideway.plans.queries import DAY, T0
 from tideway.plans.registry import query
+from tideway.plans.streams import keeper
 
 
 @query("""SELECT seq, status FROM current_events WHERE id = 'error:3'""")
@@ -68,18 +69,16 @@ def w1_content_hash(v: Views) -> DataFrame:
     return v.observed.withColumn("h", h).select("id", "seq", (F.col("h") == F.lag("h").over(w)).alias("same"))
 
 
-@query("""SELECT o.id, o.seq, c.id IS NOT NULL AND c.severity = o.severity AND c.status = o.status AS unchanged FROM (SELECT * FROM observed WHERE seq % 17 = 0) o LEFT JOIN current_events c USING (id)""")
+@query("""SELECT o.id, o.seq, c.id IS NOT NULL AND c.severity = o.severity AND c.status = o.status AS unchanged FROM observed o LEFT JOIN current_events c USING (id)""")
 def w2_hash_lookup(v: Views) -> DataFrame:
-    h = state.content_hash("severity", "status").alias("h")
-    stored = v.current.select("id", h)
-    return v.observed.where("seq % 17 = 0").select("id", "seq", h).join(stored.withColumnRenamed("h", "stored"), "id", "left").select("id", "seq", F.coalesce(F.col("h") == F.col("stored"), F.lit(False)).alias("unchanged"))
+    return state.hash_lookup(v.observed, v.current, "id", "severity", "status").select("id", "seq", "unchanged")
 
 
-@query("""SELECT obs_id, ord, node, row_number() OVER (ORDER BY obs_id, ord) AS n FROM (SELECT obs_id, unnest(range(1, len(path_nodes) + 1)) AS ord, unnest(path_nodes) AS node FROM mesh_observations WHERE obs_id < 300)""")
+@query("""SELECT obs_id, ord, node, row_number() OVER (ORDER BY obs_id, ord) AS n FROM (SELECT obs_id, unnest(range(1, len(path_nodes) + 1)) AS ord, unnest(path_nodes) AS node FROM mesh_observations)""")
 def w10_ordered_append(v: Views) -> DataFrame:
     """Arrays as rows whose numbers ascend with the input."""
-    rows = v.mesh_observations.where("obs_id < 300").select("obs_id", F.posexplode("path_nodes").alias("p", "node")).select("obs_id", (F.col("p") + 1).cast("bigint").alias("ord"), "node")
-    return rows.withColumn("n", F.row_number().over(Window.orderBy("obs_id", "ord")))  # a batch of 300 receptions
+    rows = v.mesh_observations.select("obs_id", F.posexplode("path_nodes").alias("p", "node")).select("obs_id", (F.col("p") + 1).cast("bigint").alias("ord"), "node")
+    return state.ordered_append(rows, ["obs_id", "ord"], "n", keeper(v.spark))
 
 
 @query("""SELECT pubkey, heard_at, obs_id FROM (SELECT CASE WHEN pubkey = 'c1' THEN 'c2' ELSE pubkey END AS pubkey, heard_at, obs_id, pubkey <> 'c1' AS own FROM mesh_observations) QUALIFY row_number() OVER (PARTITION BY pubkey, heard_at ORDER BY own DESC, obs_id) = 1""")
@@ -91,12 +90,12 @@ def w15_renamed_key(v: Views) -> DataFrame:
 @query("""SELECT CAST(count(*) AS BIGINT) AS kept, min(heard_at) AS oldest FROM mesh_observations WHERE NOT (heard_at < 852076800 AND obs_id <= 1000)""")
 def w17_prune(v: Views) -> DataFrame:
     """Receptions go when they are old and rolled up; those above the watermark stay."""
-    return v.mesh_observations.where("NOT (heard_at < 852076800 AND obs_id <= 1000)").agg(F.count("*").alias("kept"), F.min("heard_at").alias("oldest"))
+    return state.prune(v.mesh_observations, "heard_at", 852076800, "obs_id", 1000).agg(F.count("*").alias("kept"), F.min("heard_at").alias("oldest"))
 
 
 @query("""SELECT layer, CAST(sum(CASE WHEN revision = 1 THEN 1 ELSE 0 END) AS BIGINT) AS created, CAST(sum(CASE WHEN revision > 1 THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM revisions GROUP BY layer""")
 def w22_version_counters(v: Views) -> DataFrame:
-    return v.revisions.groupBy("layer").agg(F.count_if(F.col("revision") == 1).alias("created"), F.count_if(F.col("revision") > 1).alias("changed"))
+    return state.version_counters(v.revisions)
 
 
 @query("""SELECT seq, CASE WHEN k % 2 = 0 OR (k % 3 <> 0 AND k % 5 IN (1, 2)) OR k % 3 = 0 THEN true ELSE false END AS passes FROM observed""")
@@ -125,10 +124,10 @@ def p19_safe_urls(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", F.when(u.rlike("^https?://"), u).alias("safe"), first.alias("first"))
 
 
-@query("""SELECT t.seq, EXISTS (SELECT 1 FROM telemetry s WHERE s.node = t.node AND s.reported_at = t.reported_at AND s.seq % 2 = 0) AS stored FROM telemetry t WHERE t.seq % 3 = 0""")
+@query("""SELECT t.seq, EXISTS (SELECT 1 FROM telemetry s WHERE s.node = t.node AND s.reported_at = t.reported_at AND s.seq % 2 = 0) AS stored FROM telemetry t""")
 def j6_exists_flag(v: Views) -> DataFrame:
-    have = v.telemetry.where("seq % 2 = 0").select("node", "reported_at").distinct().withColumn("stored", F.lit(True))
-    return v.telemetry.where("seq % 3 = 0").join(have, ["node", "reported_at"], "left").select("seq", F.coalesce("stored", F.lit(False)).alias("stored"))
+    """Every sample, and whether the even half that is stored already has its node and time."""
+    return state.exists_flag(v.telemetry, v.telemetry.where("seq % 2 = 0"), ["node", "reported_at"], "stored").select("seq", "stored")
 
 
 @query("""SELECT c.id, count(*) AS others FROM current_events c JOIN current_events d ON c.user_id = d.user_id AND c.id <> d.id WHERE c.layer = 3 GROUP BY c.id""")
@@ -148,19 +147,18 @@ def j20_nearest_control(v: Views) -> DataFrame:
     return rows.withColumn("m", m).groupBy("place_id").agg(F.min_by("id", F.struct("m", "id")).alias("nearest"), F.round(F.min("m"), 0).alias("metres"))
 
 
-@query("""WITH a AS (SELECT seq AS a, user_id, lat, lng FROM observed WHERE event_type = 'click' AND k < 12), b AS (SELECT seq AS b, user_id, lat, lng FROM observed WHERE event_type = 'view' AND k < 12), p AS (SELECT a, b FROM a JOIN b USING (user_id) WHERE sqrt(pow(a.lat - b.lat, 2) + pow(a.lng - b.lng, 2)) < 2)
+@query("""WITH a AS (SELECT seq AS a, user_id, lat, lng FROM observed WHERE event_type = 'click'), b AS (SELECT seq AS b, user_id, lat, lng FROM observed WHERE event_type = 'view'), p AS (SELECT a, b FROM a JOIN b USING (user_id) WHERE sqrt(pow(a.lat - b.lat, 2) + pow(a.lng - b.lng, 2)) < 0.2)
     SELECT a, b FROM (SELECT *, count(*) OVER (PARTITION BY a) AS na, count(*) OVER (PARTITION BY b) AS nb FROM p) WHERE na = 1 AND nb = 1""")
 def j22_mutual_match(v: Views) -> DataFrame:
     """Pairs in which either side has exactly one candidate."""
-    side = lambda kind, n: v.observed.where(f"event_type = '{kind}' AND k < 12").select(F.col("seq").alias(n), "user_id", F.col("lat").alias(f"lat_{n}"), F.col("lng").alias(f"lng_{n}"))
-    p = side("click", "a").join(side("view", "b"), "user_id").where("sqrt(power(lat_a - lat_b, 2) + power(lng_a - lng_b, 2)) < 2")
-    return p.withColumns({n: F.count("*").over(Window.partitionBy(c)) for n, c in (("na", "a"), ("nb", "b"))}).where("na = 1 AND nb = 1").select("a", "b")
+    side = lambda kind: v.observed.where(f"event_type = '{kind}'").select("seq", "user_id", "lat", "lng")
+    return spatial.mutual_matches(side("click"), side("view"), ["user_id"], 0.2).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
 
 
-@query("""SELECT user_id, coalesce(a.value, b.value) AS value, coalesce(a.at_m, 0) AS mqtt, coalesce(b.at_p, 0) AS push FROM (SELECT user_id, max(observed_at) AS at_m, arg_max(value, (observed_at, seq)) AS value FROM observed WHERE event_type = 'click' AND k < 20 GROUP BY user_id) a FULL JOIN (SELECT user_id, max(observed_at) AS at_p, arg_max(value, (observed_at, seq)) AS value FROM observed WHERE event_type = 'view' AND k < 20 GROUP BY user_id) b USING (user_id)""")
+@query("""SELECT user_id, coalesce(a.value, b.value) AS value, coalesce(a.at_m, 0) AS mqtt, coalesce(b.at_p, 0) AS push FROM (SELECT user_id, max(observed_at) AS at_m, arg_max(value, (observed_at, seq)) AS value FROM observed WHERE event_type = 'click' GROUP BY user_id) a FULL JOIN (SELECT user_id, max(observed_at) AS at_p, arg_max(value, (observed_at, seq)) AS value FROM observed WHERE event_type = 'view' GROUP BY user_id) b USING (user_id)""")
 def j29_merged_nodes(v: Views) -> DataFrame:
     """Nodes of two reporters in one row, the first reporter's values preferred."""
-    side = lambda kind, n: v.observed.where(f"event_type = '{kind}' AND k < 20").groupBy("user_id").agg(F.max("observed_at").alias(f"at_{n}"), F.max_by("value", F.struct("observed_at", "seq")).alias(f"value_{n}"))
+    side = lambda kind, n: v.observed.where(f"event_type = '{kind}'").groupBy("user_id").agg(F.max("observed_at").alias(f"at_{n}"), F.max_by("value", F.struct("observed_at", "seq")).alias(f"value_{n}"))
     both = side("click", "m").join(side("view", "p"), "user_id", "full")
     return both.select("user_id", F.coalesce("value_m", "value_p").alias("value"), F.coalesce("at_m", F.lit(0)).alias("mqtt"), F.coalesce("at_p", F.lit(0)).alias("push"))
 
@@ -174,17 +172,17 @@ def a15_highest_level(v: Views) -> DataFrame:
     return by.select("zone", name.alias("level"), "winner")
 
 
-@query("""SELECT user_id AS line_group, CASE WHEN bool_or(k % 10 = 0) THEN 'NO' WHEN bool_or(k % 10 = 1) THEN 'MARGINAL' WHEN count(*) >= 4 THEN 'YES' ELSE 'UNKNOWN' END AS day FROM observed WHERE event_type = 'signup' AND k < 60 GROUP BY user_id""")
+@query("""SELECT user_id AS line_group, CASE WHEN bool_or(k % 10 = 0) THEN 'NO' WHEN bool_or(k % 10 = 1) THEN 'MARGINAL' WHEN count(*) >= 4 THEN 'YES' ELSE 'UNKNOWN' END AS day FROM observed WHERE event_type = 'signup' GROUP BY user_id""")
 def a17_burn_day(v: Views) -> DataFrame:
     """Any line's no is a no; a yes needs all lines."""
-    r = v.observed.where("event_type = 'signup' AND k < 60")
+    r = v.observed.where("event_type = 'signup'")
     any_of = lambda n: F.bool_or(F.col("k") % 10 == n)
     return r.groupBy(F.col("user_id").alias("line_group")).agg(F.when(any_of(0), "NO").when(any_of(1), "MARGINAL").when(F.count("*") >= 4, "YES").otherwise("UNKNOWN").alias("day"))
 
 
-@query("""SELECT id, arg_min(seq, (lat, lng, seq)) AS seq FROM observed WHERE k < 30 GROUP BY id""")
+@query("""SELECT id, arg_min(seq, (lat, lng, seq)) AS seq FROM observed GROUP BY id""")
 def a19_southwest_end(v: Views) -> DataFrame:
-    return v.observed.where("k < 30").groupBy("id").agg(F.min_by("seq", F.struct("lat", "lng", "seq")).alias("seq"))
+    return v.observed.groupBy("id").agg(F.min_by("seq", F.struct("lat", "lng", "seq")).alias("seq"))
 
 
 @query(f"""SELECT node, CASE WHEN max(CASE WHEN battery IS NOT NULL THEN reported_at END) >= {T0 + 30 * DAY} THEN 'REACHABLE' WHEN max(reported_at) >= {T0 + 30 * DAY} THEN 'UNREACHABLE' ELSE 'UNKNOWN' END AS reachability FROM telemetry GROUP BY node""")
@@ -207,10 +205,10 @@ def a22_reporter_health(v: Views) -> DataFrame:
     return v.telemetry.groupBy("reporter", "node").agg(F.when(age <= 43200, "OK").when(age <= 172800, "STALE").otherwise("DEAD").alias("health"))
 
 
-@query("""SELECT road, CASE WHEN bool_or(status = 3) THEN 'CLOSED' WHEN bool_or(status = 2) THEN 'RESTRICTED' ELSE 'OPEN' END AS status, arg_max(seq, (status, -seq)) AS cause FROM road_samples WHERE seq < 2000 GROUP BY road""")
+@query("""SELECT road, CASE WHEN bool_or(status = 3) THEN 'CLOSED' WHEN bool_or(status = 2) THEN 'RESTRICTED' ELSE 'OPEN' END AS status, arg_max(seq, (status, -seq)) AS cause FROM road_samples GROUP BY road""")
 def a25_road_fold(v: Views) -> DataFrame:
     """A closure outweighs a restriction; of equals the first explains."""
-    r = v.road_samples.where("seq < 2000").groupBy("road")
+    r = v.road_samples.groupBy("road")
     return r.agg(F.when(F.bool_or(F.col("status") == 3), "CLOSED").when(F.bool_or(F.col("status") == 2), "RESTRICTED").otherwise("OPEN").alias("status"), F.max_by("seq", F.struct("status", -F.col("seq"))).alias("cause"))
 
 
@@ -248,10 +246,10 @@ def u3_sorted_union(v: Views) -> DataFrame:
     return v.observed.groupBy("user_id").agg(F.array_sort(F.array_union(F.collect_set("event_type"), F.array(F.lit("z"), F.lit("click")))).alias("kinds"))
 
 
-@query("""SELECT id, CASE WHEN a AND b THEN 'both' WHEN a THEN 'left' ELSE 'right' END AS side FROM (SELECT id, bool_or(k < 30) AS a, bool_or(k >= 70) AS b FROM observed WHERE k < 30 OR k >= 70 GROUP BY id)""")
+@query("""SELECT id, CASE WHEN a AND b THEN 'both' WHEN a THEN 'left' ELSE 'right' END AS side FROM (SELECT id, bool_or(k % 3 = 0) AS a, bool_or(k % 5 = 0) AS b FROM observed GROUP BY id) WHERE a OR b""")
 def u4_set_sides(v: Views) -> DataFrame:
     """Difference and intersection of two id sets in one pass."""
-    by = v.observed.where("k < 30 OR k >= 70").groupBy("id").agg(F.bool_or(F.col("k") < 30).alias("a"), F.bool_or(F.col("k") >= 70).alias("b"))
+    by = v.observed.groupBy("id").agg(F.bool_or(F.col("k") % 3 == 0).alias("a"), F.bool_or(F.col("k") % 5 == 0).alias("b")).where("a OR b")
     return by.select("id", F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "left").otherwise("right").alias("side"))
 
 
