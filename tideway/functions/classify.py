@@ -106,3 +106,99 @@ def worst_status(statuses: Column) -> Column:
     """OK, STALE or UNAVAILABLE; a status it does not know is UNAVAILABLE."""
     rank = F.array_max(F.transform(statuses, lambda s: ladder((s == "OK", 0), (s == "STALE", 1), otherwise=2)))
     return ladder((rank == 0, "OK"), (rank == 1, "STALE"), otherwise="UNAVAILABLE")
+
+
+#: Evacuation levels from the highest.
+EVACUATION_RANK = {"ORDER": 4, "SHELTER_IN_PLACE": 3, "WARNING": 2, "ADVISORY": 1}
+
+
+def demoted(rank: Column, by: int = 1) -> Column:
+    """A severity so many steps lower, INFO at least."""
+    return F.greatest(F.lit(INFO), rank - by)
+
+
+def evacuation_inactive(status: Column) -> Column:
+    """Whether a status says that a zone is no longer under an order; a blank one does not say so."""
+    s = plain(status)
+    return (s != "") & evacuation_level(status).isNull()
+
+
+def from_alert(severity: Column) -> Column:
+    """Severity of a road alert's own three steps."""
+    return ladder((severity == "CRITICAL", SEVERE), (severity == "WARNING", MODERATE), otherwise=INFO)
+
+
+def from_chain_level(level: Column) -> Column:
+    """Chain levels R1 to R3 and closures."""
+    return ladder((level.isin("R3", "CLOSED"), SEVERE), (level == "R2", MODERATE), (level == "R1", MINOR), otherwise=INFO)
+
+
+def from_road(status: Column, congestion: Column) -> Column:
+    """A road's status counts before its congestion."""
+    return ladder((status == "CLOSED", SEVERE), (status.isin("RESTRICTED", "MAINTENANCE"), MODERATE), (congestion.isin("SEVERE", "HEAVY"), MODERATE), (congestion == "MODERATE", MINOR), otherwise=INFO)
+
+
+def congestion(delay_minutes: Column) -> Column:
+    return ladder((delay_minutes >= 20, "SEVERE"), (delay_minutes >= 10, "HEAVY"), (delay_minutes >= 5, "MODERATE"), (delay_minutes >= 2, "LIGHT"), otherwise="CLEAR")
+
+
+def incident_step(kind: Column, said: Column, closure: Column = None) -> Column:
+    """CRITICAL, WARNING or INFO by an incident's words, the worst first; what they do not tell is a WARNING."""
+    t = F.lower(F.concat_ws(" ", kind, said))
+    has = lambda *words: F.greatest(*(t.contains(w).cast("int") for w in words), F.lit(0)) == 1
+    return ladder(
+        (has("full-closure", "fatal", "injury", "fire", "overturn"), "CRITICAL"), ((closure if closure is not None else F.lit(False)) | has("collision", "hazard", "closure"), "WARNING"),
+        (has("assist", "maintenance", "traffic advisory"), "INFO"), otherwise="WARNING",
+    )
+
+
+def from_incident(kind: Column, said: Column) -> Column:
+    return from_alert(incident_step(kind, said))
+
+
+def alert_step(impact: Column, closure: Column, said: Column, distant: Column) -> Column:
+    """CRITICAL, WARNING or INFO of a road alert: its impact where that is told, else its type and words; INFO far from the route."""
+    mild = F.lower(said).contains("assistance") | F.lower(said).contains("maintenance")
+    told = ladder((impact == "severe", "CRITICAL"), (impact.isin("moderate", "light"), "WARNING"), (impact == "none", "INFO"), (closure, "CRITICAL"), (mild, "INFO"), otherwise="WARNING")
+    return F.when(distant, "INFO").otherwise(told)
+
+
+def scheduled_or_active(starts: Column, now: Column) -> Column:
+    """SCHEDULED before a stated start, else ACTIVE."""
+    return F.when(F.coalesce(starts > now, F.lit(False)), "SCHEDULED").otherwise("ACTIVE")
+
+
+#: Reasons that a road condition gives, in the order in which they count.
+REASONS = (
+    ("due to snow", "snow"), ("due to ice", "ice"), ("due to construction", "construction"), ("due to rock slide", "rockslide"), ("due to mudslide", "mudslide"), ("due to fire", "fire"), ("due to flooding", "flooding"), ("due to accident", "accident"),
+    ("for the winter", "winter_closure"), ("winter closure", "winter_closure"), ("for the season", "seasonal_closure"),
+)
+
+
+def condition_reason(said: Column) -> Column:
+    return ladder(*((F.lower(said).contains(p), r) for p, r in REASONS), otherwise="")
+
+
+def burn_colour(status: Column) -> Column:
+    """What a burn line's colour allows."""
+    s = plain(status)
+    return ladder((s == "green", "YES"), (s == "red", "NO"), (s == "orange", "MARGINAL"), otherwise="UNKNOWN")
+
+
+def burn_day(status: Column) -> Column:
+    """An aggregate over a county's lines, each with its colour or null where it was not heard: any no is a no, then any marginal; a yes needs every line."""
+    day = burn_colour(F.coalesce(status, F.lit("")))
+    any_of = lambda d: F.bool_or(day == d)
+    return F.when(any_of("NO"), "NO").when(any_of("MARGINAL"), "MARGINAL").when(any_of("YES") & ~any_of("UNKNOWN"), "YES").otherwise("UNKNOWN")
+
+
+def burn_permission(day: Column, calfire: Column) -> Column:
+    """The stricter of two authorities; permission needs both to be known."""
+    return ladder(((day == "NO") | (calfire == "SUSPENDED"), "PROHIBITED"), ((day == "YES") & calfire.isin("PERMIT", "OPEN"), "ALLOWED"), otherwise="UNKNOWN")
+
+
+def burn_headline(day: Column, calfire: Column) -> Column:
+    allowed = burn_permission(day, calfire)
+    return ladder(
+        (allowed == "ALLOWED", "Burn day"), (calfire == "SUSPENDED", "Burning suspended by CAL FIRE"), (allowed == "PROHIBITED", "No-burn day"), ((day == "MARGINAL") & calfire.isin("PERMIT", "OPEN"), "Burn day above 3,500 ft only"), otherwise="Burn status unknown",
+    )

@@ -103,3 +103,237 @@ def lag_text(seconds: Column, what: str) -> Column:
 def list_of(csv: Column) -> Column:
     """A comma list; the empty string is the empty list."""
     return F.filter(F.split(F.coalesce(csv, F.lit("")), ","), lambda x: x != "")
+
+
+def commas(number: Column) -> Column:
+    """A whole number, half away from zero, with thousands separated."""
+    return F.format_number(F.floor(number + 0.5), 0)
+
+
+def capital(said: Column) -> Column:
+    """said with its first letter in upper case."""
+    return F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, 2, 1_000_000))
+
+
+def customers(n: Column) -> Column:
+    return F.when(n == 1, "1 customer").when(n > 1, F.concat(commas(n), F.lit(" customers"))).otherwise("customer count not reported")
+
+
+#: What the utility's cause codes mean.
+CAUSES = {
+    "PLNND SHUTDOWN": "planned shutdown", "PATROLLING": "crew patrolling the line", "AWAITING INVESTIGATION": "cause under investigation", "REPLCE TXFMR": "transformer replacement", "EMERG REPAIRS": "emergency repairs", "THRD PARTY": "third-party damage",
+    "LGHTNING": "lightning", "REPAIR WIRE DWN": "downed wire", "BRKN POLE": "broken pole", "BRKN POLE EQUIPMNT": "broken pole equipment", "BRKN UG EQUIPMNT": "broken underground equipment", "DAMGE UG CABLE": "damaged underground cable", "CAR POLE": "vehicle struck a pole",
+    "FOREIGN OBJ": "foreign object on the line", "TREE CONTACT": "tree contact", "FIRE": "fire", "WEATHER": "weather", "ANIMAL": "animal contact", "VEHICLE": "vehicle accident", "EQUIPMENT": "equipment failure", "NO ACCESS": "crew unable to access",
+}
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """What a fixed table says of a key; null where it says nothing."""
+    return F.element_at(F.create_map(*(F.lit(x) for p in table.items() for x in p)), key)
+
+
+def power_cause(code: Column) -> Column:
+    """A cause in words, empty for none; codes that are not known stay, in lower case."""
+    c = F.trim(F.coalesce(code, F.lit("")))
+    return F.coalesce(lookup(CAUSES, F.upper(c)), F.lower(c))
+
+
+def power_headline(n: Column, planned: Column, cause: Column) -> Column:
+    what, why = F.when(planned, "Planned outage").otherwise("Power outage"), power_cause(cause)
+    return F.concat(what, F.lit(" — "), customers(n), F.when((why != "") & ~planned, F.concat(F.lit(" ("), why, F.lit(")"))).otherwise(""))
+
+
+def incident_id(log_number: Column, closure_id: Column, name: Column, place: Column) -> Column:
+    """caltrans:<closure>[-<log>]-<six digits of the place's hash>, chp:<log>, or chp:<slug of the name>."""
+    short = F.substring(F.sha2(F.trim(F.regexp_replace(place, r"\s+", " ")), 256), 1, 6)
+    closure = F.concat(F.lit("caltrans:"), F.concat_ws("-", closure_id, log_number, short))
+    return F.when(closure_id.isNotNull(), closure).when(log_number.isNotNull(), F.concat(F.lit("chp:"), log_number)).otherwise(F.concat(F.lit("chp:"), slug(F.coalesce(name, F.lit("")))))
+
+
+def fire_display(headline: Column) -> Column:
+    """A fire's name as people write it, from a headline: without " — …" and a closing "fire", capitals only made words; empty for names below three letters."""
+    name = F.trim(F.split(headline, " — ")[0])
+    name = F.trim(F.regexp_replace(name, "(?i)\\s+fire$", ""))
+    shown = F.when(name == F.upper(name), F.initcap(F.lower(F.regexp_replace(name, r"\s+", " ")))).otherwise(name)
+    return F.when(F.length(name) >= 3, shown).otherwise("")
+
+
+def mission_fire(mission: Column) -> Column:
+    """The fire named in CA-<unit>-<name…>[-<flight>]; a flight is N and letters or digits, one digit at least."""
+    parts = F.split(F.trim(mission), "-")
+    flight = lambda p: p.rlike("^[Nn](?=[A-Za-z]*[0-9])[A-Za-z0-9]+$")
+    body = F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0)))
+    last = F.element_at(body, -1)
+    kept = F.when((F.size(body) > 1) & flight(last), F.slice(body, F.lit(1), F.size(body) - 1)).otherwise(body)
+    named = (F.size(parts) >= 3) & (F.lower(parts[0]) == "ca")
+    return F.when(named, F.when((F.size(body) == 1) & flight(body[0]), "").otherwise(F.trim(F.array_join(kept, " ")))).otherwise("")
+
+
+#: Clauses of a product line that say when, and tokens that are upper case for good reason.
+TIMING = ("REMAINS IN EFFECT", "NOW IN EFFECT", "IS IN EFFECT", "IN EFFECT", "HAS BEEN EXTENDED", "HAS BEEN CANCELLED", "HAS BEEN CANCELED", "HAS EXPIRED", "IS CANCELLED", "IS CANCELED", "CANCELLED", "CANCELED", "EXTENDED")
+UPPER = ("MPH", "KT", "KTS", "RH", "AQI", "UV", "AM", "PM", "PST", "PDT", "MST", "MDT", "UTC", "NWS", "CWA", "F", "C")
+ZONE_TAIL = r"(?i)\s+(FOR|IN)\s+((THE)\s+)?((FIRE|FORECAST|COASTAL|MARINE)\s+)?ZONES?\b.*$"
+LONGEST_REASON = 96
+
+
+def headline_reason(line: Column, event: Column) -> Column:
+    """Why a product stands, from its upper-case line: without the product's name, the time it holds and the zones; empty where it says no more."""
+    said = F.upper(F.trim(F.coalesce(line, F.lit(""))))
+    said = F.trim(F.regexp_replace(said, r"^\.\.\.|\.\.\.$", ""))
+    name = F.upper(F.trim(F.coalesce(event, F.lit(""))))
+    said = F.when(F.startswith(said, name), F.trim(F.substr(said, F.length(name) + 1))).otherwise(said)
+    timed = F.rlike(said, F.lit("^(" + "|".join(TIMING) + ")"))
+    at = F.instr(said, " FOR ")
+    said = F.when(timed, F.when(at > 0, F.trim(F.substr(said, at + 5))).otherwise("")).otherwise(said)
+    said = F.trim(F.regexp_replace(F.regexp_replace(said, "^FOR ", ""), ZONE_TAIL, ""))
+    said = F.regexp_replace(said, r"^[ .,;]+|[ .,;]+$", "")
+    calm = lambda w: F.when(F.regexp_replace(w, r"^[.,;:()]+|[.,;:()]+$", "").isin(*UPPER) | w.rlike("[0-9]"), w).otherwise(F.lower(w))
+    return F.when(F.length(said) > LONGEST_REASON, "").otherwise(F.array_join(F.transform(F.split(said, r"\s+"), calm), " "))
+
+
+def short_headline(event: Column, line: Column) -> Column:
+    """<event> — <reason>, or the event alone, or the line where there is no event."""
+    name, why = F.trim(F.coalesce(event, F.lit(""))), headline_reason(line, event)
+    return F.when(name == "", F.trim(line)).when(why == "", name).otherwise(F.concat(name, F.lit(" — "), why))
+
+
+#: How closure types, facilities, lanes and directions are told.
+CLOSURES = {"full": "full closure", "one-way traffic": "one-way traffic control", "alternating lanes": "alternating lane closure", "moving": "moving lane closure", "traffic break": "traffic break"}
+LANES = {"all": "all lanes", "rshoulder": "right shoulder", "lshoulder": "left shoulder", "rt turn ln": "right-turn lane", "lt turn ln": "left-turn lane", "median": "median", "auxiliary": "auxiliary lane", "bike lane": "bike lane", "sidewalk": "sidewalk", "center turn": "center turn lane"}
+DIRECTIONS = {"east": "eastbound", "west": "westbound", "north": "northbound", "south": "southbound"}
+
+
+def _tokens(csv: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(csv, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
+
+
+def closure_phrase(kind: Column, lanes: Column, facility: Column) -> Column:
+    """What is closed: by the closure's type, a shoulder where no lane is listed, and the ramp it is on."""
+    k, listed = F.lower(F.trim(F.coalesce(kind, F.lit("")))), _tokens(lanes)
+    shoulder = (F.size(listed) > 0) & F.forall(listed, lambda t: F.lower(t).contains("shoulder"))
+    phrase = F.when(k.isin("lane", ""), F.when(shoulder, "shoulder closure").otherwise("lane closure")).otherwise(F.coalesce(lookup(CLOSURES, k), F.concat(k, F.lit(" closure"))))
+    ramp = F.lower(F.trim(F.coalesce(facility, F.lit(""))))
+    return F.concat(F.when(ramp == "on ramp", "on-ramp ").when(ramp == "off ramp", "off-ramp ").otherwise(""), phrase)
+
+
+def direction_label(flow: Column) -> Column:
+    return F.coalesce(lookup(DIRECTIONS, F.lower(F.trim(flow))), F.lit(""))
+
+
+def route_label(route: Column) -> Column:
+    """SR-4 -> Hwy 4, US-50 -> US 50; others as they are."""
+    return swap(route, ("^SR-", "Hwy "), ("^US-", "US "))
+
+
+def place_name(name: Column) -> Column:
+    """One space between words, none inside brackets, and no leading from, to or at."""
+    return F.trim(swap(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " ")), (r"\( ", "("), (r" \)", ")"), ("(?i)^(from|to|at) ", "")))
+
+
+def closure_area(route: Column, begin: Column, end: Column, near: Column) -> Column:
+    a, b, by = place_name(begin), place_name(end), F.trim(F.coalesce(near, F.lit("")))
+    one = (a == "") | (b == "") | (F.lower(a) == F.lower(b))
+    where = F.when((a == "") & (b == ""), "").when(one, F.concat(F.lit("at "), F.when(a == "", b).otherwise(a))).otherwise(F.concat(F.lit("from "), a, F.lit(" to "), b))
+    label = F.trim(F.concat_ws(" ", route_label(route), where))
+    return F.when((by != "") & ~F.lower(label).contains(F.lower(by)), F.concat(label, F.lit(", near "), by)).otherwise(label)
+
+
+def lanes_text(lanes: Column) -> Column:
+    named = lambda t: F.when(t.rlike("^[0-9]+$"), F.concat(F.lit("lane "), t)).otherwise(F.coalesce(lookup(LANES, F.lower(t)), t))
+    return F.array_join(F.transform(_tokens(lanes), named), ", ")
+
+
+def closure_description(lanes: Column, total: Column, delay: Column) -> Column:
+    told, n = lanes_text(lanes), F.coalesce(total, F.lit(0))
+    of = F.when(n > 0, F.concat(F.lit(" (of "), n, F.when(n == 1, " lane)").otherwise(" lanes)"))).otherwise("")
+    closed = F.when(told != "", F.concat(F.lit("Closed: "), told, of, F.lit(".")))
+    late = F.when(delay > 0, F.concat(F.lit("Estimated delay: "), delay, F.lit(" min.")))
+    return F.concat_ws(" ", closed, late)
+
+
+def highway_key(highway: Column) -> Column:
+    """One spelling of a highway: Highway 4 -> hwy4, US 50 -> us50, Interstate 80 and I-80 -> i80; without a number the slug of the name."""
+    h = F.lower(F.trim(highway))
+    number = F.regexp_extract(h, r"(\d+[a-z]?)\s*$", 1)
+    kind = F.when(h.startswith("us"), "us").when(h.rlike("^(i-|i |interstate)"), "i").otherwise("hwy")
+    return F.when(number == "", slug(h)).otherwise(F.concat(kind, number))
+
+
+def highway_label(route: Column) -> Column:
+    """SR-4 -> Highway 4, US-50 -> US 50, I-80 -> I-80; others as they are."""
+    r = F.upper(F.trim(route))
+    kind, number = (F.regexp_extract(r, r"^(SR|US|I)-?\s*(\d+[A-Z]?)$", k) for k in (1, 2))
+    return F.when(kind == "SR", F.concat(F.lit("Highway "), number)).when(kind == "US", F.concat(F.lit("US "), number)).when(kind == "I", F.concat(F.lit("I-"), number)).otherwise(F.trim(route))
+
+
+def section_places(section: Column) -> Column:
+    """The places a road section's name lists: "Arnold to Bear Valley" is two."""
+    return F.filter(F.transform(F.split(section, r"(?i)\s+to\s+|\s*[-–]\s*"), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def condition_span(said: Column, kind: Column) -> Column:
+    """struct(from, to): where a road condition begins and ends; empty where it does not say."""
+    clause = F.split(F.trim(said), r"(?i)\s+-\s+|[.;](?:\s|$)|\s+due to\s|\s+for the\s")[0]
+    clause = F.regexp_replace(clause, r"(?i)\s+from \d{1,4}\s*(?:hrs|am|pm)?\s+to \d{1,4}\s*(?:hrs|am|pm)?", "")
+    clean = lambda p: F.trim(F.regexp_replace(F.trim(p), r"\s*/?\([^)]*\)\s*/?", ""))
+    rest = F.regexp_extract(clause, r"(?i)\bclosed\s+(?:from|at|between)\s+(.*)$", 1)
+    ends = F.split(rest, r"(?i)\s+(?:to|and)\s+")
+    two = lambda k: F.regexp_extract(clause, r"(?i)\bfrom\s+(.+?)\s+to\s+(.+)$", k)
+    closure = kind == "CLOSURE"
+    begin = F.when(closure, clean(ends[0])).otherwise(clean(two(1)))
+    end = F.when(closure, F.when(F.size(ends) > 1, clean(F.get(ends, 1))).otherwise("")).otherwise(clean(two(2)))
+    return F.struct(begin.alias("from"), end.alias("to"))
+
+
+def weather_phrase(coverage: Column, intensity: Column, weather: Column) -> Column:
+    """A grid condition in words: chance, light, rain_showers -> Chance of light rain showers."""
+    words = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("_"), F.lit(" "))
+    strong = F.when(F.coalesce(intensity, F.lit("none")).isin("", "none"), words(weather)).otherwise(F.concat(words(intensity), F.lit(" "), words(weather)))
+    said = F.when(coverage.isin("slight_chance", "chance"), F.concat(words(coverage), F.lit(" of "), strong)).when(F.coalesce(coverage, F.lit("")).isin("", "definite"), strong).otherwise(F.concat(words(coverage), F.lit(" "), strong))
+    return capital(said)
+
+
+#: Words that tell a report's state, in the order in which they count.
+STATES = (r"closed?", r"chain control in effect", r"restrictions?", r"incident", r"construction")
+
+
+def state_said(said: Column) -> Column:
+    """The first of the words of STATES that a report has, in lower case; empty for none."""
+    found = [F.nullif(F.regexp_extract(said, f"(?i)({p})", 1), F.lit("")) for p in STATES]
+    return F.lower(F.coalesce(*found, F.lit("")))
+
+
+def dates_said(said: Column) -> Column:
+    """The distinct dates a text names, by numbers or by month, in order."""
+    return F.array_distinct(F.regexp_extract_all(said, F.lit(r"\d{1,2}[/\-]\d{1,2}[/\-]\d{4}|[A-Za-z]{3}\s+\d{1,2},\s+\d{4}"), 0))
+
+
+def place_case(name: Column) -> Column:
+    """A name in capitals as people write it; other names stay."""
+    return F.when(name == F.upper(name), F.initcap(F.lower(name))).otherwise(name)
+
+
+def sign_routes(filed: Column, name: Column) -> Column:
+    """Routes a message sign stands for: the one it is filed under and those its name tells, in one spelling."""
+    told = F.regexp_extract_all(F.upper(name), F.lit(r"\b(?:SR|US|I|HWY)[ -]?\d+[A-Z]?\b"), 0)
+    return F.array_sort(F.array_distinct(F.transform(F.filter(F.concat(F.array(filed), told), lambda r: F.trim(r) != ""), lambda r: highway_key(swap(F.lower(r), ("^sr[ -]?", "hwy "), ("^us[ -]?", "us "), ("^i[ -]?", "i-"))))))
+
+
+def acres(v: Column) -> Column:
+    """12.34 -> "12.3 acres", whole numbers without a point; empty for none."""
+    tenth = F.floor(v * 10 + 0.5) / 10
+    shown = F.when(tenth == F.floor(tenth), F.floor(tenth).cast("bigint").cast("string")).otherwise(tenth.cast("string"))
+    return F.when(v > 0, F.concat(shown, F.lit(" acres"))).otherwise("")
+
+
+def hex_id(text: Column) -> Column:
+    """A node's id in lower case; null where it is none."""
+    t = F.lower(F.trim(text))
+    return F.when(t.rlike("^[0-9a-f]{2,64}$"), t)
+
+
+def lat_lng(text: Column) -> Column:
+    """struct(lat, lng) of "lat,lng"; null where it does not read or is out of range."""
+    parts = F.split(text, ",")
+    lat, lng = (F.trim(F.get(parts, k)).try_cast("double") for k in (0, 1))
+    return F.when((F.size(parts) == 2) & lat.between(-90, 90) & lng.between(-180, 180), F.struct(lat.alias("lat"), lng.alias("lng")))

@@ -56,3 +56,34 @@ def span_end(status: Column, observed: Column, expires: Column, now: Column) ->
 def public_map(m: Column, hidden: list[str]) -> Column:
     """Without internal keys and blank values."""
     return F.map_filter(m, lambda k, v: ~k.isin(*hidden) & (F.trim(v) != ""))
+
+
+def seconds_or_null(stamp: Column) -> Column:
+    """Whole seconds of a timestamp, cut; null for none and for the zero time."""
+    return F.nullif(F.unix_seconds(stamp.cast("timestamp")), F.lit(0).cast("bigint"))
+
+
+def stamp_or_null(seconds: Column) -> Column:
+    """The timestamp of seconds; 0 and null are no time."""
+    return F.timestamp_seconds(F.nullif(seconds, F.lit(0).cast("bigint")))
+
+
+def whole(v: Column) -> Column:
+    """The nearest whole number, halves away from zero; null stays."""
+    return F.round(v, 0).cast("int")
+
+
+def tenth(v: Column) -> Column:
+    return F.round(v, 1)
+
+
+def weak_tag(version: Column, *parts: Column) -> Column:
+    """A weak validator of a list: the same for the same version and parameters, in their order."""
+    return F.concat(F.lit('W/"'), version, F.lit("-"), F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 16), F.lit('"'))
+
+
+def window_seconds(said: Column, most_days: int = 400) -> Column:
+    """Seconds of a span like 90m, 24h or 7d, at most so many days; null for what does not read or is not positive."""
+    n, unit = F.regexp_extract(said, "^([0-9]+)([smhd])$", 1).try_cast("bigint"), F.regexp_extract(said, "^([0-9]+)([smhd])$", 2)
+    size = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400)
+    return F.when(n > 0, F.least(n * size, F.lit(most_days * 86400)))

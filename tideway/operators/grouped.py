@@ -41,13 +41,13 @@ def telemetry_kept(samples: DataFrame, order: str = "seq") -> DataFrame:
     return valid.groupBy("pubkey").applyInPandas(keep, valid.schema)
 
 
-def numbered_groups(rows: DataFrame, keys: list[str], order: list[str], base: str) -> DataFrame:
+def numbered_groups(rows: DataFrame, keys: list[str], order: list[str], base: str, separator: str = ":") -> DataFrame:
     """Ids of rows that share a base: the first has the base itself, the others a suffix from 2 on."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_n", n).withColumn("numbered", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws(":", base, F.col("_n").cast("string")))).drop("_n")
+    return rows.withColumn("_n", n).withColumn("numbered", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws(separator, base, F.col("_n").cast("string")))).drop("_n")
 
 
 def perimeters_deduped(perimeters: DataFrame, degrees: float = 0.15) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.operators import state
+from tideway.sources import normalize
 
 #: Event types in code point order give the layer numbers.
 LAYERS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
@@ -104,6 +105,38 @@ class Views:
         status = F.when(F.col("severity") <= 1, 1).when(F.col("severity") == 2, 2).otherwise(3)
         return o.select((F.col("user_id") % 20).alias("road"), F.col("observed_at").alias("sampled_at"), "seq", status.alias("status"), F.when(F.col("k") % 10 != 0, F.floor("value").cast("int")).alias("minutes"))
 
+    @cached_property
+    def event_log(self) -> DataFrame:
+        """The revisions as rows of the event model, with revision and ingested_at: fires with a square about them, evacuation zones, outages, road reports and alerts over two squares."""
+        c, k, kind = F.col, F.col("k"), F.col("event_type")
+        pick = lambda *words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+        of = lambda **by: F.coalesce(*(F.when(kind == t, v) for t, v in by.items()))
+        square = lambda half: F.array(F.array(*(F.array(F.round(c("lng") + x * half, 5), F.round(c("lat") + y * half, 5)) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)))))
+        shape = lambda name, coordinates: F.to_json(F.struct(F.lit(name).alias("type"), coordinates.alias("coordinates")))
+        point = shape("Point", F.array(F.round("lng", 5), F.round("lat", 5)))
+        layer = of(click=F.lit("WILDFIRE"), error=F.lit("EVACUATION"), purchase=F.lit("POWER"), signup=F.lit("ROAD_INCIDENT"), view=F.lit("WEATHER_ALERT"))
+        category = of(click=F.lit("wildfire"), error=F.lit("evacuation"), purchase=pick("psps", "planned", "unplanned"), signup=F.lit("incident"), view=pick("Red Flag Warning", "High Wind Warning", "Winter Storm Watch", "Flood Advisory"))
+        fire = lambda n: F.concat(F.lit("Creek "), c("user_id") % n)
+        headline = of(click=F.concat(fire(7), F.lit(" Fire — 10 ac")), error=F.concat(F.lit("Evacuation Warning — zone "), c("user_id"))).alias("headline")
+        said = of(error=F.when(k % 5 == 0, F.concat(F.lit("Near the "), fire(7), F.lit(" Fire"))).otherwise(""), signup=F.when(k % 4 == 0, F.concat(fire(5), F.lit(" fire station road"))).otherwise(F.concat(F.lit("Smoke of the creek "), c("user_id") % 5, F.lit(" fire"))))
+        level = pick("ORDER", "WARNING", "ADVISORY", "SHELTER_IN_PLACE")
+        rows = self.revisions.select("*", said.alias("description"))
+        return normalize.events(
+            rows, ("revision",), id=c("id"), layer=layer, category=category, severity=c("severity"), status=c("status"), headline=F.coalesce(headline, category), description=c("description"), area_label=F.concat(F.lit("Area "), c("user_id") % 9), url=F.when(k % 3 == 0, "javascript:x").otherwise("https://example.org/e"),
+            effective=F.when(k % 2 == 0, c("observed_at") - 3600), expires=of(view=c("observed_at") + 7200), observed_at=c("observed_at"), source_id=of(click=F.when(k % 4 == 0, "firis").otherwise("calfire"), error=F.lit("caloes"), purchase=F.lit("pge"), signup=F.lit("chp"), view=F.lit("nws")),
+            source_name=F.concat(F.lit("Source of "), kind), geojson=F.coalesce(of(click=shape("Polygon", square(0.05)), view=shape("MultiPolygon", F.array(square(0.5)))), point),
+            wildfire=of(click=F.struct(c("value").alias("acres"), k.alias("contained"), F.lit("County").alias("county"), F.lit(True).alias("has_perimeter"))), evacuation=of(error=F.struct(F.concat(F.lit("Z"), c("user_id")).alias("zone_id"), level.alias("level"), F.lit("Fire").alias("event_type"), F.lit("County").alias("county"))),
+            power=of(purchase=F.struct(c("id").alias("outage_id"), pick("Fire", "TREE CONTACT", "").alias("cause"), F.floor("value").cast("int").alias("customers"), *(F.lit(None).cast(t).alias(n) for n, t in (("event_id", "string"), ("stage", "string"), ("starts", "bigint"), ("ends", "bigint"), ("all_clear", "bigint"))), F.when(k % 7 == 0, c("observed_at") + 1800).alias("restoration"))),
+            weather=of(view=F.struct(F.array(F.concat(F.lit("CAZ"), k % 10)).alias("zones"), pick("Severe", "Minor").alias("nws_severity"), F.lit("Likely").alias("certainty"), F.lit("Expected").alias("urgency"), F.lit("").alias("instruction"))),
+            road=of(signup=F.struct(F.concat(F.lit("L"), k).alias("log_number"), F.array(F.struct(k.alias("number"), F.date_format(F.timestamp_seconds("observed_at"), "MMM d yyyy h:mma").alias("stamp"), F.lit("Units on scene").alias("text"))).alias("log"), F.lit(None).cast("struct<window_id:string,closure_type:string,work_type:string,lanes:string,total_lanes:int,planned_start:bigint,planned_end:bigint,set_up_at:bigint>").alias("closure"))),
+        ).withColumn("ingested_at", c("observed_at") + 60)
+
+    @cached_property
+    def events_now(self) -> DataFrame:
+        """The newest row of each event of event_log, with when it was first ingested."""
+        first = self.event_log.where("revision = 1").select("id", F.col("ingested_at").alias("first_ingested"))
+        return state.latest(self.event_log, "id", ["revision"]).join(first, "id")
+
 
 _LAYER = " ".join(f"WHEN '{t}' THEN {n}" for t, n in LAYERS.items())
 _SEVERITY = " + ".join(f"CAST(value >= {c} AS INT)" for c in CUTS)
@@ -118,6 +151,12 @@ SQL = {
     "revisions": """SELECT seq, id, event_type, user_id, observed_at, layer, severity, status, value, k, lat, lng, row_number() OVER (PARTITION BY id ORDER BY observed_at, seq) AS revision
         FROM gated WHERE rn = 1 OR severity IS DISTINCT FROM s0 OR status IS DISTINCT FROM t0""",
     "current_events": """SELECT * FROM revisions QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC) = 1""",
+    "event_log": """SELECT id, seq, revision, observed_at, observed_at + 60 AS ingested_at, severity, status, k, user_id, lat, lng, value,
+        CASE event_type WHEN 'click' THEN 'WILDFIRE' WHEN 'error' THEN 'EVACUATION' WHEN 'purchase' THEN 'POWER' WHEN 'signup' THEN 'ROAD_INCIDENT' ELSE 'WEATHER_ALERT' END AS layer,
+        CASE event_type WHEN 'click' THEN 'wildfire' WHEN 'error' THEN 'evacuation' WHEN 'purchase' THEN ['psps', 'planned', 'unplanned'][k % 3 + 1] WHEN 'signup' THEN 'incident' ELSE ['Red Flag Warning', 'High Wind Warning', 'Winter Storm Watch', 'Flood Advisory'][k % 4 + 1] END AS category,
+        CASE WHEN k % 2 = 0 THEN observed_at - 3600 END AS effective, CASE WHEN event_type = 'view' THEN observed_at + 7200 END AS expires, CASE event_type WHEN 'click' THEN 0.05 WHEN 'view' THEN 0.5 ELSE 0 END AS half,
+        ['ORDER', 'WARNING', 'ADVISORY', 'SHELTER_IN_PLACE'][k % 4 + 1] AS level, CAST(floor(value) AS INT) AS customers, ['Fire', 'TREE CONTACT', ''][k % 3 + 1] AS cause FROM revisions""",
+    "events_now": """SELECT e.*, f.ingested_at AS first_ingested FROM event_log e JOIN (SELECT id, ingested_at FROM event_log WHERE revision = 1) f USING (id) QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY e.revision DESC) = 1""",
     "places": f"""SELECT 'nation:' || n_nationkey AS place_id, 'nation-' || n_nationkey AS slug, n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'AREA' WHEN 1 THEN 'TOWN' ELSE 'COUNTY' END AS kind, 'region:' || n_regionkey AS parent,
         CAST({LAT0} + n_nationkey // 5 AS DOUBLE) AS min_lat, CAST({LNG0} + n_nationkey % 5 AS DOUBLE) AS min_lng, CAST({LAT0 + 1} + n_nationkey // 5 AS DOUBLE) AS max_lat, CAST({LNG0 + 1} + n_nationkey % 5 AS DOUBLE) AS max_lng
         FROM nation JOIN region ON n_regionkey = r_regionkey""",

@@ -42,7 +42,7 @@ def fires(bodies: DataFrame) -> DataFrame:
     r = _rows(bodies, "array<struct<UniqueId:string,Name:string,County:string,Location:string,AcresBurned:double,PercentContained:double,Latitude:double,Longitude:double,Started:string,Updated:string,Url:string,IsActive:boolean>>", "")
     number = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(0.0))
     return r.select(
-        F.concat(F.lit("calfire:"), "r.UniqueId").alias("id"), F.col("r.Name").alias("name"), F.col("r.County").alias("county"), number("AcresBurned").alias("acres"), number("PercentContained").cast("int").alias("contained"), number("Latitude").alias("lat"), number("Longitude").alias("lng"),
+        F.concat(F.lit("calfire:"), "r.UniqueId").alias("id"), F.col("r.Name").alias("name"), F.col("r.County").alias("county"), F.col("r.Location").alias("location"), F.col("r.Url").alias("url"), number("AcresBurned").alias("acres"), number("PercentContained").cast("int").alias("contained"), number("Latitude").alias("lat"), number("Longitude").alias("lng"),
         F.unix_timestamp(times.local_or_rfc(F.col("r.Started"))).alias("started"), F.unix_timestamp(times.local_or_rfc(F.col("r.Updated"))).alias("updated"), F.col("r.IsActive").alias("active"),
     )
 
@@ -51,47 +51,68 @@ def quakes(bodies: DataFrame, least: float = 2.5) -> DataFrame:
     """Earthquakes of at least a magnitude."""
     r = _rows(bodies, f"features array<struct<id:string,properties:struct<mag:double,place:string,time:bigint,updated:bigint,felt:int,url:string>,{POINT.replace(' ', ':', 1)}>>", "features")
     p = r.select("r.id", "r.properties.*", F.col("r.geometry.coordinates").alias("c")).where(F.col("mag") >= least)
-    return p.select(F.concat(F.lit("usgs:"), "id").alias("id"), "mag", "place", F.floor(F.col("time") / 1000).alias("at_seconds"), F.col("c")[1].alias("lat"), F.col("c")[0].alias("lng"), F.col("c")[2].alias("depth_km"), F.coalesce("felt", F.lit(0)).alias("felt"), classify.from_magnitude(F.col("mag")).alias("severity"))
+    return p.select(F.concat(F.lit("usgs:"), "id").alias("id"), "mag", "place", F.floor(F.col("time") / 1000).alias("at_seconds"), F.floor(F.nullif("updated", F.lit(0)) / 1000).alias("updated"), "url", F.col("c")[1].alias("lat"), F.col("c")[0].alias("lng"), F.col("c")[2].alias("depth_km"), F.coalesce("felt", F.lit(0)).alias("felt"), classify.from_magnitude(F.col("mag")).alias("severity"))
 
 
-def evacuations(bodies: DataFrame) -> DataFrame:
-    """Evacuation zones that are in force, with their coded level."""
-    r = _rows(bodies, "features array<struct<properties:struct<ZONE_ID:string,ZONE_NAME:string,COUNTY:string,STATUS:string,EVENT_TYPE:string,PUBLIC_INFO:string,NOTES:string,STATEWIDE_LAST_UPDATED:bigint>>>", "features").select("r.properties.*")
-    level = classify.evacuation_level(F.col("STATUS"))
-    rows = r.select(F.concat(F.lit("caloes:"), "ZONE_ID").alias("id"), F.col("ZONE_NAME").alias("name"), F.col("COUNTY").alias("county"), level.alias("level"), F.floor(F.col("STATEWIDE_LAST_UPDATED") / 1000).alias("updated"))
-    return rows.where("level is not null").withColumn("severity", classify.from_evacuation_level(F.col("level")))
+def shapes(bodies: DataFrame, properties: str) -> DataFrame:
+    """``seq`` (the order in the bodies), the properties and ``geojson`` (any geometry, as the source wrote it) of each feature of a collection."""
+    each = bodies.select(F.struct(F.monotonically_increasing_id().alias("m"), F.lit(0).alias("n")).alias("at"), F.posexplode(F.from_json("body", "features array<string>")["features"]).alias("n", "f"))
+    p = F.from_json(F.get_json_object("f", "$.properties"), properties)
+    g = F.get_json_object("f", "$.geometry")
+    return each.select((F.col("at.m") * 1_000_000 + F.col("n")).alias("seq"), p.alias("p"), F.when(geo.vertices(g).isNotNull(), g).alias("geojson")).select("seq", "p.*", "geojson")
+
+
+def evacuations(bodies: DataFrame, area: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Evacuation zones that are in force, with their coded level and shape, those that meet an area where one is given. A zone whose status is blank is listed, so it counts as a WARNING."""
+    r = shapes(bodies, "ZONE_ID string, ZONE_NAME string, COUNTY string, STATUS string, EVENT_TYPE string, PUBLIC_INFO string, NOTES string, STATEWIDE_LAST_UPDATED bigint")
+    level = F.coalesce(classify.evacuation_level(F.col("STATUS")), F.when(~classify.evacuation_inactive(F.col("STATUS")), "WARNING"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    rows = r.select(
+        F.concat(F.lit("caloes:"), "ZONE_ID").alias("id"), "seq", blank("ZONE_NAME").alias("name"), blank("COUNTY").alias("county"), level.alias("level"), F.col("EVENT_TYPE").alias("event_type"), F.col("PUBLIC_INFO").alias("info"),
+        F.floor(F.col("STATEWIDE_LAST_UPDATED") / 1000).alias("updated"), "geojson",
+    )
+    rows = rows.where("level is not null").withColumn("severity", classify.from_evacuation_level(F.col("level")))
+    return rows.where(geo.boxes_meet(geo.box(F.col("geojson")), tuple(map(F.lit, area)))) if area else rows
 
 
 def outages(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Outage points and areas of one id as one row; the first point of an id counts, areas without a point stay."""
-    schema = "features array<struct<properties:struct<OUTAGE_ID:string,OUTAGE_CAUSE:string,EST_CUSTOMERS:int,OUTAGE_START:bigint>,geometry:struct<type:string,coordinates:array<double>>>>"
-    p = points.select(F.posexplode(F.from_json("body", schema)["features"]).alias("n", "r")).where("r.properties.OUTAGE_ID <> ''")
-    first = p.groupBy(F.col("r.properties.OUTAGE_ID").alias("id")).agg(F.min_by("r", "n").alias("r"))
-    area = "features array<struct<properties:struct<OUTAGE_ID:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
-    q = _rows(polygons, area, "features").where("r.properties.OUTAGE_ID <> ''").groupBy(F.col("r.properties.OUTAGE_ID").alias("id")).agg(F.array_sort(F.collect_list("r.geometry.coordinates")).alias("areas"))
+    """Outage points and areas of one id as one row; the first point of an id counts (in the order of ``block`` where the bodies have that column), areas without a point stay, and an id's areas are one MultiPolygon."""
+    schema = "features array<struct<properties:struct<OUTAGE_ID:string,OUTAGE_CAUSE:string,EST_CUSTOMERS:int,OUTAGE_START:bigint,LAST_UPDATE:bigint>,geometry:struct<type:string,coordinates:array<double>>>>"
+    block = F.col("block") if "block" in points.columns else F.lit(0)
+    p = points.select(block.alias("block"), F.posexplode(F.from_json("body", schema)["features"]).alias("n", "r")).where("r.properties.OUTAGE_ID <> ''")
+    first = p.groupBy(F.col("r.properties.OUTAGE_ID").alias("id")).agg(F.min_by("r", F.struct("block", "n")).alias("r"))
+    q = shapes(polygons, "OUTAGE_ID string").where("OUTAGE_ID <> '' AND geojson IS NOT NULL").withColumn("parts", geo.polygons(F.col("geojson")))
+    q = q.where("parts IS NOT NULL").groupBy(F.col("OUTAGE_ID").alias("id")).agg(F.sum(F.size("parts")).cast("int").alias("areas"), geo.multi_polygon_json(F.flatten(F.array_sort(F.collect_list("parts")))).alias("geojson"))
     both = first.join(q, "id", "full")
     customers = F.coalesce("r.properties.EST_CUSTOMERS", F.lit(0))
     cause = F.coalesce("r.properties.OUTAGE_CAUSE", F.lit(""))
-    return both.select("id", customers.alias("customers"), cause.alias("cause"), F.col("r.geometry.coordinates")[1].alias("lat"), F.col("r.geometry.coordinates")[0].alias("lng"), F.coalesce(F.size("areas"), F.lit(0)).alias("areas"), classify.from_power_outage(customers, F.lower(cause).contains("planned")).alias("severity"))
+    seconds = lambda c: F.floor(F.nullif(F.col(f"r.properties.{c}"), F.lit(0)) / 1000)
+    return both.select(
+        "id", customers.alias("customers"), cause.alias("cause"), F.col("r.geometry.coordinates")[1].alias("lat"), F.col("r.geometry.coordinates")[0].alias("lng"), F.coalesce("areas", F.lit(0)).alias("areas"), "geojson", seconds("OUTAGE_START").alias("started"), seconds("LAST_UPDATE").alias("updated"),
+        classify.from_power_outage(customers, F.lower(cause).contains("planned")).alias("severity"),
+    )
 
 
 def shutoffs(bodies: DataFrame) -> DataFrame:
-    """Shutoff areas grouped by event and period: the most severe stage, the earliest start, customers as text or 0."""
-    r = _rows(bodies, "features array<struct<properties:struct<EventID:string,TimePeriod:string,Stage:string,TotCustAff:string,DeEngStart:string>>>", "features").select("r.properties.*")
+    """Shutoff areas grouped by event and period: the most severe stage, the earliest start, customers as text or 0, all areas as one MultiPolygon."""
+    r = shapes(bodies, "EventID string, TimePeriod string, Stage string, TotCustAff string, DeEngStart string")
     n = F.coalesce(F.trim("TotCustAff").try_cast("int"), F.lit(0))
-    rows = r.select(F.concat_ws(":", F.lit("psps"), "EventID", "TimePeriod").alias("id"), F.col("Stage").alias("stage"), n.alias("customers"), F.unix_timestamp(F.try_to_timestamp("DeEngStart")).alias("starts"), classify.from_psps_stage(F.col("Stage")).alias("severity"))
-    return rows.groupBy("id").agg(F.max_by("stage", F.struct("severity", F.col("stage"))).alias("stage"), F.sum("customers").alias("customers"), F.min("starts").alias("starts"), F.max("severity").alias("severity"))
+    rows = r.select(F.concat_ws(":", F.lit("psps"), "EventID", "TimePeriod").alias("id"), F.col("Stage").alias("stage"), n.alias("customers"), F.unix_timestamp(F.try_to_timestamp("DeEngStart")).alias("starts"), classify.from_psps_stage(F.col("Stage")).alias("severity"), geo.polygons(F.col("geojson")).alias("parts"))
+    return rows.groupBy("id").agg(
+        F.max_by("stage", F.struct("severity", F.col("stage"))).alias("stage"), F.sum("customers").alias("customers"), F.min("starts").alias("starts"), F.max("severity").alias("severity"), geo.multi_polygon_json(F.flatten(F.array_sort(F.collect_list("parts")))).alias("geojson"),
+    )
 
 
 def weather_alerts(bodies: DataFrame, zones: str = "") -> DataFrame:
     """Alerts of the wanted zones (all, when none is wanted or an alert names none), with whom they replace."""
-    schema = "features array<struct<properties:struct<id:string,event:string,severity:string,headline:string,effective:string,onset:string,expires:string,messageType:string,replacedBy:string,geocode:struct<UGC:array<string>>,references:array<struct<identifier:string>>>>>"
+    schema = "features array<struct<properties:struct<id:string,event:string,severity:string,certainty:string,urgency:string,headline:string,description:string,instruction:string,senderName:string,parameters:map<string,array<string>>,effective:string,onset:string,expires:string,messageType:string,replacedBy:string,geocode:struct<UGC:array<string>>,references:array<struct<identifier:string>>>>>"
     r = _rows(bodies, schema, "features").select("r.properties.*")
     wanted = F.array_distinct(F.transform(text.list_of(F.upper(F.lit(zones))), lambda z: F.trim(z)))
     own = F.coalesce("geocode.UGC", F.array().cast("array<string>"))
     rows = r.where((F.size(wanted) == 0) | (F.size(own) == 0) | F.arrays_overlap(wanted, own))
     starts = F.coalesce(F.try_to_timestamp("onset"), F.try_to_timestamp("effective"))
-    return rows.select("id", "event", classify.from_nws_severity(F.col("severity")).alias("severity"), own.alias("zones"), F.unix_timestamp(starts).alias("starts"), F.unix_timestamp(F.try_to_timestamp("expires")).alias("expires"), F.col("messageType").alias("kind"), F.transform(F.coalesce("references", F.array()), lambda x: x["identifier"]).alias("replaces"), F.element_at(F.split("replacedBy", "/"), -1).alias("replaced_by"))
+    line = F.coalesce(F.get(F.col("parameters")["NWSheadline"], 0), F.lit(""))
+    return rows.select("id", "event", F.col("severity").alias("said"), "certainty", "urgency", line.alias("headline"), "description", "instruction", F.col("senderName").alias("sender"), classify.from_nws_severity(F.col("severity")).alias("severity"), own.alias("zones"), F.unix_timestamp(starts).alias("starts"), F.unix_timestamp(F.try_to_timestamp("expires")).alias("expires"), F.col("messageType").alias("kind"), F.transform(F.coalesce("references", F.array()), lambda x: x["identifier"]).alias("replaces"), F.element_at(F.split("replacedBy", "/"), -1).alias("replaced_by"))
 
 
 def standing_alerts(alerts: DataFrame) -> DataFrame:
@@ -143,7 +164,7 @@ def lane_closures(bodies: DataFrame) -> DataFrame:
     stamp = lambda k: f"{k}Date:string,{k}Time:string,{k}Epoch:string"
     r = _rows(
         bodies,
-        f"data array<struct<lcs:struct<index:string,location:struct<travelFlowDirection:string,begin:map<string,string>,end:map<string,string>>,closure:struct<closureID:string,logNumber:string,closureTimestamp:struct<{stamp('closureStart')},{stamp('closureEnd')},isClosureEndIndefinite:string>,facility:string,typeOfClosure:string,typeOfWork:string,lanesClosed:string,totalExistingLanes:string,code1097:struct<isCode1097:string>,code1098:struct<isCode1098:string>,code1022:struct<isCode1022:string>>>>>",
+        f"data array<struct<lcs:struct<index:string,location:struct<travelFlowDirection:string,begin:map<string,string>,end:map<string,string>>,closure:struct<closureID:string,logNumber:string,closureTimestamp:struct<{stamp('closureStart')},{stamp('closureEnd')},isClosureEndIndefinite:string>,facility:string,typeOfClosure:string,typeOfWork:string,estimatedDelay:string,lanesClosed:string,totalExistingLanes:string,code1097:struct<isCode1097:string>,code1098:struct<isCode1098:string>,code1022:struct<isCode1022:string>>>>>",
         "data",
     )
     c, t = "r.lcs.closure", "r.lcs.closure.closureTimestamp"
@@ -153,7 +174,12 @@ def lane_closures(bodies: DataFrame) -> DataFrame:
     lat, lng = F.col("r.lcs.location.begin")["beginLatitude"].try_cast("double"), F.col("r.lcs.location.begin")["beginLongitude"].try_cast("double")
     why = F.when(lat.isNull() | lng.isNull(), "position").when(F.exists(F.array(*(flag(p) for p in codes)), lambda x: ~x.isin("true", "false")), "flag")
     total = F.coalesce(F.trim(F.col(f"{c}.totalExistingLanes")).try_cast("int"), F.lit(0))
+    place = lambda end, k: F.col(f"r.lcs.location.{end}")[f"{end}{k}"]
+    end_lat, end_lng = (place("end", k).try_cast("double") for k in ("Latitude", "Longitude"))
     return r.select(
+        F.monotonically_increasing_id().alias("seq"), F.trim("r.lcs.location.travelFlowDirection").alias("direction"), F.trim(F.col(f"{c}.facility")).alias("facility"), F.trim(F.col(f"{c}.typeOfClosure")).alias("closure_type"), F.trim(F.col(f"{c}.typeOfWork")).alias("work_type"), F.col(f"{c}.lanesClosed").alias("lanes"),
+        total.alias("total_lanes"), F.trim(F.col(f"{c}.estimatedDelay")).try_cast("int").alias("delay"), end_lat.alias("end_lat"), end_lng.alias("end_lng"), place("begin", "LocationName").alias("from_name"), place("end", "LocationName").alias("to_name"), place("begin", "NearbyPlace").alias("near"),
+        F.coalesce(F.trim(F.col(f"{t}.closureStartEpoch")).try_cast("bigint")).alias("recorded_at"),
         F.concat_ws("-", F.trim(f"{c}.closureID"), F.trim(f"{c}.logNumber")).alias("id"), F.upper(F.trim(F.col("r.lcs.location.begin")["beginRoute"])).alias("route"), lat.alias("lat"), lng.alias("lng"), when("closureStart").alias("starts"), F.when(flag(f"{t}.isClosureEndIndefinite") != "true", when("closureEnd")).alias("ends"),
         *(F.coalesce(flag(p) == "true", F.lit(False)).alias(n) for p, n in zip(codes, ("in_place", "picked_up", "cancelled"), strict=True)),
         classify.from_lane_closure(F.col(f"{c}.facility"), F.col(f"{c}.typeOfClosure"), F.col(f"{c}.lanesClosed"), total).alias("severity"), why.alias("unrecognized"),
@@ -259,17 +285,14 @@ def point(lat: Column, lng: Column) -> Column:
 
 
 def perimeters(bodies: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Active fire perimeters in a stable order, those in a box (min_lat, min_lng, max_lat, max_lng) where one is given."""
-    schema = "features array<struct<properties:struct<OBJECTID:bigint,incident_name:string,incident_number:string,displayStatus:string,area_acres:double,poly_DateCurrent:bigint>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
-    r = _rows(bodies, schema, "features")
-    rings = F.col("r.geometry.coordinates")
-    rows = r.where("r.properties.displayStatus = 'Active' OR r.properties.displayStatus IS NULL OR r.properties.displayStatus = ''").select(
-        F.col("r.properties.OBJECTID").alias("object_id"), F.col("r.properties.incident_name").alias("name"), text.fire_key(F.col("r.properties.incident_name")).alias("norm"), F.coalesce("r.properties.area_acres", F.lit(0.0)).alias("acres"),
-        F.floor(F.col("r.properties.poly_DateCurrent") / 1000).alias("current_at"), *(v.alias(n) for v, n in zip(geo.ring_box(rings), ("min_lat", "min_lng", "max_lat", "max_lng"), strict=True)),
+    """Active fire perimeters, Polygon or MultiPolygon, with their shape; those in a box (min_lat, min_lng, max_lat, max_lng) where one is given. A fire without a name takes the one in its mission."""
+    r = shapes(bodies, "OBJECTID bigint, incident_name string, incident_number string, mission string, displayStatus string, area_acres double, poly_DateCurrent bigint")
+    name = F.coalesce(F.nullif(F.trim("incident_name"), F.lit("")), text.mission_fire(F.coalesce("mission", F.lit(""))))
+    corners = dict(zip(("min_lat", "min_lng", "max_lat", "max_lng"), geo.box(F.col("geojson")), strict=True))
+    rows = r.where("displayStatus = 'Active' OR displayStatus IS NULL OR displayStatus = ''").select(
+        F.col("OBJECTID").alias("object_id"), name.alias("name"), text.fire_key(name).alias("norm"), F.col("incident_number").alias("incident"), F.coalesce("area_acres", F.lit(0.0)).alias("acres"), F.floor(F.col("poly_DateCurrent") / 1000).alias("current_at"), "geojson", *(v.alias(n) for n, v in corners.items()),
     )
-    if box:
-        rows = rows.where(geo.boxes_meet(tuple(map(F.lit, box)), tuple(F.col(n) for n in ("min_lat", "min_lng", "max_lat", "max_lng"))))
-    return rows
+    return rows.where(geo.boxes_meet(tuple(map(F.lit, box)), tuple(F.col(n) for n in corners))) if box else rows
 
 
 def newest_stamp(bodies: DataFrame) -> DataFrame:
