@@ -178,7 +178,7 @@ def with_views(sql: str) -> str:
     for name in reversed(SQL):
         if re.search(rf"\b{name}\b", text):
             used.append(name)
-            text += SQL[name]
+            text += " " + SQL[name]
     ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in reversed(used))
     if not ctes:
         return sql

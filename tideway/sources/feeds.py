@@ -301,6 +301,12 @@ def newest_stamp(bodies: DataFrame) -> DataFrame:
     return r.agg(F.max(F.unix_timestamp(F.try_to_timestamp("r.attributes.LAST_UPDATE", F.lit("yyyy-MM-dd HH:mm:ss")))).alias("newest"))
 
 
+def edited(bodies: DataFrame, before: int) -> DataFrame:
+    """One row: when a layer was last edited, in seconds, and whether that is after the edit that was read before."""
+    at = F.max(F.floor(F.get_json_object("body", "$.editingInfo.dataLastEditDate").try_cast("bigint") / 1000))
+    return bodies.agg(at.alias("newest"), F.coalesce(at > before, F.lit(True)).alias("changed"))
+
+
 def weather_now(bodies: DataFrame) -> DataFrame:
     """Current weather as whole numbers: degrees cut towards zero, wind in km/h, sight in km."""
     r = bodies.select(F.from_json("body", "id string, dt bigint, main struct<temp:double,feels_like:double,humidity:int>, wind struct<speed:double,deg:int>, visibility int").alias("r")).select("r.*")
