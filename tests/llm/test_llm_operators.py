@@ -184,14 +184,30 @@ def test_substring_dedup(spark, docs, empty, sf):
 
 def test_fm_index_counts_every_run():
     text = np.array([1, 2, 1, 2, 3, 0, 2, 1, 2, 3, 0, 1, 2, 3, 1, 0])
-    index = substrings.FMIndex(text, 3)
-    runs = [i for i in range(len(text) - 2) if 0 not in text[i : i + 3]]
-    reached, lo, hi = index.match(np.array(runs), 3)
-    for i, r, a, b in zip(runs, reached, lo, hi, strict=True):
-        n = [sum(tuple(text[j : j + k]) == tuple(text[i + 3 - k : i + 3]) for j in range(len(text))) for k in (1, 2, 3)]
-        assert r == sum(x > 1 for x in n)
-        if r == 3:
-            assert b - a == n[2]
+    owner = np.array([0] * 6 + [1] * 5 + [2] * 5)
+    index = substrings.FMIndex(text, owner, 3)
+    for stream in (text, np.array([3, 1, 2, 3, 9, 2, 1, 2, 0, 2, 3, 1])):  # also a stream with a symbol that the text has not
+        runs = [i for i in range(len(stream) - 2) if 0 not in stream[i : i + 3]]
+        reached, lo, hi = index.match(stream, np.array(runs), 3)
+        least = index.least(lo, np.maximum(hi, lo), np.array([7, 5, 6]))
+        for i, r, a, b, low in zip(runs, reached, lo, hi, least, strict=True):
+            starts = [[j for j in range(len(text) - k + 1) if tuple(text[j : j + k]) == tuple(stream[i + 3 - k : i + 3])] for k in (1, 2, 3)]
+            n = [len(x) for x in starts]
+            assert r == next((k for k, x in enumerate(n) if x < 2), 3)
+            if r == 3:
+                assert b - a == n[2] and low == min([7, 5, 6][owner[j]] for j in starts[2])
+
+
+def test_search_in_pieces(monkeypatch):
+    """Windows streamed a few at a time find what all at once find."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3, 60)).encode() for _ in range(6)]
+    words, at = substrings.numbered(texts)
+    blob = lambda d: [np.unique(words[at[d] : at[d + 1]]), np.unique(words[at[d] : at[d + 1]], return_inverse=True)[1], np.array([60]), np.array([1], np.uint32), np.array([1]), np.array([0]), np.array([0]), np.array([d]), np.array([d])]
+    told = lambda: sorted((d, h, a.tolist(), k.tolist()) for d, h, a, k in substrings.matched([blob(d) for d in range(6)], 5))
+    whole = told()
+    monkeypatch.setattr(substrings, "HELD", 7)
+    assert [(d, sorted(i for x, n in zip(a, k, strict=True) for i in range(x, x + n))) for d, _, a, k in told()] == [(d, sorted(i for x, n in zip(a, k, strict=True) for i in range(x, x + n))) for d, _, a, k in whole] and whole
 
 
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")

@@ -12,12 +12,16 @@ occur in more than one document. Then the segments under such keys travel with
 their words. What a task already sees repeated among its own documents is
 settled there, so a passage that many share travels once a task.
 
-Search. A shard sorts the suffixes of its distinct segments to WINDOW words,
-keeps the Burrows-Wheeler transform as a wavelet matrix over packed bits with
-counts, and extends every window backwards, all at once, word by word. A window
-whose interval shrinks to one row is matched by itself alone and stops: the
-length reached is its matching statistic. Those that reach WINDOW words are
-compared with the smallest document in their interval.
+Search. A shard sorts the suffixes of its distinct segments to WINDOW words and
+keeps of them the Burrows-Wheeler transform as a wavelet matrix over packed
+bits with 32-bit counts, and for each suffix the number of its segment in the
+narrowest type; neither the text nor the suffix array stays. The documents'
+segments are then streamed against that index, a bounded number of windows at a
+time: their words are looked up in the index's vocabulary and every window is
+extended backwards, word by word. A window whose interval shrinks to one row is
+matched by itself alone and stops: the length reached is its matching
+statistic. Those that reach WINDOW words are compared with the smallest
+document in their interval.
 
 Words are 64-bit XXH64 numbers from the first step on; a false match takes two
 different words of one number in equal surroundings.
@@ -47,7 +51,7 @@ WINDOW, GRAM = 13, 7
 CHUNK_WORDS, SHARD_BYTES = 1_500_000, 7_500_000
 #: A small table still spreads over a cluster.
 LEAST_SHARDS = 64
-#: Windows that are extended at once.
+#: Windows that are streamed against an index at once.
 HELD = 1 << 18
 NULL_ID = -(1 << 63)
 MEMORY = 400_000
@@ -252,13 +256,13 @@ class WaveletMatrix:
             pad[: len(seq)] = bit
             word = np.packbits(pad, bitorder="little").view("<u8")
             self.word.append(word)
-            self.count.append(np.concatenate([[0], np.cumsum(np.bitwise_count(word), dtype=np.int64)]))
+            self.count.append(np.concatenate([[0], np.cumsum(np.bitwise_count(word), dtype=np.int64)]).astype(np.uint32 if len(seq) < 1 << 32 else np.int64))
             self.zeros.append(len(seq) - int(bit.sum()))
             seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
 
     def ones(self, level: int, i: np.ndarray) -> np.ndarray:
         q = i >> 6
-        return self.count[level][q] + np.bitwise_count(self.word[level][q] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+        return self.count[level][q].astype(np.int64) + np.bitwise_count(self.word[level][q] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
 
     def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol stands before lo and before hi."""
@@ -273,11 +277,11 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search for runs of up to ``depth`` symbols in a text whose symbol 0 separates its parts."""
+    """Backward search for runs of up to ``depth`` symbols in a text whose symbol 0 separates its parts. ``owner`` numbers the part that each place of the text is in; of each suffix that number is kept."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.text = text
+    def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int):
         rank, have = text.astype(np.int64), 1
+        order = np.argsort(rank, kind="stable")
         while have < depth:
             step = min(have, depth - have)
             after = np.zeros_like(rank)
@@ -288,32 +292,41 @@ class FMIndex:
             rank = np.empty_like(rank)
             rank[order] = np.cumsum(new)
             have += step
-        self.suffix = order
+        self.owner = small(owner)[order]
         last = np.concatenate([text[-1:], text[:-1]])[order]
-        top = int(text.max()) + 1
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top))])
-        self.tree = WaveletMatrix(last, max(1, int(top - 1).bit_length()))
+        self.top = int(text.max()) + 1
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.top))])
+        self.tree = WaveletMatrix(last, max(1, int(self.top - 1).bit_length()))
 
-    def match(self, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For runs of the text itself: words matched by more than one suffix, and the interval where all of them are."""
+    def match(self, stream: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For runs of ``length`` symbols of a stream that start at the given places: how many symbols, from the end, more than one suffix matches, and the interval of suffixes where all of them do. A symbol that the text does not have, or 0, matches nothing."""
+        stream = np.where(stream < self.top, stream, 0)
         reached = np.zeros(len(start), np.int64)
         sp, ep = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-        for i in range(0, len(start), HELD):
-            at = np.arange(i, min(i + HELD, len(start)))
-            c = self.text[start[at] + length - 1]
-            lo, hi = self.before[c], self.before[c + 1]
-            for j in range(length - 2, -2, -1):
-                several = hi - lo > 1
-                at, lo, hi = at[several], lo[several], hi[several]
-                reached[at] += 1
-                if j < 0 or not len(at):
-                    break
-                c = self.text[start[at] + j]
-                a, b = self.tree.rank(c, lo, hi)
-                lo, hi = self.before[c] + a, self.before[c] + b
-            sp[at], ep[at] = lo, hi
+        at = np.arange(len(start))
+        c = stream[start + length - 1]
+        lo, hi = np.where(c > 0, self.before[c], 0), np.where(c > 0, self.before[c + 1], 0)
+        for j in range(length - 2, -2, -1):
+            several = hi - lo > 1
+            at, lo, hi = at[several], lo[several], hi[several]
+            reached[at] += 1
+            if j < 0 or not len(at):
+                break
+            c = stream[start[at] + j]
+            a, b = self.tree.rank(c, lo, hi)
+            lo, hi = np.where(c > 0, self.before[c] + a, 0), np.where(c > 0, self.before[c] + b, 0)
+        sp[at], ep[at] = lo, hi
         return reached, sp, ep
 
+    def least(self, sp: np.ndarray, ep: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The least value, by owner, in each interval of suffixes."""
+        begin, which = np.unique(sp, return_inverse=True)
+        end = np.zeros(len(begin), np.int64)
+        end[which] = ep
+        low = np.append(value[self.owner], np.iinfo(np.int64).max)  # reduceat wants places below the length
+        found = np.minimum.reduceat(low, np.stack([begin, end], 1).ravel())[::2] if len(begin) else low[:0]
+        return found[which]
+
 
 def segment_numbers(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A number for each segment: the sum of its words' numbers by powers of an odd base, and its length."""
@@ -396,41 +409,44 @@ def matched(blobs: list[list[np.ndarray]], window: int = WINDOW) -> Iterator[tup
         yield int(names[d, 0]), int(names[d, 1]), x, y
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at start and have so many places, one run after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _searched(words, size, source, seg, least, first, count, place, doc_at, window) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """document, first window, windows in a row of the segments' windows that a smaller document has too."""
-    n = size[seg]
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n, value = size[seg], least[seg]
+    vocabulary, symbol = np.unique(words[_runs(source[seg], n)], return_inverse=True)
     edge = np.cumsum(n + 1) - (n + 1)
     text = np.zeros(int((n + 1).sum()), np.int64)
-    flat = np.repeat(edge - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    _, symbol = np.unique(words[np.repeat(source[seg] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], return_inverse=True)
-    text[flat] = symbol + 1
-    index = FMIndex(text, window)
+    text[_runs(edge, n)] = symbol + 1
+    index = FMIndex(text, np.repeat(np.arange(len(seg)), n + 1), window)
+    del text, symbol
+    out = [(np.zeros(0, np.int64),) * 3]
     many = n - window + 1
-    own = np.repeat(np.arange(len(seg)), many)
-    start = np.repeat(edge - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    reached, sp, ep = index.match(start, window)
-    full = np.flatnonzero(reached == window)
-    if not len(full):
-        return none
-    belongs = np.repeat(np.arange(len(seg)), n + 1)[index.suffix]
-    low = least[seg][belongs]
-    begin, which = np.unique(sp[full], return_inverse=True)
-    end = np.zeros(len(begin), np.int64)
-    end[which] = ep[full]
-    cuts = np.stack([begin, np.minimum(end, len(low) - 1)], 1).ravel()
-    smallest = np.minimum.reduceat(low, cuts)[::2] if len(cuts) else low[:0]
-    tail = end == len(low)
-    smallest[tail] = np.minimum(smallest[tail], low[-1])
-    hit = full[smallest[which] < least[seg][own[full]]]
-    # Windows in a row, for each occurrence of the segment in its smallest document.
-    run = np.concatenate([[True], (np.diff(hit) != 1) | (own[hit][1:] != own[hit][:-1])]) if len(hit) else np.zeros(0, bool)
-    begin = np.flatnonzero(run)
-    length = np.diff([*begin, len(hit)])
-    s, offset = own[hit[begin]], start[hit[begin]] - edge[own[hit[begin]]]
-    times = count[seg[s]]
-    occ = np.repeat(first[seg[s]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-    return doc_at[occ], place[occ] + np.repeat(offset, times), np.repeat(length, times)
+    parts = np.searchsorted(np.cumsum(many), np.arange(HELD, int(many.sum()), HELD)) + 1
+    for which in np.split(np.arange(len(seg)), np.unique(parts)):
+        if not len(which):
+            continue
+        # These segments as a stream of symbols, whatever index they are searched in.
+        said = words[_runs(source[seg[which]], n[which])]
+        at = np.minimum(np.searchsorted(vocabulary, said), len(vocabulary) - 1)
+        stream = np.where(vocabulary[at] == said, at + 1, 0)
+        base = np.cumsum(n[which]) - n[which]
+        own, start = np.repeat(which, many[which]), _runs(base, many[which])
+        offset = start - np.repeat(base, many[which])
+        reached, sp, ep = index.match(stream, start, window)
+        full = np.flatnonzero(reached == window)
+        hit = full[index.least(sp[full], ep[full], value) < value[own[full]]]
+        # Windows in a row, for each occurrence of the segment in its smallest document.
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (own[hit][1:] != own[hit][:-1])])) if len(hit) else hit
+        length = np.diff([*begin, len(hit)])
+        s, away = own[hit[begin]], offset[hit[begin]]
+        times = count[seg[s]]
+        occ = _runs(first[seg[s]], times)
+        out.append((doc_at[occ], place[occ] + np.repeat(away, times), np.repeat(length, times)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def removed(blobs: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
