@@ -271,18 +271,18 @@ def section_places(section: Column) -> Column:
     return F.filter(F.transform(F.split(section, r"(?i)\s+to\s+|\s*[-–]\s*"), lambda p: F.trim(p)), lambda p: p != "")
 
 
+#: How a road condition's text ends its clause, tells hours and counties, and begins a closure.
+CLAUSE_END, HOURS, IN_COUNTY, CLOSED = r"(?i)\s+-\s+|\s*-\s*(?=(?:due to|for the|motorists)\b)", r"(?i)\s+(?:from\s+\d{3,4}\s+hrs|\d+\s+hrs\s+a\s+day)\b.*$", r"(?i)\s*\([^)]*\bCo\)", r"(?i)^(?:is|are)?\s*closed\b\s*(?:from\s+|at\s+)?"
+
+
 def condition_span(said: Column, kind: Column) -> Column:
     """struct(from, to): where a road condition begins and ends; empty where it does not say."""
-    clause = F.split(F.trim(said), r"(?i)\s+-\s+|[.;](?:\s|$)|\s+due to\s|\s+for the\s")[0]
-    clause = F.regexp_replace(clause, r"(?i)\s+from \d{1,4}\s*(?:hrs|am|pm)?\s+to \d{1,4}\s*(?:hrs|am|pm)?", "")
-    clean = lambda p: F.trim(F.regexp_replace(F.trim(p), r"\s*/?\([^)]*\)\s*/?", ""))
-    rest = F.regexp_extract(clause, r"(?i)\bclosed\s+(?:from|at|between)\s+(.*)$", 1)
-    ends = F.split(rest, r"(?i)\s+(?:to|and)\s+")
-    two = lambda k: F.regexp_extract(clause, r"(?i)\bfrom\s+(.+?)\s+to\s+(.+)$", k)
-    closure = kind == "CLOSURE"
-    begin = F.when(closure, clean(ends[0])).otherwise(clean(two(1)))
-    end = F.when(closure, F.when(F.size(ends) > 1, clean(F.get(ends, 1))).otherwise("")).otherwise(clean(two(2)))
-    return F.struct(begin.alias("from"), end.alias("to"))
+    clause = F.regexp_replace(F.split(F.trim(said), CLAUSE_END)[0], HOURS, "")
+    clean = lambda p: F.trim(F.regexp_replace(F.trim(F.coalesce(p, F.lit(""))), IN_COUNTY, ""))
+    shut = F.when(clause.rlike(CLOSED), F.split(F.regexp_replace(clause, CLOSED, ""), r"(?i)\s+to\s+", 2))
+    others = [F.regexp_extract(clause, r"(?i)\bfrom\s+(.+?)\s+to\s+(.+)$", k) for k in (1, 2)]
+    ends = [F.when(kind == "CLOSURE", clean(F.get(shut, k))).otherwise(clean(o)) for k, o in enumerate(others)]
+    return F.struct(ends[0].alias("from"), ends[1].alias("to"))
 
 
 def weather_phrase(coverage: Column, intensity: Column, weather: Column) -> Column:

@@ -32,7 +32,7 @@ def t13_highways(v: Views) -> DataFrame:
 def t14_condition_spans(v: Views) -> DataFrame:
     """Where a condition begins and ends, as its text says."""
     kind = pick("CLOSURE", "CLOSURE", "CLOSURE", "RESTRICTION")
-    said = pick("Is closed from Arnold /(Calaveras Co)/ to Markleeville - due to snow", "Is closed at Bear Valley for the winter", "Is closed.", "1-way traffic from 3 mi east of Arnold to Bear Valley (Alpine Co) due to construction")
+    said = pick("Is closed from Arnold (Calaveras Co) to Markleeville - due to snow", "Is closed at Bear Valley -for the winter", "Closed", "1-way traffic from 3 mi east of Arnold to Bear Valley (Alpine Co) from 0700 hrs to 1500 hrs")
     span = text.condition_span(said, kind)
     return v.observed.select("seq", span["from"].alias("begins"), span["to"].alias("ends"))
 
