@@ -19,8 +19,9 @@ def links(rollup: DataFrame, tail: DataFrame, since: int) -> DataFrame:
     """Links heard since a time: rollup days from that time's UTC day on, and single receptions not yet rolled up."""
     days = rollup.where(F.col("day") >= since - since % 86400)
     fresh = tail.where(F.col("heard_at") >= since).select("a", "b", (F.col("heard_at") - F.col("heard_at") % 86400).alias("day"), F.lit(1).cast("bigint").alias("n"), F.col("snr").alias("best_snr"), F.col("heard_at").alias("first_at"), F.col("heard_at").alias("last_at"))
-    both = days.unionByName(fresh)
-    return both.groupBy("a", "b").agg(F.sum("n").alias("observations"), F.max("best_snr").alias("best_snr"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.countDistinct("day").alias("days"))
+    ends = [F.max("best_snr").alias("best_snr"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")]
+    each = days.unionByName(fresh).groupBy("a", "b", "day").agg(F.sum("n").alias("n"), *ends)
+    return each.groupBy("a", "b").agg(F.sum("n").alias("observations"), *ends, F.count("*").alias("days"))
 
 
 def heard_times(observations: DataFrame, most: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideway.functions import geo
-from tideway.operators import grouped, maps, related, state, timeline
+from tideway.operators import grouped, maps, related, state, summary, timeline
 from tideway.plans.adapters import Views
 from tideway.plans.feeds import bodies, obs_day, point, s
 from tideway.plans.queries import DAY, T0
@@ -333,3 +333,40 @@ def g1_geometries(v: Views) -> DataFrame:
     rows = v.observed.select("seq", said.alias("g"))
     b = geo.box(c("g"))
     return rows.select("seq", F.when(b[0].isNotNull(), F.get_json_object("g", "$.type")).alias("kind"), F.round(b[0], 4).alias("min_lat"), F.round(b[3], 4).alias("max_lng"), F.round(geo.centre(b)[0], 4).alias("middle"))
+
+
+def placed(v: Views) -> DataFrame:
+    return v.events_now.where("status = 'ACTIVE'").join(v.event_places, "id")
+
+
+def conditions(v: Views) -> DataFrame:
+    """Live conditions of each place: fire weather and a road."""
+    n = F.substring("place_id", 8, 9).cast("int")
+    one = lambda layer, severity: v.places.select("place_id", F.concat(F.lit(f"{layer.lower()}:"), n).alias("id"), F.lit(layer).alias("layer"), severity.cast("int").alias("severity"))
+    return one("FIRE_WEATHER", F.when(n % 5 == 0, 3).when(n % 5 == 1, 2).otherwise(0)).unionByName(one("ROAD_SEGMENT", n % 3))
+
+
+def layer_states(v: Views) -> DataFrame:
+    states = [("WILDFIRE", "OK"), ("FIRE_WEATHER", "STALE"), ("EVACUATION", "UNAVAILABLE"), ("WEATHER_ALERT", "OK"), ("ROAD_INCIDENT", "OK"), ("CHAIN_CONTROL", "OK"), ("ROAD_SEGMENT", "UNAVAILABLE"), ("POWER", "STALE")]
+    return v.spark.createDataFrame(states, "layer string, status string")
+
+
+_PLACED = """x AS (SELECT p.place_id, e.* FROM events_now e JOIN event_places p USING (id) WHERE e.status = 'ACTIVE'), c AS (SELECT place_id, 'fire_weather:' || n AS id, 'FIRE_WEATHER' AS layer, CASE n % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS severity, n FROM (SELECT place_id, CAST(substr(place_id, 8) AS INT) AS n FROM places) UNION ALL SELECT place_id, 'road_segment:' || n, 'ROAD_SEGMENT', n % 3, n FROM (SELECT place_id, CAST(substr(place_id, 8) AS INT) AS n FROM places))"""
+
+
+@query(f"""WITH {_PLACED}, i AS (SELECT place_id, id, severity, CASE layer WHEN 'WILDFIRE' THEN 'fire' WHEN 'FIRE_WEATHER' THEN 'fire' WHEN 'EVACUATION' THEN 'evacuation' WHEN 'WEATHER_ALERT' THEN 'weather' WHEN 'POWER' THEN 'power' ELSE 'roads' END AS domain FROM (SELECT place_id, id, severity, layer FROM x UNION ALL SELECT place_id, id, severity, layer FROM c WHERE severity > 0)),
+    d AS (SELECT place_id, domain, CAST(count(*) AS BIGINT) AS n, max(severity) AS h, list(id ORDER BY severity DESC, id)[1:3] AS ids FROM i GROUP BY ALL) SELECT place_id, domain, status, coalesce(n, 0) AS active_count, coalesce(h, 0) AS highest, coalesce(ids, []) AS headlines FROM (SELECT place_id, domain, status FROM places, (VALUES ('fire', 'STALE'), ('evacuation', 'UNAVAILABLE'), ('weather', 'OK'), ('roads', 'UNAVAILABLE'), ('power', 'STALE')) s(domain, status)) LEFT JOIN d USING (place_id, domain)""")
+def a9_place_domains(v: Views) -> DataFrame:
+    """Every place's domains: the worst state of their layers, what is active, the three gravest."""
+    return summary.domains(v.places, placed(v), conditions(v), layer_states(v))
+
+
+@query(f"""WITH {_PLACED}, r AS (SELECT * FROM x WHERE NOT (layer = 'POWER' AND severity = 0)), a AS (SELECT place_id, CAST(count(*) AS BIGINT) AS n, max(severity) AS h, max(CASE WHEN layer = 'WILDFIRE' THEN severity END) AS f, bool_or(layer = 'EVACUATION' AND level <> 'ADVISORY') AS e1, list(id ORDER BY severity DESC, observed_at DESC, id)[1:5] AS top, CAST(count(*) FILTER (severity = 2) AS BIGINT) AS moderate FROM r GROUP BY place_id),
+    z AS (SELECT place_id, CAST(count(*) AS BIGINT) AS orders FROM x WHERE layer = 'EVACUATION' GROUP BY place_id), w AS (SELECT place_id, severity >= 2 AS windy FROM c WHERE layer = 'FIRE_WEATHER')
+    SELECT place_id, CASE WHEN e1 OR h >= 4 OR f >= 3 THEN 'ACTIVE' WHEN h >= 3 OR orders > 0 OR windy OR orders IS NULL OR h >= 2 THEN 'WATCH' ELSE 'QUIET' END AS mode, coalesce(n, 0) AS total_active, moderate, coalesce(h, 0) AS highest, coalesce(top, []) AS top, orders AS evacuations, CASE WHEN orders > 0 THEN 'STALE' ELSE 'UNAVAILABLE' END AS evacuation_status FROM places LEFT JOIN a USING (place_id) LEFT JOIN z USING (place_id) LEFT JOIN w USING (place_id)""")
+def q8_place_summaries(v: Views) -> DataFrame:
+    """A summary of every place. The evacuation source is down: what is stored is told as stale, and where nothing is stored the number is unknown."""
+    n = F.substring("place_id", 8, 9).cast("int")
+    windy = v.places.select("place_id", F.when(n % 5 == 0, "red-flag").when(n % 5 == 1, "elevated").otherwise("normal").alias("state"))
+    s_ = summary.summaries(v.places, placed(v), windy, layer_states(v))
+    return s_.select("place_id", "mode", "total_active", F.coalesce(F.col("counts")["MODERATE"], F.when(F.col("total_active") > 0, 0)).alias("moderate"), "highest", "top", "evacuations", "evacuation_status")

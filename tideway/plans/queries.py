@@ -204,12 +204,16 @@ def d10_relay_edges(v: Views) -> DataFrame:
     return mesh.edges(v.mesh_observations)
 
 
+def no_rollup(v: Views) -> DataFrame:
+    """A link rollup before any reception."""
+    return v.spark.createDataFrame([], "a string, b string, day bigint, n bigint, best_snr int, first_at bigint, last_at bigint")
+
+
 @query(f"SELECT a, b, heard_at - heard_at % 86400 AS day, CAST(count(*) AS BIGINT) AS n, max(snr) AS best_snr, min(heard_at) AS first_at, max(heard_at) AS last_at FROM {_EDGES} GROUP BY 1, 2, 3")
 def w16_link_rollup(v: Views) -> DataFrame:
     """The rollup after two chunks, the second added to the first."""
     e = mesh.edges(v.mesh_observations)
-    empty = state.compact(e.where("obs_id % 2 = 0").select(F.col("a"), F.col("b"), (F.col("heard_at") - F.col("heard_at") % DAY).alias("day"), F.lit(1).cast("bigint").alias("n"), F.col("snr").alias("best_snr"), F.col("heard_at").alias("first_at"), F.col("heard_at").alias("last_at")), e.where("1 = 0"))
-    return state.compact(empty, e.where("obs_id % 2 = 1"))
+    return state.compact(state.compact(no_rollup(v), e.where("obs_id % 2 = 0")), e.where("obs_id % 2 = 1"))
 
 
 @query(f"""SELECT a, b, CAST(count(*) AS BIGINT) AS observations, max(snr) AS best_snr, min(heard_at) AS first_at, max(heard_at) AS last_at, CAST(count(DISTINCT heard_at - heard_at % 86400) AS BIGINT) AS days FROM {_EDGES}
@@ -217,8 +221,7 @@ def w16_link_rollup(v: Views) -> DataFrame:
 def a5_mesh_links(v: Views) -> DataFrame:
     """Rolled-up days and the raw tail in one aggregate; the window's first day counts whole in the rollup only."""
     e = mesh.edges(v.mesh_observations)
-    none = e.where("1 = 0").select("a", "b", F.col("heard_at").alias("day"), F.lit(1).cast("bigint").alias("n"), F.col("snr").alias("best_snr"), F.col("heard_at").alias("first_at"), F.col("heard_at").alias("last_at"))
-    return mesh.links(state.compact(none, e.where("obs_id % 3 > 0")), e.where("obs_id % 3 = 0"), 852076800 + 3600)
+    return mesh.links(state.compact(no_rollup(v), e.where("obs_id % 3 > 0")), e.where("obs_id % 3 = 0"), 852076800 + 3600)
 
 
 @query("""SELECT source_id, seq, CASE WHEN ok THEN 'OK' WHEN sampled_at - last_ok <= 3 * poll_seconds THEN 'STALE' ELSE 'UNAVAILABLE' END AS status FROM
