@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The scale, and in the ladders below the thresholds and words of the agencies that set them.
 INFO, MINOR, MODERATE, SEVERE, EXTREME = range(5)
 NAMES = ("INFO", "MINOR", "MODERATE", "SEVERE", "EXTREME")
 

@@ -65,16 +65,16 @@ def s4_evacuations(v: Views) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT user_id % 40 AS g, min_by(seq, seq) AS seq FROM observed WHERE event_type = 'click' GROUP BY 1), x AS (SELECT p.g, CAST(floor(o.value) AS INT) AS customers, o.lat, o.lng FROM p JOIN observed o USING (seq)),
-    q AS (SELECT (user_id + 20) % 60 AS g, count(*) AS areas FROM observed WHERE event_type = 'signup' AND k % 9 = 0 GROUP BY 1)
+    q AS (SELECT (user_id + 20) % 60 AS g, count(*) AS areas FROM observed WHERE event_type = 'signup' GROUP BY 1)
     SELECT 'o' || g AS id, coalesce(customers, 0) AS customers, lat, lng, CAST(coalesce(areas, 0) AS INT) AS areas, CASE WHEN coalesce(customers, 0) <= 0 THEN 1 WHEN customers >= 1000 THEN 3 WHEN customers >= 100 THEN 2 WHEN customers >= 10 THEN 1 ELSE 0 END AS severity FROM x FULL JOIN q USING (g)""")
 def s5_outages(v: Views) -> DataFrame:
     """Points and areas of outages merged on their id."""
     o = v.observed
     one = F.struct(F.concat(F.lit("o"), F.col("user_id") % 40).alias("OUTAGE_ID"), F.floor("value").cast("int").alias("EST_CUSTOMERS"))
-    points = o.where("event_type = 'click'").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("seq", one.alias("properties"), point().alias("geometry")))), lambda x: F.struct(x["properties"].alias("properties"), x["geometry"].alias("geometry"))).alias("features"))).alias("body"))
+    points = o.where("event_type = 'click'").groupBy(F.floor(F.col("seq") / BODY_ROWS).alias("block")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("seq", one.alias("properties"), point().alias("geometry")))), lambda x: F.struct(x["properties"].alias("properties"), x["geometry"].alias("geometry"))).alias("features"))).alias("body"))
     ring = F.array(F.array(*(F.array(F.col("lng") + dx, F.col("lat") + dy) for dx, dy in ((0, 0), (0.1, 0), (0.1, 0.1)))))
     item = F.struct(F.struct(F.concat(F.lit("o"), (F.col("user_id") + 20) % 60).alias("OUTAGE_ID")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"))
-    areas = bodies(o.where("event_type = 'signup' AND k % 9 = 0"), obs_day(), item, "features")
+    areas = bodies(o.where("event_type = 'signup'"), obs_day(), item, "features")
     return feeds.outages(points, areas).select("id", "customers", "lat", "lng", "areas", "severity")
 
 

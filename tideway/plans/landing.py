@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideway.plans.adapters import Views
-from tideway.plans.feeds import bodies, obs_day, s
+from tideway.plans.feeds import BODY_ROWS, bodies, obs_day, s
 from tideway.plans.queries import DAY, T0
 from tideway.plans.registry import query
 from tideway.sources import feeds
@@ -41,12 +41,12 @@ def s22_weather_now(v: Views) -> DataFrame:
 
 @query(f"""SELECT 'r' || user_id % 3 AS reporter, 'ab' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS node, least(arg_min(observed_at, seq), {T0 + 15 * DAY}) AS last_attempt, least(arg_min(CASE WHEN k % 2 = 0 THEN {{'v': observed_at}} ELSE {{'v': NULL}} END, seq).v, {T0 + 15 * DAY}) AS last_success FROM observed WHERE event_type = 'view' AND k % 5 > 0 GROUP BY 1, 2""")
 def s26_repeater_reports(v: Views) -> DataFrame:
-    """One body for each reporter; ids that are no keys are left out, later duplicates too."""
+    """Bodies of bounded size for each reporter; ids that are no keys are left out, later duplicates too."""
     o = v.observed.where("event_type = 'view'")
     node = F.when(F.col("k") % 5 > 0, F.concat(F.lit(" AB"), F.lpad(s("user_id"), 4, "0"))).otherwise("not a key")
     row = F.struct(node.alias("id"), F.col("observed_at").alias("last_attempt"), F.when(F.col("k") % 2 == 0, F.col("observed_at")).alias("last_success"))
-    by = o.groupBy((F.col("user_id") % 3).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("r")))), lambda x: x["r"]).alias("repeaters"))
-    body = by.select(F.to_json(F.struct(F.concat(F.lit("r"), "g").alias("reporter"), "repeaters")).alias("body"))
+    by = o.groupBy((F.col("user_id") % 3).alias("g"), F.floor(F.col("seq") / BODY_ROWS).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("r")))), lambda x: x["r"]).alias("repeaters"))
+    body = by.select("block", F.to_json(F.struct(F.concat(F.lit("r"), "g").alias("reporter"), "repeaters")).alias("body"))
     return feeds.repeater_reports(body, F.lit(T0 + 15 * DAY).cast("bigint")).select("reporter", "node", "last_attempt", "last_success")
 
 

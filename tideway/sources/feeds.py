@@ -192,64 +192,95 @@ def closure_phase(rows: DataFrame, now: Column, grace: int = 12 * 3600) -> DataF
     return rows.withColumn("phase", F.when(F.col("cancelled"), "CANCELLED").when(F.col("picked_up") | over, "COMPLETED").when(F.col("in_place"), "ACTIVE").otherwise("SCHEDULED"))
 
 
+def tagged(html: Column, tag: str) -> Column:
+    """The elements of one tag, none inside another, as structs of their attributes and what they hold."""
+    parts = F.split(html, f"(?i)</{tag}\\s*>")
+    opened = rf"(?is)<{tag}(\s[^>]*)?>(.*)$"
+    found = F.filter(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.rlike(x, F.lit(opened)))
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, opened, 1).alias("attributes"), F.regexp_extract(x, opened, 2).alias("body")))
+
+
+def classed(html: Column, tag: str, *marks: str) -> Column:
+    """What the elements of a tag hold whose attributes have one of the marks."""
+    return F.transform(F.filter(tagged(html, tag), lambda e: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(e["attributes"], m))), lambda e: e["body"])
+
+
 PLACEMARK = "name string, description string, styleUrl string, Point struct<coordinates:string>, LineString struct<coordinates:string>"
 
 
 def placemarks(bodies: DataFrame) -> DataFrame:
     """Placemarks of KML bodies that have a place; a blank name comes from the markup's title."""
-    each = bodies.select(F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<Placemark[^>]*>.*?</Placemark>"), 0)).alias("xml"))
-    p = each.select(F.from_xml("xml", PLACEMARK).alias("p")).select("p.*")
+    each = bodies.select(F.explode(tagged(F.col("body"), "Placemark")).alias("e"))
+    p = each.select(F.from_xml(F.concat(F.lit("<Placemark>"), "e.body", F.lit("</Placemark>")), PLACEMARK).alias("p")).select("p.*")
     where = F.coalesce("Point.coordinates", "LineString.coordinates")
     first = F.split(F.element_at(F.split(F.trim(where), r"\s+"), 1), ",")
-    title = text.html_text(F.regexp_extract("description", r'(?is)<h2[^>]*class="iw-title"[^>]*>(.*?)</h2>', 1))
+    title = text.html_text(F.coalesce(F.get(classed(F.col("description"), "h2", "iw-title"), 0), F.lit("")))
     rows = p.where(F.trim(where) != "").select(F.when(F.trim("name") != "", F.trim("name")).otherwise(title).alias("name"), "description", text.html_text(F.col("description")).alias("text"), "styleUrl", first[1].try_cast("double").alias("lat"), first[0].try_cast("double").alias("lng"))
     return rows
 
 
+#: How the dispatch writes an incident's own number, and its stamps.
+LOG_NUMBER, LOG_STAMP = "[0-9]{6}[A-Z]{2}[0-9]{4}", "MMM d yyyy h:mma"
+
+
+def labelled(said: Column, label: str) -> Column:
+    """The word after a label; null where there is none."""
+    return F.nullif(F.regexp_extract(said, rf"(?i)\b{label}:?\s*(\w+)", 1), F.lit(""))
+
+
 def incident_details(rows: DataFrame) -> DataFrame:
     """Log lines, title, place and ids read from an incident's markup (column ``description``)."""
-    d = F.col("description")
-    one = lambda pattern: F.nullif(F.regexp_extract(d, pattern, 1), F.lit(""))
-    paragraphs = F.regexp_extract_all(d, F.lit(r'(?is)<p[^>]*(?:class="iw-text"|align="left")[^>]*>(.*?)</p>'), 1)
+    said = text.html_text(F.col("description"))
+    paragraphs = classed(F.col("description"), "p", "iw-text", 'align="left"')
     lines = text.br_segments(F.element_at(paragraphs, 1))
     log = F.flatten(F.transform(F.slice(paragraphs, F.lit(2), F.greatest(F.size(paragraphs) - 1, F.lit(0))), text.br_segments))
-    line = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{4}\s+\d{1,2}:\d{2}[AaPp][Mm])\s+\[(\d+)\]\s+(.+)$"
-    kept = F.filter(log, lambda x: x.rlike(line))
-    entry = lambda x: F.struct(F.regexp_extract(x, line, 2).cast("int").alias("number"), F.regexp_extract(x, line, 1).alias("stamp"), F.regexp_extract(x, line, 3).alias("text"))
+    # A line is its stamp, its number in brackets, and what was logged.
+    cut = F.transform(log, lambda x: F.split(x, r"\s*[\[\]]\s*", 3))
+    at = lambda x: F.try_to_timestamp(F.upper(F.regexp_replace(x[0], r"\s+", " ")), F.lit(LOG_STAMP))
+    real = F.filter(cut, lambda x: (F.size(x) == 3) & F.get(x, 1).rlike("^[0-9]+$") & (F.get(x, 2) != "") & at(x).isNotNull())
+    entry = lambda x: F.struct(x[1].cast("int").alias("number"), x[0].alias("stamp"), x[2].alias("text"))
+    plain = F.nullif(F.regexp_extract(said, f"({LOG_NUMBER})", 1), F.lit(""))
     return rows.select(
-        "*", F.coalesce(one(r"(?i)Log Number:\s*([A-Za-z0-9]+)"), one("([0-9]{6}[A-Z]{2}[0-9]{4})"), one(r"(?i)CHP Incident\s+([A-Za-z0-9]+)")).alias("log_number"), one(r"(?i)Closure ID:\s*([A-Za-z0-9]+)").alias("closure_id"),
-        F.get(lines, 0).alias("first_line"), F.get(lines, 1).alias("second_line"), F.array_sort(F.transform(kept, entry)).alias("log"),
+        "*", F.coalesce(labelled(said, "Log Number"), plain, labelled(said, "CHP Incident")).alias("log_number"), labelled(said, "Closure ID").alias("closure_id"), F.get(lines, 0).alias("first_line"), F.get(lines, 1).alias("second_line"), F.array_sort(F.transform(real, entry)).alias("log"),
     )
 
 
-TYPE_WORDS = ((r"^(?:[0-9]+|[A-Z]{2,})-", ""), (r"(?i)\bTrfc\b", "Traffic"), (r"(?i)\bUnkn\b", "Unknown"), (r"(?i)\bInj\b", "Injury"), (r"(?i)\bVehs\b", "Vehicles"), (r"(?i)\bVeh\b", "Vehicle"))
+#: An incident's code before its type, and what its short words mean.
+TYPE_CODE = r"^(?:[0-9]+|[A-Z]{2,})-"
+SHORT_WORDS = {"Trfc": "Traffic", "Unkn": "Unknown", "Inj": "Injury", "Vehs": "Vehicles", "Veh": "Vehicle"}
 
 
 def incident_type(label: Column) -> Column:
     """An incident's type without its code, spelled out."""
-    return F.trim(text.swap(label, *TYPE_WORDS))
+    return F.trim(text.swap(F.regexp_replace(label, TYPE_CODE, ""), *((rf"(?i)\b{short}\b", whole) for short, whole in SHORT_WORDS.items())))
 
 
 def road_conditions(bodies: DataFrame, highway: str) -> DataFrame:
     """The condition paragraphs of a highway's section, by area, with their kind."""
-    section = F.regexp_extract("body", rf"(?is)<h3>\s*SR\s+\Q{highway}\E\s*</h3>(.*?)(?:<hr|<h3)", 1)
-    p = bodies.select(F.explode(F.regexp_extract_all(section, F.lit(r"(?is)<p>(.*?)</p>"), 1)).alias("p"))
-    area = F.regexp_extract("p", r"(?i)<strong>\[([^\]]+)\]</strong>", 1)
-    said = text.html_text(F.regexp_replace("p", r"(?i)<strong>\[[^\]]+\]</strong>", ""))
-    return p.select(area.alias("area"), said.alias("text")).where("text <> ''").withColumn("kind", condition_kind(F.col("text")))
+    # A page is cut at its headings; a section ends at a rule.
+    sections = bodies.select(F.explode(F.slice(F.split("body", "(?i)<h3[^>]*>"), 2, 100_000)).alias("s")).select(F.split("s", "(?i)</h3>", 2).alias("s")).where(F.size("s") == 2)
+    own = sections.where(F.upper(text.html_text(F.col("s")[0])) == f"SR {highway}".upper()).select(F.split(F.col("s")[1], "(?i)<hr")[0].alias("html"))
+    p = own.select(F.explode(tagged(F.col("html"), "p")).alias("p")).select(text.html_text(F.col("p.body")).alias("said"))
+    bracket = F.split(F.regexp_replace("said", r"^\[", ""), r"\]\s*", 2)
+    named = F.col("said").startswith("[") & (F.size(bracket) == 2)
+    rows = p.select(F.when(named, bracket[0]).otherwise("").alias("area"), F.when(named, F.get(bracket, 1)).otherwise(F.col("said")).alias("text"))
+    return rows.where("text <> ''").withColumn("kind", condition_kind(F.col("text")))
+
+
+#: What tells that chains are required, where "no chains required" tells the opposite.
+CHAINS_REQUIRED = r"(?<!no )\bchains(?: or (?:snow tires|traction devices))? (?:are )?required\b"
 
 
 def condition_kind(said: Column) -> Column:
     """Closure before chain control before restriction before chain information."""
     t = F.lower(said)
-    needs_chains = t.rlike(r"(?<!no )\bchains(?: or (?:snow tires|traction devices))? (?:are )?required\b")
-    return F.when(t.contains("closed"), "CLOSURE").when(needs_chains, "CHAIN_CONTROL").when(t.contains("one-way") | t.contains("restricted") | t.contains("not advised"), "RESTRICTION").when(t.contains("chain"), "CHAIN_INFO").otherwise("INFO")
+    return F.when(t.contains("closed"), "CLOSURE").when(t.rlike(CHAINS_REQUIRED), "CHAIN_CONTROL").when(t.contains("one-way") | t.contains("restricted") | t.contains("not advised"), "RESTRICTION").when(t.contains("chain"), "CHAIN_INFO").otherwise("INFO")
 
 
 def burn_table(bodies: DataFrame) -> DataFrame:
     """County burn status; the last row of a county counts."""
-    rows = bodies.select(F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("n", "tr"))
-    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), text.html_text)
+    rows = bodies.select(F.posexplode(tagged(F.col("body"), "tr")).alias("n", "tr"))
+    cells = F.transform(tagged(F.col("tr.body"), "td"), lambda c: text.html_text(c["body"]))
     r = rows.select("n", cells.alias("c")).where(F.size("c") >= 2).select("n", F.trim(F.regexp_replace(F.col("c")[0], r"\s*County\s*$", "")).alias("county"), F.col("c")[1].alias("said"))
     low = F.lower("said")
     status = F.when(low.contains("suspen"), "SUSPENDED").when(low.contains("no permit") | low.contains("not required"), "OPEN").when(low.contains("permit"), "PERMIT").otherwise("UNKNOWN")
@@ -313,14 +344,23 @@ def weather_now(bodies: DataFrame) -> DataFrame:
     return r.select("id", F.col("dt").alias("at_seconds"), F.col("main.temp").cast("int").alias("celsius"), F.col("main.humidity").alias("humidity"), (F.col("wind.speed") * 3.6).cast("int").alias("wind_kmh"), (F.coalesce("visibility", F.lit(0)) / 1000).cast("int").alias("sight_km"))
 
 
+#: The gauges and counters of a monitor's node row.
+GAUGES = {
+    "battery_voltage": "double", "battery_percent": "double", "battery_percent_source": "string", "temperature_c": "double", "humidity": "double", "pressure": "double", "uptime_s": "bigint", "airtime_ms": "bigint", "rx_airtime_ms": "bigint", "noise_floor_dbm": "int", "last_rssi_dbm": "int", "last_snr_db": "double", "tx_queue_len": "int",
+    "nb_sent": "bigint", "nb_recv": "bigint", "sent_flood": "bigint", "sent_direct": "bigint", "recv_flood": "bigint", "recv_direct": "bigint", "direct_dups": "bigint", "flood_dups": "bigint", "full_evts": "bigint", "recv_errors": "bigint", "online": "boolean",
+}
+GAUGE_NAMES = {"battery_voltage": "battery", "uptime_s": "uptime"}
+
+
 def repeater_reports(bodies: DataFrame, now: Column) -> DataFrame:
-    """A monitor's node rows: valid ids, the first of each, stamps of the future held at now. Absent gauges stay null."""
-    schema = "reporter string, repeaters array<struct<id:string,name:string,last_attempt:bigint,last_success:bigint,battery_voltage:double,uptime_s:bigint>>"
-    r = bodies.select(F.from_json("body", schema).alias("b")).select("b.reporter", F.posexplode("b.repeaters").alias("n", "r"))
-    node = F.lower(F.trim("r.id"))
-    valid = r.withColumn("node", node).where(node.rlike("^[0-9a-f]{2,64}$"))
-    first = valid.groupBy("reporter", "node").agg(F.min_by("r", "n").alias("r"))
-    return first.select("reporter", "node", F.col("r.name").alias("name"), F.least("r.last_attempt", now).alias("last_attempt"), F.least("r.last_success", now).alias("last_success"), F.col("r.battery_voltage").alias("battery"), F.col("r.uptime_s").alias("uptime"))
+    """A monitor's node rows: valid ids, the first of each, stamps of the future held at now. Absent gauges stay null. Of a reporter told in several bodies the first, by ``block``, counts."""
+    gauges = ", ".join(f"{n}:{t}" for n, t in GAUGES.items())
+    schema = f"reporter string, repeaters array<struct<id:string,name:string,last_attempt:bigint,last_success:bigint,{gauges}>>"
+    block = F.col("block") if "block" in bodies.columns else F.lit(0)
+    r = bodies.select(block.alias("block"), F.from_json("body", schema).alias("b")).select("block", "b.reporter", F.posexplode("b.repeaters").alias("n", "r"))
+    valid = r.withColumn("node", text.hex_id(F.col("r.id"))).where("node IS NOT NULL")
+    first = valid.groupBy("reporter", "node").agg(F.min_by("r", F.struct("block", "n")).alias("r"))
+    return first.select("reporter", "node", F.col("r.name").alias("name"), F.least("r.last_attempt", now).alias("last_attempt"), F.least("r.last_success", now).alias("last_success"), *(F.col(f"r.{n}").alias(GAUGE_NAMES.get(n, n)) for n in GAUGES))
 
 
 def burn_readings(bodies: DataFrame, lines: list[str], now: Column) -> DataFrame:
