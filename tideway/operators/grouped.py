@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -59,18 +60,17 @@ def perimeters_deduped(perimeters: DataFrame, degrees: float = 0.15) -> DataFram
     """
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list[int]] = []
         rows = rows.sort_values("seq", kind="stable").reset_index(drop=True)
-        for i, r in rows.iterrows():
-            for c in clusters:
-                head = rows.loc[c[0]]
-                if (r.incident and r.incident == head.incident) or ((r.lat - head.lat) ** 2 + (r.lng - head.lng) ** 2) ** 0.5 < degrees:
-                    c.append(i)
-                    break
-            else:
-                clusters.append([i])
-        best = [max(c, key=lambda i: (rows["at"][i], rows.active[i], -rows["rank"][i], rows.acres[i], -i)) for c in clusters]
-        return rows.loc[best]
+        incident, lat, lng = rows["incident"].fillna("").to_numpy(str), rows["lat"].to_numpy(float), rows["lng"].to_numpy(float)
+        heads, of = np.zeros(0, int), np.empty(len(rows), int)  # the first row of each cluster, and each row's cluster
+        for i in range(len(rows)):
+            joins = (incident[i] != "") & (incident[heads] == incident[i]) | (np.hypot(lat[heads] - lat[i], lng[heads] - lng[i]) < degrees)
+            of[i] = joins.argmax() if joins.any() else len(heads)
+            if not joins.any():
+                heads = np.append(heads, i)
+        order = np.lexsort((-rows.index, rows["acres"], -rows["rank"], rows["active"], rows["at"], of))
+        last = np.flatnonzero(np.diff(of[order], append=-1))
+        return rows.iloc[order[last]]
 
     return perimeters.groupBy("norm").applyInPandas(keep, perimeters.schema)
 
@@ -83,13 +83,15 @@ def continued_ids(winners: DataFrame, prior: DataFrame) -> DataFrame:
     """
 
     def assign(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        new, used, ids = new.sort_values("n", kind="stable").reset_index(drop=True), set(), {}
-        for i, r in new.iterrows():
-            near = [((p.lat - r.lat) ** 2 + (p.lng - r.lng) ** 2, p.id) for p in old.itertuples() if p.county == r.county and p.id not in used]
-            if near:
-                ids[i] = min(near)[1]
-                used.add(ids[i])
-        taken, k = used | set(old["id"]), 1
+        new, ids = new.sort_values("n", kind="stable").reset_index(drop=True), {}
+        old = old.sort_values("id", kind="stable").reset_index(drop=True)
+        free, lat, lng, county = np.ones(len(old), bool), old["lat"].to_numpy(float), old["lng"].to_numpy(float), old["county"].to_numpy()
+        for i, (y, x, c) in enumerate(zip(new["lat"], new["lng"], new["county"], strict=True)):
+            fits = np.flatnonzero(free & (county == c))
+            if len(fits):
+                best = fits[np.argmin((lat[fits] - y) ** 2 + (lng[fits] - x) ** 2)]
+                ids[i], free[best] = old["id"][best], False
+        taken, k = set(old["id"]), 1
         for i in new.index:
             if i not in ids:
                 while (name := key[0] if k == 1 else f"{key[0]}-{k}") in taken:
@@ -98,4 +100,5 @@ def continued_ids(winners: DataFrame, prior: DataFrame) -> DataFrame:
                 taken.add(name)
         return new.assign(id=[ids[i] for i in new.index])[["base", "n", "id"]]
 
+    winners, prior = (d.toDF(*d.columns) for d in (winners, prior))  # two sides of one table have columns of their own
     return winners.groupBy("base").cogroup(prior.groupBy("base")).applyInPandas(assign, "base string, n long, id string")

@@ -141,6 +141,24 @@ def relay_credits(paths: DataFrame, known: DataFrame, keep, rounds: int = 16) ->
     return settled.where("n >= 0").groupBy("key").agg(F.max("at").alias("relayed_at"))
 
 
+def overlay(events: DataFrame, activity: DataFrame, clocks: dict[str, str]) -> DataFrame:
+    """events (node …) with their clocks replaced by those of the activity table (node …) where it has them; a clock of 0 is no clock."""
+    have = activity.select(F.lower("node").alias("_node"), *(F.nullif(c, F.lit(0)).alias(f"_{c}") for c in clocks.values()))
+    both = events.join(have, F.lower("node") == F.col("_node"), "left")
+    return both.withColumns({e: F.coalesce(f"_{a}", e) for e, a in clocks.items()}).select(events.columns)
+
+
+def archive(samples: DataFrame, key: str, at: str, since: int, until: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Samples in [since, until) by time, ``most`` at most for each key, with ``truncated``; and a row for each key: first and last sample, how many there are in all, cadence and reboots within the span."""
+    rows = samples.where((F.col(at) >= since) & (F.col(at) < until))
+    w = Window.partitionBy(key)
+    numbered = rows.withColumns({"_n": F.row_number().over(w.orderBy(at, "seq")), "_all": F.count("*").over(w)})
+    cover = samples.groupBy(key).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n"))
+    again = series.reboots(rows, key, [at, "seq"]).groupBy(key).agg(F.count("*").alias("reboots"))
+    told = cover.join(series.cadence(rows, key, at), key, "left").join(again, key, "left").withColumn("reboots", F.coalesce("reboots", F.lit(0)))
+    return numbered.where(F.col("_n") <= most).withColumn("truncated", F.col("_all") > most).drop("_n", "_all"), told
+
+
 def region_links(links: DataFrame, nodes: DataFrame, inside: Column) -> tuple[DataFrame, DataFrame]:
     """Links (a, b …) whose ends both have a place in nodes (node, lat, lng), one of them in the region, and the nodes to show: the region's and those links' ends."""
     at = lambda c: nodes.select(F.col("node").alias(c), inside.alias(f"in_{c}"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideway.functions import geo
-from tideway.operators import grouped, maps, related, state, summary, timeline
+from tideway.operators import grouped, maps, placing, related, state, summary, timeline
 from tideway.plans.adapters import Views
 from tideway.plans.feeds import bodies, obs_day, point, s
 from tideway.plans.queries import DAY, T0
@@ -370,3 +370,46 @@ def q8_place_summaries(v: Views) -> DataFrame:
     windy = v.places.select("place_id", F.when(n % 5 == 0, "red-flag").when(n % 5 == 1, "elevated").otherwise("normal").alias("state"))
     s_ = summary.summaries(v.places, placed(v), windy, layer_states(v))
     return s_.select("place_id", "mode", "total_active", F.coalesce(F.col("counts")["MODERATE"], F.when(F.col("total_active") > 0, 0)).alias("moderate"), "highest", "top", "evacuations", "evacuation_status")
+
+
+def place_directory(v: Views) -> DataFrame:
+    """Counties and areas as squares, towns as the middle of theirs, and one corridor along a degree of latitude."""
+    c = F.col
+    b = tuple(c(n) for n in ("min_lat", "min_lng", "max_lat", "max_lng"))
+    shape = F.when(c("kind") == "TOWN", geo.point_json(*geo.centre(b))).otherwise(geo.box_json(b))
+    line = geo.line_json(F.array(F.array(F.lit(-124.0), F.lit(37.0)), F.array(F.lit(-119.0), F.lit(37.0))))
+    corridor = v.spark.range(1).select(F.lit("corridor:1").alias("place_id"), F.lit("CORRIDOR").alias("kind"), F.lit("Corridor").alias("name"), line.alias("geojson"))
+    return v.places.select("place_id", "kind", "name", shape.alias("geojson")).unionByName(corridor)
+
+
+_HELD = """h AS (SELECT seq, place_id, kind, name, CASE WHEN kind = 'TOWN' THEN 2 * 6371000.0 * atan2(sqrt(x), sqrt(1 - x)) ELSE 0 END AS metres FROM (SELECT e.seq, e.lat, e.lng, p.*, pow(sin(radians(p.min_lat + 0.5 - e.lat) / 2), 2) + cos(radians(e.lat)) * cos(radians(p.min_lat + 0.5)) * pow(sin(radians(p.min_lng + 0.5 - e.lng) / 2), 2) AS x FROM current_events e, places p) q
+    WHERE CASE WHEN kind = 'TOWN' THEN 2 * 6371000.0 * atan2(sqrt(x), sqrt(1 - x)) <= 30000 ELSE lat >= min_lat AND lat < max_lat AND lng >= min_lng AND lng < max_lng END UNION ALL SELECT seq, 'corridor:1', 'CORRIDOR', 'Corridor', 0 FROM current_events WHERE abs(lat - 37) * 111320.0 <= 1500)"""
+
+
+@query(f"WITH {_HELD} SELECT seq AS point_id, place_id, row_number() OVER (PARTITION BY seq ORDER BY CASE kind WHEN 'TOWN' THEN 0 WHEN 'AREA' THEN 1 WHEN 'CORRIDOR' THEN 2 ELSE 3 END, metres, name) AS position FROM h")
+def j10_resolved_points(v: Views) -> DataFrame:
+    """The places of each point: counties and areas that hold it, a corridor near it, towns about it; the most specific first."""
+    points = v.current.select(F.col("seq").alias("point_id"), "lat", "lng")
+    return placing.resolved(points, place_directory(v), 30_000.0).select("point_id", "place_id", "position")
+
+
+@query("""WITH e AS (SELECT id, layer, lat, lng, half FROM events_now), r AS (SELECT e.*, p.place_id, p.min_lat, p.min_lng, p.max_lat, p.max_lng, greatest(0, least(lat + half, max_lat) - greatest(lat - half, min_lat)) * greatest(0, least(lng + half, max_lng) - greatest(lng - half, min_lng)) AS shared, kind FROM e, places p WHERE kind <> 'TOWN'),
+    m AS (SELECT id, place_id FROM r WHERE CASE WHEN layer = 'WEATHER_ALERT' THEN shared / least(4 * half * half, 1) >= 0.02 WHEN layer = 'WILDFIRE' THEN shared > 1e-9 OR (kind = 'AREA' AND sqrt(pow(greatest(0, min_lat - lat - half, lat - half - max_lat) * 111320.0, 2) + pow(greatest(0, min_lng - lng - half, lng - half - max_lng) * 111320.0 * cos(radians((2 * lat + min_lat + max_lat) / 4)), 2)) <= 20000) ELSE lat >= min_lat AND lat < max_lat AND lng >= min_lng AND lng < max_lng END
+    UNION SELECT id, place_id FROM (SELECT e.*, p.place_id, p.min_lat + 0.5 AS y, p.min_lng + 0.5 AS x FROM e, places p WHERE kind = 'TOWN') WHERE CASE WHEN layer = 'WILDFIRE' THEN sqrt(pow(greatest(0, y - lat - half, lat - half - y) * 111320.0, 2) + pow(greatest(0, x - lng - half, lng - half - x) * 111320.0 * cos(radians((y + lat) / 2)), 2)) <= 20000 WHEN layer = 'WEATHER_ALERT' THEN false
+    ELSE 2 * 6371000.0 * asin(sqrt(pow(sin(radians(y - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(x - lng) / 2), 2))) <= 3000 END UNION SELECT id, 'corridor:1' FROM e WHERE layer NOT IN ('WILDFIRE', 'WEATHER_ALERT') AND abs(lat - 37) * 111320.0 <= 1500 UNION SELECT id, 'preset' FROM e WHERE layer = 'POWER')
+    SELECT id, coalesce(list_sort(list(place_id) FILTER (place_id IS NOT NULL)), []) AS place_ids FROM e LEFT JOIN m USING (id) GROUP BY id""")
+def j9_matched_places(v: Views) -> DataFrame:
+    """The places of each event by the rules of its shape: points, areas, alerts and fires."""
+    preset = F.when(F.col("layer") == "POWER", F.array(F.lit("preset"), F.lit("")))
+    return placing.matched(v.events_now.select("id", "layer", "geojson", preset.alias("place_ids")), place_directory(v))
+
+
+@query("""WITH w AS (SELECT user_id, k % 2 AS county, lat, lng FROM observed WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) = 1), p AS (SELECT user_id, seq, k % 2 AS county, lat, lng FROM observed WHERE event_type = 'view')
+    SELECT 'f' || w.user_id AS base, coalesce(arg_min('p' || p.seq, pow(p.lat - w.lat, 2) + pow(p.lng - w.lng, 2)), 'f' || w.user_id) AS id FROM w LEFT JOIN p ON p.user_id = w.user_id AND p.county = w.county GROUP BY w.user_id""")
+def j23_continued_ids(v: Views) -> DataFrame:
+    """Each fire goes on under the nearest id it had in its county, else under its own."""
+    c = F.col
+    base, county = F.concat(F.lit("f"), "user_id").alias("base"), (c("k") % 2).cast("string").alias("county")
+    winners = state.first_of(v.observed.where("event_type = 'click'"), ["user_id"], ["seq"]).select(base, c("seq").alias("n"), county, "lat", "lng")
+    prior = v.observed.where("event_type = 'view'").select(base, F.concat(F.lit("p"), "seq").alias("id"), county, "lat", "lng")
+    return grouped.continued_ids(winners, prior).select("base", "id")

@@ -105,3 +105,24 @@ def j13_prefix_counts(v: Views) -> DataFrame:
     """How many keys each short key may stand for."""
     keys = v.mesh_observations.select("pubkey").distinct()
     return keys.groupBy(F.substring("pubkey", 1, 2).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY reported_at, seq) AS n, count(*) OVER (PARTITION BY node) AS c FROM telemetry WHERE reported_at >= {T0} AND reported_at < {T0 + 20 * DAY}) SELECT node, seq, reported_at, c > 20 AS truncated FROM s WHERE n <= 20""")
+def q12_telemetry_archive(v: Views) -> DataFrame:
+    """Each node's samples in a span, up to a number, and whether there were more."""
+    return radio.archive(v.telemetry, "node", "reported_at", T0, T0 + 20 * DAY, 20)[0].select("node", "seq", "reported_at", "truncated")
+
+
+@query(f"""WITH s AS (SELECT *, lag(uptime) OVER (PARTITION BY node ORDER BY reported_at, seq) AS u, reported_at - lag(reported_at) OVER (PARTITION BY node ORDER BY reported_at) AS gap FROM telemetry WHERE reported_at >= {T0} AND reported_at < {T0 + 20 * DAY}), g AS (SELECT node, list(gap ORDER BY gap) FILTER (gap > 0) AS gaps, count(*) FILTER (uptime < u) AS reboots FROM s GROUP BY node)
+    SELECT node, first_at, last_at, n, gaps[len(gaps) // 2 + 1] AS cadence, CAST(coalesce(reboots, 0) AS BIGINT) AS reboots FROM (SELECT node, min(reported_at) AS first_at, max(reported_at) AS last_at, CAST(count(*) AS BIGINT) AS n FROM telemetry GROUP BY node) LEFT JOIN g USING (node)""")
+def q12_telemetry_summaries(v: Views) -> DataFrame:
+    """Each node's coverage, cadence and reboots."""
+    return radio.archive(v.telemetry, "node", "reported_at", T0, T0 + 20 * DAY, 20)[1]
+
+
+@query("""SELECT id, coalesce(CASE WHEN heard > 0 THEN heard END, observed_at) AS heard_at FROM current_events LEFT JOIN (SELECT CAST(pubkey[2:] AS BIGINT) AS user_id, max(CASE WHEN obs_id % 7 = 0 THEN 0 ELSE heard_at END) AS heard FROM mesh_observations GROUP BY 1) USING (user_id)""")
+def j16_clock_overlay(v: Views) -> DataFrame:
+    """Events with the clocks of the activity table laid over their own."""
+    events = v.current.select("id", F.concat(F.lit("C"), "user_id").alias("node"), F.col("observed_at").alias("heard_at"))
+    activity = v.mesh_observations.groupBy(F.col("pubkey").alias("node")).agg(F.max(F.when(F.col("obs_id") % 7 == 0, 0).otherwise(F.col("heard_at"))).alias("heard"))
+    return radio.overlay(events, activity, {"heard_at": "heard"}).select("id", "heard_at")
