@@ -159,6 +159,13 @@ def archive(samples: DataFrame, key: str, at: str, since: int, until: int, most:
     return numbered.where(F.col("_n") <= most).withColumn("truncated", F.col("_all") > most).drop("_n", "_all"), told
 
 
+def drained(waiting: DataFrame, order: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Receptions that a bounded buffer still holds at a tick, the newest ``most`` in their order; and one row of how many were kept and dropped."""
+    kept = waiting.orderBy(F.desc(order)).limit(most)
+    told = waiting.agg(F.count("*").alias("n")).select(F.least("n", F.lit(most)).alias("kept"), F.greatest(F.col("n") - most, F.lit(0)).alias("dropped"))
+    return kept.orderBy(order), told
+
+
 def region_links(links: DataFrame, nodes: DataFrame, inside: Column) -> tuple[DataFrame, DataFrame]:
     """Links (a, b …) whose ends both have a place in nodes (node, lat, lng), one of them in the region, and the nodes to show: the region's and those links' ends."""
     at = lambda c: nodes.select(F.col("node").alias(c), inside.alias(f"in_{c}"))

@@ -126,3 +126,10 @@ def j16_clock_overlay(v: Views) -> DataFrame:
     events = v.current.select("id", F.concat(F.lit("C"), "user_id").alias("node"), F.col("observed_at").alias("heard_at"))
     activity = v.mesh_observations.groupBy(F.col("pubkey").alias("node")).agg(F.max(F.when(F.col("obs_id") % 7 == 0, 0).otherwise(F.col("heard_at"))).alias("heard"))
     return radio.overlay(events, activity, {"heard_at": "heard"}).select("id", "heard_at")
+
+
+@query("""SELECT obs_id, count(*) OVER () AS kept FROM (SELECT obs_id FROM mesh_observations ORDER BY obs_id DESC LIMIT 500)""")
+def m5_drained_buffer(v: Views) -> DataFrame:
+    """What a buffer of 500 receptions holds when it is drained."""
+    kept, told = radio.drained(v.mesh_observations.select("obs_id"), "obs_id", 500)
+    return kept.crossJoin(F.broadcast(told.select(F.col("kept").cast("bigint").alias("kept"))))  # one row

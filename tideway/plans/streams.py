@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.operators import mesh
+from tideway.operators import mesh, state
 from tideway.plans import queries
 from tideway.plans.adapters import Views
 from tideway.plans.registry import ORACLES, query
@@ -104,3 +104,17 @@ def m4_cadence_stream(v: Views) -> DataFrame:
 
 
 ORACLES["m4_cadence_stream"] = ORACLES["n5_ewma"]
+
+
+@query("""SELECT node, max(reported_at) AS "at", 'n' || arg_max(seq, (reported_at, seq)) AS name, list_sort(list(DISTINCT reporter)) AS gateways, CAST(count(*) AS INT) AS adverts FROM telemetry GROUP BY node""")
+def m4_registry_stream(v: Views) -> DataFrame:
+    """What a stream of adverts leaves known of each node."""
+    path = folder(v.spark)
+    adverts = Arriving(v.spark, v.sf_dir, "events", "unix_timestamp(CAST(ts AS TIMESTAMP))").telemetry.select("node", F.col("reporter").alias("gateway"), F.col("reported_at").alias("at"), F.concat(F.lit("n"), "seq").alias("name"))
+    stream = jobs.registry(adverts, 400 * 86400)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/registry/batch={n}")
+
+    jobs.run_available(stream.writeStream.outputMode("update").foreachBatch(keep), f"{path}/checkpoint")
+    return state.latest(v.spark.read.parquet(f"{path}/registry"), "node", ["batch"]).select("node", "at", "name", "gateways", "adverts")

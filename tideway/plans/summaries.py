@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions import classify, geo, text, times
-from tideway.operators import mesh, spatial, state
+from tideway.operators import mesh, placing, spatial, state
 from tideway.plans.adapters import Views
 from tideway.plans.queries import DAY, T0
 from tideway.plans.registry import query
 from tideway.plans.streams import keeper
+from tideway.sources import normalize
 
 
 @query("""SELECT seq, status FROM current_events WHERE id = 'error:3'""")
@@ -120,8 +121,8 @@ def p14_carve_outs(v: Views) -> DataFrame:
 @query("""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') AND page_id % 2 = 0 THEN url WHEN page_id % 2 = 1 THEN NULL END AS safe, CASE WHEN page_id % 3 = 0 THEN url ELSE 'none' END AS first FROM pages""")
 def p19_safe_urls(v: Views) -> DataFrame:
     u = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("javascript:"), "url"))
-    first = F.coalesce(F.nullif(F.trim(F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(" ")), F.lit("")), F.lit("none"))
-    return v.table("pages").select("page_id", F.when(u.rlike("^https?://"), u).alias("safe"), first.alias("first"))
+    first = normalize.filled(F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(" "), F.lit("none"))
+    return v.table("pages").select("page_id", normalize.safe_url(u).alias("safe"), first.alias("first"))
 
 
 @query("""SELECT t.seq, EXISTS (SELECT 1 FROM telemetry s WHERE s.node = t.node AND s.reported_at = t.reported_at AND s.seq % 2 = 0) AS stored FROM telemetry t""")
@@ -243,7 +244,8 @@ def n12_aged_out(v: Views) -> DataFrame:
 
 @query("""SELECT user_id, list_sort(list_distinct(list(event_type) || ['z', 'click'])) AS kinds FROM observed GROUP BY user_id""")
 def u3_sorted_union(v: Views) -> DataFrame:
-    return v.observed.groupBy("user_id").agg(F.array_sort(F.array_union(F.collect_set("event_type"), F.array(F.lit("z"), F.lit("click")))).alias("kinds"))
+    by = v.observed.groupBy("user_id").agg(F.collect_set("event_type").alias("seen"))
+    return by.select("user_id", placing.sorted_union(F.col("seen"), F.array(F.lit("z"), F.lit("click"), F.lit(" "))).alias("kinds"))
 
 
 @query("""SELECT id, CASE WHEN a AND b THEN 'both' WHEN a THEN 'left' ELSE 'right' END AS side FROM (SELECT id, bool_or(k % 3 = 0) AS a, bool_or(k % 5 = 0) AS b FROM observed GROUP BY id) WHERE a OR b""")

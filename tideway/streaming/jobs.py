@@ -77,6 +77,36 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def registry(stream: DataFrame, retention: int, alpha: float = 0.3, least_gap: int = 30) -> DataFrame:
+    """What is known of each node of a stream of adverts (node, gateway, at, name): told anew with each batch.
+
+    node, at and name of its latest advert, gateways heard within ``retention``
+    seconds of it, ewma of its gaps and how often it told. A late advert adds
+    its gateway and its count and moves no clock back. A node with no advert
+    within retention of the newest of its own batch starts anew.
+    """
+
+    def update(name: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        last, named, mean, n, gates, heard = kept.get if kept.exists else (None, None, None, 0, [], [])
+        seen = dict(zip(gates, heard, strict=True))
+        rows = sorted((int(t), g, m) for b in batches for t, g, m in zip(b["at"], b["gateway"], b["name"], strict=True))
+        for t, gate, said in rows:
+            if last is not None and t - last > retention:
+                last, named, mean, n, seen = None, None, None, 0, {}
+            if last is not None and t - last >= least_gap:
+                mean = float(t - last) if mean is None else mean + alpha * (t - last - mean)
+            n += 1
+            seen[gate] = max(t, seen.get(gate, t))
+            if last is None or t >= last:
+                last, named = t, said
+        seen = {g: t for g, t in sorted(seen.items()) if t >= last - retention}
+        kept.update((last, named, mean, n, list(seen), list(seen.values())))
+        yield pd.DataFrame({"node": [name[0]], "at": [last], "name": [named], "gateways": [list(seen)], "ewma": [mean], "adverts": [n]})
+
+    out, state_ = "node long, at long, name string, gateways array<string>, ewma double, adverts int", "at long, name string, ewma double, adverts int, gateways array<string>, heard array<long>"
+    return stream.select("node", "gateway", "at", "name").groupBy("node").applyInPandasWithState(update, out, state_, "update", GroupStateTimeout.NoTimeout)
+
+
 def cadence(stream: DataFrame, key: str, at: str, alpha: float = 0.3, least_gap: int = 30) -> DataFrame:
     """The exponential average of each key's gaps, told anew with each batch; late rows do not move a clock back."""
 
