@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M, DEGREE_KM, DEGREE_M = 6_371_000.0, 111.32, 111_320.0
@@ -90,6 +90,16 @@ def box(geojson: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(lats), F.array_min(lngs), F.array_max(lats), F.array_max(lngs)
 
 
+BOX = ("min_lat", "min_lng", "max_lat", "max_lng")
+
+
+def with_box(rows: DataFrame, geojson: str = "geojson") -> DataFrame:
+    """rows with the columns of BOX; the geometry is read once for the four."""
+    read = rows.withColumn("_vertices", vertices(F.col(geojson)))
+    lats, lngs = F.transform("_vertices", lambda p: p[1]), F.transform("_vertices", lambda p: p[0])
+    return read.withColumns({"min_lat": F.array_min(lats), "min_lng": F.array_min(lngs), "max_lat": F.array_max(lats), "max_lng": F.array_max(lngs)}).drop("_vertices")
+
+
 def centre(b: tuple[Column, ...]) -> tuple[Column, Column]:
     """lat, lng of a box's middle, which stands for a shape's centroid."""
     return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2

@@ -92,10 +92,8 @@ def attributions(layers: DataFrame, sources: DataFrame) -> DataFrame:
 
 def shaped(events: DataFrame, form: str) -> DataFrame:
     """events with their geometry as BASE64 text, as an OBJECT (a variant), or without it (NONE: the box and its middle stay)."""
-    b = geo.box(F.col("geojson"))
-    corners = {n: v for n, v in zip(("min_lat", "min_lng", "max_lat", "max_lng"), b, strict=True)}
-    middle = dict(zip(("lat", "lng"), geo.centre(b), strict=True))
-    lite = events.withColumns({**corners, **middle})
+    lite = geo.with_box(events)
+    lite = lite.withColumns(dict(zip(("lat", "lng"), geo.centre(tuple(F.col(n) for n in geo.BOX)), strict=True)))
     if form == "NONE":
         return lite.drop("geojson")
     return lite.withColumn("geojson", F.base64(F.col("geojson").cast("binary")) if form == "BASE64" else F.try_parse_json("geojson"))
@@ -103,7 +101,7 @@ def shaped(events: DataFrame, form: str) -> DataFrame:
 
 def lean(events: DataFrame) -> DataFrame:
     """An event in few words: where its middle is, the places it is at by name, no geometry."""
-    lat, lng = geo.centre(geo.box(F.col("geojson")))
+    lat, lng = geo.centre(tuple(F.col(n) for n in geo.BOX))
     at = F.when(lat.isNotNull(), F.struct(F.round(lat, 5).alias("lat"), F.round(lng, 5).alias("lng")))
     places = F.transform(F.coalesce("place_ids", F.array().cast("array<string>")), lambda p: F.element_at(F.split(p, ":"), -1))
-    return events.select("id", "layer", classify.severity_name(F.col("severity")).alias("severity"), "status", "headline", at.alias("location"), places.alias("places"))
+    return geo.with_box(events).select("id", "layer", classify.severity_name(F.col("severity")).alias("severity"), "status", "headline", at.alias("location"), places.alias("places"))

@@ -30,8 +30,7 @@ def _cells(rows: DataFrame, metres: float) -> DataFrame:
 
 def boxed(shapes: DataFrame) -> DataFrame:
     """shapes (geojson) with min_lat, min_lng, max_lat, max_lng; those without a geometry go."""
-    corners = zip(("min_lat", "min_lng", "max_lat", "max_lng"), geo.box(F.col("geojson")), strict=True)
-    return shapes.withColumns(dict(corners)).where("min_lat IS NOT NULL")
+    return geo.with_box(shapes).where("min_lat IS NOT NULL")
 
 
 def point_in_places(points: DataFrame, places: DataFrame, town_metres: float = TOWN_RADIUS) -> DataFrame:
@@ -53,14 +52,17 @@ def resolved(points: DataFrame, places: DataFrame, town_metres: float = TOWN_RAD
     return point_in_places(points, places, town_metres).withColumn("position", F.row_number().over(w))
 
 
-def matched(events: DataFrame, places: DataFrame, fire_metres: float = FIRE_BUFFER) -> DataFrame:
+def matched(events: DataFrame, places: DataFrame, fire_metres: float = FIRE_BUFFER, keep=None) -> DataFrame:
     """id, place_ids for events (id, layer, geojson, place_ids) and places (place_id, kind, name, geojson), by the shape of the event.
 
     A point is where point_in_places says. A line is where its middle is. An
     area is at the places it overlaps (an alert by ALERT_OVERLAP at least), and
     at those that hold its middle or whose middle it holds. A fire is also at
-    areas and towns within fire_metres. Places that were set before stay.
+    areas and towns within fire_metres. Places that were set before stay. The
+    rules each read the events; ``keep`` may store them first.
     """
+    if keep:
+        events, places = keep(events), keep(places)
     b = boxed(events.select("id", "layer", "geojson"))
     lat, lng = geo.centre(tuple(F.col(n) for n in ("min_lat", "min_lng", "max_lat", "max_lng")))
     kind = F.get_json_object("geojson", "$.type")

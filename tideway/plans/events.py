@@ -11,6 +11,7 @@ from tideway.plans.adapters import Views
 from tideway.plans.feeds import bodies, obs_day, point, s
 from tideway.plans.queries import DAY, T0
 from tideway.plans.registry import query
+from tideway.plans.streams import keeper
 from tideway.sources import feeds, normalize
 
 NOW = T0 + 31 * DAY
@@ -243,7 +244,7 @@ def u5_attributions(v: Views) -> DataFrame:
 
 
 _SPANS = f"""s AS (SELECT *, coalesce(effective, least(observed_at, first_ingested)) AS began, CASE WHEN status IN ('RESOLVED', 'EXPIRED') THEN observed_at ELSE {NOW} END AS ends FROM events_now), t AS (SELECT *, greatest(began, CASE WHEN expires < ends AND expires > began THEN expires ELSE ends END) AS over FROM s),
-    p AS (SELECT a.id AS a, b.id AS b, a.layer AS la, b.layer AS lb, a.category AS ca, b.category AS cb, a.user_id % 7 AS fa, b.user_id AS ub, b.k AS kb, b.cause, b.began - a.began AS lag, b.began AS tb, a.began AS ta, a.over AS oa, b.lat BETWEEN a.lat - a.half AND a.lat + a.half AND b.lng BETWEEN a.lng - a.half AND a.lng + a.half AS within,
+    p AS (SELECT a.id AS a, b.id AS b, a.layer AS la, b.layer AS lb, a.category AS ca, b.category AS cb, a.user_id % 7 AS fa, b.user_id AS ub, b.k AS kb, b.cause, b.began - a.began AS lag, b.began AS tb, a.began AS ta, a.over AS oa, round(b.lat, 5) >= round(a.lat - a.half, 5) AND round(b.lat, 5) < round(a.lat + a.half, 5) AND round(b.lng, 5) >= round(a.lng - a.half, 5) AND round(b.lng, 5) < round(a.lng + a.half, 5) AS within,
     111.32 * sqrt(pow(greatest(0, a.lat - a.half - b.lat, b.lat - a.lat - a.half), 2) + pow(greatest(0, a.lng - a.half - b.lng, b.lng - a.lng - a.half) * cos(radians((2 * a.lat + 2 * b.lat) / 4)), 2)) AS gap FROM t a JOIN t b ON a.layer IN ('WILDFIRE', 'WEATHER_ALERT') AND b.layer IN ('EVACUATION', 'POWER', 'ROAD_INCIDENT')),
     named AS (SELECT * FROM p WHERE la = 'WILDFIRE' AND lb = 'EVACUATION' AND gap <= 50 AND tb >= ta - 86400 AND tb <= oa + 604800 AND kb % 5 = 0 AND ub % 7 = fa),
     near AS (SELECT * FROM p WHERE la = 'WILDFIRE' AND lb = 'EVACUATION' AND gap <= 8 AND tb >= ta - 3600 AND tb <= oa AND lag <= 259200 AND b NOT IN (SELECT b FROM named) QUALIFY row_number() OVER (PARTITION BY b ORDER BY gap, a) = 1),
@@ -256,13 +257,13 @@ _SPANS = f"""s AS (SELECT *, coalesce(effective, least(observed_at, first_ingest
 @query(f"WITH {_SPANS} SELECT a, b, rule, CAST(c AS INT) AS confidence FROM r QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY c DESC, k) = 1")
 def j25_related_rules(v: Views) -> DataFrame:
     """Every related pair of events under the strongest of eight rules."""
-    return related.pairs(v.events_now, NOW).select("a", "b", "rule", "confidence")
+    return related.pairs(v.events_now, NOW, keep=keeper(v.spark)).select("a", "b", "rule", "confidence")
 
 
 @query(f"WITH {_SPANS}, q AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY c DESC, k) = 1) SELECT a AS subject, b AS event, rule FROM q UNION ALL SELECT b, a, rule FROM q")
 def q6_related_events(v: Views) -> DataFrame:
     """What is related to each event, seen from either side."""
-    found = related.pairs(v.events_now, NOW)
+    found = related.pairs(v.events_now, NOW, keep=keeper(v.spark))
     return found.select(F.col("a").alias("subject"), F.col("b").alias("event"), "rule").unionByName(found.select(F.col("b").alias("subject"), F.col("a").alias("event"), "rule"))
 
 
@@ -396,12 +397,12 @@ def j10_resolved_points(v: Views) -> DataFrame:
 @query("""WITH e AS (SELECT id, layer, lat, lng, half FROM events_now), r AS (SELECT e.*, p.place_id, p.min_lat, p.min_lng, p.max_lat, p.max_lng, greatest(0, least(lat + half, max_lat) - greatest(lat - half, min_lat)) * greatest(0, least(lng + half, max_lng) - greatest(lng - half, min_lng)) AS shared, kind FROM e, places p WHERE kind <> 'TOWN'),
     m AS (SELECT id, place_id FROM r WHERE CASE WHEN layer = 'WEATHER_ALERT' THEN shared / least(4 * half * half, 1) >= 0.02 WHEN layer = 'WILDFIRE' THEN shared > 1e-9 OR (kind = 'AREA' AND sqrt(pow(greatest(0, min_lat - lat - half, lat - half - max_lat) * 111320.0, 2) + pow(greatest(0, min_lng - lng - half, lng - half - max_lng) * 111320.0 * cos(radians((2 * lat + min_lat + max_lat) / 4)), 2)) <= 20000) ELSE lat >= min_lat AND lat < max_lat AND lng >= min_lng AND lng < max_lng END
     UNION SELECT id, place_id FROM (SELECT e.*, p.place_id, p.min_lat + 0.5 AS y, p.min_lng + 0.5 AS x FROM e, places p WHERE kind = 'TOWN') WHERE CASE WHEN layer = 'WILDFIRE' THEN sqrt(pow(greatest(0, y - lat - half, lat - half - y) * 111320.0, 2) + pow(greatest(0, x - lng - half, lng - half - x) * 111320.0 * cos(radians((y + lat) / 2)), 2)) <= 20000 WHEN layer = 'WEATHER_ALERT' THEN false
-    ELSE 2 * 6371000.0 * asin(sqrt(pow(sin(radians(y - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(x - lng) / 2), 2))) <= 3000 END UNION SELECT id, 'corridor:1' FROM e WHERE layer NOT IN ('WILDFIRE', 'WEATHER_ALERT') AND abs(lat - 37) * 111320.0 <= 1500 UNION SELECT id, 'preset' FROM e WHERE layer = 'POWER')
+    ELSE 2 * 6371000.0 * asin(sqrt(pow(sin(radians(y - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(x - lng) / 2), 2))) <= 3000 END UNION SELECT id, 'corridor:1' FROM e WHERE layer NOT IN ('WILDFIRE', 'WEATHER_ALERT') AND abs(lat - 37) * 111320.0 <= 1500 UNION SELECT id, 'corridor:1' FROM e WHERE layer = 'WILDFIRE' AND 37 BETWEEN lat - half AND lat + half AND -121.5 BETWEEN lng - half AND lng + half UNION SELECT id, 'preset' FROM e WHERE layer = 'POWER')
     SELECT id, coalesce(list_sort(list(place_id) FILTER (place_id IS NOT NULL)), []) AS place_ids FROM e LEFT JOIN m USING (id) GROUP BY id""")
 def j9_matched_places(v: Views) -> DataFrame:
     """The places of each event by the rules of its shape: points, areas, alerts and fires."""
     preset = F.when(F.col("layer") == "POWER", F.array(F.lit("preset"), F.lit("")))
-    return placing.matched(v.events_now.select("id", "layer", "geojson", preset.alias("place_ids")), place_directory(v))
+    return placing.matched(v.events_now.select("id", "layer", "geojson", preset.alias("place_ids")), place_directory(v), keep=keeper(v.spark))
 
 
 @query("""WITH w AS (SELECT user_id, k % 2 AS county, lat, lng FROM observed WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) = 1), p AS (SELECT user_id, seq, k % 2 AS county, lat, lng FROM observed WHERE event_type = 'view')

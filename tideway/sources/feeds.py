@@ -319,11 +319,10 @@ def perimeters(bodies: DataFrame, box: tuple[float, float, float, float] | None
     """Active fire perimeters, Polygon or MultiPolygon, with their shape; those in a box (min_lat, min_lng, max_lat, max_lng) where one is given. A fire without a name takes the one in its mission."""
     r = shapes(bodies, "OBJECTID bigint, incident_name string, incident_number string, mission string, displayStatus string, area_acres double, poly_DateCurrent bigint")
     name = F.coalesce(F.nullif(F.trim("incident_name"), F.lit("")), text.mission_fire(F.coalesce("mission", F.lit(""))))
-    corners = dict(zip(("min_lat", "min_lng", "max_lat", "max_lng"), geo.box(F.col("geojson")), strict=True))
-    rows = r.where("displayStatus = 'Active' OR displayStatus IS NULL OR displayStatus = ''").select(
-        F.col("OBJECTID").alias("object_id"), name.alias("name"), text.fire_key(name).alias("norm"), F.col("incident_number").alias("incident"), F.coalesce("area_acres", F.lit(0.0)).alias("acres"), F.floor(F.col("poly_DateCurrent") / 1000).alias("current_at"), "geojson", *(v.alias(n) for n, v in corners.items()),
+    rows = geo.with_box(r).where("displayStatus = 'Active' OR displayStatus IS NULL OR displayStatus = ''").select(
+        F.col("OBJECTID").alias("object_id"), name.alias("name"), text.fire_key(name).alias("norm"), F.col("incident_number").alias("incident"), F.coalesce("area_acres", F.lit(0.0)).alias("acres"), F.floor(F.col("poly_DateCurrent") / 1000).alias("current_at"), "geojson", *geo.BOX,
     )
-    return rows.where(geo.boxes_meet(tuple(map(F.lit, box)), tuple(F.col(n) for n in corners))) if box else rows
+    return rows.where(geo.boxes_meet(tuple(map(F.lit, box)), tuple(F.col(n) for n in geo.BOX))) if box else rows
 
 
 def newest_stamp(bodies: DataFrame) -> DataFrame:

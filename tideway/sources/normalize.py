@@ -77,7 +77,7 @@ def wildfires(fires: DataFrame, perimeters: DataFrame, prior: DataFrame, scope:
     rows = rows.withColumns({"has": shape.isNotNull(), "geojson": F.coalesce(shape, geo.point_json(c("lat"), c("lng")))})
     at = (c("lat"), c("lng"), c("lat"), c("lng"))
     whole = tuple(map(F.lit, scope))
-    rows = rows.where(geo.boxes_meet(at, whole) | F.coalesce(geo.boxes_meet(geo.box(c("geojson")), whole), F.lit(False)))
+    rows = geo.with_box(rows).where(geo.boxes_meet(at, whole) | F.coalesce(geo.boxes_meet(tuple(map(c, geo.BOX)), whole), F.lit(False)))
     incidents = events(
         rows, id=c("id"), layer=F.lit("WILDFIRE"), category=F.lit("wildfire"), severity=classify.from_wildfire(c("acres"), c("contained")), status=F.lit(ACTIVE),
         headline=F.concat(c("name"), F.lit(" — "), text.commas(c("acres")), F.lit(" ac, "), c("contained"), F.lit("% contained")), area_label=filled(c("location"), c("county")), url=safe_url(c("url")), effective=c("started"), observed_at=c("updated"),
@@ -107,11 +107,11 @@ def orphans(perimeters: DataFrame, ended: DataFrame, now: int, window: int = 30
     Several such fires: the smallest id. The join is on the name; distances are
     between the middles of boxes.
     """
-    middle = lambda g: geo.centre(geo.box(F.col(g)))
+    middle = geo.centre(tuple(map(F.col, geo.BOX)))
     fires = ended.where((F.col("wildfire.contained") >= least_contained) & (F.col("observed_at") >= now - window))
-    fires = fires.select(text.fire_key(F.split("headline", " — ")[0]).alias("norm"), F.col("id").alias("_id"), *(v.alias(n) for v, n in zip(middle("geojson"), ("_lat", "_lng"), strict=True)))
+    fires = geo.with_box(fires).select(text.fire_key(F.split("headline", " — ")[0]).alias("norm"), F.col("id").alias("_id"), *(v.alias(n) for v, n in zip(middle, ("_lat", "_lng"), strict=True)))
     rows = perimeters.withColumn("_key", F.monotonically_increasing_id())
-    here = rows.select("_key", "norm", *(v.alias(n) for v, n in zip(middle("geojson"), ("lat", "lng"), strict=True)))
+    here = geo.with_box(rows).select("_key", "norm", *(v.alias(n) for v, n in zip(middle, ("lat", "lng"), strict=True)))
     near = geo.metres_between(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")) <= most_metres
     hit = here.join(fires, "norm").where(near).groupBy("_key").agg(F.min("_id").alias("orphan"))
     return rows.join(hit, "_key", "left").drop("_key")
