@@ -81,11 +81,11 @@ def test_timeline_of_a_closure_a_shutoff_and_a_node(spark):
     more = ", revision int, ingested_at bigint"
     told = timeline.timeline(frame(spark, [rows[0] | {"revision": 1}, rows[1] | {"revision": 4}, rows[2] | {"revision": 1}], ", revision int"), frame(spark, [*log, later, gap], more)).orderBy("event_id", "position").collect()
     story = {e: [(r["at"] - t, r.clock, r.kind, r.label) for r in told if r.event_id == e] for e in "cpm"}
-    assert story["c"] == [(-20, "SOURCE", "LOG", "Units"), (0, "SOURCE", "PLANNED_START", "Planned start"), (50, "SOURCE", "PLANNED_END", "Planned end"), (100, "GRID", "FIRST_RECORDED", "First recorded by the Grid")]
+    assert story["c"] == [(-20, "SOURCE", "LOG", "Units"), (0, "SOURCE", "PLANNED_START", "Planned start"), (50, "SOURCE", "PLANNED_END", "Planned end"), (100, "OWN", "FIRST_RECORDED", "First recorded")]
     assert story["p"] == [
-        (5, "SOURCE", "PLANNED_START", "De-energization starts"), (7, "SOURCE", "ESTIMATE", "Estimated restoration"), (9, "SOURCE", "ALL_CLEAR", "All clear"), (100, "GRID", "FIRST_RECORDED", "First recorded by the Grid"), (200, "GRID", "CHANGED", "Severity Severe"), (200, "GRID", "STATUS", "Now in effect"),
+        (5, "SOURCE", "PLANNED_START", "De-energization starts"), (7, "SOURCE", "ESTIMATE", "Estimated restoration"), (9, "SOURCE", "ALL_CLEAR", "All clear"), (100, "OWN", "FIRST_RECORDED", "First recorded"), (200, "OWN", "CHANGED", "Severity Severe"), (200, "OWN", "STATUS", "Now in effect"),
     ]
-    assert story["m"] == [(0, "SOURCE", "ACTIVITY", "Last heard"), (1, "SOURCE", "ACTIVITY", "Monitor last reached it"), (2, "SOURCE", "ACTIVITY", "Monitor last tried"), (100, "GRID", "FIRST_RECORDED", "First recorded by the Grid")]
+    assert story["m"] == [(0, "SOURCE", "ACTIVITY", "Last heard"), (1, "SOURCE", "ACTIVITY", "Monitor last reached it"), (2, "SOURCE", "ACTIVITY", "Monitor last tried"), (100, "OWN", "FIRST_RECORDED", "First recorded")]
 
 
 def test_map_properties_leave_out_what_was_not_read(spark):

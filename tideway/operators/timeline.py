@@ -71,7 +71,7 @@ def changes(revisions: DataFrame) -> DataFrame:
 
     def change(when: Column, kind: str, field: str, label: Column, before: Column, after: Column) -> Column:
         detail = F.concat(F.lit("was "), F.when(before == "", "not given").otherwise(before))
-        entry = F.struct(F.col("ingested_at").alias("at"), F.lit("GRID").alias("clock"), F.lit(kind).alias("kind"), F.lit(field).alias("field"), label.alias("label"), before.alias("before"), after.alias("after"), detail.alias("detail"), b("revision").alias("revision"))
+        entry = F.struct(F.col("ingested_at").alias("at"), F.lit("OWN").alias("clock"), F.lit(kind).alias("kind"), F.lit(field).alias("field"), label.alias("label"), before.alias("before"), after.alias("after"), detail.alias("detail"), b("revision").alias("revision"))
         return F.when(F.coalesce(when & (before != after), F.lit(False)), entry)
 
     severity, layer, acres, level = (lambda s: word(s("severity"))), F.col("layer"), (lambda s: F.coalesce(text.acres(s("acres")), F.lit(""))), (lambda s: word(s("level")))
@@ -95,7 +95,7 @@ def timeline(current: DataFrame, revisions: DataFrame, cap: int = CAP) -> DataFr
     ends = revisions.groupBy("id").agg(F.min_by("ingested_at", "revision").alias("at"), F.max("revision").alias("last"), F.count("*").alias("held"))
     since = F.col("last") - 1
     detail = F.when(since <= 0, "No revisions since").when(since == 1, "1 revision since").otherwise(F.concat(since, F.lit(" revisions since")))
-    first = F.struct("at", F.lit("GRID").alias("clock"), F.lit("FIRST_RECORDED").alias("kind"), F.lit("First recorded by the Grid").alias("label"), detail.alias("detail"), F.lit(1).alias("revision"))
+    first = F.struct("at", F.lit("OWN").alias("clock"), F.lit("FIRST_RECORDED").alias("kind"), F.lit("First recorded").alias("label"), detail.alias("detail"), F.lit(1).alias("revision"))
     every = reduce(DataFrame.unionByName, [stated(current), _entries(ends, F.array(first)), changes(read)])
     w = Window.partitionBy("event_id").orderBy("at", F.desc("clock"), "revision", "kind", "field", "label", "detail")
     return every.withColumn("position", F.row_number().over(w)).join(ends.select(F.col("id").alias("event_id"), (F.col("held") > cap).alias("truncated")), "event_id")

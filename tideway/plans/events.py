@@ -280,11 +280,11 @@ _TENTH = "CASE WHEN {0} > 0 THEN CASE WHEN floor({0} * 10 + 0.5) / 10 = floor(fl
 @query(f"""WITH w AS (SELECT *, lag(severity) OVER o AS s0, lag(status) OVER o AS t0, lag(value) OVER o AS v0, lag(k) OVER o AS k0, lag(level) OVER o AS l0, lag(customers) OVER o AS c0 FROM event_log WINDOW o AS (PARTITION BY id ORDER BY revision)), n AS (SELECT * FROM events_now),
     e AS (SELECT id AS event_id, effective AS "at", 'SOURCE' AS clock, 'BEGINS' AS kind, '' AS field, CASE layer WHEN 'ROAD_INCIDENT' THEN 'Reported' WHEN 'WILDFIRE' THEN 'Started' WHEN 'POWER' THEN 'Outage began' ELSE 'In effect' END AS label, '' AS before, '' AS after FROM n UNION ALL SELECT id, expires, 'SOURCE', 'ENDS', '', 'Ends', '', '' FROM n
     UNION ALL SELECT id, observed_at + 1800, 'SOURCE', 'ESTIMATE', '', 'Estimated restoration', '', '' FROM n WHERE layer = 'POWER' AND k % 7 = 0 UNION ALL SELECT id, observed_at - observed_at % 60, 'SOURCE', 'LOG', '', 'Units on scene', '', '' FROM n WHERE layer = 'ROAD_INCIDENT'
-    UNION ALL SELECT id, ingested_at, 'GRID', 'FIRST_RECORDED', '', 'First recorded by the Grid', '', '' FROM event_log WHERE revision = 1 UNION ALL SELECT id, ingested_at, 'GRID', 'STATUS', 'status', CASE status WHEN 'ACTIVE' THEN 'Active again' ELSE 'Resolved' END, upper(t0[1]) || lower(t0[2:]), upper(status[1]) || lower(status[2:]) FROM w WHERE revision > 1 AND status <> t0
-    UNION ALL SELECT id, ingested_at, 'GRID', 'CHANGED', 'severity', 'Severity ' || b, a, b FROM (SELECT *, {SEVERITY}[s0 + 1][1] || lower({SEVERITY}[s0 + 1][2:]) AS a, {SEVERITY}[severity + 1][1] || lower({SEVERITY}[severity + 1][2:]) AS b FROM w) WHERE revision > 1 AND a <> b
-    UNION ALL SELECT id, ingested_at, 'GRID', 'CHANGED', 'acres', 'Size ' || b, a, b FROM (SELECT *, {_TENTH.format('v0')} AS a, {_TENTH.format('value')} AS b FROM w WHERE layer = 'WILDFIRE') WHERE revision > 1 AND a <> b UNION ALL SELECT id, ingested_at, 'GRID', 'CHANGED', 'containment', 'Containment ' || k || '%', k0 || '%', k || '%' FROM w WHERE layer = 'WILDFIRE' AND revision > 1 AND k <> k0
-    UNION ALL SELECT id, ingested_at, 'GRID', 'CHANGED', 'level', 'Level ' || b, a, b FROM (SELECT *, upper(l0[1]) || lower(replace(l0[2:], '_', ' ')) AS a, upper(level[1]) || lower(replace(level[2:], '_', ' ')) AS b FROM w WHERE layer = 'EVACUATION') WHERE revision > 1 AND a <> b
-    UNION ALL SELECT id, ingested_at, 'GRID', 'CHANGED', 'customersAffected', b || ' customers out', a, b FROM (SELECT *, CASE WHEN c0 > 0 THEN CAST(c0 AS VARCHAR) ELSE '' END AS a, CASE WHEN customers > 0 THEN CAST(customers AS VARCHAR) ELSE '' END AS b FROM w WHERE layer = 'POWER') WHERE revision > 1 AND a <> b)
+    UNION ALL SELECT id, ingested_at, 'OWN', 'FIRST_RECORDED', '', 'First recorded', '', '' FROM event_log WHERE revision = 1 UNION ALL SELECT id, ingested_at, 'OWN', 'STATUS', 'status', CASE status WHEN 'ACTIVE' THEN 'Active again' ELSE 'Resolved' END, upper(t0[1]) || lower(t0[2:]), upper(status[1]) || lower(status[2:]) FROM w WHERE revision > 1 AND status <> t0
+    UNION ALL SELECT id, ingested_at, 'OWN', 'CHANGED', 'severity', 'Severity ' || b, a, b FROM (SELECT *, {SEVERITY}[s0 + 1][1] || lower({SEVERITY}[s0 + 1][2:]) AS a, {SEVERITY}[severity + 1][1] || lower({SEVERITY}[severity + 1][2:]) AS b FROM w) WHERE revision > 1 AND a <> b
+    UNION ALL SELECT id, ingested_at, 'OWN', 'CHANGED', 'acres', 'Size ' || b, a, b FROM (SELECT *, {_TENTH.format('v0')} AS a, {_TENTH.format('value')} AS b FROM w WHERE layer = 'WILDFIRE') WHERE revision > 1 AND a <> b UNION ALL SELECT id, ingested_at, 'OWN', 'CHANGED', 'containment', 'Containment ' || k || '%', k0 || '%', k || '%' FROM w WHERE layer = 'WILDFIRE' AND revision > 1 AND k <> k0
+    UNION ALL SELECT id, ingested_at, 'OWN', 'CHANGED', 'level', 'Level ' || b, a, b FROM (SELECT *, upper(l0[1]) || lower(replace(l0[2:], '_', ' ')) AS a, upper(level[1]) || lower(replace(level[2:], '_', ' ')) AS b FROM w WHERE layer = 'EVACUATION') WHERE revision > 1 AND a <> b
+    UNION ALL SELECT id, ingested_at, 'OWN', 'CHANGED', 'customersAffected', b || ' customers out', a, b FROM (SELECT *, CASE WHEN c0 > 0 THEN CAST(c0 AS VARCHAR) ELSE '' END AS a, CASE WHEN customers > 0 THEN CAST(customers AS VARCHAR) ELSE '' END AS b FROM w WHERE layer = 'POWER') WHERE revision > 1 AND a <> b)
     SELECT * FROM e WHERE "at" > 0""")
 def q5_event_timelines(v: Views) -> DataFrame:
     """The story of every event on two clocks."""
@@ -297,7 +297,7 @@ def q5_event_timelines(v: Views) -> DataFrame:
 def n4_truncated_timelines(v: Views) -> DataFrame:
     """With room for three revisions the first is told all the same, and the rest is said to be left out."""
     t = timeline.timeline(v.events_now, v.event_log, cap=3)
-    return t.groupBy("event_id").agg(F.bool_or(F.col("clock") == "GRID").alias("told"), F.first("truncated").alias("truncated"), F.min(F.when(F.col("kind") == "FIRST_RECORDED", F.col("at"))).alias("first_at"))
+    return t.groupBy("event_id").agg(F.bool_or(F.col("clock") == "OWN").alias("told"), F.first("truncated").alias("truncated"), F.min(F.when(F.col("kind") == "FIRST_RECORDED", F.col("at"))).alias("first_at"))
 
 
 @query("""SELECT norm, seq FROM (SELECT user_id % 40 AS norm, seq, row_number() OVER (PARTITION BY user_id % 40 ORDER BY observed_at DESC, CASE WHEN status = 'ACTIVE' THEN 0 ELSE 1 END, k, value DESC, seq) AS r FROM observed WHERE event_type = 'error') WHERE r = 1""")

@@ -284,7 +284,7 @@ def n3_revision_changes(v: Views) -> DataFrame:
 
 
 @query("""SELECT id, sampled_at, clock, kind, row_number() OVER (PARTITION BY id ORDER BY sampled_at, clock DESC, kind, revision) AS position FROM (SELECT id, observed_at AS sampled_at, 'SOURCE' AS clock, 'REPORTED' AS kind, revision FROM revisions WHERE revision = 1
-    UNION ALL SELECT id, observed_at, 'GRID', 'FIRST_RECORDED', revision FROM revisions WHERE revision = 1 UNION ALL SELECT id, observed_at, 'GRID', CASE WHEN status <> before THEN 'STATUS' ELSE 'SEVERITY' END, revision FROM
+    UNION ALL SELECT id, observed_at, 'OWN', 'FIRST_RECORDED', revision FROM revisions WHERE revision = 1 UNION ALL SELECT id, observed_at, 'OWN', CASE WHEN status <> before THEN 'STATUS' ELSE 'SEVERITY' END, revision FROM
     (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY revision) AS before FROM revisions) WHERE revision > 1) QUALIFY position <= 500""")
 def n4_timeline(v: Views) -> DataFrame:
     """Source entries, the first record and changes of each event in one order, at most 500."""
@@ -292,8 +292,8 @@ def n4_timeline(v: Views) -> DataFrame:
     first = r.where("revision = 1").select("id", "sampled_at", "revision")
     entries = (
         first.withColumns({"clock": F.lit("SOURCE"), "kind": F.lit("REPORTED")})
-        .unionByName(first.withColumns({"clock": F.lit("GRID"), "kind": F.lit("FIRST_RECORDED")}))
-        .unionByName(r.where("revision > 1").select("id", "sampled_at", "revision", F.lit("GRID").alias("clock"), F.when(F.col("status") != F.col("before"), "STATUS").otherwise("SEVERITY").alias("kind")))
+        .unionByName(first.withColumns({"clock": F.lit("OWN"), "kind": F.lit("FIRST_RECORDED")}))
+        .unionByName(r.where("revision > 1").select("id", "sampled_at", "revision", F.lit("OWN").alias("clock"), F.when(F.col("status") != F.col("before"), "STATUS").otherwise("SEVERITY").alias("kind")))
     )
     w = Window.partitionBy("id").orderBy("sampled_at", F.desc("clock"), "kind", "revision")
     return entries.select("id", "sampled_at", "clock", "kind", F.row_number().over(w).alias("position")).where("position <= 500")
