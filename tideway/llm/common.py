@@ -79,6 +79,27 @@ def one_of_alike(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(key))).where("nth = 1").drop("nth")
 
 
+#: Rows alike are counted, not moved one by one, when they are more than both COPIES and one MOST_HOT-th of all rows; a chunk of them has COPIES at most.
+COPIES, MOST_HOT = 10_000, 10_000
+
+
+def collapsed(rows: DataFrame) -> DataFrame:
+    """rows with copies and chunk: rows alike in all columns stay apart (1 and 0), or, where they are very many, are one row for each chunk of them.
+
+    At most MOST_HOT kinds of rows can be that many, which bounds the broadcast.
+    """
+    most, alike = max(COPIES, rows.count() // MOST_HOT), row_key(rows)
+    hot = cut(rows.groupBy(alike.alias("alike")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("alike"))
+    one = {"copies": F.lit(1).cast("long"), "chunk": F.lit(0).cast("long")}
+    if hot.isEmpty():
+        return rows.withColumns(one)
+    tagged = rows.withColumn("alike", alike)
+    rest = tagged.join(F.broadcast(hot), "alike", "left_anti").drop("alike").withColumns(one)
+    many = tagged.join(F.broadcast(hot), "alike", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    many = many.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    return rest.unionByName(many.withColumn("copies", F.least(F.lit(COPIES), F.col("n") - F.col("chunk") * COPIES)).drop("n"))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels no model may learn: crc32 of the id as text, modulo 3, is 1 (a null id is the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
