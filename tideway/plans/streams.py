@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tideway.operators import mesh, state
 from tideway.plans import queries
 from tideway.plans.adapters import Views
+from tideway.plans.queries import DAY, T0
 from tideway.plans.registry import ORACLES, query
-from tideway.streaming import jobs
+from tideway.streaming import jobs, ticks
 
 
 def folder(spark: SparkSession) -> str:
@@ -118,3 +119,87 @@ def m4_registry_stream(v: Views) -> DataFrame:
 
     jobs.run_available(stream.writeStream.outputMode("update").foreachBatch(keep), f"{path}/checkpoint")
     return state.latest(v.spark.read.parquet(f"{path}/registry"), "node", ["batch"]).select("node", "at", "name", "gateways", "adverts")
+
+
+#: Three polls of ten days each, and how each source's absences are read.
+POLLS = {p: T0 + 10 * p * DAY for p in (1, 2, 3)}
+POLICIES = "VALUES ('click', 'resolve', 0L), ('error', 'expire', 0L), ('purchase', 'expire', {0}L), ('signup', 'expire', {0}L), ('view', 'expire', {1}L)"
+COMPARED = ["severity", "status"]
+
+
+def polled(v: Views, p: int) -> DataFrame:
+    """What the p-th poll brings: events observed in its ten days, an attempt for each source, and what a view says of a click."""
+    o = v.observed.where((F.col("observed_at") < POLLS[p]) | F.lit(p == 3)).where((F.col("observed_at") >= POLLS[p] - 10 * DAY) | F.lit(p == 1))
+    base = [F.lit(p).cast("int").alias("poll"), F.lit(POLLS[p]).cast("long").alias("now")]
+    listed = o.select(F.lit("event").alias("kind"), *base, F.col("event_type").alias("source_id"), "id", "status", "observed_at", F.when(F.col("event_type") == "error", F.col("observed_at") + 6 * DAY).alias("expires"), "severity", "value", (F.col("k") % 5 == 0).alias("force"), "seq")
+    source = F.col("event_type")
+    asked = o.select("event_type").distinct().select(F.lit("attempt").alias("kind"), *base, source.alias("source_id"), (~((source == "purchase") & F.lit(p == 2))).alias("ok"), ((source == "signup") & F.lit(p == 3)).alias("suppressed"), F.when((source == "purchase") & F.lit(p == 2), "timeout").alias("error"))
+    gone = o.where("event_type = 'view' AND k % 10 = 0").select(F.lit("superseded").alias("kind"), *base, F.concat(F.lit("click:"), "user_id").alias("id"), F.concat(F.lit("view:"), "user_id").alias("successor"))
+    return listed.unionByName(asked, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+
+
+def three_polls(v: Views) -> ticks.Ticks:
+    """The event tables after a stream of three polls, a batch each."""
+    path = folder(v.spark)
+    polls = {p: polled(v, p) for p in POLLS}
+    content = polls[1].select("id", "source_id", "status", "observed_at", "expires", "severity", "value").schema
+    sources = v.spark.sql(f"SELECT s.*, {DAY}L AS poll_seconds, cast(NULL AS bigint) AS stale_after FROM ({POLICIES.format(3 * DAY, 12 * DAY)}) s (source_id, policy, expire_after)")
+    tables, work = ticks.ingest(v.spark, path, sources, content, COMPARED, ["observed_at", "seq"], 11 * DAY)
+    for rows in polls.values():
+        rows.write.mode("append").parquet(f"{path}/landed")
+        stream = v.spark.readStream.schema(rows.schema).parquet(f"{path}/landed")
+        jobs.run_available(stream.writeStream.foreachBatch(work), f"{path}/checkpoint")
+    return tables
+
+
+def _tick_sql() -> str:
+    """The three ticks as tables cur1 to cur3, made1 to made3 and health1 to health3."""
+    columns = "id, source_id, status, observed_at, expires, severity, value, revision, first_ingested, ingested_at, last_seen, replaced_by"
+    types = "VARCHAR VARCHAR VARCHAR BIGINT BIGINT INT DOUBLE INT BIGINT BIGINT BIGINT VARCHAR".split()
+    out = [
+        "cur0 AS (SELECT " + ", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in zip(columns.split(", "), types, strict=True)) + " WHERE false)",
+        f"pol(source_id, policy, expire_after) AS ({POLICIES.format(3 * DAY, 12 * DAY).replace('L)', ')')})",
+        f"health0 AS (SELECT source_id, policy, CAST(NULL AS BIGINT) AS last_attempt, CAST(NULL AS BIGINT) AS last_success, CAST(NULL AS VARCHAR) AS last_error, CAST(NULL AS VARCHAR) AS status FROM pol)",
+    ]
+    for p, now in POLLS.items():
+        span = " AND ".join([f"observed_at < {now}"] * (p < 3) + [f"observed_at >= {now - 10 * DAY}"] * (p > 1))
+        failed = "event_type = 'purchase'" if p == 2 else "false"
+        out += [
+            f"in{p} AS (SELECT *, CASE WHEN event_type = 'error' THEN observed_at + {6 * DAY} END AS expires FROM observed WHERE {span})",
+            f"ev{p} AS (SELECT * FROM in{p} QUALIFY row_number() OVER (PARTITION BY id ORDER BY observed_at DESC, seq DESC) = 1)",
+            f"asked{p} AS (SELECT DISTINCT event_type AS source_id, NOT ({failed}) AS ok, {'event_type = ' + repr('signup') if p == 3 else 'false'} AS suppressed FROM in{p})",
+            f"gone{p} AS (SELECT 'click:' || user_id AS id, min('view:' || user_id) AS successor FROM in{p} WHERE event_type = 'view' AND k % 10 = 0 GROUP BY 1)",
+            f"""both{p} AS (SELECT coalesce(c.id, e.id) AS id, c.id IS NOT NULL AS known, e.id IS NOT NULL AS listed, e.id IS NOT NULL AND (c.id IS NULL OR c.severity <> e.severity OR c.status <> e.status) AS changed, coalesce(e.k % 5 = 0, false) AND NOT changed AS forced,
+                c.* EXCLUDE (id), e.event_type AS n_source, e.status AS n_status, e.observed_at AS n_observed, e.expires AS n_expires, e.severity AS n_severity, e.value AS n_value FROM cur{p - 1} c FULL JOIN ev{p} e ON c.id = e.id)""",
+            f"""more{p} AS (SELECT b.*, coalesce(ok, false) AS answered, coalesce(suppressed, false) AS suppressed, policy, expire_after, successor, listed AND NOT changed AND answered AND last_seen < {now - 11 * DAY} AS touched, changed OR forced AS take FROM both{p} b
+                LEFT JOIN asked{p} a ON a.source_id = CASE WHEN changed THEN n_source ELSE b.source_id END LEFT JOIN pol ON pol.source_id = a.source_id LEFT JOIN gone{p} g ON g.id = b.id)""",
+            f"""mid{p} AS (SELECT id, CASE WHEN take THEN n_source ELSE source_id END AS source_id, CASE WHEN take THEN n_status ELSE status END AS status, CASE WHEN take THEN n_observed ELSE observed_at END AS observed_at, CASE WHEN take THEN n_expires ELSE expires END AS expires,
+                CASE WHEN take THEN n_severity ELSE severity END AS severity, CASE WHEN take THEN n_value ELSE value END AS value, CAST(coalesce(revision, 0) + CAST(changed AS INT) AS INT) AS revision, coalesce(first_ingested, {now}) AS first_ingested,
+                CASE WHEN changed THEN {now} ELSE ingested_at END AS ingested_at, CASE WHEN changed OR touched THEN {now} ELSE last_seen END AS last_seen, CASE WHEN NOT changed THEN replaced_by END AS replaced_by, changed, listed, answered AND NOT suppressed AS judged, policy, expire_after, successor FROM more{p})""",
+            f"""end{p} AS (SELECT *, CASE WHEN NOT judged OR status <> 'ACTIVE' THEN NULL WHEN successor IS NOT NULL THEN 'RESOLVED' WHEN listed THEN NULL WHEN policy = 'resolve' THEN 'RESOLVED'
+                WHEN coalesce(expires < {now}, false) OR (expire_after > 0 AND {now} - last_seen > expire_after) THEN 'EXPIRED' END AS to_status FROM mid{p})""",
+            f"""cur{p} AS (SELECT id, source_id, coalesce(to_status, status) AS status, CASE WHEN to_status IS NULL THEN observed_at ELSE {now} END AS observed_at, expires, severity, value, CAST(revision + CAST(to_status IS NOT NULL AS INT) AS INT) AS revision, first_ingested,
+                CASE WHEN to_status IS NULL THEN ingested_at ELSE {now} END AS ingested_at, last_seen, CASE WHEN to_status IS NULL THEN replaced_by ELSE coalesce(successor, replaced_by) END AS replaced_by FROM end{p})""",
+            f"made{p} AS (SELECT {columns} FROM end{p} WHERE changed UNION ALL SELECT {columns} FROM cur{p} WHERE id IN (SELECT id FROM end{p} WHERE to_status IS NOT NULL))",
+            f"""health{p} AS (SELECT h.source_id, h.policy, CASE WHEN ok IS NULL THEN last_attempt ELSE {now} END AS last_attempt, CASE WHEN ok THEN {now} ELSE last_success END AS last_success, CASE WHEN ok THEN '' WHEN NOT ok THEN 'timeout' ELSE last_error END AS last_error,
+                CASE WHEN ok THEN 'OK' WHEN ok IS NULL THEN status WHEN {now} - last_success <= {3 * DAY} THEN 'STALE' ELSE 'UNAVAILABLE' END AS status FROM health{p - 1} h LEFT JOIN asked{p} USING (source_id))""",
+        ]
+    return "WITH " + ", ".join(out)
+
+
+@query(f"{_tick_sql()} SELECT id, source_id, status, observed_at, expires, severity, value, revision, first_ingested, ingested_at, last_seen, replaced_by FROM cur3")
+def m1_tick_events(v: Views) -> DataFrame:
+    """The current events after three polls: gate, upsert, touch, supersession and sweep."""
+    return three_polls(v).current().select("id", "source_id", "status", "observed_at", "expires", "severity", "value", "revision", "first_ingested", "ingested_at", "last_seen", "replaced_by")
+
+
+@query(f"{_tick_sql()} SELECT id, revision, status, observed_at, severity, ingested_at, replaced_by FROM (SELECT * FROM made1 UNION ALL SELECT * FROM made2 UNION ALL SELECT * FROM made3)")
+def m1_tick_revisions(v: Views) -> DataFrame:
+    """Every revision that three polls made."""
+    return three_polls(v).revisions().select("id", "revision", "status", "observed_at", "severity", "ingested_at", "replaced_by")
+
+
+@query(f"{_tick_sql()} SELECT source_id, policy, last_attempt, last_success, last_error, status FROM health3")
+def m1_tick_sources(v: Views) -> DataFrame:
+    """The sources' health after three polls."""
+    return three_polls(v).health().select("source_id", "policy", "last_attempt", "last_success", "last_error", "status")
