@@ -1,11 +1,13 @@
 """State that streams keep, against plain loops: poll ticks, compaction, the registry and presence; with batches that fail half-way."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from tideway.streaming import ticks
+from tideway.operators import mesh
+from tideway.streaming import rollup, ticks
 
 TYPES = {"string": StringType(), "bigint": LongType(), "int": IntegerType(), "boolean": BooleanType()}
 
@@ -156,3 +158,83 @@ def test_one_writer(spark, tmp_path):
     t(frame(spark, *polls(random.Random(1), 1)), 0)
     with pytest.raises(RuntimeError, match="another writer"):
         t.tables.commit(old, {}, {})
+
+
+RAW = "obs_id bigint, pubkey string, heard_at bigint, snr int, path_nodes array<string>"
+DAY = 86_400
+
+
+def receptions(rng, ids):
+    return [(i, f"n{rng.randint(0, 3)}", rng.randint(0, 6) * DAY + rng.randint(0, DAY - 1), rng.randint(-9, 9), [rng.choice(["", "r1", "r2", "n1"]) for _ in range(rng.randint(0, 3))]) for i in ids]
+
+
+def plain_links(rows):
+    out = {}
+    for _, key, at, snr, path in rows:
+        for x, y in zip([key, *path], path, strict=False):
+            if x and y and x != y:
+                k = (min(x, y), max(x, y), at - at % DAY)
+                n, best, first, last = out.get(k, (0, snr, at, at))
+                out[k] = (n + 1, max(best, snr), min(first, at), max(last, at))
+    return out
+
+
+def kept_links(r):
+    return {(x.a, x.b, x.day): (x.n, x.best_snr, x.first_at, x.last_at) for x in r.links().collect()}
+
+
+@pytest.fixture
+def mesh_rollup(spark, tmp_path):
+    schema = spark.createDataFrame([], RAW).schema
+    return lambda chunk, span=DAY: rollup.Rollup(spark, f"file://{tmp_path}/mesh", schema, mesh.edges, chunk, span)
+
+
+def test_compaction_in_chunks_of_unequal_size(spark, mesh_rollup, monkeypatch):
+    rng = random.Random(3)
+    r, known = mesh_rollup(40, 3 * DAY), []
+    assert r.compact() == 0
+    for n, ids in enumerate((range(1, 100), range(100, 104), [500, 501, 900], range(901, 960))):
+        rows = receptions(rng, ids)
+        known += rows
+        r.add(spark.createDataFrame(rows, RAW), n)
+        r.add(spark.createDataFrame(rows, RAW), n)  # again after a failure: stored once
+        assert r.tables.newest().marks.get("mark", -1) < max(ids)
+        if n == 1:  # a chunk that dies before its commit leaves nothing
+            with monkeypatch.context() as m:
+                m.setattr(r.tables, "commit", lambda *a: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    r.step()
+        assert r.compact() == [3, 1, 2, 2][n]
+        assert kept_links(r) == plain_links(known) and r.tables.newest().marks["mark"] == max(ids)
+        assert r.receptions().count() == len(known)
+    assert r.compact() == 0
+
+
+def test_a_chunk_reads_and_writes_no_other_day(spark, mesh_rollup, tmp_path):
+    r = mesh_rollup(1_000)
+    r.add(spark.createDataFrame([(1, "a", 10, 1, ["b"]), (2, "a", DAY + 10, 1, ["b"])], RAW), 0)
+    r.compact()
+    before = {rollup.span_of(f): f for f in r.tables.newest().tables["links"]}
+    shutil.rmtree(tmp_path / "mesh" / before[0])  # reading the untouched day would fail
+    r.add(spark.createDataFrame([(3, "b", DAY + 99, 5, ["a"])], RAW), 1)
+    r.compact()
+    after = {rollup.span_of(f): f for f in r.tables.newest().tables["links"]}
+    assert after[0] == before[0] and after[DAY] != before[DAY]
+    assert [tuple(x) for x in r.tables.folders([after[DAY]], r.schema).select("n", "best_snr", "first_at", "last_at").collect()] == [(2, 5, DAY + 10, DAY + 99)]
+
+
+@pytest.mark.parametrize("days", [1, 2])
+def test_pruning_waits_for_the_mark(spark, mesh_rollup, days):
+    r = mesh_rollup(1_000, days * DAY)
+    r.add(spark.createDataFrame([(1, "a", 10, 1, ["b"]), (2, "a", DAY + 5, 1, ["b"]), (3, "a", DAY + 50, 1, [])], RAW), 0)
+    r.compact()
+    r.add(spark.createDataFrame([(4, "a", 11, 1, ["b"])], RAW), 1)
+    r.prune(DAY + 20, 0)
+    assert sorted(x.obs_id for x in r.receptions().collect()) == [3, 4] and len(kept_links(r)) == 2
+    r.compact()
+    assert kept_links(r)["a", "b", 0][0] == 2
+    r.prune(DAY + 20, DAY)
+    assert [x.obs_id for x in r.receptions().collect()] == [3] and list(kept_links(r)) == [("a", "b", DAY)]
+    r.prune(9 * DAY, 9 * DAY)
+    assert r.receptions().count() == 0 and kept_links(r) == {}
+    r.prune(9 * DAY, 9 * DAY)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tideway.operators import mesh, state
 from tideway.plans import queries
 from tideway.plans.adapters import Views
-from tideway.plans.queries import DAY, T0
+from tideway.plans.queries import _EDGES, DAY, T0
 from tideway.plans.registry import ORACLES, query
-from tideway.streaming import jobs, ticks
+from tideway.streaming import jobs, rollup, ticks
 
 
 def folder(spark: SparkSession) -> str:
@@ -203,3 +203,32 @@ def m1_tick_revisions(v: Views) -> DataFrame:
 def m1_tick_sources(v: Views) -> DataFrame:
     """The sources' health after three polls."""
     return three_polls(v).health().select("source_id", "policy", "last_attempt", "last_success", "last_error", "status")
+
+
+#: Days that raw receptions and that links are kept.
+RAW_DAYS, LINK_DAYS = 400, 1_200
+
+
+def maintained(v: Views) -> rollup.Rollup:
+    """Receptions that arrive in three batches, rolled up in chunks of unequal size behind the mark, and pruned."""
+    path = folder(v.spark)
+    seen = v.mesh_observations
+    most = v.table("orders").agg(F.max("o_orderkey")).first()[0] or 0
+    kept = rollup.Rollup(v.spark, f"{path}/mesh", seen.schema, mesh.edges, most // 7 + 1, 365 * DAY)
+    stream = Arriving(v.spark, v.sf_dir, "orders", "o_orderkey").mesh_observations
+    jobs.run_available(stream.writeStream.foreachBatch(rollup.maintained(kept, RAW_DAYS, LINK_DAYS)), f"{path}/checkpoint")
+    return kept
+
+
+@query(f"""SELECT a, b, heard_at - heard_at % {DAY} AS day, CAST(count(*) AS BIGINT) AS n, max(snr) AS best_snr, min(heard_at) AS first_at, max(heard_at) AS last_at FROM {_EDGES}
+    WHERE heard_at - heard_at % {DAY} >= (SELECT max(heard_at) - max(heard_at) % {DAY} FROM mesh_observations) - {LINK_DAYS * DAY} GROUP BY 1, 2, 3""")
+def w16_watermarked_links(v: Views) -> DataFrame:
+    """The rollup after chunked compaction behind a mark, old days gone."""
+    return maintained(v).links()
+
+
+@query(f"SELECT obs_id, heard_at, (SELECT max(obs_id) FROM mesh_observations) AS mark FROM mesh_observations WHERE heard_at >= (SELECT max(heard_at) FROM mesh_observations) - {RAW_DAYS * DAY}")
+def m8_pruned_receptions(v: Views) -> DataFrame:
+    """The raw receptions that stay after maintenance, and the mark up to which all are rolled up."""
+    kept = maintained(v)
+    return kept.receptions().select("obs_id", "heard_at", F.lit(kept.tables.newest().marks["mark"]).cast("long").alias("mark"))
