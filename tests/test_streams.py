@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tideway.operators import mesh
-from tideway.streaming import rollup, ticks
+from tideway.streaming import jobs, registry, rollup, ticks
 
 TYPES = {"string": StringType(), "bigint": LongType(), "int": IntegerType(), "boolean": BooleanType()}
 
@@ -238,3 +238,60 @@ def test_pruning_waits_for_the_mark(spark, mesh_rollup, days):
     r.prune(9 * DAY, 9 * DAY)
     assert r.receptions().count() == 0 and kept_links(r) == {}
     r.prune(9 * DAY, 9 * DAY)
+
+
+ADVERTS = "node long, gateway string, at long, name string"
+
+
+def plain_registry(batches, retention):
+    """(node, at, name, gateways, adverts, average, gone) as told, batch by batch; a watermark without delay, and a last empty batch."""
+    nodes, told, mark, newest = {}, [], 0, 0
+
+    def tell(i, gone):
+        e = nodes[i]
+        told.append((i, e["at"], e["name"], sorted(g for g, t in e["heard"].items() if t >= e["at"] - retention), e["n"], e["mean"], gone))
+
+    for rows in [*batches, []]:
+        mark = max(mark, newest)
+        fresh = {}
+        for r in rows:
+            if r[2] >= mark:  # older ones are dropped by the watermark
+                fresh.setdefault(r[0], []).append(r)
+        for i, of in fresh.items():
+            for _, gate, t, name in sorted(of, key=lambda r: (r[2], r[1], r[3])):
+                if i in nodes and t - nodes[i]["at"] > retention:
+                    tell(i, True)
+                    del nodes[i]
+                e = nodes.setdefault(i, {"at": t, "name": name, "heard": {}, "n": 0, "mean": None, "old": None})
+                if e["n"] and t - e["at"] >= 30:
+                    e["mean"] = float(t - e["at"]) if e["mean"] is None else e["mean"] + 0.3 * (t - e["at"] - e["mean"])
+                e["n"] += 1
+                e["heard"][gate] = max(t, e["heard"].get(gate, t))
+                if t >= e["at"]:
+                    e["at"], e["name"] = t, name
+            e["heard"] = {g: t for g, t in e["heard"].items() if t >= e["at"] - retention}
+            tell(i, False)
+        for i in [i for i, e in nodes.items() if e["at"] + retention + 1 <= mark]:
+            tell(i, True)
+            del nodes[i]
+        newest = max([newest, *(r[2] for r in rows)])
+    return told
+
+
+def test_silent_nodes_leave_the_registry(spark, tmp_path):
+    rng, batches, at = random.Random(11), [], 0
+    for b in range(4):
+        rows = [(rng.randint(1, 9) if b != 1 else rng.randint(1, 2), rng.choice("ghk"), at + rng.randint(0, 900), f"n{rng.randint(0, 99)}") for _ in range(25)]
+        batches.append(rows)
+        at += rng.choice([900, 2_500])
+    told = []
+    with registry.timed_state(spark):
+        for rows in batches:
+            spark.createDataFrame(rows, ADVERTS).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+            stream = spark.readStream.schema(ADVERTS).parquet(f"file://{tmp_path}/in")
+            out = registry.registry(stream, 1_000, "0 seconds").writeStream.outputMode("update").foreachBatch(lambda d, n: told.extend(d.collect()))
+            jobs.run_available(out, f"file://{tmp_path}/checkpoint")
+    got = sorted(((r.node, r.at, r.name, sorted(r.gateways), r.adverts, r.ewma and round(r.ewma, 6), r.gone) for r in told), key=repr)
+    want = sorted(((*r[:5], r[5] and round(r[5], 6), r[6]) for r in plain_registry(batches, 1_000)), key=repr)
+    assert list(map(repr, got)) == list(map(repr, want))
+    assert any(r[6] for r in want) and spark.conf.get("spark.sql.streaming.stateStore.providerClass", "as it was") == "as it was"

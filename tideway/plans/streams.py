@@ -13,7 +13,7 @@ from tideway.plans import queries
 from tideway.plans.adapters import Views
 from tideway.plans.queries import _EDGES, DAY, T0
 from tideway.plans.registry import ORACLES, query
-from tideway.streaming import jobs, rollup, ticks
+from tideway.streaming import jobs, registry, rollup, ticks
 
 
 def folder(spark: SparkSession) -> str:
@@ -232,3 +232,36 @@ def m8_pruned_receptions(v: Views) -> DataFrame:
     """The raw receptions that stay after maintenance, and the mark up to which all are rolled up."""
     kept = maintained(v)
     return kept.receptions().select("obs_id", "heard_at", F.lit(kept.tables.newest().marks["mark"]).cast("long").alias("mark"))
+
+
+#: Seconds of silence after which a node is gone, and how late an advert may come.
+SILENCE, LATE = 2 * DAY, 600
+_LIVES = f"""SELECT node, max(reported_at) AS "at", list_sort(list(DISTINCT reporter) FILTER (reported_at >= last_at - {SILENCE})) AS gateways, count(*) AS adverts, bool_or(newest) AS newest FROM (SELECT *, max(reported_at) OVER (PARTITION BY node, life) AS last_at FROM
+    (SELECT *, sum(starts) OVER (PARTITION BY node ORDER BY reported_at, seq) AS life, row_number() OVER (PARTITION BY node ORDER BY reported_at DESC, seq DESC) = 1 AS newest FROM
+        (SELECT *, CASE WHEN reported_at - lag(reported_at) OVER (PARTITION BY node ORDER BY reported_at, seq) > {SILENCE} THEN 1 ELSE 0 END AS starts FROM telemetry))) GROUP BY node, life"""
+
+
+def lived(v: Views) -> DataFrame:
+    """All that the registry told of a stream of adverts, with the batch that told it."""
+    path = folder(v.spark)
+    adverts = Arriving(v.spark, v.sf_dir, "events", "unix_timestamp(CAST(ts AS TIMESTAMP))").telemetry.select("node", F.col("reporter").alias("gateway"), F.col("reported_at").alias("at"), F.concat(F.lit("n"), "seq").alias("name"))
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/told/batch={n}")
+
+    with registry.timed_state(v.spark):
+        jobs.run_available(registry.registry(adverts, SILENCE, f"{LATE} seconds").writeStream.outputMode("update").foreachBatch(keep), f"{path}/checkpoint")
+    return v.spark.read.schema(f"{registry.TOLD}, batch long").parquet(f"{path}/told")
+
+
+@query(f"""SELECT node, "at", gateways, adverts FROM ({_LIVES}) WHERE NOT newest OR "at" + {SILENCE} + 1 <= (SELECT max(reported_at) FROM telemetry) - {LATE}""")
+def m4_nodes_gone(v: Views) -> DataFrame:
+    """Each time that a node was silent for too long and left the registry."""
+    return lived(v).where("gone").select("node", "at", F.sort_array("gateways").alias("gateways"), "adverts")
+
+
+@query(f"""SELECT node, "at", gateways, adverts FROM ({_LIVES}) WHERE newest AND "at" + {SILENCE} + 1 > (SELECT max(reported_at) FROM telemetry) - {LATE}""")
+def m4_nodes_known(v: Views) -> DataFrame:
+    """The nodes that the registry still knows after the stream: each one's last word, if that is not that it is gone."""
+    last = state.latest(lived(v).withColumn("turn", F.struct("batch", "at", ~F.col("gone"))), "node", ["turn"])
+    return last.where("not gone").select("node", "at", F.sort_array("gateways").alias("gateways"), "adverts")
