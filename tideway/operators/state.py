@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideway.operators import scan
+
 
 def content_hash(*columns: str) -> Column:
     """A hash of the columns that matter, in a fixed order; equality is its meaning."""
@@ -153,11 +155,13 @@ def rename_key(rows: DataFrame, key: str, old: str, new: str, unique: Sequence[s
     return moved.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_own")
 
 
-def source_health(attempts: DataFrame, sources: DataFrame) -> DataFrame:
-    """Status after each attempt: OK on success, else STALE while the last success is at most stale_after old, else UNAVAILABLE."""
-    w = Window.partitionBy("source_id").orderBy("sampled_at", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    last_ok = F.last(F.when(F.col("ok"), F.col("sampled_at")), ignorenulls=True).over(w)
-    rows = attempts.withColumn("last_success", last_ok).join(sources.select("source_id", (3 * F.col("poll_seconds")).alias("stale_after")), "source_id")
+def source_health(attempts: DataFrame, sources: DataFrame, keep=None, pieces: int | None = None) -> DataFrame:
+    """Status after each attempt: OK on success, else STALE while the last success is at most stale_after old, else UNAVAILABLE. With ``keep`` a source's attempts are cut into pieces, each handing on its last success."""
+    cut = scan.Pieces(attempts, ["source_id"], ["sampled_at", "seq"], keep, pieces)
+    ok_at = F.when(F.col("ok"), F.col("sampled_at"))
+    rows = cut.carried(_earlier=(F.max(ok_at), F.max))
+    last_ok = F.coalesce(F.max(ok_at).over(cut.within.rowsBetween(Window.unboundedPreceding, 0)), F.col("_earlier"))
+    rows = rows.withColumn("last_success", last_ok).drop("_piece", "_earlier").join(sources.select("source_id", (3 * F.col("poll_seconds")).alias("stale_after")), "source_id")
     status = F.when(F.col("ok"), "OK").when(F.col("sampled_at") - F.col("last_success") <= F.col("stale_after"), "STALE").otherwise("UNAVAILABLE")
     return rows.withColumn("status", status)
 

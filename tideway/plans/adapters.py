@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.operators import state
+from tideway.plans.storage import keeper
 from tideway.sources import normalize
 
 #: Event types in code point order give the layer numbers.
@@ -30,6 +31,11 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def keep(self):
+        """Stores a frame in a shared folder and returns it."""
+        return keeper(self.spark)
+
     @cached_property
     def observed(self) -> DataFrame:
         """One row for each observation of an entity, in arrival order ``seq``."""

@@ -227,7 +227,7 @@ def a5_mesh_links(v: Views) -> DataFrame:
 @query("""SELECT source_id, seq, CASE WHEN ok THEN 'OK' WHEN sampled_at - last_ok <= 3 * poll_seconds THEN 'STALE' ELSE 'UNAVAILABLE' END AS status FROM
     (SELECT *, last_value(CASE WHEN ok THEN sampled_at END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY sampled_at, seq ROWS UNBOUNDED PRECEDING) AS last_ok FROM attempts) JOIN sources USING (source_id)""")
 def w19_source_health(v: Views) -> DataFrame:
-    return state.source_health(v.attempts, v.sources).select("source_id", "seq", "status")
+    return state.source_health(v.attempts, v.sources, v.keep).select("source_id", "seq", "status")
 
 
 @query("""SELECT s.layer, CASE WHEN bool_and(x.ok) THEN 'OK' WHEN NOT bool_or(x.ok) THEN 'UNAVAILABLE' ELSE 'STALE' END AS status, max(CASE WHEN x.ok THEN x.sampled_at END) AS last_update FROM
@@ -255,7 +255,7 @@ def a6_typical_minutes(v: Views) -> DataFrame:
 
 @query("""SELECT node, list(gap ORDER BY gap)[count(*) // 2 + 1] AS cadence FROM (SELECT node, reported_at - lag(reported_at) OVER (PARTITION BY node ORDER BY reported_at) AS gap FROM telemetry) WHERE gap > 0 GROUP BY node""")
 def a7_cadence(v: Views) -> DataFrame:
-    return series.cadence(v.telemetry, "node", "reported_at")
+    return series.cadence(v.telemetry, "node", "reported_at", v.keep)
 
 
 @query("""SELECT node, min(reported_at) AS first_at, max(reported_at) AS last_at, CAST(count(*) AS BIGINT) AS n FROM telemetry GROUP BY node""")
@@ -304,7 +304,7 @@ def j5_as_of(v: Views) -> DataFrame:
     """The last error of a user strictly before each purchase."""
     left = v.observed.where("event_type = 'purchase'").select("id", "seq", "user_id", "observed_at")
     right = v.observed.where("event_type = 'error'").groupBy("user_id", "observed_at").agg(F.max("seq").alias("seq"))
-    return series.as_of(left, right, ["user_id"], "observed_at", "observed_at", ["seq"]).select("id", "seq", "as_of_seq")
+    return series.as_of(left, right, ["user_id"], "observed_at", "observed_at", ["seq"], v.keep).select("id", "seq", "as_of_seq")
 
 
 @query("""SELECT id, status, heard FROM current_events LEFT JOIN (SELECT CAST(pubkey[2:] AS BIGINT) AS user_id, max(heard_at) AS heard FROM mesh_observations GROUP BY 1) USING (user_id)""")
@@ -393,7 +393,7 @@ def t1_normalized_text(v: Views) -> DataFrame:
 @query("""WITH g AS (SELECT node, reported_at, reported_at - lag(reported_at) OVER (PARTITION BY node ORDER BY reported_at) AS gap FROM telemetry), l AS (SELECT node, list(CAST(gap AS DOUBLE) ORDER BY reported_at) FILTER (gap >= 30) AS gaps FROM g GROUP BY node)
     SELECT node, round(CASE WHEN len(gaps) > 0 THEN list_reduce(gaps, lambda s, x: s + 0.3 * (x - s)) END, 6) AS ewma, CAST(coalesce(len(gaps), 0) AS INT) AS n_gaps FROM l""")
 def n5_ewma(v: Views) -> DataFrame:
-    return series.ewma(v.telemetry, "node", "reported_at").withColumn("ewma", F.round("ewma", 6))
+    return series.ewma(v.telemetry, "node", "reported_at", keep=v.keep).withColumn("ewma", F.round("ewma", 6))
 
 
 @query("""SELECT node, reporter, unnest(list_reduce(list_transform(list(reported_at ORDER BY reported_at), lambda x: [x]), lambda kept, x: CASE WHEN x[1] - kept[-1] >= 21600 THEN kept || x ELSE kept END)) AS reported_at FROM telemetry GROUP BY node, reporter""")
