@@ -13,7 +13,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tideway.llm import conversations, importance, queries, warc
+from tideway.llm import conversations, importance, queries, secrets, warc
 from tideway.llm.common import collapsed, read
 
 TURNS = "conv_id long, turn long, role string, text string, header string, copies int, hash string"
@@ -321,3 +321,59 @@ def test_damage_is_told(tmp_path):
 def test_tables_of_the_test_data(spark, sf):
     pages = [(r.page_id, r.url, r.html) for r in read(spark, sf, "pages").collect()]
     assert Counter(tuple(r) for r in queries.op13_warc(spark, sf).collect()) == plain_pages(pages)
+
+
+# secrets: forms of assignment, and time
+
+FORMS = [
+    "{n}: str = '{v}'", 'const {n}: string = "{v}";', 'let {n}: Option<String> = Some("{v}");', "{n}: Optional[str] | None = '{v}'", "def f({n}: str = '{v}', k=1): pass", "{n} =\n    '{v}'", '{n} = (\n  "{v}"\n)', '{n}: ["{v}"]',
+    "{n} = os.getenv('SOME_ENTRY_9', '{v}')", "{n} = env.get('SOME_ENTRY_9', \"{v}\")", '{n} = encrypt(key, "{v}")', '{n} = f(a, "x", b, "{v}")', '"{n}": "Bearer {v}"', "<{n}>{v}</{n}>", '<{n} kind="x">{v}</{n}>', "if ok: {n} = '{v}'", '{n} := "{v}"', "{n}={v}", '"{n}" => "{v}"', "part = '{v}'\n{n} = part",
+]
+NAMES = ["db_password", "apiToken", "CLIENT_SECRET", "x-auth-token", "signingKey_secret"]
+HARMLESS_TEXTS = ["password: str = None", "const tokenCount: number = 12345678;", 'password = input("Enter your password: ")', 'token_url = "https://example.org/Xy9!zz"', "secret: ${SECRET_REF}", 'x = {"token": {"nested": 1}}', "<password></password>", "a: b = 'Xk9!pq2Zw7'", 'token = os.getenv("APP_TOKEN_NAME_9")']
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_forms_of_assignment(form):
+    rng = random.Random(form)
+    for name in NAMES:
+        value = "".join(rng.choice("abcXYZ0189!%^") for _ in range(11)) + "aZ9!"
+        before, after = rng.choice(["", "# note\n", "x = 1\n"]), rng.choice(["", "\nend", "\ny: 2"])
+        text = before + form.format(n=name, v=value) + after
+        base, spans = secrets.scan(text)
+        at = text.index(value)
+        assert [s for s in spans if s[1] < 3] == base
+        assert any(s <= at and at + len(value) <= e for s, k, e in spans), (text, secrets.shown(spans))
+        assert value not in secrets.redacted(text, spans)
+        assert all(text[s:e] == value for s, k, e in spans if k >= 3), (text, secrets.shown(spans))
+
+
+@pytest.mark.parametrize("text", HARMLESS_TEXTS)
+def test_harmless_assignments_have_no_more_than_the_base(text):
+    base, spans = secrets.scan(text)
+    assert spans == base
+
+
+def test_merged_spans_equal_all_pairs():
+    """One pass says the same as a look at every base span."""
+    rng = random.Random(12)
+    for _ in range(60):
+        text = "\n".join(rng.choice(FORMS).format(n=rng.choice(NAMES), v="".join(rng.choice("abcXYZ019!/+") for _ in range(rng.randint(3, 20)))) for _ in range(rng.randint(1, 12)))
+        base, want = secrets.base_spans(text), []
+        for s, k, e in secrets.lexed_spans(text):
+            if not any(a <= s and e <= b for a, _, b in base) and not any((a, b) == (s, e) for a, _, b in want):
+                want.append((s, k, e))
+        assert secrets.scan(text) == (base, sorted(base + want))
+
+
+def test_time_grows_as_the_text():
+    import time
+
+    def took(n):
+        text = "\n".join(f"API_TOKEN_{i}=abcDEF{i}ghi!jk" for i in range(n)) + "x='" * n + "<token>" * n
+        began = time.process_time()
+        secrets.scan(text)
+        return time.process_time() - began
+
+    took(2_000)
+    assert took(64_000) < 40 * max(took(4_000), 0.05)

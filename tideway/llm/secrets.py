@@ -3,8 +3,13 @@
 The base finds three plain patterns. The method then lexes source and
 configuration syntax around each assignment sign into name-literal pairs
 (``name = "x"``, ``"name": "x"``, ``name := x``, ``NAME=x``, joined literals
-``"a" + "b"``), keeps the constants a text defines, resolves a name on the
-right-hand side through them, and scores each literal by how sensitive its
+``"a" + "b"``), also through a type note (``name: str = "x"``, where the more
+sensitive of the names on both sides of the colon counts), a line break or an
+opening bracket before the literal, the items of a list, the arguments of a call
+(of one that reads the environment or a mapping all but the first, which names
+the entry), a scheme before a token (``Bearer x``), and elements
+(``<name>x</name>``). It keeps the constants a text defines, resolves a name on
+the right-hand side through them, and scores each literal by how sensitive its
 target name is and how much it looks like a generated or chosen secret.
 Literals that reach THRESHOLD are added, as kind ``literal`` where they stand
 beside the sensitive name and as kind ``flow`` where a constant carried them
@@ -15,8 +20,9 @@ outside its set) stands beside it. Masking merges spans that overlap.
 Offsets are code points, the end is exclusive. Each text is scanned whole, in
 the task that reads it: nothing is shuffled.
 
-Edge cases: null and empty texts have no spans; repeated rows have a row each;
-an empty table gives no rows; other columns are left alone.
+Edge cases: null and empty texts have no spans; a very long text is one scan, in
+time that grows as its length; repeated rows have a row each; an empty table
+gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -51,6 +57,15 @@ PLACEHOLDER = re.compile(r"(?i)(change_?me|example|placeholder|redacted|your[_-]
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 SIGN = re.compile(r":=|=>|[:=]")
 RIGHT = re.compile(r"""[ \t]*(?:(?P<q>["'`])(?P<lit>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>[^\s"'`,;#(){}\[\]<>]+))""")
+#: A line break or an opening bracket that a literal may stand behind, and what parts the literals of a list or call.
+OPENED, PARTED = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:[(\[]\s*)?(?=[\"'`])"), re.compile(r"\s*,?\s*(?:[^\"'`()\[\]\n,]*,\s*)*(?=[\"'`])")
+#: From a colon to the sign that follows a type note.
+TYPED = re.compile(r"[ \t]*([A-Za-z_][\w.]*)(?:\[[^\[\]\n=]*\]|<[^<>\n=]*>)?\??(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]*)*[ \t]*=(?![=>])")
+CALLED, READS = re.compile(r"[ \t]*[A-Za-z_][\w.:!]*\([ \t]*"), re.compile(r"(?i)(env|get|fetch|lookup|config)\w*!?\([ \t]*\Z")
+#: An argument of a call that is no literal, up to the next one.
+SKIPPED = re.compile(r"[^\"'`()\n,]*,\s*")
+SCHEME = re.compile(r"(?i)(?:bearer|basic|token|digest)[ \t]+(?=\S)")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>\s][^<>]*)</\1>")
 JOINED = re.compile(r"""[ \t]*\+[ \t]*(?P<q>["'`])(?P<lit>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)""")
 REFERENCE = re.compile(r"(?:\$\{?)?([A-Za-z_][A-Za-z0-9_.]*)\}?\Z")
 NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
@@ -96,48 +111,96 @@ def secrecy(literal: str) -> float:
     return min(1.0, 0.1 + 0.1 * entropy + 0.1 * kinds + 0.1 * (n >= 16))
 
 
+def telling(weight: float, value: str) -> bool:
+    """Whether a value of a name of this weight is a secret; a name alone makes none of a placeholder or a short word."""
+    return bool(weight and (how := secrecy(value)) and weight + how >= THRESHOLD)
+
+
+def literal(text: str, at: int) -> tuple[str, int, int, int] | None:
+    """(value, start, end, after) of the literal at a quote, with those joined to it; the span is that of the content."""
+    right = RIGHT.match(text, at)
+    if not right or right["q"] is None:
+        return None
+    parts, (start, end), after = [right["lit"]], right.span("lit"), right.end()
+    while more := JOINED.match(text, after):
+        parts.append(more["lit"])
+        end, after = more.end("lit"), more.end()
+    return "".join(parts), start, end, after
+
+
+def values(text: str, at: int) -> Iterator[tuple[str, int, int, bool, int]]:
+    """(value, start, end, quoted, after) of what stands on the right of a sign that ends at ``at``: a literal, those of a list or of a call, or a bare value."""
+    call = CALLED.match(text, at)
+    opened = None if call else OPENED.match(text, at)
+    if call or opened:
+        at, skip = (call or opened).end(), bool(call and READS.search(call[0]))
+        many = text[at - 1 : at] in ("(", "[") or bool(call) or bool(opened and opened[0].rstrip()[-1:] in ("(", "["))
+        while call and (over := SKIPPED.match(text, at)):
+            at, skip = over.end(), False
+        found = literal(text, at)
+        while found:
+            if not skip:
+                yield *found[:3], True, found[3]
+            skip = False
+            found = literal(text, next_.end()) if many and (next_ := PARTED.match(text, found[3])) else None
+        if opened:
+            return
+    right = None if call else RIGHT.match(text, at)
+    if right and right["bare"] is not None:
+        start, end = right.span("bare")
+        scheme = SCHEME.match(text, start)
+        if scheme and (token := RIGHT.match(text, scheme.end())) and token["bare"] is not None:
+            start, end = token.span("bare")
+        yield text[start:end], start, end, False, end
+
+
 def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
     """(name, value, start, end, quoted) for each assignment, in order; the span is the value's."""
     after = 0
     for m in SIGN.finditer(text):
         if m.start() < after or text[m.end() : m.end() + 1] == "=" or text[m.start() - 1 : m.start()] in ("=", "!", "<", ">"):
             continue
-        name = target(text, m.start())
-        right = RIGHT.match(text, m.end()) if name else None
-        if not right:
+        name, at = target(text, m.start()), m.end()
+        if m[0] == ":" and (typed := TYPED.match(text, at)):
+            name, at = max((name, typed[1]), key=sensitivity), typed.end()
+        if not name:
             continue
-        quoted = right["q"] is not None
-        value, start, end = right["lit" if quoted else "bare"], *right.span("lit" if quoted else "bare")
-        after = right.end()
-        while quoted and (more := JOINED.match(text, after)):
-            value, end, after = value + more["lit"], more.end("lit"), more.end()
-        yield name, value, start, end, quoted
+        for value, start, end, quoted, after in values(text, at):  # noqa: B020  the scan goes on behind the last one
+            if quoted and (scheme := SCHEME.match(value)):
+                value, start = value[scheme.end() :], start + scheme.end()
+            yield name, value, start, end, quoted
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     found, constants = set(), {}
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            if telling(sensitivity(m[1]), m[2].rstrip()):
+                found.add((m.start(2), 3, m.start(2) + len(m[2].rstrip())))
     if ":" not in text and "=" not in text:
-        return []
+        return sorted(found)
     for name, value, start, end, quoted in pairs(text):
         weight = sensitivity(name)
         known = None if quoted and not value.startswith("${") else (r := REFERENCE.match(value)) and constants.get(r[1])
         if known:
-            if weight and weight + secrecy(known[0]) >= THRESHOLD:
+            if telling(weight, known[0]):
                 found.add((known[1], 4, known[2]))
             constants[name] = known
         else:
-            if weight and weight + secrecy(value) >= THRESHOLD:
+            if telling(weight, value):
                 found.add((start, 3, end))
             constants[name] = (value, start, end)
     return sorted(found)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Spans of the base, and all spans."""
-    base = base_spans(text)
-    more = []
+    """Spans of the base, and all spans: one pass over both lists, which are in order."""
+    base, more, told, i, reach = base_spans(text), [], set(), 0, -1
     for s, k, e in lexed_spans(text):
-        if not any(a <= s and e <= b for a, _, b in base) and not any(a == s and b == e for a, _, b in more):
+        while i < len(base) and base[i][0] <= s:
+            reach, i = max(reach, base[i][2]), i + 1
+        if e > reach and (s, e) not in told:
+            told.add((s, e))
             more.append((s, k, e))
     return base, sorted(base + more)
 
