@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideway.functions import classify, geo, text
 from tideway.operators import graph
+from tideway.operators.cells import Tree
 
 CELL = 0.1
 ON_ROUTE, NEARBY, SAME_SIGN = 100.0, 5_000.0, 200.0
@@ -18,35 +19,38 @@ ON_ROUTE, NEARBY, SAME_SIGN = 100.0, 5_000.0, 200.0
 TOUCH_MILES, JOIN_METRES = 1.5, 15_000.0
 
 
-def _cells(lat_lo: Column, lat_hi: Column, lng_lo: Column, lng_hi: Column, metres: float) -> tuple[Column, Column]:
-    """Rows and columns of the grid that a box and so many metres about it meet, below 60 degrees of latitude."""
+def _about(tree: Tree, rows: DataFrame, lat_lo: Column, lat_hi: Column, lng_lo: Column, lng_hi: Column, metres: float) -> DataFrame:
+    """rows in each cell that a box and so many metres about it meet, below 60 degrees of latitude."""
     pad = metres / geo.DEGREE_M
-    span = lambda lo, hi, by: F.sequence(geo.cell(lo - by, CELL), geo.cell(hi + by, CELL))
-    return span(lat_lo, lat_hi, pad), span(lng_lo, lng_hi, 2 * pad)
+    return tree.keyed(rows, lat_lo - pad, lat_hi + pad, lng_lo - 2 * pad, lng_hi + 2 * pad, False)
 
 
-def segments(routes: DataFrame, metres: float) -> DataFrame:
-    """route_id, p, q, y, x: each segment of routes (route_id, line of [lng, lat]) in every cell within so many metres of it."""
+def _here(tree: Tree, points: DataFrame) -> DataFrame:
+    lat, lng = F.col("lat"), F.col("lng")
+    return tree.keyed(points, lat, lat, lng, lng, True)
+
+
+def segments(routes: DataFrame, metres: float, tree: Tree) -> DataFrame:
+    """route_id, p, q, _cell: each segment of routes (route_id, line of [lng, lat]) in every cell within so many metres of it."""
     ends = F.slice("line", F.lit(2), F.greatest(F.size("line") - 1, F.lit(1)))
     pairs = F.when(F.size("line") > 1, F.zip_with(F.slice("line", F.lit(1), F.size("line") - 1), ends, lambda p, q: F.struct(p.alias("p"), q.alias("q")))).otherwise(F.transform("line", lambda p: F.struct(p.alias("p"), p.alias("q"))))
     each = routes.select("route_id", F.explode(pairs).alias("s")).select("route_id", "s.p", "s.q")
     p, q = F.col("p"), F.col("q")
-    ys, xs = _cells(F.least(p[1], q[1]), F.greatest(p[1], q[1]), F.least(p[0], q[0]), F.greatest(p[0], q[0]), metres)
-    return each.select("*", F.explode(ys).alias("y"), xs.alias("xs")).select("route_id", "p", "q", "y", F.explode("xs").alias("x"))
+    return _about(tree, each, F.least(p[1], q[1]), F.greatest(p[1], q[1]), F.least(p[0], q[0]), F.greatest(p[0], q[0]), metres)
 
 
-def distances(points: DataFrame, routes: DataFrame, metres: float) -> DataFrame:
+def distances(points: DataFrame, routes: DataFrame, metres: float, tree: Tree | None = None) -> DataFrame:
     """point_id, route_id, metres: points (point_id, lat, lng; several rows of an id are its vertices) within so many metres of a route, by the nearest."""
-    here = points.select("point_id", "lat", "lng", geo.cell(F.col("lat"), CELL).alias("y"), geo.cell(F.col("lng"), CELL).alias("x"))
-    both = here.join(segments(routes, metres), ["y", "x"])
+    tree = tree or Tree(CELL)
+    both = _here(tree, points.select("point_id", "lat", "lng")).join(segments(routes, metres, tree), "_cell")
     off = geo.segment_metres(F.col("lat"), F.col("lng"), F.col("p"), F.col("q"))
     return both.groupBy("point_id", "route_id").agg(F.min(off).alias("metres")).where(F.col("metres") <= metres)
 
 
-def classified(alerts: DataFrame, routes: DataFrame) -> DataFrame:
+def classified(alerts: DataFrame, routes: DataFrame, tree: Tree | None = None) -> DataFrame:
     """alert_id, route_id, metres, class of alerts (alert_id, geojson) on or near a route; a line counts by its nearest corner, what is farther is left out."""
     corners = alerts.select(F.col("alert_id").alias("point_id"), F.explode(geo.vertices(F.col("geojson"))).alias("v")).select("point_id", F.col("v")[1].alias("lat"), F.col("v")[0].alias("lng"))
-    near = distances(corners, routes, NEARBY)
+    near = distances(corners, routes, NEARBY, tree)
     return near.select(F.col("point_id").alias("alert_id"), "route_id", "metres", F.when(F.col("metres") <= ON_ROUTE, "ON_ROUTE").otherwise("NEARBY").alias("class"))
 
 
@@ -56,14 +60,13 @@ def nearby_suppressed(classes: DataFrame) -> DataFrame:
     return classes.withColumn("_on", on).where("class = 'ON_ROUTE' OR NOT _on").drop("_on")
 
 
-def near_routes(points: DataFrame, routes: DataFrame, metres: float) -> DataFrame:
+def near_routes(points: DataFrame, routes: DataFrame, metres: float, tree: Tree | None = None) -> DataFrame:
     """Points (point_id, lat, lng …) within so many great-circle metres of a route's corner."""
     corners = routes.select(F.explode("line").alias("v")).distinct()
     lat, lng = F.col("v")[1], F.col("v")[0]
-    ys, xs = _cells(lat, lat, lng, lng, metres)
-    about = corners.select("v", F.explode(ys).alias("y"), xs.alias("xs")).select("v", "y", F.explode("xs").alias("x"))
-    here = points.withColumns({"y": geo.cell(F.col("lat"), CELL), "x": geo.cell(F.col("lng"), CELL)})
-    hit = here.join(about, ["y", "x"]).where(geo.haversine(F.col("lat"), F.col("lng"), lat, lng) <= metres).select("point_id").distinct()
+    tree = tree or Tree(CELL)
+    about = _about(tree, corners, lat, lat, lng, lng, metres)
+    hit = _here(tree, points.select("point_id", "lat", "lng")).join(about, "_cell").where(geo.haversine(F.col("lat"), F.col("lng"), lat, lng) <= metres).select("point_id").distinct()
     return points.join(hit, "point_id", "left_semi")
 
 
@@ -94,12 +97,12 @@ def signs(placemarks: DataFrame) -> DataFrame:
 def _same_sign(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs (a, b) of sign_id: at most SAME_SIGN metres apart, and not said to face different ways."""
     la, ln = F.col("lat"), F.col("lng")
-    ys, xs = _cells(la, la, ln, ln, SAME_SIGN)
-    left = a.where("lat IS NOT NULL AND lng IS NOT NULL").select(F.col("sign_id").alias("a"), F.lower(F.coalesce("direction", F.lit(""))).alias("da"), "lat", "lng", geo.cell(la, CELL).alias("y"), geo.cell(ln, CELL).alias("x"))
-    right = b.where("lat IS NOT NULL AND lng IS NOT NULL").select(F.col("sign_id").alias("b"), F.lower(F.coalesce("direction", F.lit(""))).alias("db"), la.alias("blat"), ln.alias("blng"), F.explode(ys).alias("y"), xs.alias("xs"))
-    right = right.select("b", "db", "blat", "blng", "y", F.explode("xs").alias("x"))
+    placed, tree = "lat IS NOT NULL AND lng IS NOT NULL", Tree(CELL)
+    side = lambda d, n: d.where(placed).select(F.col("sign_id").alias(n), F.lower(F.coalesce("direction", F.lit(""))).alias(f"d{n}"), "lat", "lng")
+    left = _here(tree, side(a, "a"))
+    right = _about(tree, side(b, "b"), la, la, ln, ln, SAME_SIGN).withColumnsRenamed({"lat": "blat", "lng": "blng"})
     agree = (F.col("da") == "") | (F.col("db") == "") | (F.col("da") == F.col("db"))
-    return left.join(right, ["y", "x"]).where(agree & (geo.haversine(la, ln, F.col("blat"), F.col("blng")) <= SAME_SIGN)).select("a", "b").distinct()
+    return left.join(right, "_cell").where(agree & (geo.haversine(la, ln, F.col("blat"), F.col("blng")) <= SAME_SIGN)).select("a", "b").distinct()
 
 
 def merged_controls(checkpoints: DataFrame, quiet: DataFrame, told: DataFrame) -> DataFrame:

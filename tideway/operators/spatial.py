@@ -1,4 +1,4 @@
-"""Joins of shapes: cells give the candidates, bounds narrow them, the exact test runs on pairs that are left."""
+"""Joins of shapes: cells, of a tree where points crowd, give the candidates, bounds narrow them, the exact test runs on pairs that are left."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions import geo, kernel
+from tideway.operators.cells import Tree
 
 CELL = 0.5
 
@@ -22,24 +23,19 @@ def bounded(shapes: DataFrame, geojson: str = "geojson") -> DataFrame:
     return rows.select("*", "_box.*").drop("_box")
 
 
-def covering(rows: DataFrame, pad: float = 0.0) -> DataFrame:
-    """A row for each cell that a padded box meets."""
-    span = lambda lo, hi: F.sequence(geo.cell(F.col(lo) - pad, CELL), geo.cell(F.col(hi) + pad, CELL))
-    return rows.withColumn("_x", F.explode(span("min_lng", "max_lng"))).withColumn("_y", F.explode(span("min_lat", "max_lat")))
-
-
-def _pairs(a: DataFrame, b: DataFrame, pad: float) -> DataFrame:
+def _pairs(a: DataFrame, b: DataFrame, pad: float, tree: Tree | None) -> DataFrame:
     """Pairs of boxes that meet, each once: in the cell of the pair's lower corner."""
-    names = ("min_lat", "min_lng", "max_lat", "max_lng")
-    left = covering(a, pad).select("_x", "_y", F.struct(*a.columns).alias("a"))
-    right = covering(b).select("_x", "_y", F.struct(*b.columns).alias("b"))
+    names, tree = ("min_lat", "min_lng", "max_lat", "max_lng"), tree or Tree(CELL)
+    c = F.col
+    left = tree.keyed(a, c("min_lat") - pad, c("max_lat") + pad, c("min_lng") - pad, c("max_lng") + pad, True).select("_cell", F.struct(*a.columns).alias("a"))
+    right = tree.keyed(b, c("min_lat"), c("max_lat"), c("min_lng"), c("max_lng"), False).select("_cell", F.struct(*b.columns).alias("b"))
     box_a = tuple(F.col(f"a.{n}") + s * pad for n, s in zip(names, (-1, -1, 1, 1), strict=True))
     box_b = tuple(F.col(f"b.{n}") for n in names)
-    own = (F.col("_x") == geo.cell(F.greatest(box_a[1], box_b[1]), CELL)) & (F.col("_y") == geo.cell(F.greatest(box_a[0], box_b[0]), CELL))
-    return left.join(right, ["_x", "_y"]).where(geo.boxes_meet(box_a, box_b) & own)
+    own = tree.holds(F.greatest(box_a[0], box_b[0]), F.greatest(box_a[1], box_b[1]))
+    return left.join(right, "_cell").where(geo.boxes_meet(box_a, box_b) & own)
 
 
-def shapes_meet(a: DataFrame, b: DataFrame, least_overlap: float = 0.0) -> DataFrame:
+def shapes_meet(a: DataFrame, b: DataFrame, least_overlap: float = 0.0, tree: Tree | None = None) -> DataFrame:
     """Pairs (a, b) of bounded shapes that intersect, or overlap by at least a share of the smaller."""
 
     @F.pandas_udf("boolean")
@@ -47,10 +43,10 @@ def shapes_meet(a: DataFrame, b: DataFrame, least_overlap: float = 0.0) -> DataF
         test = (lambda p, q: kernel.overlap_fraction(p, q) >= least_overlap) if least_overlap else kernel.intersects
         return pd.Series([bool(test(kernel.shape(p), kernel.shape(q))) for p, q in zip(x, y, strict=True)])
 
-    return _pairs(a, b, 0.0).where(meet(F.col("a.geojson"), F.col("b.geojson"))).select("a", "b")
+    return _pairs(a, b, 0.0, tree).where(meet(F.col("a.geojson"), F.col("b.geojson"))).select("a", "b")
 
 
-def shapes_near(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
+def shapes_near(a: DataFrame, b: DataFrame, metres: float, tree: Tree | None = None) -> DataFrame:
     """Pairs (a, b, metres) of bounded shapes at most so far apart, below 60 degrees of latitude."""
 
     @F.pandas_udf("double")
@@ -58,10 +54,10 @@ def shapes_near(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
         return pd.Series([kernel.metres_apart(kernel.shape(p), kernel.shape(q)) for p, q in zip(x, y, strict=True)])
 
     pad = 2 * metres / kernel.DEGREE_M
-    return _pairs(a, b, pad).withColumn("metres", apart(F.col("a.geojson"), F.col("b.geojson"))).where(F.col("metres") <= metres).select("a", "b", "metres")
+    return _pairs(a, b, pad, tree).withColumn("metres", apart(F.col("a.geojson"), F.col("b.geojson"))).where(F.col("metres") <= metres).select("a", "b", "metres")
 
 
-def points_near(points: DataFrame, shapes: DataFrame, metres: float) -> DataFrame:
+def points_near(points: DataFrame, shapes: DataFrame, metres: float, tree: Tree | None = None) -> DataFrame:
     """Pairs (a, b, metres) of points (lat, lng) and bounded shapes; 0 inside."""
 
     @F.pandas_udf("double")
@@ -69,7 +65,7 @@ def points_near(points: DataFrame, shapes: DataFrame, metres: float) -> DataFram
         return pd.Series([kernel.point_metres(p, q, kernel.shape(s)) for p, q, s in zip(lat, lng, g, strict=True)])
 
     boxed = points.withColumns({"min_lat": F.col("lat"), "max_lat": F.col("lat"), "min_lng": F.col("lng"), "max_lng": F.col("lng")})
-    pairs = _pairs(boxed, shapes, 2 * metres / kernel.DEGREE_M)
+    pairs = _pairs(boxed, shapes, 2 * metres / kernel.DEGREE_M, tree)
     return pairs.withColumn("metres", apart(F.col("a.lat"), F.col("a.lng"), F.col("b.geojson"))).where(F.col("metres") <= metres).select("a", "b", "metres")
 
 

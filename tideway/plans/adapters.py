@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.operators import state
+from tideway.operators import cells, state
 from tideway.plans.storage import keeper
 from tideway.sources import normalize
 
@@ -36,6 +36,10 @@ class Views:
         """Stores a frame in a shared folder and returns it."""
         return keeper(self.spark)
 
+    def tree(self, size: float) -> cells.Tree:
+        """Cells for joins of what was observed, split where it crowds."""
+        return cells.tree(self.observed.select("lat", "lng"), size)
+
     @cached_property
     def observed(self) -> DataFrame:
         """One row for each observation of an entity, in arrival order ``seq``."""

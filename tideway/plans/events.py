@@ -257,13 +257,13 @@ _SPANS = f"""s AS (SELECT *, coalesce(effective, least(observed_at, first_ingest
 @query(f"WITH {_SPANS} SELECT a, b, rule, CAST(c AS INT) AS confidence FROM r QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY c DESC, k) = 1")
 def j25_related_rules(v: Views) -> DataFrame:
     """Every related pair of events under the strongest of eight rules."""
-    return related.pairs(v.events_now, NOW, keep=keeper(v.spark)).select("a", "b", "rule", "confidence")
+    return related.pairs(v.events_now, NOW, keep=keeper(v.spark), tree=v.tree(related.CELL)).select("a", "b", "rule", "confidence")
 
 
 @query(f"WITH {_SPANS}, q AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY c DESC, k) = 1) SELECT a AS subject, b AS event, rule FROM q UNION ALL SELECT b, a, rule FROM q")
 def q6_related_events(v: Views) -> DataFrame:
     """What is related to each event, seen from either side."""
-    found = related.pairs(v.events_now, NOW, keep=keeper(v.spark))
+    found = related.pairs(v.events_now, NOW, keep=keeper(v.spark), tree=v.tree(related.CELL))
     return found.select(F.col("a").alias("subject"), F.col("b").alias("event"), "rule").unionByName(found.select(F.col("b").alias("subject"), F.col("a").alias("event"), "rule"))
 
 
@@ -391,7 +391,7 @@ _HELD = """h AS (SELECT seq, place_id, kind, name, CASE WHEN kind = 'TOWN' THEN
 def j10_resolved_points(v: Views) -> DataFrame:
     """The places of each point: counties and areas that hold it, a corridor near it, towns about it; the most specific first."""
     points = v.current.select(F.col("seq").alias("point_id"), "lat", "lng")
-    return placing.resolved(points, place_directory(v), 30_000.0).select("point_id", "place_id", "position")
+    return placing.resolved(points, place_directory(v), 30_000.0, v.tree(placing.CELL)).select("point_id", "place_id", "position")
 
 
 @query("""WITH e AS (SELECT id, layer, lat, lng, half FROM events_now), r AS (SELECT e.*, p.place_id, p.min_lat, p.min_lng, p.max_lat, p.max_lng, greatest(0, least(lat + half, max_lat) - greatest(lat - half, min_lat)) * greatest(0, least(lng + half, max_lng) - greatest(lng - half, min_lng)) AS shared, kind FROM e, places p WHERE kind <> 'TOWN'),
@@ -402,7 +402,7 @@ def j10_resolved_points(v: Views) -> DataFrame:
 def j9_matched_places(v: Views) -> DataFrame:
     """The places of each event by the rules of its shape: points, areas, alerts and fires."""
     preset = F.when(F.col("layer") == "POWER", F.array(F.lit("preset"), F.lit("")))
-    return placing.matched(v.events_now.select("id", "layer", "geojson", preset.alias("place_ids")), place_directory(v), keep=keeper(v.spark))
+    return placing.matched(v.events_now.select("id", "layer", "geojson", preset.alias("place_ids")), place_directory(v), keep=keeper(v.spark), tree=v.tree(placing.CELL))
 
 
 @query("""WITH w AS (SELECT user_id, k % 2 AS county, lat, lng FROM observed WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) = 1), p AS (SELECT user_id, seq, k % 2 AS county, lat, lng FROM observed WHERE event_type = 'view')

@@ -41,18 +41,18 @@ _CLASSES = """r AS (SELECT n_nationkey AS route_id, round(-124 + n_nationkey * 0
 @query(f"WITH {_CLASSES} SELECT alert_id, route_id, round(metres, 1) AS metres, class FROM c")
 def j18_route_alerts(v: Views) -> DataFrame:
     """Alerts on a route or near it, lines by their nearest corner."""
-    return roads.classified(alerts(v), routes(v)).withColumn("metres", F.round("metres", 1))
+    return roads.classified(alerts(v), routes(v), v.tree(roads.CELL)).withColumn("metres", F.round("metres", 1))
 
 
 @query(f"WITH {_CLASSES} SELECT alert_id, route_id, class FROM (SELECT *, bool_or(class = 'ON_ROUTE') OVER (PARTITION BY alert_id) AS here FROM c) WHERE class = 'ON_ROUTE' OR NOT here")
 def j19_suppressed_alerts(v: Views) -> DataFrame:
-    return roads.nearby_suppressed(roads.classified(alerts(v), routes(v))).select("alert_id", "route_id", "class")
+    return roads.nearby_suppressed(roads.classified(alerts(v), routes(v), v.tree(roads.CELL))).select("alert_id", "route_id", "class")
 
 
 @query("""WITH r AS (SELECT round(-124 + n_nationkey * 0.2, 1) AS x, y FROM nation, (SELECT unnest(range(35, 41)) AS y)), p AS (SELECT seq AS point_id, lat, lng FROM current_events WHERE layer = 2)
     SELECT DISTINCT point_id FROM (SELECT point_id, pow(sin(radians(y - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(x - lng) / 2), 2) AS h FROM p, r) WHERE 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) <= 20000""")
 def j30_points_near_routes(v: Views) -> DataFrame:
-    return roads.near_routes(v.current.where("layer = 2").select(F.col("seq").alias("point_id"), "lat", "lng"), routes(v), 20_000).select("point_id")
+    return roads.near_routes(v.current.where("layer = 2").select(F.col("seq").alias("point_id"), "lat", "lng"), routes(v), 20_000, v.tree(roads.CELL)).select("point_id")
 
 
 @query(f"""WITH {_CLASSES}, s AS (SELECT *, bool_or(class = 'ON_ROUTE') OVER (PARTITION BY alert_id) AS here FROM c), o AS (SELECT route_id, alert_id, CASE WHEN severity >= 3 THEN 'closed' WHEN severity = 2 THEN 'restricted' ELSE 'open' END AS status, CASE WHEN k % 3 > 0 THEN 'Detail ' || alert_id ELSE '' END AS details, CASE k % 10 WHEN 0 THEN 'r2' WHEN 1 THEN 'active_unspecified' ELSE 'none' END AS chain FROM s WHERE class = 'NEARBY' OR here),
@@ -62,7 +62,7 @@ def j30_points_near_routes(v: Views) -> DataFrame:
 def q17_roads(v: Views) -> DataFrame:
     """Every road: its alerts placed, those near it suppressed where they are on another, folded into a status with its explanation, beside its traffic."""
     c = F.col
-    placed = roads.nearby_suppressed(roads.classified(alerts(v), routes(v))).join(alerts(v).drop("geojson"), "alert_id")
+    placed = roads.nearby_suppressed(roads.classified(alerts(v), routes(v), v.tree(roads.CELL))).join(alerts(v).drop("geojson"), "alert_id")
     causes = placed.select("route_id", c("alert_id").alias("ord"), F.when(c("severity") >= 3, "closed").when(c("severity") == 2, "restricted").otherwise("open").alias("status"), F.when(c("k") % 3 > 0, F.concat(F.lit("Detail "), "alert_id")).otherwise("").alias("details"), F.when(c("k") % 10 == 0, "r2").when(c("k") % 10 == 1, "active_unspecified").otherwise("none").alias("chain"))
     nothing = v.spark.createDataFrame([], "route_id bigint, sign_id bigint")
     body = F.to_json(F.struct(F.array(F.struct(F.lit(12_345).alias("distanceMeters"), F.concat(60 * (c("route_id") + 30), F.lit("s")).alias("duration"), F.lit("1800s").alias("staticDuration"))).alias("routes")))
@@ -216,7 +216,7 @@ def g7_overlapping_shapes(v: Views) -> DataFrame:
     """Event shapes that cover, or are covered by, at least two per cent of a place's."""
     from tideway.plans.shapes import event_shapes, place_shapes
 
-    return spatial.shapes_meet(event_shapes(v), place_shapes(v), 0.0203).select("a.id", "b.place_id")
+    return spatial.shapes_meet(event_shapes(v), place_shapes(v), 0.0203, v.tree(spatial.CELL)).select("a.id", "b.place_id")
 
 
 @query("""SELECT seq, CASE WHEN k % 3 < 2 THEN 'MultiPolygon' END AS kind, CASE WHEN k % 3 < 2 THEN 5 END AS points FROM observed WHERE event_type = 'signup'""")

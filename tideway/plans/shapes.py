@@ -27,7 +27,7 @@ def event_shapes(v: Views) -> DataFrame:
 @query("""SELECT e.id, p.place_id FROM current_events e JOIN places p ON e.lat - 0.05 * (1 + e.k % 4) / 2 <= p.max_lat AND e.lat + 0.05 * (1 + e.k % 4) / 2 >= p.min_lat AND e.lng - 0.05 * (1 + e.k % 4) / 2 <= p.max_lng AND e.lng + 0.05 * (1 + e.k % 4) / 2 >= p.min_lng WHERE e.layer IN (2, 3)""")
 def j9_shape_places(v: Views) -> DataFrame:
     """Event shapes and the places they meet, borders included."""
-    return spatial.shapes_meet(event_shapes(v), place_shapes(v)).select("a.id", "b.place_id")
+    return spatial.shapes_meet(event_shapes(v), place_shapes(v), tree=v.tree(spatial.CELL)).select("a.id", "b.place_id")
 
 
 @query("""WITH d AS (SELECT e.seq, p.place_id, greatest(0, p.min_lat - e.lat, e.lat - p.max_lat) * 111320.0 AS dy, greatest(0, p.min_lng - e.lng, e.lng - p.max_lng) * 111320.0 * cos(radians((e.lat + (p.min_lat + p.max_lat) / 2) / 2)) AS dx FROM current_events e, places p WHERE p.kind = 'TOWN')
@@ -35,7 +35,7 @@ def j9_shape_places(v: Views) -> DataFrame:
 def j11_cameras_near(v: Views) -> DataFrame:
     """Points within 15 km of a town's shape, with the distance; 0 inside."""
     towns = place_shapes(v).where("kind = 'TOWN'")
-    return spatial.points_near(v.current.select("seq", "lat", "lng"), towns, 15_000).select("a.seq", "b.place_id", F.round("metres", 1).alias("metres"))
+    return spatial.points_near(v.current.select("seq", "lat", "lng"), towns, 15_000, v.tree(spatial.CELL)).select("a.seq", "b.place_id", F.round("metres", 1).alias("metres"))
 
 
 def joined(v: Views, observations: DataFrame) -> DataFrame:
