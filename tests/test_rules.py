@@ -160,36 +160,6 @@ def test_untangled_rings_do_not_cross():
     assert kernel.valid_shape((), 0.1) is None
 
 
-def test_relay_credits_against_a_loop(spark):
-    rng = random.Random(2)
-    keys = [f"{rng.randrange(16):x}{rng.randrange(4):x}{rng.randrange(1 << 24):06x}" for _ in range(25)]
-    paths = []
-    for i in range(120):
-        chain = [rng.randrange(25)]
-        for _ in range(rng.randrange(1, 5)):
-            chain.append((chain[-1] + rng.choice((1, 1, 2, 24))) % 25)
-        paths.append((i, 1_000 + i, keys[chain[0]], [keys[c][: rng.choice((2, 2, 4))] if rng.random() > 0.05 else "" for c in chain[1:]]))
-    options = {(i, n): sorted({k for k in keys if k.startswith(h)}) for i, _, s, hops in paths for n, h in [(-1, s), *enumerate(hops)] if h}
-    settled = {at: k[0] for at, k in options.items() if len(k) == 1}
-    while True:
-        edges = {frozenset((a, settled[i, n + 1])) for (i, n), a in settled.items() if (i, n + 1) in settled and settled[i, n + 1] != a}
-        more = {}
-        for (i, n), ks in options.items():
-            if (i, n) not in settled:
-                fits = {k for k in ks for m in (n - 1, n + 1) if (i, m) in settled and frozenset((k, settled[i, m])) in edges}
-                if len(fits) == 1:
-                    more[i, n] = fits.pop()
-        if not more:
-            break
-        settled |= more
-    want = {}
-    for (i, n), k in settled.items():
-        if n >= 0:
-            want[k] = max(want.get(k, 0), 1_000 + i)
-    got = radio.relay_credits(spark.createDataFrame(paths, "path_id long, at long, sender string, hops array<string>"), spark.createDataFrame([(k,) for k in keys], "key string"), keeper(spark))
-    assert {r.key: r.relayed_at for r in got.collect()} == want and want
-
-
 def test_positions_that_stand_against_a_loop(spark):
     rng = random.Random(3)
     rows = [(f"n{i % 4}", i, 38 + rng.random() / 300, -120 + rng.random() / 300) for i in range(300)]

@@ -107,40 +107,6 @@ def cadence(adverts: DataFrame, key: str, at: str) -> DataFrame:
     return n.join(series.ewma(adverts, key, at).select(key, "ewma"), key, "left")
 
 
-def relay_credits(paths: DataFrame, known: DataFrame, keep, rounds: int = 16) -> DataFrame:
-    """key, relayed_at: when each known node last relayed, from paths (path_id, at, sender, hops) whose hops are short prefixes of keys.
-
-    A hop that only one known key starts is that node. Neighbouring hops that
-    are both known make an edge; a hop that several keys start is then the one
-    of them that has an edge with the known hop before or after it, if just
-    one has. That is repeated while it settles more hops. What stays doubtful
-    credits nobody.
-    """
-    hops = paths.select("path_id", "at", F.posexplode("hops").alias("n", "hop")).withColumn("hop", F.lower("hop")).where("hop <> ''")
-    ends = paths.select("path_id", "at", F.lit(-1).alias("n"), F.lower("sender").alias("hop"))
-    lengths = (2, 4, 6)
-    keys = known.select(F.lower("key").alias("key")).distinct()
-    starts = keys.select("key", F.explode(F.array(F.col("key"), *(F.substring("key", 1, n) for n in lengths))).alias("hop")).distinct()
-    options = keep(hops.unionByName(ends).join(starts, "hop").select("path_id", "at", "n", "key"))
-    many = Window.partitionBy("path_id", "n")
-    settled = keep(options.withColumn("c", F.count("*").over(many)).where("c = 1").drop("c"))
-    before = -1
-    for _ in range(rounds):
-        count = settled.count()
-        if count == before:
-            break
-        before = count
-        a, b = (settled.select("path_id", (F.col("n") + step).alias("n"), F.col("key").alias(name)) for step, name in ((1, "x"), (0, "y")))
-        edges = a.join(b, ["path_id", "n"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-        open_hops = options.join(settled.select("path_id", "n"), ["path_id", "n"], "left_anti")
-        about = reduce(DataFrame.unionByName, [settled.select("path_id", (F.col("n") + step).alias("n"), F.col("key").alias("beside")) for step in (-1, 1)])
-        fits = open_hops.join(about, ["path_id", "n"]).join(both, (F.col("key") == both.a) & (F.col("beside") == both.b), "left_semi").select("path_id", "at", "n", "key").distinct()
-        more = fits.withColumn("c", F.count("*").over(many)).where("c = 1").drop("c")
-        settled = keep(settled.unionByName(more))
-    return settled.where("n >= 0").groupBy("key").agg(F.max("at").alias("relayed_at"))
-
-
 def overlay(events: DataFrame, activity: DataFrame, clocks: dict[str, str]) -> DataFrame:
     """events (node …) with their clocks replaced by those of the activity table (node …) where it has them; a clock of 0 is no clock."""
     have = activity.select(F.lower("node").alias("_node"), *(F.nullif(c, F.lit(0)).alias(f"_{c}") for c in clocks.values()))

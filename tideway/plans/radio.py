@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideway.operators import mesh, radio
+from tideway.operators import mesh, radio, relay
 from tideway.plans.adapters import Views
 from tideway.plans.queries import DAY, T0
 from tideway.plans.registry import query
@@ -90,14 +90,42 @@ def n13_stable_positions(v: Views) -> DataFrame:
     return radio.stable_positions(fixes)
 
 
+#: The second of two ticks, and the time between them.
+LAST, SPLIT = "(SELECT max(heard_at) FROM mesh_observations)", "(SELECT CAST(floor((min(heard_at) + max(heard_at)) / 2) AS BIGINT) FROM mesh_observations)"
+
+
+def relayed(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Credits of the second tick, and the graph of neighbours after it. Keys are hashes; a hop shows two bytes of it, or three; every seventh path is a direct route."""
+    key = lambda c: F.lower(F.sha2(c, 256))
+    o = v.mesh_observations
+    ends = o.agg(F.min("heard_at").alias("a"), F.max("heard_at").alias("b")).first()
+    mid, last = ((ends["a"] + ends["b"]) // 2, ends["b"]) if ends["a"] is not None else (0, 0)
+    wide = F.when(F.col("obs_id") % 2 == 0, 4).otherwise(6)
+    paths = o.select(F.col("obs_id").alias("path_id"), F.col("heard_at").alias("at"), key(F.col("pubkey")).alias("sender"), F.transform("path_nodes", lambda n: F.when(n == "", "").otherwise(F.substring(key(n), F.lit(1), wide))).alias("hops"), F.concat(F.lit("watch"), F.col("obs_id") % 3).alias("observer"))
+    catalog = o.select(F.explode(F.concat(F.array("pubkey"), "path_nodes")).alias("n")).where("n <> ''").distinct().select(key(F.col("n")).alias("key"), F.when(F.col("n").startswith("c"), "companion").otherwise("repeater").alias("role"))
+    graph, credit = v.spark.createDataFrame([], "a string, b string, at long"), None
+    for now, rows in ((mid, paths.where(F.col("at") <= mid)), (last, paths.where(F.col("at") > mid))):
+        credit, graph = relay.tick(rows.where("path_id % 7 > 0"), rows.where("path_id % 7 = 0"), catalog, graph, now, keeper(v.spark), 900 * DAY)
+    return credit, graph
+
+
 @query()
 def m6_relay_credits(v: Views) -> DataFrame:
-    """When each node last relayed, by paths of short prefixes; it goes on to a fixpoint, so a test holds it against a loop."""
-    key = lambda c: F.lower(F.substring(F.sha2(c, 256), 1, 12))
-    o = v.mesh_observations
-    paths = o.select(F.col("obs_id").alias("path_id"), F.col("heard_at").alias("at"), key(F.col("pubkey")).alias("sender"), F.transform("path_nodes", lambda n: F.when(n == "", "").otherwise(F.substring(key(n), 1, 2))).alias("hops"))
-    known = o.select(F.explode(F.concat(F.array("pubkey"), "path_nodes")).alias("n")).where("n <> ''").distinct().select(key(F.col("n")).alias("key"))
-    return radio.relay_credits(paths, known, keeper(v.spark))
+    """When each node last relayed, by the second of two ticks; places settle in the order of a path, so a test holds it against a loop."""
+    return relayed(v)[0]
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT DISTINCT n, sha256(n) AS key FROM (SELECT unnest([pubkey] || path_nodes) AS n FROM mesh_observations) WHERE n <> ''), s AS (SELECT key, n, unnest([left(key, 2), left(key, 4), left(key, 6)]) AS hop FROM n WHERE NOT starts_with(n, 'c')),
+    u AS (SELECT hop, min(key) AS key FROM s GROUP BY hop HAVING count(*) = 1),
+    p AS (SELECT obs_id, heard_at, 0 AS i, sha256(pubkey) AS key FROM mesh_observations WHERE obs_id % 7 > 0 UNION ALL SELECT obs_id, heard_at, i, key FROM (SELECT obs_id, heard_at, i, left(sha256(path_nodes[i]), CASE WHEN obs_id % 2 = 0 THEN 4 ELSE 6 END) AS hop, path_nodes[1] <> '' AND path_nodes[i] <> '' AS told FROM
+        (SELECT obs_id, heard_at, path_nodes, unnest(range(1, len(path_nodes) + 1)) AS i FROM mesh_observations WHERE obs_id % 7 > 0)) x JOIN u USING (hop) WHERE told
+        UNION ALL SELECT obs_id, heard_at, len(path_nodes) + 1, 'watch' || (obs_id % 3) FROM mesh_observations WHERE obs_id % 7 > 0),
+    e AS (SELECT least(x.key, y.key) AS a, greatest(x.key, y.key) AS b, x.heard_at AS "at" FROM p x JOIN p y ON x.obs_id = y.obs_id AND y.i = x.i + 1 WHERE x.key <> y.key),
+    old AS (SELECT a, b, max("at") AS "at" FROM e WHERE "at" <= {SPLIT} GROUP BY a, b)
+    SELECT a, b, max("at") AS "at" FROM (SELECT * FROM old WHERE {LAST} - "at" <= {900 * DAY} UNION ALL SELECT * FROM e WHERE "at" > {SPLIT}) GROUP BY a, b""")
+def m6_neighbour_graph(v: Views) -> DataFrame:
+    """The graph of neighbours after two ticks: what was taught, without edges that nobody taught again for too long."""
+    return relayed(v)[1].select("a", "b", "at")
 
 
 @query("""SELECT prefix, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'c' || n AS prefix FROM range(10) t(n)) JOIN (SELECT DISTINCT pubkey FROM mesh_observations) ON starts_with(pubkey, prefix) GROUP BY prefix""")
