@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -151,13 +152,73 @@ def test_exact_overlap_against_samples():
     assert kernel.overlap_fraction(s(polygon(square(0, 0, 10), square(1, 1, 2))), s(polygon(square(1, 1)))) == 0
 
 
-def test_untangled_rings_do_not_cross():
+def plain_crossings(ring):
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    n, bad = len(ring) - 1, set()
+    for i in range(n):
+        for j in range(i + 2, n if i else n - 1):
+            a, b, c, d = ring[i], ring[i + 1], ring[j], ring[j + 1]
+            boxes = all(min(a[k], b[k]) <= max(c[k], d[k]) and min(c[k], d[k]) <= max(a[k], b[k]) for k in (0, 1))
+            if boxes and turn(a, b, c) * turn(a, b, d) <= 0 and turn(c, d, a) * turn(c, d, b) <= 0:
+                bad |= {i, j}
+    return sorted(bad)
+
+
+def area(ring):
+    x, y = ring[:-1].T
+    return abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2
+
+
+def wavy(rng, n, strip=False):
+    """A simple ring: a star about a centre, or a narrow strip whose sides swing together."""
+    if strip:
+        x = np.linspace(0, 1, n)
+        y = 0.02 * np.sin(x * rng.integers(5, 40)) + rng.normal(0, 0.0005, n)
+        return np.concatenate([np.stack([x, y], 1), np.stack([x, y + 0.003], 1)[::-1], [[x[0], y[0]]]])
+    turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+    ring = (np.stack([np.cos(turn), np.sin(turn)]) * (1 + rng.normal(0, 0.05, n))).T
+    return np.concatenate([ring, ring[:1]])
+
+
+def test_crossing_edges_equal_all_pairs(monkeypatch):
     rng = np.random.default_rng(1)
-    for _ in range(20):
-        ring = rng.uniform(0, 1, (8, 2))
+    for k in range(40):
+        ring = rng.integers(0, 6 if k % 2 else 40, (12, 2)).astype(float)
         ring = np.concatenate([ring, ring[:1]])
-        assert kernel._crossed(kernel.untangled(ring)) is None
-    assert kernel.valid_shape((), 0.1) is None
+        monkeypatch.setattr(kernel, "PAIRS", 5 if k % 3 else 1 << 20)
+        assert kernel.crossing_edges(ring).tolist() == plain_crossings(ring)
+
+
+def test_simplified_rings_are_simple():
+    """Narrow strips cross when points are left out; what comes back is few points, no crossing, and about the same area."""
+    rng, crossed = np.random.default_rng(2), 0
+    for k in range(60):
+        ring = wavy(rng, 300, strip=k % 2 == 0)
+        assert not plain_crossings(ring) if k < 4 else True
+        tolerance = 0.004 if k % 2 == 0 else 0.02
+        got = kernel.valid_ring(ring, tolerance)
+        crossed += bool(len(kernel.crossing_edges(ring[kernel.kept_corners(ring, tolerance)])))
+        assert not len(kernel.crossing_edges(got)) and (got[0] == got[-1]).all() and len(got) < len(ring)
+        if k % 2:
+            assert abs(area(got) / area(ring) - 1) < 0.14
+    assert crossed
+
+
+def test_a_bump_in_a_strip_comes_back():
+    ring = np.array([(0.45, 0), (0.5, 0.006), (0.55, 0), (1, 0), (1, 0.005), (0.56, 0.005), (0.56, 0.0085), (0.44, 0.0085), (0.44, 0.005), (0, 0.005), (0, 0), (0.45, 0)])
+    assert len(kernel.crossing_edges(ring[kernel.kept_corners(ring, 0.005)]))
+    got = kernel.valid_ring(ring, 0.005)
+    assert not len(kernel.crossing_edges(got)) and len(got) < len(ring) and (got[0] == got[-1]).all()
+    bow = np.array([(0, 0), (1, 1), (1, 0), (0, 1), (0, 0.0)])
+    assert (kernel.valid_ring(bow, 0.1) == bow).all() and kernel.valid_shape((), 0.1) is None
+    assert kernel.valid_shape(((np.array([(0, 0), (0, 0), (0, 0.0)]),),), 0.1) is None
+
+
+def test_a_long_ring_takes_no_quadratic_time():
+    ring = wavy(np.random.default_rng(3), 120_000)
+    began = time.process_time()
+    assert len(kernel.valid_ring(ring, 0.001)) > 4
+    assert time.process_time() - began < 30
 
 
 def test_positions_that_stand_against_a_loop(spark):
@@ -191,6 +252,19 @@ def test_condition_spans_and_names(spark):
     assert names.select(text.mission_fire(F.col("m")[0])).count() == 2
 
 
+def test_seasonal_closures_and_nothing_else(spark):
+    base, full = "Is closed from 0.5 mi east of the Jct of SR 207 /Mt Reba Turnoff/ to the Jct of SR 89 /Ebbetts Pass/", "Is closed from the Jct of SR 207 /Mt Reba Turnoff/ to the Jct of SR 89 /Ebbetts Pass/"
+    yes = [base, base.upper(), full + " (Alpine Co) - For the winter", base + " (Alpine Co)- Due to snow", base + " (Alpine Co) -due to snow -Motorists are advised to use an alternate route.", base + " (Alpine Co) 24 hrs a day - Due to snow and ice - For the season - Motorists are advised to use an alternate route", base.replace("Is ", "Is  ") + ".", "Closed from Jct of SR 207 to Ebbetts Pass"]
+    no = [base + t for t in (" - Due to snow - Also closed at Black Springs", " 24 hrs a day and at Cottage Springs - Due to snow", " from 0600 hrs to 1800 hrs", " - Due to snow at Dorrington", " and Hells Kitchen (Alpine Co)", " (Alpine Co) (Cottage Springs Co)", " Rd", " to the Nevada State Line")]
+    no += ["Chains are required - " + base, base.replace("the Jct of SR 89 /Ebbetts Pass/", "Lake Alpine"), base.replace("to the", "to 7.2 mi west of the"), base.replace("0.5 mi east", "0.5 mi west"), base.replace("0.5 mi east", "2.1 mi east"), base.replace("0.5 mi east", "just east"), "Is closed from Dorrington /Mt Reba Turnoff/ to Ebbetts Pass", "Is closed at the Jct of SR 207", "Is closed from the to the", "", None]
+    names = {"start": ["Mt Reba Turnoff", "Jct of SR 207"], "end": ["Ebbetts Pass", "Jct of SR 89", " "]}
+    rows = spark.createDataFrame([(t,) for t in yes + no], "t string")
+    told = lambda kind, **more: [r[0] for r in rows.select(text.seasonal_closure(F.col("t"), F.lit(kind), **names, **more)).collect()]
+    assert told("CLOSURE", direction="East", most_miles=2.0) == [True] * len(yes) + [False] * len(no)
+    assert told("CLOSURE")[: len(yes)] == [t in (yes[2], yes[7]) for t in yes] and not any(told("CHAIN", direction="East", most_miles=2.0))
+    assert {r[0] for r in rows.select(text.seasonal_closure(F.col("t"), F.lit("CLOSURE"), [], names["end"]).alias("x")).collect()} == {False}
+
+
 def test_camera_directory_states(spark):
     cams = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (3, 0, "c")], "district int, position int, id string")
     told = lambda rows: (lambda d, s: (sorted((r.id, r.district) for r in d.collect()), tuple(s.first())))(*air.camera_directory(cams, spark.createDataFrame(rows, "district int, fetched_at long, failed boolean")))

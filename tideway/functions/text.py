@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -112,7 +113,7 @@ def commas(number: Column) -> Column:
 
 def capital(said: Column) -> Column:
     """said with its first letter in upper case."""
-    return F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, 2, 2_147_483_647))
 
 
 def customers(n: Column) -> Column:
@@ -285,6 +286,41 @@ def condition_span(said: Column, kind: Column) -> Column:
     return F.struct(ends[0].alias("from"), ends[1].alias("to"))
 
 
+#: How a seasonal closure with a span begins, tells an offset, and what may follow its end.
+SEASONAL_HEAD, OFFSET = r"^(?:is |are )?closed from ", r"^(\d+(?:\.\d+)?)\s*(?:mi|mile|miles)\.?\s+(north|south|east|west)\s+of\s+"
+SEASONAL_TAIL = (
+    r"\s*(?:\([a-z ,/]*\bco\)\s*)?(?:24 hrs a day\s*)?"
+    r"(?:-\s*(?:due to (?:snow and ice|ice and snow|snow|ice|winter conditions|winter weather|weather conditions|weather)|for the (?:winter|season)|motorists are advised to use an alternate route)\s*)*\.?\s*$"
+)
+
+
+def _run_of(names: list[str]) -> str | None:
+    """A pattern of one or more of the names, at whole words, with "the", spaces and slashes between them; none where there are no names."""
+    known = sorted({n.strip().lower() for n in names if n.strip()}, key=lambda n: (-len(n), n))
+    return r"[ /]*(?:the [ /]*)*(?:(?:%s)(?![a-z0-9])[ /]*(?:the [ /]*)*)+" % "|".join(map(re.escape, known)) if known else None
+
+
+def seasonal_closure(said: Column, kind: Column, start: list[str], end: list[str], direction: str = "", most_miles: float = 0.0) -> Column:
+    """Whether a condition is exactly a configured seasonal closure and says nothing else.
+
+    The whole text is read, case and spacing aside: closed from the start, with
+    at most so many miles of offset in the one direction that is configured, to
+    the end, then only a county, "24 hrs a day" and the usual reasons. Any other
+    wording, place, offset or second sentence is not it.
+    """
+    opens, closes = _run_of(start), _run_of(end)
+    if not opens or not closes:
+        return F.lit(False)
+    told = F.lower(F.trim(F.regexp_replace(said, r"\s+", " ")))
+    span = F.split(F.regexp_replace(told, SEASONAL_HEAD, ""), " to ", 2)
+    first, rest = F.get(span, 0), F.get(span, 1)
+    miles, way = F.regexp_extract(first, OFFSET, 1), F.regexp_extract(first, OFFSET, 2)
+    near = (miles == "") | ((way == direction.strip().lower()) & (miles.try_cast("double") <= most_miles))
+    place = F.regexp_replace(first, OFFSET, "")
+    match = told.rlike(SEASONAL_HEAD) & rest.isNotNull() & near & place.rlike(f"^{opens}$") & rest.rlike(f"^{closes}{SEASONAL_TAIL}")
+    return F.coalesce((kind == "CLOSURE") & match, F.lit(False))
+
+
 def weather_phrase(coverage: Column, intensity: Column, weather: Column) -> Column:
     """A grid condition in words: chance, light, rain_showers -> Chance of light rain showers."""
     words = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("_"), F.lit(" "))

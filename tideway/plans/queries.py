@@ -285,9 +285,9 @@ def n3_revision_changes(v: Views) -> DataFrame:
 
 @query("""SELECT id, sampled_at, clock, kind, row_number() OVER (PARTITION BY id ORDER BY sampled_at, clock DESC, kind, revision) AS position FROM (SELECT id, observed_at AS sampled_at, 'SOURCE' AS clock, 'REPORTED' AS kind, revision FROM revisions WHERE revision = 1
     UNION ALL SELECT id, observed_at, 'OWN', 'FIRST_RECORDED', revision FROM revisions WHERE revision = 1 UNION ALL SELECT id, observed_at, 'OWN', CASE WHEN status <> before THEN 'STATUS' ELSE 'SEVERITY' END, revision FROM
-    (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY revision) AS before FROM revisions) WHERE revision > 1) QUALIFY position <= 500""")
+    (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY revision) AS before FROM revisions) WHERE revision > 1)""")
 def n4_timeline(v: Views) -> DataFrame:
-    """Source entries, the first record and changes of each event in one order, at most 500."""
+    """Source entries, the first record and changes of each event in one order."""
     r = v.revisions.select("id", F.col("observed_at").alias("sampled_at"), "revision", "status", F.lag("status").over(Window.partitionBy("id").orderBy("revision")).alias("before"))
     first = r.where("revision = 1").select("id", "sampled_at", "revision")
     entries = (
@@ -296,7 +296,7 @@ def n4_timeline(v: Views) -> DataFrame:
         .unionByName(r.where("revision > 1").select("id", "sampled_at", "revision", F.lit("OWN").alias("clock"), F.when(F.col("status") != F.col("before"), "STATUS").otherwise("SEVERITY").alias("kind")))
     )
     w = Window.partitionBy("id").orderBy("sampled_at", F.desc("clock"), "kind", "revision")
-    return entries.select("id", "sampled_at", "clock", "kind", F.row_number().over(w).alias("position")).where("position <= 500")
+    return entries.select("id", "sampled_at", "clock", "kind", F.row_number().over(w).alias("position"))
 
 
 @query("""SELECT l.id, l.seq, r.seq AS as_of_seq FROM observed l ASOF LEFT JOIN (SELECT user_id, observed_at, max(seq) AS seq FROM observed WHERE event_type = 'error' GROUP BY ALL) r ON l.user_id = r.user_id AND l.observed_at > r.observed_at WHERE l.event_type = 'purchase'""")

@@ -219,15 +219,15 @@ def g7_overlapping_shapes(v: Views) -> DataFrame:
     return spatial.shapes_meet(event_shapes(v), place_shapes(v), 0.0203, v.tree(spatial.CELL)).select("a.id", "b.place_id")
 
 
-@query("""SELECT seq, CASE WHEN k % 3 < 2 THEN 'MultiPolygon' END AS kind, CASE WHEN k % 3 < 2 THEN 5 END AS points FROM observed WHERE event_type = 'signup'""")
+@query("""SELECT seq, CASE WHEN k % 4 < 3 THEN 'MultiPolygon' END AS kind, CASE k % 4 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 4 END AS points FROM observed WHERE event_type = 'signup'""")
 def g16_valid_shapes(v: Views) -> DataFrame:
-    """Shapes made plain: superfluous points go, a ring that crosses itself is untangled, one without an inside goes."""
+    """Shapes made plain: superfluous points go, a ring that crosses itself from the start stays as it is, one of fewer than four points goes."""
     c = F.col
     p = lambda dx, dy: F.array(F.round(c("lng") + dx, 4), F.round(c("lat") + dy, 4))
     plain = F.array(p(0, 0), p(0.1, 0), p(0.2, 0), p(0.2, 0.2), p(0, 0.2), p(0, 0))
     bow = F.array(p(0, 0), p(0.2, 0.2), p(0.2, 0), p(0, 0.2), p(0, 0))
     thin = F.array(p(0, 0), p(0.1, 0.00001), p(0.2, 0), p(0, 0))
-    rings = F.when(c("k") % 3 == 0, plain).when(c("k") % 3 == 1, bow).otherwise(thin)
+    rings = F.when(c("k") % 4 == 0, plain).when(c("k") % 4 == 1, bow).when(c("k") % 4 == 2, thin).otherwise(F.array(p(0, 0), p(0.1, 0), p(0, 0)))
 
     @F.pandas_udf("string")
     def valid(g: pd.Series) -> pd.Series:

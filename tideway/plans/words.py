@@ -37,6 +37,26 @@ def t14_condition_spans(v: Views) -> DataFrame:
     return v.observed.select("seq", span["from"].alias("begins"), span["to"].alias("ends"))
 
 
+#: What conditions may say of one seasonal closure, and whether it is exactly that.
+SEASONAL = {
+    "Is closed from 0.5 mi east of the Jct of SR 207 /Mt Reba Turnoff/ to the Jct of SR 89 /Ebbetts Pass/ (Alpine Co) - Due to snow- Motorists are advised to use an alternate route": True,
+    "IS  CLOSED FROM 2 MILES EAST OF THE MT REBA TURNOFF TO EBBETTS PASS.": True,
+    "Is closed from 2.1 mi east of the Mt Reba Turnoff to Ebbetts Pass": False,
+    "Is closed from 0.5 mi west of the Mt Reba Turnoff to Ebbetts Pass": False,
+    "Is closed from the Mt Reba Turnoff to Ebbetts Pass Rd": False,
+    "Is closed from the Mt Reba Turnoff to the Jct of SR 89 - Due to a rock slide": False,
+    "Is closed at the Mt Reba Turnoff": False,
+}
+WINTER = {"start": ["Mt Reba Turnoff", "Jct of SR 207"], "end": ["Ebbetts Pass", "Jct of SR 89"], "direction": "East", "most_miles": 2.0}
+
+
+@query(f"SELECT seq, {chosen(*(str(x) for x in SEASONAL.values()))} = 'True' AND k % 11 > 0 AS seasonal FROM observed")
+def t14_seasonal_closures(v: Views) -> DataFrame:
+    """Which conditions are a configured seasonal closure and nothing else; every eleventh is no closure."""
+    kind = F.when(F.col("k") % 11 == 0, "CHAIN").otherwise("CLOSURE")
+    return v.observed.select("seq", text.seasonal_closure(pick(*SEASONAL), kind, **WINTER).alias("seasonal"))
+
+
 @query(f"SELECT seq, {chosen('Chance of light rain showers', 'Snow', 'Likely heavy snow', 'Slight chance of thunderstorms', 'Patchy fog')} AS phrase FROM observed")
 def t16_weather_phrases(v: Views) -> DataFrame:
     said = text.weather_phrase(pick("chance", "definite", "likely", "slight_chance", "patchy"), pick("light", "none", "heavy", "", ""), pick("rain_showers", "snow", "snow", "thunderstorms", "fog"))
