@@ -18,11 +18,11 @@ DAY = 86400
 BODY_ROWS = 10_000
 
 
-def bodies(rows: DataFrame, by: Column, item: Column, name: str | None, **extra: Column) -> DataFrame:
-    """One JSON body for each group: {name: [items]}, or the bare list."""
+def bodies(rows: DataFrame, by: Column, item: Column, name: str | None, number: str = "seq", **extra: Column) -> DataFrame:
+    """JSON bodies for each group, {name: [items]} or the bare list: one for each run of BODY_ROWS numbers, so that none grows with the table."""
     items = F.collect_list(item)
     body = F.to_json(F.struct(items.alias(name), *(v.alias(k) for k, v in extra.items()))) if name else F.to_json(items)
-    return rows.groupBy(by.alias("_by")).agg(body.alias("body")).select("body")
+    return rows.groupBy(by.alias("_by"), F.floor(F.col(number) / BODY_ROWS).alias("_block")).agg(body.alias("body")).select("body")
 
 
 def s(c: str) -> Column:
@@ -122,7 +122,7 @@ def s18_cameras(v: Views) -> DataFrame:
     c = v.table("supplier")
     url = F.concat(F.when(F.col("s_nationkey") % 3 > 0, "https").otherwise("http"), F.lit("://img.example/"), "s_suppkey")
     row = F.struct(s("s_suppkey").alias("index"), F.struct(F.col("s_name").alias("locationName"), F.lit("38.1").alias("latitude"), F.lit("-120.5").alias("longitude")).alias("location"), F.when(F.col("s_suppkey") % 4 > 0, "true").otherwise("false").alias("inService"), F.struct(F.struct(url.alias("currentImageURL"), (F.col("s_nationkey") - 3).cast("string").alias("currentImageUpdateFrequency")).alias("static")).alias("imageData"))
-    return feeds.cameras(bodies(c, F.col("s_nationkey"), F.struct(row.alias("cctv")), "data"), 3).select("id", "name", "minutes", "image")
+    return feeds.cameras(bodies(c, F.col("s_nationkey"), F.struct(row.alias("cctv")), "data", "s_suppkey"), 3).select("id", "name", "minutes", "image")
 
 
 @query(f"""SELECT 'C' || user_id || '-' || seq AS id, observed_at AS starts, CASE WHEN k % 5 > 0 THEN observed_at + 7200 END AS ends, CASE k % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END AS severity, CASE WHEN k % 8 = 0 THEN 'flag' END AS unrecognized,
