@@ -151,7 +151,7 @@ def s13_placemarks(v: Views) -> DataFrame:
     html = F.format_string('<h2 class="iw-title">Sign %s</h2><p class="iw-text">Jan 5 2024 1:00PM <br> %s </p><p class="iw-text">%s</p> 24%sST0001', F.col("id"), F.col("id"), log, F.lpad((F.col("seq") % 10000).cast("string"), 4, "0"))
     where = F.when(F.col("k") % 3 > 0, F.concat(F.lit("<Point><coordinates>"), F.round("lng", 6).cast("string"), F.lit(","), F.round("lat", 6).cast("string"), F.lit(",0</coordinates></Point>"))).otherwise("")
     mark = F.concat(F.lit("<Placemark><name>"), F.when(F.col("user_id") % 2 == 0, F.col("id")).otherwise(""), F.lit("</name><description><![CDATA["), html, F.lit("]]></description>"), where, F.lit("</Placemark>"))
-    kml = o.groupBy(obs_day().alias("d")).agg(F.concat(F.lit("<kml><Document>"), F.array_join(F.collect_list(mark), "\n"), F.lit("</Document></kml>")).alias("body")).select("body")
+    kml = o.groupBy(obs_day().alias("d"), F.floor(F.col("seq") / BODY_ROWS).alias("block")).agg(F.concat(F.lit("<kml><Document>"), F.array_join(F.collect_list(mark), "\n"), F.lit("</Document></kml>")).alias("body")).select("body")
     rows = feeds.incident_details(feeds.placemarks(kml))
     return rows.select("name", "lat", "lng", "log_number", "second_line", F.size("log").alias("lines"))
 

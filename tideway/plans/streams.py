@@ -17,7 +17,8 @@ from tideway.streaming import jobs, registry, rollup, ticks
 class Arriving(Views):
     """The same views with the events, or the orders, arriving as a stream of files: a range of ``order`` (an expression) after the other, so that state is carried from batch to batch."""
 
-    FILES = 3
+    #: Files at least, and rows of one at most.
+    FILES, FILE_ROWS = 3, 4_000_000
 
     def __init__(self, spark: SparkSession, sf_dir: str, name: str, order: str):
         super().__init__(spark, sf_dir)
@@ -29,11 +30,13 @@ class Arriving(Views):
         whole = super().table(name)
         if self.landed is None:
             self.landed = f"{folder(self.spark)}/landed"
-            edges = whole.select(F.percentile_approx(F.expr(self.order), F.array(*(F.lit(i / self.FILES) for i in range(1, self.FILES))))).first()[0] or []
+            files = max(self.FILES, -(-whole.count() // self.FILE_ROWS))
+            edges = whole.select(F.percentile_approx(F.expr(self.order), F.array(*(F.lit(i / files) for i in range(1, files))), max(10_000, 20 * files))).first()[0] or []
             at = F.expr(self.order)
             for lo, hi in zip([None, *edges], [*edges, None], strict=True):
-                part = whole if lo is None else whole.where(at > lo)
-                (part if hi is None else part.where(at <= hi)).coalesce(1).write.mode("append").parquet(self.landed)
+                here = at.isNull() if lo is None else F.lit(False)  # rows without an order come first
+                here |= F.coalesce((F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi), F.lit(False))
+                whole.where(here).coalesce(1).write.mode("append").parquet(self.landed)
         return self.spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(self.landed)
 
 
