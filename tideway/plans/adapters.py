@@ -73,13 +73,22 @@ class Views:
             (F.lit(LAT0) + row).cast("double").alias("min_lat"), (F.lit(LNG0) + column).cast("double").alias("min_lng"), (F.lit(LAT0 + 1) + row).cast("double").alias("max_lat"), (F.lit(LNG0 + 1) + column).cast("double").alias("max_lng"),
         )
 
+    def in_places(self, rows: DataFrame, lat: str = "lat", lng: str = "lng", places: DataFrame | None = None) -> DataFrame:
+        """rows with the place_id of each place that holds them: an equi join on the cell, then the exact bounds."""
+        p = (self.places if places is None else places).select("place_id", "min_lat", "min_lng", "max_lat", "max_lng", F.floor("min_lat").alias("_cell_lat"), F.floor("min_lng").alias("_cell_lng"))
+        y, x = F.col(lat), F.col(lng)
+        inside = (y >= F.col("min_lat")) & (y < F.col("max_lat")) & (x >= F.col("min_lng")) & (x < F.col("max_lng"))
+        return rows.withColumns({"_cell_lat": F.floor(y), "_cell_lng": F.floor(x)}).join(p, ["_cell_lat", "_cell_lng"]).where(inside).select(*rows.columns, "place_id")
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """The current events with their places, once for each."""
+        return self.in_places(self.current)
+
     @cached_property
     def event_places(self) -> DataFrame:
-        """Which current event is in which place: an equi join on the cell, then the exact bounds."""
-        e = self.current.select("id", "lat", "lng", F.floor("lat").alias("cell_lat"), F.floor("lng").alias("cell_lng"))
-        p = self.places.select("place_id", "min_lat", "min_lng", "max_lat", "max_lng", F.floor("min_lat").alias("cell_lat"), F.floor("min_lng").alias("cell_lng"))
-        inside = (F.col("lat") >= F.col("min_lat")) & (F.col("lat") < F.col("max_lat")) & (F.col("lng") >= F.col("min_lng")) & (F.col("lng") < F.col("max_lng"))
-        return e.join(p, ["cell_lat", "cell_lng"]).where(inside).select("id", "place_id")
+        """Which current event is in which place."""
+        return self.placed.select("id", "place_id")
 
     @cached_property
     def attempts(self) -> DataFrame:

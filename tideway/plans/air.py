@@ -115,7 +115,7 @@ def j17_weather_of_places(v: Views) -> DataFrame:
     SELECT place_id, CAST(count(*) AS BIGINT) AS readings, round(avg(celsius), 1) AS celsius, max(wind) AS wind, CASE WHEN {NOW} - min(at_seconds) <= {2 * DAY} THEN 'fresh' WHEN {NOW} - min(at_seconds) <= {4 * DAY} THEN 'stale' ELSE 'very stale' END AS staleness, CAST(coalesce(any_value(alerts), 0) AS BIGINT) AS alerts FROM p LEFT JOIN a USING (place_id) GROUP BY place_id""")
 def q15_place_conditions(v: Views) -> DataFrame:
     """The weather about each place, how old it is, and the alerts that stand there."""
-    alerts = v.current.where("layer = 5 AND status = 'ACTIVE'").select("id").join(v.event_places, "id")
+    alerts = v.placed.where("layer = 5 AND status = 'ACTIVE'").select("id", "place_id")
     return air.conditions(air.weather_at(*weather(v), v.places), alerts, F.lit(NOW), 2 * DAY)
 
 

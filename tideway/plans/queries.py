@@ -40,15 +40,15 @@ def q3_event_history(v: Views) -> DataFrame:
     WHERE p.place_id = 'nation:7' AND r.observed_at >= {T0} AND r.observed_at < {T0 + 20 * DAY} ORDER BY r.observed_at DESC, r.id, r.revision DESC LIMIT 201""")
 def q4_history_page(v: Views) -> DataFrame:
     """Revisions across events; layer and place are those of the current row."""
-    r = v.revisions.where((F.col("observed_at") >= T0) & (F.col("observed_at") < T0 + 20 * DAY)).select("id", "revision", "observed_at", "severity")
-    here = v.event_places.where("place_id = 'nation:7'").select("id")
-    rows = r.join(v.current.select("id", F.col("layer").alias("current_layer")), "id").join(here, "id", "left_semi")
+    now = F.max_by(F.struct("layer", "lat", "lng"), "revision").over(Window.partitionBy("id"))  # the gate has dealt and sorted them so
+    r = v.revisions.select("id", "revision", "observed_at", "severity", now.alias("now")).where((F.col("observed_at") >= T0) & (F.col("observed_at") < T0 + 20 * DAY))
+    rows = v.in_places(r, "now.lat", "now.lng", v.places.where("place_id = 'nation:7'")).withColumn("current_layer", F.col("now.layer"))
     return paging.page(rows.select("id", "revision", "observed_at", "current_layer", "severity"), [("observed_at", True), ("id", False), ("revision", True)], 200)
 
 
 @query("SELECT id, layer, severity, place_id FROM current_events JOIN event_places USING (id) WHERE place_id IN ('nation:3', 'nation:12')")
 def j1_events_of_places(v: Views) -> DataFrame:
-    return v.current.select("id", "layer", "severity").join(v.event_places.where(F.col("place_id").isin("nation:3", "nation:12")), "id")
+    return v.placed.where(F.col("place_id").isin("nation:3", "nation:12")).select("id", "layer", "severity", "place_id")
 
 
 @query("SELECT id, place_id FROM event_places")
@@ -88,7 +88,7 @@ def q9_totals(v: Views) -> DataFrame:
 
 @query("""SELECT place_id, severity, CAST(count(*) AS BIGINT) AS n FROM event_places JOIN current_events USING (id) WHERE status = 'ACTIVE' GROUP BY ALL""")
 def a8_severity_counts(v: Views) -> DataFrame:
-    return v.current.where("status = 'ACTIVE'").select("id", "severity").join(v.event_places, "id").groupBy("place_id", "severity").agg(F.count("*").alias("n"))
+    return v.placed.where("status = 'ACTIVE'").groupBy("place_id", "severity").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT place_id, CASE WHEN layer IN (1, 5) THEN 'traffic' WHEN layer = 2 THEN 'fault' ELSE 'trade' END AS domain, CAST(count(*) AS BIGINT) AS active_count, max(severity) AS highest,
@@ -96,7 +96,7 @@ def a8_severity_counts(v: Views) -> DataFrame:
 def a9_domain_rollup(v: Views) -> DataFrame:
     """Per place and domain: active events, the highest severity, the ids of the top three."""
     domain = F.when(F.col("layer").isin(1, 5), "traffic").when(F.col("layer") == 2, "fault").otherwise("trade")
-    rows = v.current.where("status = 'ACTIVE' AND NOT (layer = 4 AND severity = 0)").select("id", domain.alias("domain"), "severity", "observed_at").join(v.event_places, "id")
+    rows = v.placed.where("status = 'ACTIVE' AND NOT (layer = 4 AND severity = 0)").select("id", domain.alias("domain"), "severity", "observed_at", "place_id")
     w = Window.partitionBy("place_id", "domain").orderBy(F.desc("severity"), F.desc("observed_at"), "id")
     rows = rows.withColumn("n", F.row_number().over(w))
     top = F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= 3, F.struct("n", "id")))), lambda x: x["id"])
@@ -106,7 +106,7 @@ def a9_domain_rollup(v: Views) -> DataFrame:
 @query("""SELECT place_id, CASE WHEN bool_or(layer = 3 AND severity >= 2) OR max(severity) >= 4 OR max(CASE WHEN layer = 1 THEN severity ELSE 0 END) >= 3 THEN 'ACTIVE'
     WHEN max(severity) >= 3 OR bool_or(layer = 3 AND severity = 1) THEN 'WATCH' ELSE 'QUIET' END AS mode FROM event_places JOIN current_events USING (id) WHERE status = 'ACTIVE' GROUP BY place_id""")
 def a12_place_mode(v: Views) -> DataFrame:
-    rows = v.current.where("status = 'ACTIVE'").select("id", "layer", "severity").join(v.event_places, "id")
+    rows = v.placed.where("status = 'ACTIVE'").select("id", "layer", "severity", "place_id")
     level = F.when((F.col("layer") == 3) & (F.col("severity") >= 2), "ORDER").when((F.col("layer") == 3) & (F.col("severity") == 1), "ADVISORY")
     by = rows.groupBy("place_id").agg(F.collect_set(level).alias("levels"), F.max("severity").alias("top"), F.max(F.when(F.col("layer") == 1, F.col("severity")).otherwise(0)).alias("fire"))
     return by.select("place_id", classify.place_mode(F.col("levels"), F.col("top"), F.col("fire"), F.lit("normal"), F.lit(False), F.lit(False)).alias("mode"))
@@ -212,7 +212,7 @@ def no_rollup(v: Views) -> DataFrame:
 @query(f"SELECT a, b, heard_at - heard_at % 86400 AS day, CAST(count(*) AS BIGINT) AS n, max(snr) AS best_snr, min(heard_at) AS first_at, max(heard_at) AS last_at FROM {_EDGES} GROUP BY 1, 2, 3")
 def w16_link_rollup(v: Views) -> DataFrame:
     """The rollup after two chunks, the second added to the first."""
-    e = mesh.edges(v.mesh_observations)
+    e = v.keep(mesh.edges(v.mesh_observations))
     return state.compact(state.compact(no_rollup(v), e.where("obs_id % 2 = 0")), e.where("obs_id % 2 = 1"))
 
 
@@ -220,7 +220,7 @@ def w16_link_rollup(v: Views) -> DataFrame:
     WHERE (obs_id % 3 > 0 AND heard_at >= 852076800) OR (obs_id % 3 = 0 AND heard_at >= 852076800 + 3600) GROUP BY 1, 2""")
 def a5_mesh_links(v: Views) -> DataFrame:
     """Rolled-up days and the raw tail in one aggregate; the window's first day counts whole in the rollup only."""
-    e = mesh.edges(v.mesh_observations)
+    e = v.keep(mesh.edges(v.mesh_observations))
     return mesh.links(state.compact(no_rollup(v), e.where("obs_id % 3 > 0")), e.where("obs_id % 3 = 0"), 852076800 + 3600)
 
 

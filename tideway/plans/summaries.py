@@ -24,7 +24,7 @@ def q2_event(v: Views) -> DataFrame:
     SELECT p.place_id, coalesce(active, 0) AS active, coalesce(highest, 0) AS highest, CASE WHEN coalesce(orders, 0) > 0 THEN orders WHEN (SELECT ok FROM h WHERE layer = 3) THEN 0 END AS evacuations, coalesce(top, []) AS top FROM places p LEFT JOIN s USING (place_id) LEFT JOIN t USING (place_id)""")
 def q8_place_summary(v: Views) -> DataFrame:
     """Each place's active events, its top five, and evacuations: null when the source is not known to be well, 0 when it is."""
-    rows = v.current.where("status = 'ACTIVE'").select("id", "layer", "severity", "observed_at").join(v.event_places, "id")
+    rows = v.placed.where("status = 'ACTIVE'").select("id", "layer", "severity", "observed_at", "place_id")
     counts = rows.groupBy("place_id").agg(F.count("*").alias("active"), F.max("severity").alias("highest"), F.count_if(F.col("layer") == 3).alias("orders"))
     w = Window.partitionBy("place_id").orderBy(F.desc("severity"), F.desc("observed_at"), "id")
     top = rows.where("NOT (layer = 4 AND severity = 0)").withColumn("n", F.row_number().over(w)).where("n <= 5")
@@ -58,7 +58,7 @@ def o7_telemetry_series(v: Views) -> DataFrame:
 def w23_feature_collections(v: Views) -> DataFrame:
     """A collection for each place and layer, reduced to its size."""
     feature = F.struct(F.lit("Feature").alias("type"), F.col("id"), F.from_json(geo.point_json(F.col("lat"), F.col("lng")), "type string, coordinates array<double>").alias("geometry"))
-    rows = v.current.join(v.event_places, "id").groupBy("place_id", "layer").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array_sort(F.collect_list(F.struct("id", feature.alias("f")))).alias("features"))).alias("body"))
+    rows = v.placed.groupBy("place_id", "layer").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array_sort(F.collect_list(F.struct("id", feature.alias("f")))).alias("features"))).alias("body"))
     return rows.select("place_id", "layer", F.concat(F.lit('{"type":"'), F.get_json_object("body", "$.type"), F.lit('","n":'), F.json_array_length(F.get_json_object("body", "$.features")), F.lit("}")).alias("body"), F.get_json_object("body", "$.features[0].id").alias("first_id"))
 
 
