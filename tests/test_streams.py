@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tideway.operators import mesh
-from tideway.streaming import jobs, registry, rollup, ticks
+from tideway.streaming import jobs, presence, registry, rollup, ticks
 
 TYPES = {"string": StringType(), "bigint": LongType(), "int": IntegerType(), "boolean": BooleanType()}
 
@@ -295,3 +295,50 @@ def test_silent_nodes_leave_the_registry(spark, tmp_path):
     want = sorted(((*r[:5], r[5] and round(r[5], 6), r[6]) for r in plain_registry(batches, 1_000)), key=repr)
     assert list(map(repr, got)) == list(map(repr, want))
     assert any(r[6] for r in want) and spark.conf.get("spark.sql.streaming.stateStore.providerClass", "as it was") == "as it was"
+
+
+def plain_spans(adverts, mark):
+    """(node, began, heard, ended, adverts) that ended before the mark, from adverts before it in the order of time."""
+    out = []
+    for node in {n for n, _ in adverts}:
+        began = heard = counted = mean = None
+        n = gaps = 0
+        window = lambda: 3600.0 if not gaps else min(86_400.0, max(3600.0, 3 * mean))  # noqa: E731, B023
+        for t in sorted(t for q, t in adverts if q == node and t < mark):
+            if began is not None and t > heard + window():
+                out.append((node, began, heard, round(heard + window(), 3), n))
+                began, n = None, 0
+            began = t if began is None else began
+            heard, n = t, n + 1
+            if counted is None:
+                counted = t
+            elif t - counted >= 30:
+                mean, counted, gaps = (float(t - counted) if mean is None else 0.3 * (t - counted) + 0.7 * mean), t, gaps + 1
+        later = [t for q, t in adverts if q == node and t >= mark]
+        if began is not None and heard + window() < mark and not any(t <= heard + window() for t in later):
+            out.append((node, began, heard, round(heard + window(), 3), n))
+    return sorted(out)
+
+
+def test_presence_spans_with_late_adverts(spark, tmp_path):
+    """Each batch holds adverts up to the allowed lateness behind the newest; spans are those of all rows in order."""
+    rng, batches, late = random.Random(21), [], 7_200
+    for b in range(5):
+        rows = [(f"n{rng.randint(0, 6)}", 20_000 * b + rng.randint(0, 26_000) + 3) for _ in range(40)] + [("slow", 20_000 * b + 11_111), ("chatty", 20_000 * b + 5), ("chatty", 20_000 * b + 5), ("chatty", 20_000 * b + 20)]
+        batches.append(rows)
+    batches.append([("end", 260_001)])
+    newest, kept, mark = 0, [], 0
+    for rows in batches:
+        kept += [r for r in rows if r[1] >= mark]
+        newest = max([newest, *(t for _, t in rows)])
+        mark = newest - late
+    told = []
+    with registry.timed_state(spark):
+        for rows in batches:
+            spark.createDataFrame(rows, "node string, at long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+            stream = spark.readStream.schema("node string, at long").parquet(f"file://{tmp_path}/in")
+            out = presence.spans(stream, f"{late} seconds").writeStream.outputMode("append").foreachBatch(lambda d, n: told.extend(d.collect()))
+            jobs.run_available(out, f"file://{tmp_path}/checkpoint")
+    got = sorted((r.node, r.began, r.heard, round(r.ended, 3), r.adverts) for r in told)
+    assert got == plain_spans(kept, newest - late) and len(got) > 15
+    assert len({round(e - h) for _, _, h, e, _ in got}) > 5

@@ -11,7 +11,7 @@ from tideway.plans.adapters import Views
 from tideway.plans.queries import _EDGES, DAY, T0
 from tideway.plans.registry import ORACLES, query
 from tideway.plans.storage import folder, keeper  # noqa: F401  keeper is used by other plans
-from tideway.streaming import jobs, registry, rollup, ticks
+from tideway.streaming import jobs, presence, registry, rollup, ticks
 
 
 class Arriving(Views):
@@ -245,3 +245,17 @@ def m4_nodes_known(v: Views) -> DataFrame:
     """The nodes that the registry still knows after the stream: each one's last word, if that is not that it is gone."""
     last = state.latest(lived(v).withColumn("turn", F.struct("batch", "at", ~F.col("gone"))), "node", ["turn"])
     return last.where("not gone").select("node", "at", F.sort_array("gateways").alias("gateways"), "adverts")
+
+
+@query()
+def m7_presence_spans(v: Views) -> DataFrame:
+    """Spans of presence of a stream of adverts, each by its node's own rhythm; what ends a span depends on all before it, so a test holds it against a loop."""
+    path = folder(v.spark)
+    adverts = Arriving(v.spark, v.sf_dir, "events", "unix_timestamp(CAST(ts AS TIMESTAMP))").telemetry.select(F.col("node").cast("string").alias("node"), F.col("reported_at").alias("at"))
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/spans/batch={n}")
+
+    with registry.timed_state(v.spark):
+        jobs.run_available(presence.spans(adverts, f"{LATE} seconds").writeStream.outputMode("append").foreachBatch(keep), f"{path}/checkpoint")
+    return v.spark.read.schema(f"{presence.SPANS}, batch long").parquet(f"{path}/spans").drop("batch")
