@@ -6,8 +6,8 @@ import shutil
 import pytest
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from tideway.operators import mesh
-from tideway.streaming import jobs, presence, registry, rollup, ticks
+from tideway.operators import grouped, mesh
+from tideway.streaming import jobs, presence, registry, rollup, telemetry, ticks
 
 TYPES = {"string": StringType(), "bigint": LongType(), "int": IntegerType(), "boolean": BooleanType()}
 
@@ -342,3 +342,24 @@ def test_presence_spans_with_late_adverts(spark, tmp_path):
     got = sorted((r.node, r.began, r.heard, round(r.ended, 3), r.adverts) for r in told)
     assert got == plain_spans(kept, newest - late) and len(got) > 15
     assert len({round(e - h) for _, _, h, e, _ in got}) > 5
+
+
+SAMPLES = "seq long, pubkey string, reporter string, reported_at long, last_success double, uptime long, sent long, recv long"
+
+
+@pytest.mark.parametrize("cuts", [[60, 61, 150], [200]])
+def test_telemetry_in_any_batches_equals_the_loop(spark, tmp_path, cuts):
+    """Late samples stand where their time puts them; the batch path over all rows says the same."""
+    rng = random.Random(31)
+    rows = [(i, rng.choice(["a", "b", ""]), rng.choice(["x", "y"]), 10 * (i + rng.randint(-30, 30)), rng.choice([None, 1.0, 2.0, float(i)]), rng.randint(0, 2), rng.randint(0, 1), rng.randint(0, 1)) for i in range(1, 300)]
+    want = sorted(map(tuple, grouped.telemetry_kept(spark.createDataFrame(rows, SAMPLES)).collect()))
+    told, sizes = [], []
+    with registry.timed_state(spark):
+        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            spark.createDataFrame(rows[a:b], SAMPLES).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+            out = telemetry.kept(spark.readStream.schema(SAMPLES).parquet(f"file://{tmp_path}/in"), 700).writeStream.outputMode("append").foreachBatch(lambda d, n: told.extend(d.collect()))
+            query = out.option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+            sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sorted(map(tuple, told)) == want and 50 < len(want) < 200
+    assert sizes[-1] < len(want)

@@ -11,7 +11,7 @@ from tideway.plans.adapters import Views
 from tideway.plans.queries import _EDGES, DAY, T0
 from tideway.plans.registry import ORACLES, query
 from tideway.plans.storage import folder, keeper  # noqa: F401  keeper is used by other plans
-from tideway.streaming import jobs, presence, registry, rollup, ticks
+from tideway.streaming import jobs, presence, registry, rollup, telemetry, ticks
 
 
 class Arriving(Views):
@@ -259,3 +259,18 @@ def m7_presence_spans(v: Views) -> DataFrame:
     with registry.timed_state(v.spark):
         jobs.run_available(presence.spans(adverts, f"{LATE} seconds").writeStream.outputMode("append").foreachBatch(keep), f"{path}/checkpoint")
     return v.spark.read.schema(f"{presence.SPANS}, batch long").parquet(f"{path}/spans").drop("batch")
+
+
+@query()
+def w12_telemetry_stream(v: Views) -> DataFrame:
+    """The telemetry worth storing, of samples that arrive in batches; state is the tail of each series, and a test holds it against the loop."""
+    path = folder(v.spark)
+    t = Arriving(v.spark, v.sf_dir, "events", "event_id").telemetry
+    samples = t.select("seq", F.concat(F.lit("n"), "node").alias("pubkey"), "reporter", (F.col("reported_at") - F.col("reported_at") % 7200).alias("reported_at"), (F.col("seq") % 5).cast("double").alias("last_success"), (F.col("uptime") % 3).alias("uptime"), (F.col("seq") % 2).alias("sent"), (F.col("seq") % 3).alias("recv"))
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/kept/batch={n}")
+
+    with registry.timed_state(v.spark):
+        jobs.run_available(telemetry.kept(samples, 60 * DAY).writeStream.outputMode("append").foreachBatch(keep), f"{path}/checkpoint")
+    return v.spark.read.schema(f"{telemetry.KEPT}, batch long").parquet(f"{path}/kept").drop("batch")
