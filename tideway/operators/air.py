@@ -160,6 +160,27 @@ def cameras_near(cameras: DataFrame, coverage: DataFrame, places: DataFrame, met
     return near.withColumn("position", F.row_number().over(Window.partitionBy("place_id").orderBy("metres", "id")))
 
 
+#: Fixed value: where a scanner feed is heard.
+LISTEN = "https://www.broadcastify.com/listen/feed/"
+
+
+def scanners(places: DataFrame, feeds: DataFrame) -> DataFrame:
+    """place_id, feed_id, label, agency, url, position of the configured scanner feeds (area, feed_id, label, agency, ord) of each place (place_id, slug, kind).
+
+    An area that is configured has its own feeds, in their order; any other
+    place has those of all areas, a feed once, where it is told first. Feeds
+    are configuration, so all of them beside each such place is no large join.
+    """
+    told = feeds.select(F.struct("ord", "feed_id", "label", "agency").alias("f"), "area")
+    first = told.groupBy(F.col("f.feed_id").alias("_id")).agg(F.min("f").alias("f")).select("f")
+    configured = feeds.select(F.col("area").alias("slug")).distinct().withColumn("own", F.lit(True))
+    of = places.select("place_id", "slug", "kind").join(configured, "slug", "left").withColumn("own", (F.col("kind") == "AREA") & F.coalesce("own", F.lit(False)))
+    own = of.where("own").join(told.withColumnRenamed("area", "slug"), "slug").select("place_id", "f")
+    every = of.where("NOT own").select("place_id").crossJoin(F.broadcast(first))
+    w = Window.partitionBy("place_id").orderBy("f.ord", "f.feed_id")
+    return own.unionByName(every).select("place_id", "f.feed_id", "f.label", "f.agency", F.concat(F.lit(LISTEN), "f.feed_id").alias("url"), F.row_number().over(w).alias("position"))
+
+
 def condition_features(controls: DataFrame, roads: DataFrame, fire: DataFrame, signs: DataFrame) -> DataFrame:
     """layer, id, headline, severity, geojson of the four live condition layers: chain controls, road segments, fire weather and message signs that show something."""
     c = F.col

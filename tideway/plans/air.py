@@ -164,6 +164,18 @@ def q16_cameras_of_places(v: Views) -> DataFrame:
     return found.select("place_id", "id", "position")
 
 
+_FEEDS = "(SELECT 'nation-' || (s_nationkey // 2) AS area, CAST(s_suppkey % 40 AS VARCHAR) AS feed_id, s_name AS label, s_suppkey AS ord FROM supplier)"
+
+
+@query(f"""SELECT place_id, feed_id, label, 'https://www.broadcastify.com/listen/feed/' || feed_id AS url, row_number() OVER (PARTITION BY place_id ORDER BY ord, feed_id) AS position FROM (SELECT place_id, f.* EXCLUDE (area) FROM places JOIN {_FEEDS} f ON area = slug AND kind = 'AREA'
+    UNION ALL SELECT place_id, f.* EXCLUDE (area) FROM places, (SELECT * FROM {_FEEDS} QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY ord) = 1) f WHERE kind <> 'AREA' OR slug NOT IN (SELECT area FROM {_FEEDS}))""")
+def q16_scanners_of_places(v: Views) -> DataFrame:
+    """The configured scanner feeds of each place: an area's own, else those of all areas, each once."""
+    c = F.col
+    feeds = v.table("supplier").select(F.concat(F.lit("nation-"), F.floor(c("s_nationkey") / 2)).alias("area"), (c("s_suppkey") % 40).cast("string").alias("feed_id"), c("s_name").alias("label"), F.lit("").alias("agency"), c("s_suppkey").alias("ord"))
+    return air.scanners(v.places, feeds).select("place_id", "feed_id", "label", "url", "position")
+
+
 @query("""SELECT 'CHAIN_CONTROL' AS layer, 'chain:' || seq AS id, CASE WHEN k % 7 = 0 THEN 3 ELSE k % 3 + 1 END AS severity, 'Point' AS kind FROM current_events WHERE layer IN (1, 2) UNION ALL SELECT 'ROAD_SEGMENT', 'road:' || n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END, 'LineString' FROM nation
     UNION ALL SELECT 'FIRE_WEATHER', 'fire-weather:' || n_nationkey, CASE n_nationkey % 3 WHEN 1 THEN 3 ELSE 2 END, NULL FROM nation WHERE n_nationkey % 3 > 0 UNION ALL SELECT 'MESSAGE_SIGN', 'sign:m' || seq, 0, 'Point' FROM current_events WHERE layer = 3 AND k % 4 IN (1, 2) AND k % 5 > 0""")
 def q21_condition_layers(v: Views) -> DataFrame:
