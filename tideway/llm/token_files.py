@@ -22,8 +22,9 @@ are written under a name of their own attempt, then renamed, so a task that
 runs again leaves no half file in the manifest.
 
 Edge cases: a null text is the empty text, whose ids are the end id alone; a
-null doc_id comes first; rows with one doc_id are ordered by their ids; an
-empty table writes no file.
+null doc_id comes first; rows with one doc_id are ordered by their ids; a very
+long text is encoded whole and spread over frames; an empty table writes no
+file; other columns are not read.
 """
 
 from __future__ import annotations
