@@ -3,12 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and
 is written as Parquet in the shared folder before the next one reads it.
 
-Edge cases: null and empty texts pass the first four stages (they have no
-toxic word, no shingle, no secret and no size; as near duplicates of each other
-one of them stays) and are packed as their end id; very long texts are scanned
-and packed whole, cut only into sequences; of rows alike one stays, by all their
-columns; ties go to the smaller doc_id, null last; an empty table gives no rows;
-other columns, whatever their names, stay up to the last stage.
+Edge cases: null and empty texts are near duplicates of each other, so one of
+them stays; it has no secret, is mixed as often as its source's share says, and
+is packed as its end id. Very long texts are scanned and packed whole, cut only
+into sequences. Of rows alike one stays; rows without a doc_id are never near
+duplicates and all stay. Ties go to the smaller doc_id. An empty table gives no
+rows. Other columns, whatever their names, stay up to the last stage.
 """
 
 from __future__ import annotations
