@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tideway.functions import kernel, text
 from tideway.operators import air, maps, paging, radio, related, roads, timeline
-from tideway.plans.streams import keeper
 from tideway.sources import feeds, normalize
 
 DAY, HOUR = 86400, 3600
