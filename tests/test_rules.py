@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideway.functions import kernel, text
-from tideway.operators import air, maps, paging, radio, related, roads, timeline
+from tideway.operators import air, maps, paging, radio, related, roads, serving, timeline
 from tideway.sources import feeds, normalize
 
 DAY, HOUR = 86400, 3600
@@ -264,6 +264,30 @@ def test_seasonal_closures_and_nothing_else(spark):
     assert {r[0] for r in rows.select(text.seasonal_closure(F.col("t"), F.lit("CLOSURE"), [], names["end"]).alias("x")).collect()} == {False}
 
 
+def test_what_a_cache_serves(spark):
+    """Named cases, then a loop over random requests."""
+    told = lambda rows, **more: [tuple(r)[3:] for r in serving.served(spark.createDataFrame(rows, "key string, at long, seq long, outcome string, n long"), 100, **more).orderBy("key", "at", "seq").collect()]
+    assert told([("a", 0, 0, "error", 9), ("a", 10, 1, "clean", 0), ("a", 20, 2, "error", 5), ("a", 110, 3, "error", 5)]) == [("UNAVAILABLE", 0, None, True), ("OK", 0, None, True), ("OK", 0, None, False), ("UNAVAILABLE", 0, None, True)]
+    assert told([("a", 0, 0, "partial", 3), ("a", 99, 1, "clean", 5), ("a", 100, 2, "clean", 5), ("a", 300, 3, "error", 1), ("b", 301, 4, "partial", 0), ("b", 302, 5, "error", 0)]) == [
+        ("STALE", 3, 0, True), ("STALE", 3, 0, False), ("OK", 5, None, True), ("STALE", 5, 100, True), ("STALE", 0, 301, True), ("UNAVAILABLE", 0, None, True)]
+    assert told([("a", 0, 0, "clean", 0), ("a", 5, 1, "clean", 2)], keep_empty=False) == [("OK", 0, None, True), ("OK", 2, None, True)]
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "a", "b"]), rng.randrange(4_000), i, rng.choice(["clean", "partial", "error"]), rng.choice([None, 0, 1, 7])) for i in range(300)]
+    kept, want = {}, []
+    for k, at, i, outcome, n in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        n, held = n or 0, kept.get(k)
+        if held and at - held["at"] < 100:
+            want.append(("STALE", held["n"], held["at"], False) if held["partial"] else ("OK", held["n"], None, False))
+            continue
+        if outcome == "error":
+            want.append(("STALE", held["n"], held["at"], True) if held and held["n"] else ("UNAVAILABLE", 0, None, True))
+        else:
+            want.append(("OK", n, None, True) if outcome == "clean" else ("STALE", n, at, True))
+            if n or outcome == "clean":
+                kept[k] = {"n": n, "at": at, "partial": outcome == "partial"}
+    assert told(rows) == want and {w[0] for w in want} == {"OK", "STALE", "UNAVAILABLE"}
+
+
 def test_camera_directory_states(spark):
     cams = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (3, 0, "c")], "district int, position int, id string")
     told = lambda rows: (lambda d, s: (sorted((r.id, r.district) for r in d.collect()), tuple(s.first())))(*air.camera_directory(cams, spark.createDataFrame(rows, "district int, fetched_at long, failed boolean")))

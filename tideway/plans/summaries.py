@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions import classify, geo, text, times
-from tideway.operators import mesh, placing, spatial, state
+from tideway.operators import mesh, placing, serving, spatial, state
 from tideway.plans.adapters import Views
 from tideway.plans.queries import DAY, T0
 from tideway.plans.registry import query
@@ -272,3 +272,10 @@ def d7_units_and_spans(v: Views) -> DataFrame:
 @query("""SELECT a, b, CAST(count(*) AS BIGINT) AS n FROM (SELECT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT unnest([pubkey] || path_nodes[:-2]) AS x, unnest(path_nodes) AS y FROM mesh_observations) WHERE x <> '' AND y <> '' AND x <> y) GROUP BY a, b ORDER BY n DESC, a, b LIMIT 100""")
 def q13_busiest_links(v: Views) -> DataFrame:
     return mesh.edges(v.mesh_observations).groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(100)
+
+
+@query()
+def m13_served_layers(v: Views) -> DataFrame:
+    """What each layer's cache serves for a request at every observation: what a request finds depends on those before it, so a test holds it against a loop."""
+    outcome = F.when(F.col("k") % 7 == 0, "error").when(F.col("k") % 5 == 0, "partial").otherwise("clean")
+    return serving.served(v.observed.select(F.col("event_type").alias("key"), F.col("observed_at").alias("at"), "seq", outcome.alias("outcome"), (F.col("k") % 4).alias("n")), 900)
