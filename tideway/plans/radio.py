@@ -32,10 +32,10 @@ def a20_monitor_reach(v: Views) -> DataFrame:
 @query("""WITH t AS (SELECT node, reporter, CASE reporter WHEN 'view' THEN 2 ELSE 1 END AS p, seq % 4 > 0 AS named, CASE WHEN battery IS NOT NULL THEN reported_at END AS ok, battery, uptime FROM telemetry), one AS (SELECT node, reporter, max(p) AS p, bool_or(named) AS named, max(ok) AS ok, arg_max(battery, ok) AS battery FROM t GROUP BY node, reporter)
     SELECT node, arg_max(reporter, (ok, p)) FILTER (ok IS NOT NULL) AS reporter, arg_max(battery, (ok, p)) FILTER (ok IS NOT NULL) AS battery, arg_min('by ' || reporter, (-p, reporter)) FILTER (named) AS name FROM one GROUP BY node""")
 def a21_node_reports(v: Views) -> DataFrame:
-    """Each node's newest telemetry over its reporters, and its name by their priority."""
+    """Each node's newest telemetry over its reporters, and its name by their priority; of a reporter's samples of one second the first."""
     c = F.col
     ok = F.when(c("battery").isNotNull(), c("reported_at"))
-    one = v.telemetry.groupBy("node", "reporter").agg(F.max(F.when(c("reporter") == "view", 2).otherwise(1)).alias("priority"), F.bool_or(c("seq") % 4 > 0).alias("named"), F.max(ok).alias("last_success"), F.max_by("battery", ok).alias("battery"), F.max("uptime").alias("uptime"))
+    one = v.telemetry.groupBy("node", "reporter").agg(F.max(F.when(c("reporter") == "view", 2).otherwise(1)).alias("priority"), F.bool_or(c("seq") % 4 > 0).alias("named"), F.max(ok).alias("last_success"), F.max_by("battery", F.when(ok.isNotNull(), F.struct(ok, -c("seq")))).alias("battery"), F.max("uptime").alias("uptime"))
     return radio.best_report(one.withColumn("name", F.when(c("named"), F.concat(F.lit("by "), "reporter")).otherwise(" "))).select("node", "reporter", "battery", "name")
 
 
