@@ -85,6 +85,7 @@ def events_folder(tmp_path, rows):
 #: Events between which an order by time, place or distance leaves a tie: the earlier one of the table counts.
 TIED = {
     "a21_node_reports": [(1, "2024-01-02 00:00:00.1", 7, "view", 11.0, 1), (2, "2024-01-02 00:00:00.6", 7, "view", 22.0, 1)],
+    "q23_road_incidents": [(4_000, "2024-01-02", 7, "error", 11.0, 2), (24_000, "2024-01-03", 7, "error", 11.0, 5)],
 }
 
 

@@ -140,10 +140,10 @@ def q23_road_incidents(v: Views) -> DataFrame:
     kind = pick("1183-Trfc Collision-1141 Enrt", "1125-Traffic Hazard", "Assist with Construction", "CFIRE-Car Fire")
     log = F.concat(F.lit("24"), F.lpad((c("seq") % 10000).cast("string"), 4, "0"), F.lit("ST0001"))
     rows = v.observed.where("event_type = 'error'").select(
-        F.when(c("k") % 3 < 2, log).alias("log_number"), F.when(c("k") % 3 == 0, F.concat(F.lit("C"), "user_id")).alias("closure_id"), F.concat(F.lit("Sign "), "user_id").alias("name"), F.lit("x").alias("text"), kind.alias("first_line"), F.lit("here").alias("second_line"), "lat", "lng",
+        F.when(c("k") % 3 < 2, log).alias("log_number"), F.when(c("k") % 3 == 0, F.concat(F.lit("C"), "user_id")).alias("closure_id"), F.concat(F.lit("Sign "), "user_id").alias("name"), F.lit("x").alias("text"), kind.alias("first_line"), F.lit("here").alias("second_line"), "lat", "lng", "seq",
         F.array().cast("array<struct<number:int,stamp:string,text:string>>").alias("log"),
     )
-    return normalize.road_incidents(rows).select("id", "headline", "severity")
+    return normalize.road_incidents(rows, "seq").select("id", "headline", "severity")
 
 
 @query(f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY seq) AS r FROM observed WHERE event_type = 'signup' AND k % 8 <> 0 AND k % 3 <> 2 AND NOT (k % 5 > 0 AND {T0 + 15 * DAY} >= observed_at + 7200 + CASE WHEN k % 3 = 1 THEN 43200 ELSE 0 END))
