@@ -86,6 +86,7 @@ def events_folder(tmp_path, rows):
 TIED = {
     "a21_node_reports": [(1, "2024-01-02 00:00:00.1", 7, "view", 11.0, 1), (2, "2024-01-02 00:00:00.6", 7, "view", 22.0, 1)],
     "q23_road_incidents": [(4_000, "2024-01-02", 7, "error", 11.0, 2), (24_000, "2024-01-03", 7, "error", 11.0, 5)],
+    "j23_continued_ids": [(3, "2024-01-02", 7, "click", 1.0, 2), (9_999, "2024-01-02", 7, "view", 1.0, 2), (14_999, "2024-01-02", 7, "view", 1.0, 2)],
 }
 
 

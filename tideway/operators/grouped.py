@@ -75,16 +75,16 @@ def perimeters_deduped(perimeters: DataFrame, degrees: float = 0.15) -> DataFram
     return perimeters.groupBy("norm").applyInPandas(keep, perimeters.schema)
 
 
-def continued_ids(winners: DataFrame, prior: DataFrame) -> DataFrame:
+def continued_ids(winners: DataFrame, prior: DataFrame, order: str = "id") -> DataFrame:
     """winners (base, n, county, lat, lng) with the id each goes on under.
 
     In order, a winner takes the nearest unused prior id of its base and
-    county; the others take the base, or the next free suffix ``base-2`` on.
+    county, of equally near ones the first by ``order``; the others take the base, or the next free suffix ``base-2`` on.
     """
 
     def assign(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         new, ids = new.sort_values("n", kind="stable").reset_index(drop=True), {}
-        old = old.sort_values("id", kind="stable").reset_index(drop=True)
+        old = old.sort_values(order, kind="stable").reset_index(drop=True)
         free, lat, lng, county = np.ones(len(old), bool), old["lat"].to_numpy(float), old["lng"].to_numpy(float), old["county"].to_numpy()
         for i, (y, x, c) in enumerate(zip(new["lat"], new["lng"], new["county"], strict=True)):
             fits = np.flatnonzero(free & (county == c))

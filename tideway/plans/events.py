@@ -412,5 +412,5 @@ def j23_continued_ids(v: Views) -> DataFrame:
     c = F.col
     base, county = F.concat(F.lit("f"), "user_id").alias("base"), (c("k") % 2).cast("string").alias("county")
     winners = state.first_of(v.observed.where("event_type = 'click'"), ["user_id"], ["seq"]).select(base, c("seq").alias("n"), county, "lat", "lng")
-    prior = v.observed.where("event_type = 'view'").select(base, F.concat(F.lit("p"), "seq").alias("id"), county, "lat", "lng")
-    return grouped.continued_ids(winners, prior).select("base", "id")
+    prior = v.observed.where("event_type = 'view'").select(base, F.concat(F.lit("p"), "seq").alias("id"), county, "lat", "lng", "seq")
+    return grouped.continued_ids(winners, prior, "seq").select("base", "id")
