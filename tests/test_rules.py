@@ -304,3 +304,14 @@ def test_roads_without_alerts_are_open(spark):
     assert got == {1: ("OPEN", "", "REQUIRED", 0), 2: ("OPEN", "", "NONE", 0)}
     alerts = spark.createDataFrame([(1, point(38.5, -120.0005)), (2, point(38.0, -121.03)), (3, point(30.0, -100.0))], "alert_id bigint, geojson string")
     assert Counter((r.alert_id, r.route_id, r["class"]) for r in roads.classified(alerts, routes).collect()) == Counter([(1, 1, "ON_ROUTE"), (2, 2, "NEARBY")])
+
+
+def test_orphans_of_rows_in_another_order(spark):
+    """A plan may be computed twice with its rows in another order: each perimeter keeps its own fire."""
+    t = 1_700_000_000
+    fires = [event(id=f"calfire:{i}", headline=f"F{i} — 10 ac", observed_at=t, geojson=point(38.0, -120.0), wildfire=(10.0, 95, "x", False)) for i in range(40)]
+    rows = spark.createDataFrame([(i, text_key, point(38.0, -120.0)) for i, text_key in enumerate(f"F{i}" for i in range(40))], "object_id int, name string, geojson string").coalesce(1)
+    told = rows.select("object_id", text.fire_key(F.col("name")).alias("norm"), "geojson")
+    mixed = told.mapInPandas(lambda frames: (f.sample(frac=1.0, random_state=time.time_ns() % 2**32) for f in frames), told.schema)
+    got = normalize.orphans(mixed, frame(spark, fires), t).collect()
+    assert {r.object_id: r.orphan for r in got} == {i: f"calfire:{i}" for i in range(40)}
