@@ -315,3 +315,26 @@ def test_orphans_of_rows_in_another_order(spark):
     mixed = told.mapInPandas(lambda frames: (f.sample(frac=1.0, random_state=time.time_ns() % 2**32) for f in frames), told.schema)
     got = normalize.orphans(mixed, frame(spark, fires), t).collect()
     assert {r.object_id: r.orphan for r in got} == {i: f"calfire:{i}" for i in range(40)}
+
+
+def test_signs_of_both_sources_against_all_pairs(spark):
+    """Crowds of signs are the same ones that all pairs find, across edges of cells and up to the last metre; 40,000 at one place do not meet each other."""
+    rng = random.Random(5)
+    metre = 1 / 111_194.93
+    said = lambda: rng.choice(["Eastbound", "westbound", "", None])
+    at = lambda: (38.1 + rng.uniform(-900, 900) * metre, -120.0 + rng.uniform(-900, 900) * metre)
+    a, b = ([(i, said(), *at()) for i in range(n, n + 60)] for n in (0, 100))
+    a += [(60, "", 38.3 - 1e-7, -120.0), (61, "", math.nan, -120.0), (62, "", None, -120.0)]
+    b += [(160, "", 38.3 - 1e-7 + 199.9 * metre, -120.0), (161, "", math.nan, -120.0), (162, "", None, -120.0)]
+    schema = "sign_id bigint, direction string, lat double, lng double"
+    got = {r.sign_id for r in roads._same_sign(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()}
+
+    def metres(p, q):
+        h = math.sin(math.radians(q[2] - p[2]) / 2) ** 2 + math.cos(math.radians(p[2])) * math.cos(math.radians(q[2])) * math.sin(math.radians(q[3] - p[3]) / 2) ** 2
+        return 2 * 6_371_000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    agree = lambda p, q: not p[1] or not q[1] or p[1].lower() == q[1].lower()
+    assert got == {p[0] for p in a[:61] if any(agree(p, q) and metres(p, q) <= 200 for q in b[:61])}
+    assert 60 in got and 10 < len(got) < 61
+    crowd = spark.range(40_000).select(F.col("id").alias("sign_id"), F.lit("").alias("direction"), F.lit(38.0).alias("lat"), F.lit(-120.0).alias("lng"))
+    assert roads._same_sign(crowd, crowd).count() == 40_000

@@ -15,13 +15,15 @@ from tideway.operators.cells import Tree
 
 CELL = 0.1
 ON_ROUTE, NEARBY, SAME_SIGN = 100.0, 5_000.0, 200.0
+#: Degrees of a cell whose corners are less than SAME_SIGN apart.
+SIGN_CELL = 0.7 * SAME_SIGN / geo.DEGREE_M
 #: Chain signs of one control touch within so many miles, or lie within so many metres where they have no mileposts.
 TOUCH_MILES, JOIN_METRES = 1.5, 15_000.0
 
 
 def _about(tree: Tree, rows: DataFrame, lat_lo: Column, lat_hi: Column, lng_lo: Column, lng_hi: Column, metres: float) -> DataFrame:
     """rows in each cell that a box and so many metres about it meet, below 60 degrees of latitude."""
-    pad = metres / geo.DEGREE_M
+    pad = 1.01 * metres / geo.DEGREE_M  # a degree is 111,195 great-circle metres
     return tree.keyed(rows, lat_lo - pad, lat_hi + pad, lng_lo - 2 * pad, lng_hi + 2 * pad, False)
 
 
@@ -95,14 +97,24 @@ def signs(placemarks: DataFrame) -> DataFrame:
 
 
 def _same_sign(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sign_id: at most SAME_SIGN metres apart, and not said to face different ways."""
-    la, ln = F.col("lat"), F.col("lng")
-    placed, tree = "lat IS NOT NULL AND lng IS NOT NULL", Tree(CELL)
-    side = lambda d, n: d.where(placed).select(F.col("sign_id").alias(n), F.lower(F.coalesce("direction", F.lit(""))).alias(f"d{n}"), "lat", "lng")
-    left = _here(tree, side(a, "a"))
-    right = _about(tree, side(b, "b"), la, la, ln, ln, SAME_SIGN).withColumnsRenamed({"lat": "blat", "lng": "blng"})
-    agree = (F.col("da") == "") | (F.col("db") == "") | (F.col("da") == F.col("db"))
-    return left.join(right, "_cell").where(agree & (geo.haversine(la, ln, F.col("blat"), F.col("blng")) <= SAME_SIGN)).select("a", "b").distinct()
+    """sign_id of the signs of a that b has too: one at most SAME_SIGN metres off that is not said to face another way.
+
+    Signs of one place and direction are looked up as one. Cells are so small
+    that all signs of one are near enough, so only signs that have none that
+    agrees in their own cell are compared with those of the cells about it.
+    """
+    lat, lng, said = F.col("lat"), F.col("lng"), F.lower(F.coalesce("direction", F.lit("")))
+    finite, tree = "abs(lat) < double('Infinity') AND abs(lng) < double('Infinity')", Tree(SIGN_CELL)
+    spots = lambda d: d.where(finite).select(said.alias("d"), "lat", "lng").distinct()
+    own, there = _here(tree, spots(a)), _here(tree, spots(b))
+    faces = F.when(F.col("d") == "", F.array(F.lit("*"))).otherwise(F.array(F.lit("="), F.concat(F.lit("="), "d")))
+    told = there.select("_cell", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), "d"))).alias("face")).distinct()
+    found = own.withColumn("face", F.explode(faces)).join(told, ["_cell", "face"], "left_semi").select("d", "lat", "lng").distinct()
+    rest = _about(tree, own.drop("_cell").join(found, ["d", "lat", "lng"], "left_anti"), lat, lat, lng, lng, SAME_SIGN)
+    agree = (F.col("d") == "") | (F.col("bd") == "") | (F.col("d") == F.col("bd"))
+    close = rest.join(there.withColumnsRenamed({"d": "bd", "lat": "blat", "lng": "blng"}), "_cell").where(agree & (geo.haversine(lat, lng, F.col("blat"), F.col("blng")) <= SAME_SIGN))
+    both = found.unionByName(close.select("d", "lat", "lng").distinct())
+    return a.select("sign_id", said.alias("d"), "lat", "lng").join(both, ["d", "lat", "lng"], "left_semi").select("sign_id").distinct()
 
 
 def merged_controls(checkpoints: DataFrame, quiet: DataFrame, told: DataFrame) -> DataFrame:
@@ -114,11 +126,11 @@ def merged_controls(checkpoints: DataFrame, quiet: DataFrame, told: DataFrame) -
     told sign at a checkpoint that is quiet is marked ``uncorroborated``.
     """
     plain = told.where("NOT supplement")
-    known = _same_sign(plain, checkpoints.where("NOT unrecognized")).select(F.col("a").alias("sign_id")).distinct()
+    known = _same_sign(plain, checkpoints.where("NOT unrecognized"))
     stays = told.join(known, "sign_id", "left_anti")
-    doubtful = _same_sign(stays.where("NOT supplement"), quiet).select(F.col("a").alias("sign_id")).distinct().withColumn("uncorroborated", F.lit(True))
+    doubtful = _same_sign(stays.where("NOT supplement"), quiet).withColumn("uncorroborated", F.lit(True))
     stays = stays.join(doubtful, "sign_id", "left").withColumn("uncorroborated", F.coalesce("uncorroborated", F.lit(False)))
-    explained = _same_sign(checkpoints.where("unrecognized"), stays).select(F.col("a").alias("sign_id")).distinct()
+    explained = _same_sign(checkpoints.where("unrecognized"), stays)
     return checkpoints.join(explained, "sign_id", "left_anti").withColumn("uncorroborated", F.lit(False)).unionByName(stays)
 
 
