@@ -338,3 +338,16 @@ def test_signs_of_both_sources_against_all_pairs(spark):
     assert 60 in got and 10 < len(got) < 61
     crowd = spark.range(40_000).select(F.col("id").alias("sign_id"), F.lit("").alias("direction"), F.lit(38.0).alias("lat"), F.lit(-120.0).alias("lng"))
     assert roads._same_sign(crowd, crowd).count() == 40_000
+
+
+@pytest.mark.parametrize(("at", "off"), [(100, 55), (1500, 61), (3207, 90)])
+def test_fires_equally_near_to_either_side(spark, at, off):
+    """Gaps are reckoned from middles and half extents, not from edges as they were rounded for the shape."""
+    t, lat = 1_700_000_000, lambda n: 35 + n / 1000.0
+    box = lambda y: polygon(square(-120.05, round(y - 0.05, 5), 0.1, 0.1)).replace(str(round(y - 0.05, 5) + 0.1), str(round(y + 0.05, 5)))
+    fires = {f"f{i}": lat(at + side * off) for i, side in enumerate((-1, 1))}
+    rows = [event(id=n, layer="WILDFIRE", category="wildfire", headline=f"{n} Fire — 1 ac", status="ACTIVE", effective=t, observed_at=t, geojson=box(y)) for n, y in fires.items()]
+    rows.append(event(id="z", layer="EVACUATION", headline="Zone", description="", status="ACTIVE", observed_at=t + HOUR, geojson=point(lat(at), -120.0)))
+    gap = {n: max(0.0, y - 0.05 - lat(at), lat(at) - y - 0.05) for n, y in fires.items()}
+    got = related.pairs(frame(spark, [r | {"first_ingested": r["observed_at"]} for r in rows], ", first_ingested bigint"), t + 10 * DAY).collect()
+    assert [(r.a, r.rule) for r in got] == [(min(gap, key=lambda n: (gap[n], n)), "fire-evacuation-near")]
