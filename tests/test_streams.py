@@ -363,3 +363,18 @@ def test_telemetry_in_any_batches_equals_the_loop(spark, tmp_path, cuts):
             sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
     assert sorted(map(tuple, told)) == want and 50 < len(want) < 200
     assert sizes[-1] < len(want)
+
+
+@pytest.mark.parametrize("job", ["presence", "registry", "telemetry"])
+def test_state_is_one_row_for_each_node(spark, tmp_path, job):
+    """Adverts that wait, gateways heard and samples kept are read and written with their node, not one by one."""
+    rows = [(i, f"n{i % 3}", f"g{i % 7}", 1_000 + i, None, 0, i % 5, 0) for i in range(60)]
+    spark.createDataFrame(rows, SAMPLES).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(SAMPLES).parquet(f"file://{tmp_path}/in")
+    adverts = stream.selectExpr("CAST(substring(pubkey, 2) AS BIGINT) AS node", "reporter AS gateway", "reported_at AS at", "pubkey AS name")
+    made = {"presence": lambda: presence.spans(adverts, "600 seconds"), "registry": lambda: registry.registry(adverts, 5_000), "telemetry": lambda: telemetry.kept(stream, 700)}[job]
+    with registry.timed_state(spark):
+        writer = made().writeStream.outputMode("update" if job == "registry" else "append").foreachBatch(lambda d, n: d.count())
+        query = writer.option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 3

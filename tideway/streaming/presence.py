@@ -14,12 +14,14 @@ state with its rhythm. What waits is what came within the allowed lateness.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SPANS = "node string, began long, heard long, ended double, adverts long"
 #: The multiple of the rhythm, the least and the longest window, and the least gap that is one, in seconds.
@@ -63,51 +65,34 @@ class Rhythm:
             self.counted, self.gaps = t, self.gaps + 1
 
 
-class Presence(StatefulProcessor):
-    def __init__(self, retention: int):
-        self.retention = retention
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.node = handle.getValueState("node", "began long, heard long, adverts long, counted long, gaps long, mean double")
-        self.waiting = handle.getMapState("waiting", "at long", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for t, n in frame["at"].value_counts().items():
-                before = self.waiting.getValue((int(t),))[0] if self.waiting.containsKey((int(t),)) else 0
-                self.waiting.updateValue((int(t),), (before + int(n),))
-                if not before:
-                    self.handle.registerTimer(int(t) * 1000)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        due = sorted(t for (t,) in self.waiting.keys() if t * 1000 < passed)
-        node, spans = Rhythm(*(self.node.get() or ())), []
-        for t in due:
-            spans += node.hear(t, self.waiting.getValue((t,))[0])
-            self.waiting.removeKey((t,))
-        if node.began is not None and node.ends * 1000 < passed and not any(t <= node.ends for (t,) in self.waiting.keys()):
-            spans.append(node.close())
-        if due:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            for (t,) in list(self.waiting.keys()):
-                self.handle.registerTimer(t * 1000)
-        if node.heard is not None and (node.heard + self.retention) * 1000 < passed and node.began is None and not self.waiting.exists():
-            self.node.clear()
-        elif node.heard is not None:
-            self.node.update(node.row())
-            self.handle.registerTimer(int((node.ends if node.began is not None else node.heard + self.retention) * 1000) + 1)
-        if spans:
-            yield pd.DataFrame([(key[0], *s) for s in spans], columns=["node", "began", "heard", "ended", "adverts"])
-
-    def close(self) -> None:
-        pass
+STATE = "began long, heard long, adverts long, counted long, gaps long, mean double, waiting array<long>, counts array<long>"
 
 
 def spans(stream: DataFrame, late: str, retention: int = 30 * CEILING) -> DataFrame:
-    """SPANS rows of a stream of adverts (node, at), each once, when the watermark has passed its end."""
-    rows = stream.select(F.col("node").cast("string").alias("node"), F.col("at").cast("long").alias("at")).withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", late)
-    return rows.groupBy("node").transformWithStateInPandas(Presence(retention), SPANS, "Append", "EventTime")
+    """SPANS rows of a stream of adverts (node, at), each once, when the watermark has passed its end.
+
+    A node's state is one row, read and written once a batch, with one timer:
+    the next of its waiting adverts, the end of its span, or of its retention.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        *row, at, n = kept.get if kept.exists else (None, None, 0, None, 0, None, [], [])
+        node, waiting, told, passed = Rhythm(*row), Counter(dict(zip(at, n, strict=True))), [], kept.getCurrentWatermarkMs()
+        for frame in frames:
+            waiting.update(frame["at"].tolist())
+        for t in sorted(t for t in waiting if t * 1000 < passed):
+            told += node.hear(t, waiting.pop(t))
+        if node.began is not None and node.ends * 1000 < passed:  # what still waits came after the watermark
+            told.append(node.close())
+        if node.began is None and not waiting and (node.heard + retention) * 1000 < passed:
+            kept.remove()
+        else:
+            turns = [min(waiting)] if waiting else []
+            turns += [node.ends] if node.began is not None else [] if waiting else [node.heard + retention]
+            kept.update((*node.row(), list(waiting), list(waiting.values())))
+            kept.setTimeoutTimestamp(max(math.floor(min(turns) * 1000), passed + 1))
+        if told:
+            yield pd.DataFrame([(key[0], *span) for span in told], columns=["node", "began", "heard", "ended", "adverts"])
+
+    rows = stream.select(F.col("node").cast("string").alias("node"), F.col("at").cast("long").alias("at")).where("at IS NOT NULL").withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", late)
+    return rows.groupBy("node").applyInPandasWithState(update, SPANS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
