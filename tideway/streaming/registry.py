@@ -20,7 +20,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TOLD = "node long, at long, name string, gateways array<string>, ewma double, adverts long, gone boolean"
 #: The weight of a new gap in the average of gaps, and the least gap that counts.
@@ -39,56 +39,48 @@ def timed_state(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-class Registry(StatefulProcessor):
-    def __init__(self, retention: int, alpha: float = ALPHA, least_gap: int = LEAST_GAP):
-        self.retention, self.alpha, self.least_gap = retention, alpha, least_gap
+STATE = "at long, name string, ewma double, adverts long, gateways array<string>, heard array<long>"
+COLUMNS = ["node", "at", "name", "gateways", "ewma", "adverts", "gone"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.node = handle.getValueState("node", "at long, name string, ewma double, adverts long")
-        self.heard = handle.getMapState("heard", "gateway string", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, name, mean, n = self.node.get() or (None, None, None, 0)
-        for frame in rows:
-            frame = frame.sort_values(["at", "gateway", "name"], kind="stable")
-            for t, gate, said in zip(frame["at"].tolist(), frame["gateway"].tolist(), frame["name"].tolist(), strict=True):
-                if at is not None and t - at > self.retention:
-                    yield self.told(key, at, name, mean, n, True)
-                    self.heard.clear()
+def registry(stream: DataFrame, retention: int, late: str = "10 minutes", alpha: float = ALPHA, least_gap: int = LEAST_GAP) -> DataFrame:
+    """TOLD rows of a stream of adverts (node, gateway, at, name): each node's state after every batch that brings adverts, and once with ``gone`` when it ends.
+
+    A node's state is one row, read and written once a batch, with one timer.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        at, name, mean, n, gates, times = kept.get if kept.exists else (None, None, None, 0, [], [])
+        heard, out = dict(zip(gates, times, strict=True)), []
+
+        def tell(gone: bool) -> None:
+            out.append((key[0], at, name, sorted(g for g, t in heard.items() if t >= at - retention), mean, n, gone))
+
+        for frame in frames:
+            adverts = [(t, g if isinstance(g, str) else None, m if isinstance(m, str) else None) for t, g, m in zip(frame["at"].tolist(), frame["gateway"].tolist(), frame["name"].tolist(), strict=True)]
+            for t, gate, said in sorted(adverts, key=lambda r: (r[0], r[1] is None, r[1] or "", r[2] is None, r[2] or "")):
+                if at is not None and t - at > retention:
+                    tell(True)
                     at, name, mean, n = None, None, None, 0
-                if at is not None and t - at >= self.least_gap:
-                    mean = float(t - at) if mean is None else mean + self.alpha * (t - at - mean)
+                    heard.clear()
+                if at is not None and t - at >= least_gap:
+                    mean = float(t - at) if mean is None else mean + alpha * (t - at - mean)
                 n += 1
                 if gate is not None:
-                    before = self.heard.getValue((gate,)) if self.heard.containsKey((gate,)) else None
-                    self.heard.updateValue((gate,), (t if before is None else max(t, before[0]),))
+                    heard[gate] = max(t, heard.get(gate, t))
                 if at is None or t >= at:
                     at, name = t, said
-        for gate, (t,) in [(g, v) for (g,), v in self.heard.iterator()]:
-            if t < at - self.retention:
-                self.heard.removeKey((gate,))
-        self.node.update((at, name, mean, n))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer((at + self.retention + 1) * 1000)
-        yield self.told(key, at, name, mean, n, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, name, mean, n = self.node.get()
-        yield self.told(key, at, name, mean, n, True)
-        self.node.clear()
-        self.heard.clear()
-
-    def told(self, key, at, name, mean, n, gone: bool) -> pd.DataFrame:
-        gates = sorted(g for (g,), (t,) in self.heard.iterator() if t >= at - self.retention)
-        return pd.DataFrame({"node": [key[0]], "at": [at], "name": [name], "gateways": [gates], "ewma": [mean], "adverts": [n], "gone": [gone]})
-
-    def close(self) -> None:
-        pass
-
-
-def registry(stream: DataFrame, retention: int, late: str = "10 minutes") -> DataFrame:
-    """TOLD rows of a stream of adverts (node, gateway, at, name): each node's state after every batch that brings adverts, and once with ``gone`` when it ends."""
-    rows = stream.select("node", "gateway", "at", "name").withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", late)
-    return rows.groupBy("node").transformWithStateInPandas(Registry(retention), TOLD, "Update", "EventTime")
+        if not kept.hasTimedOut:
+            tell(False)
+        ends, passed = (at + retention + 1) * 1000, kept.getCurrentWatermarkMs()
+        if kept.hasTimedOut or ends <= passed:
+            tell(True)
+            kept.remove()
+        else:
+            stay = {g: t for g, t in heard.items() if t >= at - retention}
+            kept.update((at, name, mean, n, list(stay), list(stay.values())))
+            kept.setTimeoutTimestamp(max(ends - 1, passed + 1))  # told when the watermark is later than this
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    rows = stream.select("node", "gateway", "at", "name").where("at IS NOT NULL").withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", late)
+    return rows.groupBy("node").applyInPandasWithState(update, TOLD, STATE, "update", GroupStateTimeout.EventTimeTimeout)
