@@ -15,32 +15,31 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 COLUMNS = ["seq", "pubkey", "reporter", "reported_at", "last_success", "uptime", "sent", "recv"]
 KEPT = "seq long, pubkey string, reporter string, reported_at long, last_success double, uptime long, sent long, recv long"
 
 
-class Tail(StatefulProcessor):
-    def __init__(self, tail: int):
-        self.tail = tail
+#: The kept samples of the tail, column by column, and the newest time of the node.
+STATE = "newest long, reporter array<string>, at array<long>, last_success array<double>, uptime array<long>, sent array<long>, recv array<long>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getMapState("kept", "reporter string, at long", "last_success double, uptime long, sent long, recv long")
-        self.newest = handle.getValueState("newest", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+def kept(stream: DataFrame, tail: int) -> DataFrame:
+    """The samples (COLUMNS) of a stream that are worth storing, each once. A node's state is one row, read and written once a batch."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, *columns = state.get if state.exists else (None, *([] for _ in range(6)))
         series: dict[str, dict[int, tuple]] = {}
-        for (reporter, at), what in self.kept.iterator():
+        for reporter, at, *what in zip(*columns, strict=True):
             series.setdefault(reporter, {})[at] = tuple(what)
         order = {r: sorted(s) for r, s in series.items()}
-        newest = (self.newest.get() or (None,))[0]
-        for frame in rows:
+        for frame in frames:
             frame = frame.sort_values("seq", kind="stable").reset_index(drop=True)
             out = []
             for i, r in enumerate(frame.itertuples(index=False)):
                 t, what = int(r.reported_at), (None if pd.isna(r.last_success) else float(r.last_success), int(r.uptime), int(r.sent), int(r.recv))
-                if newest is not None and t < newest - self.tail:
+                if newest is not None and t < newest - tail:
                     continue
                 times, own = order.setdefault(r.reporter, []), series.setdefault(r.reporter, {})
                 at = bisect_left(times, t)
@@ -52,21 +51,12 @@ class Tail(StatefulProcessor):
                 insort(times, t)
                 own[t] = what
                 newest = t if newest is None else max(newest, t)
-                self.kept.updateValue((r.reporter, t), what)
                 out.append(i)
             if out:
                 yield frame.iloc[out]
         if newest is not None:
-            self.newest.update((newest,))
-            for reporter, times in order.items():
-                for t in times[: max(0, bisect_left(times, newest - self.tail) - 1)]:
-                    self.kept.removeKey((reporter, t))
-
-    def close(self) -> None:
-        pass
+            stay = [(r, t, *series[r][t]) for r, times in order.items() for t in times[max(0, bisect_left(times, newest - tail) - 1) :]]
+            state.update((newest, *map(list, zip(*stay, strict=True))))
 
-
-def kept(stream: DataFrame, tail: int) -> DataFrame:
-    """The samples (COLUMNS) of a stream that are worth storing, each once."""
     rows = stream.where("pubkey <> '' AND reported_at > 0").select(*COLUMNS)
-    return rows.groupBy("pubkey").transformWithStateInPandas(Tail(tail), KEPT, "Append", "None")
+    return rows.groupBy("pubkey").applyInPandasWithState(update, KEPT, STATE, "append", GroupStateTimeout.NoTimeout)
