@@ -119,22 +119,47 @@ def one_call_alerts(bodies: DataFrame) -> DataFrame:
     return r.select("location_id", "a.event", F.col("a.sender_name").alias("sender"), F.col("a.start").alias("starts"), F.col("a.end").alias("expires"), "a.description", "a.tags")
 
 
-def nearby_names(points: DataFrame, measured: DataFrame, keywords: DataFrame, areas: DataFrame, metres: float = 15_000.0, most: int = 8) -> DataFrame:
-    """point_id, names: what lies within so many metres (name, lat, lng), measured places before keywords, the nearest first, each name once whatever its case, at most so many; else the area (name, box) about the point."""
-    cell = 0.5
-    pad = F.lit(2 * metres / geo.DEGREE_M)
+#: Fixed value: nested distances in which names are looked for, each four times the one before.
+CLOSER = 3
+
+
+def _names_within(spots: DataFrame, named: DataFrame, metres: float) -> DataFrame:
+    """lat, lng, b (tier, d, name): the best of each name within so many metres of a spot."""
+    cell = metres / geo.DEGREE_M
+    pad = F.lit(2 * cell)
+    about = named.select("key", "name", "tier", F.col("lat").alias("nlat"), F.col("lng").alias("nlng"), F.explode(F.sequence(geo.cell(F.col("lat") - pad, cell), geo.cell(F.col("lat") + pad, cell))).alias("y"), F.sequence(geo.cell(F.col("lng") - pad, cell), geo.cell(F.col("lng") + pad, cell)).alias("xs"))
+    here = spots.select("lat", "lng", geo.cell(F.col("lat"), cell).alias("y"), geo.cell(F.col("lng"), cell).alias("x"))
+    near = here.join(about.withColumn("x", F.explode("xs")).drop("xs"), ["y", "x"]).withColumn("d", geo.haversine(F.col("lat"), F.col("lng"), F.col("nlat"), F.col("nlng"))).where(F.col("d") <= metres)
+    return near.groupBy("lat", "lng", "key").agg(F.min(F.struct("tier", "d", "name")).alias("b"))
+
+
+def nearby_names(points: DataFrame, measured: DataFrame, keywords: DataFrame, areas: DataFrame, metres: float = 15_000.0, most: int = 8, keep=None) -> DataFrame:
+    """point_id, names: what lies within so many metres (name, lat, lng), measured places before keywords, the nearest first, each name once whatever its case, at most so many; else the area (name, box) about the point.
+
+    Points of one place are looked up as one, so are equal names of one place. A
+    spot that has its names among the measured places close by is settled;
+    others ask again farther off. ``keep`` stores what a later step reads again.
+    """
+    keep = keep or (lambda rows: rows)
     named = measured.withColumn("tier", F.lit(0)).unionByName(keywords.withColumn("tier", F.lit(1)))
-    about = named.select(text.trim_state(F.trim("name")).alias("name"), "tier", F.col("lat").alias("nlat"), F.col("lng").alias("nlng"), F.explode(F.sequence(geo.cell(F.col("lat") - pad, cell), geo.cell(F.col("lat") + pad, cell))).alias("y"), F.sequence(geo.cell(F.col("lng") - pad, cell), geo.cell(F.col("lng") + pad, cell)).alias("xs"))
-    about = about.where("name <> ''").select("name", "tier", "nlat", "nlng", "y", F.explode("xs").alias("x"))
-    here = points.select("point_id", "lat", "lng", geo.cell(F.col("lat"), cell).alias("y"), geo.cell(F.col("lng"), cell).alias("x"))
-    near = here.join(about, ["y", "x"]).withColumn("d", geo.haversine(F.col("lat"), F.col("lng"), F.col("nlat"), F.col("nlng"))).where(F.col("d") <= metres)
-    best = near.groupBy("point_id", F.lower("name").alias("key")).agg(F.min(F.struct("tier", "d", "name")).alias("b"))
-    first = best.withColumn("n", F.row_number().over(Window.partitionBy("point_id").orderBy("b"))).where(F.col("n") <= most)
-    names = first.groupBy("point_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "b.name"))), lambda x: x["name"]).alias("names"))
+    named = named.select(text.trim_state(F.trim("name")).alias("name"), "tier", "lat", "lng").where("name <> ''")
+    named = keep(named.groupBy(F.lower("name").alias("key"), "tier", "lat", "lng").agg(F.min("name").alias("name")))
+    spots = keep(points.where("lat IS NOT NULL AND lng IS NOT NULL").select("lat", "lng").distinct())
+    rest, found = spots, []
+    for k in range(CLOSER - 1, 0, -1):
+        best = _names_within(rest, named.where("tier = 0"), metres / 4**k)
+        at = F.row_number().over(Window.partitionBy("lat", "lng").orderBy("b"))
+        first = keep(best.withColumn("n", at).where(F.col("n") <= most).groupBy("lat", "lng").agg(F.collect_list("b").alias("bs")).where(F.size("bs") >= most))
+        found.append(first)
+        rest = keep(rest.join(first, ["lat", "lng"], "left_anti"))
+    at = F.row_number().over(Window.partitionBy("lat", "lng").orderBy("b"))
+    found.append(_names_within(rest, named, metres).withColumn("n", at).where(F.col("n") <= most).groupBy("lat", "lng").agg(F.collect_list("b").alias("bs")))
+    names = reduce(DataFrame.unionByName, found).select("lat", "lng", F.transform(F.array_sort("bs"), lambda x: x["name"]).alias("names"))
     boxes = areas.select(F.trim("name").alias("area"), "min_lat", "min_lng", "max_lat", "max_lng", F.explode(F.sequence(geo.cell(F.col("min_lat"), 1.0), geo.cell(F.col("max_lat"), 1.0))).alias("y"), F.sequence(geo.cell(F.col("min_lng"), 1.0), geo.cell(F.col("max_lng"), 1.0)).alias("xs")).where("area <> ''").select("*", F.explode("xs").alias("x"))
     inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lng").between(F.col("min_lng"), F.col("max_lng"))
-    held = points.select("point_id", "lat", "lng", geo.cell(F.col("lat"), 1.0).alias("y"), geo.cell(F.col("lng"), 1.0).alias("x")).join(boxes, ["y", "x"]).where(inside).groupBy("point_id").agg(F.min("area").alias("area"))
-    both = points.select("point_id").join(names, "point_id", "left").join(held, "point_id", "left")
+    held = spots.select("lat", "lng", geo.cell(F.col("lat"), 1.0).alias("y"), geo.cell(F.col("lng"), 1.0).alias("x")).join(boxes, ["y", "x"]).where(inside).groupBy("lat", "lng").agg(F.min("area").alias("area"))
+    told = spots.join(names, ["lat", "lng"], "left").join(held, ["lat", "lng"], "left")
+    both = points.select("point_id", "lat", "lng").join(told, ["lat", "lng"], "left")
     return both.select("point_id", F.coalesce("names", F.when(F.col("area").isNotNull(), F.array("area")), F.array().cast("array<string>")).alias("names"))
 
 

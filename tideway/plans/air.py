@@ -140,9 +140,10 @@ def s22_weather_alerts(v: Views) -> DataFrame:
     SELECT point_id, coalesce(names, CASE WHEN area IS NOT NULL THEN [area] ELSE [] END) AS names FROM p LEFT JOIN n USING (point_id) LEFT JOIN a USING (point_id)""")
 def j27_nearby_names(v: Views) -> DataFrame:
     """What lies near a point, measured places first, the nearest first, three at most; else the area it is in."""
-    named = lambda layer, title, n: v.current.where(f"layer = {layer}").select(F.concat(F.lit(title), F.col("user_id") % n).alias("name"), "lat", "lng")
-    points = v.current.where("layer = 3").select(F.col("seq").alias("point_id"), "lat", "lng")
-    return air.nearby_names(points, named(1, "Town ", 12), named(2, "TOWN ", 20), v.places.select("name", "min_lat", "min_lng", "max_lat", "max_lng"), 40_000, 3)
+    current = v.keep(v.current.where("layer IN (1, 2, 3)").select("layer", "seq", "user_id", "lat", "lng"))
+    named = lambda layer, title, n: current.where(f"layer = {layer}").select(F.concat(F.lit(title), F.col("user_id") % n).alias("name"), "lat", "lng")
+    points = current.where("layer = 3").select(F.col("seq").alias("point_id"), "lat", "lng")
+    return air.nearby_names(points, named(1, "Town ", 12), named(2, "TOWN ", 20), v.places.select("name", "min_lat", "min_lng", "max_lat", "max_lng"), 40_000, 3, v.keep)
 
 
 @query("""SELECT id, arg_min(s_suppkey, (district, s_suppkey)) AS first_key, 'STALE' AS status, 1000 AS last_update FROM (SELECT 'd-' || s_suppkey % 40 AS id, s_suppkey, s_nationkey % 5 AS district FROM supplier) WHERE district <> 2 GROUP BY id""")
