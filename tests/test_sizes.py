@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  registers the queries
 from tideway.operators import air
 from tideway.plans import queries
 from tideway.plans.adapters import Views
+from tideway.plans.registry import QUERIES
 
 
 def test_names_near_many_points_of_one_place(spark, monkeypatch):
@@ -61,3 +63,15 @@ def test_related_pairs_look_far_only_without_close_ones(spark, tmp_path, monkeyp
         want |= {(a, b[0]): (lag, "HIGH" if gap <= 10 else "MEDIUM") for n, (gap, a, lag) in enumerate(near) if n == 0 or gap <= 10}
     assert got == want
     assert {"b900", "b901"} <= {b for _, b in got} and met.value < 45_000
+
+
+def test_tasks_of_a_shuffle_follow_the_rows(spark, sf, monkeypatch):
+    """More rows are more partitions, none of which grows; the rows stay the same."""
+    plain = {name: sorted(map(repr, QUERIES[name](spark, sf).collect())) for name in ("n4_timeline", "w16_link_rollup")}
+    monkeypatch.setattr(Views, "TASK_ROWS", 50)
+    monkeypatch.setattr(Views, "FEW", 100)
+    rows = Views(spark, sf).observed.count()
+    for name, want in plain.items():
+        got = QUERIES[name](spark, sf)
+        assert got.rdd.getNumPartitions() >= rows // 50 > 10
+        assert sorted(map(repr, got.collect())) == want
