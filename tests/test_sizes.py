@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
-from tideway.operators import air
+from tideway.operators import air, graph, roads
 from tideway.plans import queries
 from tideway.plans.adapters import Views
 from tideway.plans.registry import QUERIES
@@ -75,3 +75,50 @@ def test_tasks_of_a_shuffle_follow_the_rows(spark, sf, monkeypatch):
         got = QUERIES[name](spark, sf)
         assert got.rdd.getNumPartitions() >= rows // 50 > 10
         assert sorted(map(repr, got.collect())) == want
+
+
+def test_signs_of_one_place_meet_others_as_one(spark, monkeypatch):
+    """Groups of signs with and without an extent, many at one place, against a plain union-find; few pairs are reckoned."""
+    keep, n = (lambda rows: rows.localCheckpoint()), 120
+    spots = [(38.0, -120.0), (38.1, -120.0), (38.4, -120.0), (38.8, -120.0), (39.2, -120.0)]
+    signs = [(i + 1, "R1" if i % 7 else "R2", *spots[i % 5], float(10 * i) if i % 5 == 4 or i % 11 == 0 else None) for i in range(n)]
+    rows = spark.createDataFrame([(i, "Highway 4", level, "Eastbound", at, lat, lng) for i, level, lat, lng, at in signs], "sign_id long, highway string, level string, direction string, milepost double, lat double, lng double")
+    met = spark.sparkContext.accumulator(0)
+    flat = lambda a, b, c, d: 111_320.0 * ((a - c) ** 2 + (b - d) ** 2) ** 0.5
+
+    @F.udf("double")
+    def counted(a, b, c, d):
+        met.add(1)
+        return flat(a, b, c, d)
+
+    monkeypatch.setattr(roads.geo, "haversine", counted)
+    got = {r.sign_id: r.stretch for r in roads.stretches(rows, rows.limit(0), keep).collect()}
+    marks = sorted(at for *_, at in signs if at is not None)
+    ends = {at: ([x for x in marks if x > at] or [at])[0] for at in marks}
+    root = {i: i for i, *_ in signs}
+    before = None
+    while before != root:
+        before = dict(root)
+        for i, level, y, x, at in signs:
+            for j, other, v, u, to in signs:
+                touch = at <= ends[to] + roads.TOUCH_MILES and to <= ends[at] + roads.TOUCH_MILES if at is not None and to is not None else flat(y, x, v, u) <= roads.JOIN_METRES
+                if level == other and touch:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert got == root
+    assert met.value < 500
+
+
+def test_components_read_edges_in_few_rounds(spark):
+    """A long path, a star and a clique; after each round only edges between groups are left."""
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000 + i, 2000 + j) for i in range(9) for j in range(9)] + [(5, 5)]
+    sizes = []
+
+    def keep(rows):
+        rows = rows.localCheckpoint()
+        if rows.columns == ["a", "b"]:
+            sizes.append(rows.count())
+        return rows
+
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), keep).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(50)} | {2000 + i: 2000 for i in range(9)}
+    assert sizes == [300 + 49 + 36, 0]

@@ -159,11 +159,19 @@ def stretches(active: DataFrame, quiet: DataFrame, keep) -> DataFrame:
     touching = signed.select("sign_id", "lo", reach.alias("b"), end.alias("end")).where(c("lo") <= c("end") + TOUCH_MILES).select(c("sign_id").alias("a"), "b")
     pad = 2 * JOIN_METRES / geo.DEGREE_M
     cell = lambda d: (geo.cell(c(f"{d}lat"), pad), geo.cell(c(f"{d}lng"), pad))
-    placed = rows.where("lat IS NOT NULL AND lng IS NOT NULL")
-    left = placed.select(c("sign_id").alias("a"), "road", "level", "lat", "lng", c("lo").isNotNull().alias("sa"), *(v.alias(n) for v, n in zip(cell(""), ("y", "x"), strict=True)))
-    about = placed.select(c("sign_id").alias("b"), "road", "level", c("lat").alias("blat"), c("lng").alias("blng"), c("lo").isNotNull().alias("sb"), F.explode(F.sequence(cell("")[0] - 1, cell("")[0] + 1)).alias("y"), cell("")[1].alias("x0"))
+    # Signs of one place meet others as one. Those without an extent are one group there; those with one are if something near joins them.
+    spot = F.min("sign_id").over(Window.partitionBy("road", "level", "lat", "lng", "s"))
+    placed = rows.where("lat IS NOT NULL AND lng IS NOT NULL AND road IS NOT NULL AND level IS NOT NULL").withColumn("s", c("lo").isNotNull()).select("sign_id", "road", "level", "lat", "lng", "s", spot.alias("spot"))
+    placed = keep(placed)
+    spots = placed.where("sign_id = spot")
+    left = spots.select(c("spot").alias("a"), "road", "level", "lat", "lng", c("s").alias("sa"), *(v.alias(n) for v, n in zip(cell(""), ("y", "x"), strict=True)))
+    about = spots.select(c("spot").alias("b"), "road", "level", c("lat").alias("blat"), c("lng").alias("blng"), c("s").alias("sb"), F.explode(F.sequence(cell("")[0] - 1, cell("")[0] + 1)).alias("y"), cell("")[1].alias("x0"))
     about = about.select("*", F.explode(F.sequence(c("x0") - 1, c("x0") + 1)).alias("x")).drop("x0")
-    close = left.join(about, ["road", "level", "y", "x"]).where((c("a") < c("b")) & ~(c("sa") & c("sb")) & (geo.haversine(c("lat"), c("lng"), c("blat"), c("blng")) <= JOIN_METRES)).select("a", "b")
+    close = keep(left.join(about, ["road", "level", "y", "x"]).where((c("a") < c("b")) & ~(c("sa") & c("sb")) & (geo.haversine(c("lat"), c("lng"), c("blat"), c("blng")) <= JOIN_METRES)).select("a", "b"))
+    joined = close.select(c("a").alias("spot")).unionByName(close.select(c("b").alias("spot"))).distinct()
+    others = placed.where("sign_id <> spot")
+    members = others.where("NOT s").unionByName(others.where("s").join(joined, "spot", "left_semi").select(*others.columns))
+    close = close.unionByName(members.select(c("spot").alias("a"), c("sign_id").alias("b")))
     roots = graph.components(touching.unionByName(close), keep)
     return active.select("sign_id").join(roots, active.sign_id == roots.node, "left").select("sign_id", F.coalesce("root", "sign_id").alias("stretch"))
 
