@@ -1,5 +1,7 @@
 """Work that must not grow faster than its input: counted on small tables whose rows crowd, with the results held against loops."""
 
+import json
+
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
@@ -7,6 +9,7 @@ from tideway.operators import air, graph, roads
 from tideway.plans import queries
 from tideway.plans.adapters import Views
 from tideway.plans.registry import QUERIES
+from tideway.sources import feeds
 
 
 def test_names_near_many_points_of_one_place(spark, monkeypatch):
@@ -122,3 +125,17 @@ def test_components_read_edges_in_few_rounds(spark):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), keep).collect()}
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(50)} | {2000 + i: 2000 for i in range(9)}
     assert sizes == [300 + 49 + 36, 0]
+
+
+def test_perimeters_read_a_geometry_once(spark):
+    """Conditions on a shape's box do not multiply the reads of its text; every kind of geometry gives its box."""
+    square = [[[-121, 37], [-120.5, 37], [-120.5, 37.5], [-121, 37]]]
+    shapes = [
+        ("Polygon", square), ("MultiPolygon", [square, [[[-125, 30], [-124, 30], [-124, 31, 9], [-125, 30]]]]), ("Point", [-121.5, 37.5, 4]), ("MultiPoint", [[-121, 36], [-122, 39]]), ("LineString", [[-121, 36], [-122, 37]]), ("MultiLineString", [[[-121, 36], [-122, 37]], [[-123, 38]]]),
+        ("Polygon", []), ("Polygon", "x"), ("Circle", [1, 2]), ("Point", [-100, 50]), (None, None),
+    ]
+    items = [{"properties": {"OBJECTID": i, "incident_name": "A", "displayStatus": None if i % 2 else "Active"}, "geometry": kind and {"type": kind, "coordinates": said}} for i, (kind, said) in enumerate(shapes)]
+    rows = feeds.perimeters(spark.createDataFrame([(json.dumps({"features": items}),)], "body string"), (36.0, -123.0, 38.0, -120.0))
+    got = {r.object_id: (r.min_lat, r.min_lng, r.max_lat, r.max_lng) for r in rows.collect()}
+    assert got == {0: (37.0, -121.0, 37.5, -120.5), 1: (30.0, -125.0, 37.5, -120.5), 2: (37.5, -121.5, 37.5, -121.5), 3: (36.0, -122.0, 39.0, -121.0), 4: (36.0, -122.0, 37.0, -121.0), 5: (36.0, -123.0, 38.0, -121.0)}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("get_json_object(") < 20

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +66,29 @@ def in_polygon(rings: Column, lat: Column, lng: Column) -> Column:
     return F.aggregate(F.transform(rings, lambda r: crossings(r, lat, lng)), F.lit(0), lambda s, x: s + x) % 2 == 1
 
 
-def _read(geojson: Column, **kinds: str) -> Column:
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is reckoned once, however often f names it and wherever the plan puts it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _said(geojson: Column) -> Column:
+    """kind and said, the coordinates' text, of a geometry."""
+    return F.struct(F.get_json_object(geojson, "$.type").alias("kind"), F.get_json_object(geojson, "$.coordinates").alias("said"))
+
+
+def _listed(r: Column, **kinds: str) -> Column:
     """Coordinates of the listed types by their schema, as the widest of them; null for other types and for text that does not read."""
-    said, kind = F.get_json_object(geojson, "$.coordinates"), F.get_json_object(geojson, "$.type")
     (one, narrow), (many, wide) = kinds.items()
-    return F.when(kind == one, F.array(F.from_json(said, narrow))).when(kind == many, F.from_json(said, wide))
+    return F.when(r["kind"] == one, F.array(F.from_json(r["said"], narrow))).when(r["kind"] == many, F.from_json(r["said"], wide))
+
+
+def _read(geojson: Column, **kinds: str) -> Column:
+    return let(geojson, lambda g: let(_said(g), lambda r: _listed(r, **kinds)))
+
+
+POLYGONS = {"Polygon": RINGS, "MultiPolygon": f"array<{RINGS}>"}
+LINES = {"LineString": "array<array<double>>", "MultiLineString": RINGS}
+POINTS = {"Point": "array<double>", "MultiPoint": "array<array<double>>"}
 
 
 def polygon_rings(geojson: Column) -> Column:
@@ -78,22 +98,23 @@ def polygon_rings(geojson: Column) -> Column:
 
 def polygons(geojson: Column) -> Column:
     """Polygons of rings of [lng, lat] points."""
-    return _read(geojson, Polygon=RINGS, MultiPolygon=f"array<{RINGS}>")
+    return _read(geojson, **POLYGONS)
 
 
 def lines(geojson: Column) -> Column:
-    return _read(geojson, LineString="array<array<double>>", MultiLineString=RINGS)
+    return _read(geojson, **LINES)
 
 
 def points(geojson: Column) -> Column:
-    return _read(geojson, Point="array<double>", MultiPoint="array<array<double>>")
+    return _read(geojson, **POINTS)
 
 
 def vertices(geojson: Column) -> Column:
     """All [lng, lat] points of any GeoJSON geometry without their heights; null where there is none."""
-    found = F.coalesce(points(geojson), F.flatten(lines(geojson)), F.flatten(F.flatten(polygons(geojson))))
+    every = lambda r: F.coalesce(_listed(r, **POINTS), F.flatten(_listed(r, **LINES)), F.flatten(F.flatten(_listed(r, **POLYGONS))))
+    found = let(geojson, lambda g: let(_said(g), every))
     flat = F.transform(F.filter(found, lambda p: F.size(p) >= 2), lambda p: F.slice(p, 1, 2))
-    return F.when(F.size(flat) > 0, flat)
+    return let(flat, lambda v: F.when(F.size(v) > 0, v))
 
 
 def box(geojson: Column) -> tuple[Column, Column, Column, Column]:
@@ -107,10 +128,11 @@ BOX = ("min_lat", "min_lng", "max_lat", "max_lng")
 
 
 def with_box(rows: DataFrame, geojson: str = "geojson") -> DataFrame:
-    """rows with the columns of BOX; the geometry is read once for the four."""
-    read = rows.withColumn("_vertices", vertices(F.col(geojson)))
-    lats, lngs = F.transform("_vertices", lambda p: p[1]), F.transform("_vertices", lambda p: p[0])
-    return read.withColumns({"min_lat": F.array_min(lats), "min_lng": F.array_min(lngs), "max_lat": F.array_max(lats), "max_lng": F.array_max(lngs)}).drop("_vertices")
+    """rows with the columns of BOX; the geometry is read once for the four, and a condition on them does not read it again."""
+    axis = lambda v, i: F.transform(v, lambda p: p[i])
+    ends = lambda v: (F.array_min(axis(v, 1)), F.array_min(axis(v, 0)), F.array_max(axis(v, 1)), F.array_max(axis(v, 0)))
+    edges = let(vertices(F.col(geojson)), lambda v: F.struct(*(c.alias(n) for c, n in zip(ends(v), BOX, strict=True))))
+    return rows.drop(*BOX).select("*", F.inline(F.array(edges)))
 
 
 def centre(b: tuple[Column, ...]) -> tuple[Column, Column]:

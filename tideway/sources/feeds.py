@@ -59,7 +59,8 @@ def shapes(bodies: DataFrame, properties: str) -> DataFrame:
     each = bodies.select(F.struct(F.monotonically_increasing_id().alias("m"), F.lit(0).alias("n")).alias("at"), F.posexplode(F.from_json("body", "features array<string>")["features"]).alias("n", "f"))
     p = F.from_json(F.get_json_object("f", "$.properties"), properties)
     g = F.get_json_object("f", "$.geometry")
-    return each.select((F.col("at.m") * 1_000_000 + F.col("n")).alias("seq"), p.alias("p"), F.when(geo.vertices(g).isNotNull(), g).alias("geojson")).select("seq", "p.*", "geojson")
+    read = F.struct(p.alias("p"), geo.let(g, lambda t: F.when(geo.vertices(t).isNotNull(), t)).alias("geojson"))
+    return each.select((F.col("at.m") * 1_000_000 + F.col("n")).alias("seq"), F.inline(F.array(read))).select("seq", "p.*", "geojson")  # conditions on what was read do not read again
 
 
 def evacuations(bodies: DataFrame, area: tuple[float, float, float, float] | None = None) -> DataFrame:
