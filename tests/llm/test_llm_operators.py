@@ -122,6 +122,27 @@ def test_spot_signature_documents(spark, docs, empty, sf):
         assert Counter(tuple(r) for r in spotsigs.near_documents(frame).collect()) == want
 
 
+def test_spot_signatures_of_one_text_are_not_joined(spark, monkeypatch):
+    """Only signatures that two texts have are joined, the rarest that a match needs; pairs as in a loop."""
+    own = [" ".join(f"the w{i}x{k} v{i}x{k}" for k in range(100)) for i in range(20)]
+    texts = own + [t.replace("w3x7", "other").replace(f"v{i}x50", "else") for i, t in enumerate(own[:8])] + [own[9][: len(own[9]) // 2], own[10] + " the same end", own[11] + " the same end"]
+    sizes, cut = [], spotsigs.cut
+
+    def counted(rows):
+        rows = cut(rows)
+        if "sig" in rows.columns:
+            sizes.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(spotsigs, "cut", counted)
+    _, pairs = spotsigs.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.8)
+    sets = [set(spotsigs.signatures(t).tolist()) for t in texts]
+    found = {(r.a, r.b): r.likeness for r in pairs.collect()}
+    assert found == {(a, b): len(x & y) / len(x | y) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and len(x & y) / len(x | y) >= 0.8} and len(found) == 9
+    often = Counter(s for x in sets for s in x)
+    assert sizes == [sum(max(0, sum(often[s] > 1 for s in x) - -(-4 * len(x) // 5) + 1) for x in sets)] and sizes[0] < sum(map(len, sets)) / 4
+
+
 def test_tokens_equal_the_library():
     e = tokens.encoder(tokens.tokenizer_path())
     odd = ["", "a", " a", "  a", "a  ", "a   b", "a \n b", "a\n\n b", "x <|endoftext|> y", "don't we're", "\t\tx y\n", "end.\n Next", "a　 b", "\x1c\x1d x", "a \n\n  b  \n", "  x", "日本 語。 ok", "a\r\n b", " 's 't", "12 3a b4"]

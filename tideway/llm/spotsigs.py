@@ -165,45 +165,50 @@ def _above(doc_id, bounds: list[int]):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint of each document."""
+    """doc_id, sigs (the signatures, in order as unsigned numbers) and key (the SHA-256 of them) of each document."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def own(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shown(signatures(t or "")))
+    @F.pandas_udf("sigs array<int>, key binary")
+    def own(texts: pd.Series) -> pd.DataFrame:
+        found = [signatures(t or "") for t in texts]
+        return pd.DataFrame({"sigs": [s.view(np.int32) for s in found], "key": [hashlib.sha256(s.tobytes()).digest() for s in found]})
 
-    return docs.select("doc_id", own("text").alias("fingerprint"))
+    return docs.select("doc_id", own("text").alias("own")).select("doc_id", "own.*")
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of equal fingerprints (cls, class_id, fingerprint), their documents (doc_id, fingerprint), and pairs (a, b, likeness) of cls at or above the threshold.
+    """Classes of equal fingerprints (cls, class_id, key, sigs), their documents (doc_id, key), and pairs (a, b, likeness) of cls at or above the threshold.
 
     class_id is the smallest doc_id of a class. All counts of signatures are of
-    all classes, so the rarest come first in each set.
+    all classes, so the rarest come first in each set. A signature of one class
+    only is in no pair; such signatures are counted, not moved.
     """
     prints = cut(fingerprints(docs))
-    classes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))).select(F.monotonically_increasing_id().alias("cls"), "class_id", "fingerprint")
-    sets = classes.where("fingerprint <> ''").select("cls", "fingerprint", (F.length("fingerprint") / 8).cast("int").alias("n"))
-    each = sets.select("cls", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("fingerprint"), i * 8 + 1, F.lit(8)))).alias("sig"))
-    often = each.groupBy("sig").agg(F.count("*").alias("often"))
-    ranked = each.join(often, "sig").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("sigs"))
-    # A match shares one of the first n - ceil(threshold n) + 1 signatures, rarest first.
-    prefix = F.slice("sigs", 1, (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
+    classes = cut(prints.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs"))).select(F.monotonically_increasing_id().alias("cls"), "class_id", "key", "sigs")
+    sets = classes.select("cls", F.size("sigs").alias("n"), "sigs").where("n > 0")
+    each = sets.select("cls", "n", F.explode("sigs").alias("sig"))
+    often = each.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = each.join(often, "sig").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("shared"))
+    # A match shares ceil(threshold n) signatures, so one of those that have no more than that less one behind them, rarest first.
+    first = F.size("shared") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
-    keyed = ranked.select("cls", "n", band.alias("band"), F.explode(F.transform(prefix, lambda s: s["sig"])).alias("sig"))
-    a = keyed.select(F.col("cls").alias("a"), F.col("n").alias("na"), "sig", F.col("band").alias("at"))
+    prefix = ranked.withColumn("first", first).where("first > 0").select("cls", "n", band.alias("band"), F.size("shared").alias("many"), F.posexplode(F.slice("shared", F.lit(1), F.col("first"))).alias("i", "s"))
+    keyed = cut(prefix.select("cls", "n", "band", "s.sig", (F.col("many") - F.col("i")).alias("left")))
+    a = keyed.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), "sig", F.col("band").alias("at"))
     # A set asks in its own band and the next one up.
-    b = keyed.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("at"), "band")
+    b = keyed.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), "sig", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("at"), "band")
     size_ok = (F.least("na", "nb") >= F.lit(threshold - 1e-12) * F.greatest("na", "nb")) & ((F.col("band") > F.col("at")) | (F.col("a") < F.col("b")))
-    candidates = a.join(b, ["sig", "at"]).where(size_ok).select("a", "b").distinct()
+    # From the first signature that two sets share on, each must have as many left as a match has in common.
+    enough = F.least("la", "lb") >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
+    candidates = a.join(b, ["sig", "at"]).where(size_ok & enough).select("a", "b").distinct()
 
     @F.pandas_udf("double")
     def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
-        return x.combine(y, lambda p, q: jaccard(parsed(p), parsed(q), threshold))
+        return pd.Series([jaccard(p, q, threshold) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    of = sets.select("cls", "fingerprint")
-    both = candidates.join(of.select(F.col("cls").alias("a"), F.col("fingerprint").alias("fa")), "a").join(of.select(F.col("cls").alias("b"), F.col("fingerprint").alias("fb")), "b")
-    return classes, prints, both.select("a", "b", likeness("fa", "fb").alias("likeness")).where(F.col("likeness") >= threshold)
+    of = sets.select("cls", "sigs")
+    both = candidates.join(of.select(F.col("cls").alias("a"), F.col("sigs").alias("sa")), "a").join(of.select(F.col("cls").alias("b"), F.col("sigs").alias("sb")), "b")
+    return classes, prints.select("doc_id", "key"), both.select("a", "b", likeness("sa", "sb").alias("likeness")).where(F.col("likeness") >= threshold)
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -211,12 +216,12 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     classes, prints, pairs = near_classes(docs, threshold)
     name = lambda c: classes.select(F.col("cls").alias(c), F.col("class_id").alias(f"{c}_id"))
     named = pairs.join(name("a"), "a").join(name("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "likeness")
-    return prints.join(classes, "fingerprint").select("doc_id", "class_id"), named
+    return prints.join(classes.select("key", "class_id"), "key").select("doc_id", "class_id"), named
 
 
 def near_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id, n_near (other classes at or above the threshold), likest (the highest likeness among them, else null)."""
     classes, prints, pairs = near_classes(docs, threshold)
     both = pairs.select(F.col("a").alias("cls"), "likeness").unionByName(pairs.select(F.col("b").alias("cls"), "likeness"))
-    told = classes.join(both.groupBy("cls").agg(F.count("*").alias("n_near"), F.max("likeness").alias("likest")), "cls", "left")
-    return prints.join(told, "fingerprint").select("doc_id", "class_id", F.coalesce("n_near", F.lit(0)).alias("n_near"), "likest")
+    told = classes.select("cls", "class_id", "key").join(both.groupBy("cls").agg(F.count("*").alias("n_near"), F.max("likeness").alias("likest")), "cls", "left")
+    return prints.join(told, "key").select("doc_id", "class_id", F.coalesce("n_near", F.lit(0)).alias("n_near"), "likest")
