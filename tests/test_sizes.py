@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
-from tideway.operators import air, graph, roads
+from tideway.functions import kernel
+from tideway.operators import air, graph, roads, spatial
 from tideway.plans import queries
 from tideway.plans.adapters import Views
 from tideway.plans.registry import QUERIES
@@ -139,3 +140,14 @@ def test_perimeters_read_a_geometry_once(spark):
     got = {r.object_id: (r.min_lat, r.min_lng, r.max_lat, r.max_lng) for r in rows.collect()}
     assert got == {0: (37.0, -121.0, 37.5, -120.5), 1: (30.0, -125.0, 37.5, -120.5), 2: (37.5, -121.5, 37.5, -121.5), 3: (36.0, -122.0, 39.0, -121.0), 4: (36.0, -122.0, 37.0, -121.0), 5: (36.0, -123.0, 38.0, -121.0)}
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("get_json_object(") < 20
+
+
+def test_boxes_of_shapes_need_no_python(spark, sf):
+    """A task of a join of shapes has one Python worker, for the exact test, which runs once; boxes equal the kernel's."""
+    for name in ("j9_shape_places", "j11_cameras_near"):
+        assert QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    ring = [[-121, 37], [-120.5, 37.25], [-120.7, 38.1], [-121, 37]]
+    shapes = [("Polygon", [ring]), ("Polygon", [ring, [[-130, 20, 7], [-129, 20, 7], [-129, 21, 7]]]), ("MultiPolygon", [[ring], [[[0.1, 0.2], [1, 1], [1, 0]], []]]), ("MultiPolygon", []), ("Polygon", [[]]), ("Point", [1, 2]), ("LineString", [[1, 2], [3, 4]])]
+    texts = [json.dumps({"type": k, "coordinates": c}) for k, c in shapes] + [None, "", "[", "{}"]
+    got = {r.i: (r.min_lng, r.min_lat, r.max_lng, r.max_lat) for r in spatial.bounded(spark.createDataFrame(list(enumerate(texts)), "i int, geojson string")).collect()}
+    assert got == {i: b for i, x in enumerate(texts) if (b := kernel.bounds(kernel.shape(x))) is not None} and len(got) == 3

@@ -129,10 +129,20 @@ BOX = ("min_lat", "min_lng", "max_lat", "max_lng")
 
 def with_box(rows: DataFrame, geojson: str = "geojson") -> DataFrame:
     """rows with the columns of BOX; the geometry is read once for the four, and a condition on them does not read it again."""
+    return rows.drop(*BOX).select("*", F.inline(F.array(extent(vertices(F.col(geojson))))))
+
+
+def extent(found: Column) -> Column:
+    """The columns of BOX, of [lng, lat] points; nulls where there is none."""
     axis = lambda v, i: F.transform(v, lambda p: p[i])
     ends = lambda v: (F.array_min(axis(v, 1)), F.array_min(axis(v, 0)), F.array_max(axis(v, 1)), F.array_max(axis(v, 0)))
-    edges = let(vertices(F.col(geojson)), lambda v: F.struct(*(c.alias(n) for c, n in zip(ends(v), BOX, strict=True))))
-    return rows.drop(*BOX).select("*", F.inline(F.array(edges)))
+    return let(found, lambda v: F.struct(*(c.alias(n) for c, n in zip(ends(v), BOX, strict=True))))
+
+
+def corners(geojson: Column) -> Column:
+    """The [lng, lat] points of an areal geometry."""
+    within = lambda v: F.flatten(F.filter(v, lambda x: x.isNotNull()))
+    return F.filter(within(within(polygons(geojson))), lambda p: F.size(p) >= 2)
 
 
 def centre(b: tuple[Column, ...]) -> tuple[Column, Column]:

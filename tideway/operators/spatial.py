@@ -15,12 +15,7 @@ CELL = 0.5
 def bounded(shapes: DataFrame, geojson: str = "geojson") -> DataFrame:
     """shapes with min_lat, min_lng, max_lat, max_lng of their GeoJSON; rows without an areal shape go."""
 
-    @F.pandas_udf("min_lng double, min_lat double, max_lng double, max_lat double")
-    def box(g: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([kernel.bounds(kernel.shape(x)) or (None,) * 4 for x in g], columns=["min_lng", "min_lat", "max_lng", "max_lat"])
-
-    rows = shapes.withColumn("_box", box(geojson)).where("_box.min_lat is not null")
-    return rows.select("*", "_box.*").drop("_box")
+    return shapes.drop(*geo.BOX).select("*", F.inline(F.array(geo.extent(geo.corners(F.col(geojson)))))).where("min_lat IS NOT NULL")
 
 
 def _pairs(a: DataFrame, b: DataFrame, pad: float, tree: Tree | None) -> DataFrame:
@@ -47,14 +42,18 @@ def shapes_meet(a: DataFrame, b: DataFrame, least_overlap: float = 0.0, tree: Tr
 
 
 def shapes_near(a: DataFrame, b: DataFrame, metres: float, tree: Tree | None = None) -> DataFrame:
-    """Pairs (a, b, metres) of bounded shapes at most so far apart, below 60 degrees of latitude."""
+    """Pairs (a, b, metres) of bounded shapes at most so far apart, below 60 degrees of latitude.
+
+    Here and below the distance is marked as not deterministic only so that the
+    plan does not reckon it twice, for the condition and for the column.
+    """
 
     @F.pandas_udf("double")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([kernel.metres_apart(kernel.shape(p), kernel.shape(q)) for p, q in zip(x, y, strict=True)])
 
     pad = 2 * metres / kernel.DEGREE_M
-    return _pairs(a, b, pad, tree).withColumn("metres", apart(F.col("a.geojson"), F.col("b.geojson"))).where(F.col("metres") <= metres).select("a", "b", "metres")
+    return _pairs(a, b, pad, tree).withColumn("metres", apart.asNondeterministic()(F.col("a.geojson"), F.col("b.geojson"))).where(F.col("metres") <= metres).select("a", "b", "metres")
 
 
 def points_near(points: DataFrame, shapes: DataFrame, metres: float, tree: Tree | None = None) -> DataFrame:
@@ -66,7 +65,7 @@ def points_near(points: DataFrame, shapes: DataFrame, metres: float, tree: Tree
 
     boxed = points.withColumns({"min_lat": F.col("lat"), "max_lat": F.col("lat"), "min_lng": F.col("lng"), "max_lng": F.col("lng")})
     pairs = _pairs(boxed, shapes, 2 * metres / kernel.DEGREE_M, tree)
-    return pairs.withColumn("metres", apart(F.col("a.lat"), F.col("a.lng"), F.col("b.geojson"))).where(F.col("metres") <= metres).select("a", "b", "metres")
+    return pairs.withColumn("metres", apart.asNondeterministic()(F.col("a.lat"), F.col("a.lng"), F.col("b.geojson"))).where(F.col("metres") <= metres).select("a", "b", "metres")
 
 
 def mutual_matches(a: DataFrame, b: DataFrame, keys: list[str], degrees: float) -> DataFrame:
