@@ -392,3 +392,28 @@ def test_receptions_are_joined_before_they_arrive(spark, tmp_path):
     assert "l_suppkey" not in seen.mesh_observations._jdf.queryExecution().logical().toString()
     jobs.run_available(seen.mesh_observations.writeStream.foreachBatch(lambda d, n: batches.append(sorted(map(tuple, d.collect())))), f"file://{tmp_path}/checkpoint")
     assert len(batches) == 3 and [r for b in batches for r in b] == sorted(map(tuple, streams.Views(spark, f"file://{tmp_path}").mesh_observations.collect()))
+
+
+def test_registry_nodes_share_rows_of_state(spark, tmp_path):
+    """Nodes of two batches, one null, late adverts and a new start, against a loop; a batch has a call for each part, not for each node."""
+    first = [(i, "abc"[i % 3], 1_000 + i, f"n{i}") for i in range(1_500)] + [(None, "a", 5, "x"), (2**60 + 1, "a", 7, "y")]
+    later = [(i, "abc"[i % 2], 1_000 + i + (i % 5 - 1) * 400, f"m{i}") for i in range(0, 1_500, 2)] + [(None, "b", 50, "z"), (2**60 + 1, "c", 70, "w"), (9_000, "a", 1, "new")]
+    schema, known, want, told, sizes = "node long, gateway string, at long, name string", {}, [], [], []
+    for n, batch in enumerate((first, later)):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.registry(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 1_000).writeStream.outputMode("update").foreachBatch(lambda d, n: told.extend((n, *r) for r in d.collect()))
+        query = stream.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes += [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+        for node, gate, t, said in batch:
+            last, name, mean, count, seen = known.get(node, (None, None, None, 0, {}))
+            if last is not None and t - last > 1_000:
+                last, mean, count, seen = None, None, 0, {}
+            if last is not None and t - last >= 30:
+                mean = float(t - last) if mean is None else mean + 0.3 * (t - last - mean)
+            seen = seen | {gate: max(t, seen.get(gate, t))}
+            last, name = (t, said) if last is None or t >= last else (last, name)
+            known[node] = last, name, mean, count + 1, {g: s for g, s in seen.items() if s >= last - 1_000}
+            want.append((n, node, last, name, sorted(known[node][4]), mean, count + 1))
+    assert sorted(told, key=repr) == sorted(want, key=repr)
+    assert 0 < max(sizes) <= jobs.PARTS + 1

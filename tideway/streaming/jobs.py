@@ -77,20 +77,25 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def registry(stream: DataFrame, retention: int, alpha: float = 0.3, least_gap: int = 30) -> DataFrame:
+#: Rows of state that a registry's nodes share.
+PARTS = 1024
+
+
+def registry(stream: DataFrame, retention: int, alpha: float = 0.3, least_gap: int = 30, parts: int = PARTS) -> DataFrame:
     """What is known of each node of a stream of adverts (node, gateway, at, name): told anew with each batch.
 
     node, at and name of its latest advert, gateways heard within ``retention``
     seconds of it, ewma of its gaps and how often it told. A late advert adds
     its gateway and its count and moves no clock back. A node with no advert
     within retention of the newest of its own batch starts anew.
+
+    Calls cost more than adverts, so nodes are dealt to ``parts`` rows of state:
+    a batch has a call for each of them, not for each node.
     """
 
-    def update(name: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        last, named, mean, n, gates, heard = kept.get if kept.exists else (None, None, None, 0, [], [])
+    def folded(adverts: list, last, named, mean, n, gates, heard) -> tuple:
         seen = dict(zip(gates, heard, strict=True))
-        rows = sorted((int(t), g, m) for b in batches for t, g, m in zip(b["at"], b["gateway"], b["name"], strict=True))
-        for t, gate, said in rows:
+        for t, gate, said in sorted(adverts):
             if last is not None and t - last > retention:
                 last, named, mean, n, seen = None, None, None, 0, {}
             if last is not None and t - last >= least_gap:
@@ -100,11 +105,24 @@ def registry(stream: DataFrame, retention: int, alpha: float = 0.3, least_gap: i
             if last is None or t >= last:
                 last, named = t, said
         seen = {g: t for g, t in sorted(seen.items()) if t >= last - retention}
-        kept.update((last, named, mean, n, list(seen), list(seen.values())))
-        yield pd.DataFrame({"node": [name[0]], "at": [last], "name": [named], "gateways": [list(seen)], "ewma": [mean], "adverts": [n]})
-
-    out, state_ = "node long, at long, name string, gateways array<string>, ewma double, adverts int", "at long, name string, ewma double, adverts int, gateways array<string>, heard array<long>"
-    return stream.select("node", "gateway", "at", "name").groupBy("node").applyInPandasWithState(update, out, state_, "update", GroupStateTimeout.NoTimeout)
+        return last, named, mean, n, list(seen), list(seen.values())
+
+    def update(_: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        known = {node: rest for node, *rest in zip(*kept.get, strict=True)} if kept.exists else {}
+        came: dict = {}
+        for b in batches:
+            for node, t, gate, said in zip(*(b[c].tolist() for c in ("node", "at", "gateway", "name")), strict=True):
+                came.setdefault(None if node != node else node, []).append((int(t), gate, said))
+        for node, adverts in came.items():
+            known[node] = folded(adverts, *known.get(node, (None, None, None, 0, [], [])))
+        kept.update(tuple(map(list, zip(*((node, *rest) for node, rest in known.items()), strict=True))))
+        told = [(node, last, named, gates, mean, n) for node in came for last, named, mean, n, gates, _ in (known[node],)]
+        yield pd.DataFrame(told, columns=["node", "at", "name", "gateways", "ewma", "adverts"])
+
+    out = "node long, at long, name string, gateways array<string>, ewma double, adverts int"
+    state_ = "node array<long>, at array<long>, name array<string>, ewma array<double>, adverts array<int>, gateways array<array<string>>, heard array<array<long>>"
+    part = F.when(F.col("node").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), F.lit(parts)))  # adverts without a node by themselves, so that numbers stay whole
+    return stream.select("node", "gateway", "at", "name", part.alias("part")).groupBy("part").applyInPandasWithState(update, out, state_, "update", GroupStateTimeout.NoTimeout)
 
 
 def cadence(stream: DataFrame, key: str, at: str, alpha: float = 0.3, least_gap: int = 30) -> DataFrame:
