@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
 from tideway.functions import kernel
-from tideway.operators import air, graph, roads, spatial
+from tideway.operators import air, graph, roads, spatial, state
 from tideway.plans import queries
 from tideway.plans.adapters import Views
 from tideway.plans.registry import QUERIES
@@ -151,3 +151,14 @@ def test_boxes_of_shapes_need_no_python(spark, sf):
     texts = [json.dumps({"type": k, "coordinates": c}) for k, c in shapes] + [None, "", "[", "{}"]
     got = {r.i: (r.min_lng, r.min_lat, r.max_lng, r.max_lat) for r in spatial.bounded(spark.createDataFrame(list(enumerate(texts)), "i int, geojson string")).collect()}
     assert got == {i: b for i, x in enumerate(texts) if (b := kernel.bounds(kernel.shape(x))) is not None} and len(got) == 3
+
+
+def test_newest_events_read_the_revisions_once(spark, sf):
+    """The events are scanned once and only the newest rows become events; the rows are those of the whole log."""
+    views = Views(spark, sf)
+    plan = views.events_now._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    first = views.event_log.where("revision = 1").select("id", F.col("ingested_at").alias("first_ingested"))
+    want = state.latest(views.event_log, "id", ["revision"]).join(first, "id")
+    shown = lambda rows: sorted(repr(tuple(r[c] for c in sorted(want.columns))) for r in rows.collect())
+    assert sorted(views.events_now.columns) == sorted(want.columns) and shown(views.events_now) == shown(want)
