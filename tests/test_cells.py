@@ -80,3 +80,14 @@ def test_trees_of_tables(spark, monkeypatch):
     assert not cells.tree(p, 0.5).split
     made = cells.tree(p, 0.5, most=300, sample=1_000)
     assert made.split and made.salts
+
+
+def test_a_finer_tree_has_the_same_deep_leaves(dense):
+    """Halving the grid changes no leaf below it; leaves of the old grid fall to their halves."""
+    rng, fine = random.Random(4), dense.finer(1)
+    assert fine.size == 0.25 and fine.salts
+    for _ in range(100):
+        lat, lng, h = rng.uniform(37.9, 38.3), rng.uniform(-121, -120.5), rng.choice([0, 0.01, 0.7])
+        box = (lat - h, lat + h, lng - h, lng + h)
+        got, want = set(fine.leaves(*box)), {(level - 1, y, x, n) for level, y, x, n in dense.leaves(*box) if level}
+        assert want <= got and {(y // 2, x // 2) for level, y, x, _ in got - want} == {(y, x) for level, y, x, _ in dense.leaves(*box) if not level}

@@ -351,3 +351,33 @@ def test_fires_equally_near_to_either_side(spark, at, off):
     gap = {n: max(0.0, y - 0.05 - lat(at), lat(at) - y - 0.05) for n, y in fires.items()}
     got = related.pairs(frame(spark, [r | {"first_ingested": r["observed_at"]} for r in rows], ", first_ingested bigint"), t + 10 * DAY).collect()
     assert [(r.a, r.rule) for r in got] == [(min(gap, key=lambda n: (gap[n], n)), "fire-evacuation-near")]
+
+
+def test_the_strongest_rule_of_a_pair_is_told_where_the_pair_is(spark):
+    """Rules of the same layers: a pair counts under its strongest, and no pair is shuffled to find that out; alerts hold what their shape holds, short or long."""
+    t = 1_700_000_000
+    rules = (related.Rule("far", "WILDFIRE", "POWER", HOUR, 0, related.LOW, lambda: F.lit("x"), km=50), related.Rule("best", "WILDFIRE", "POWER", HOUR, 0, related.MEDIUM, lambda: F.lit("x"), km=20, exclusive=True), related.Rule("close", "WILDFIRE", "POWER", HOUR, 0, related.HIGH, lambda: F.lit("x"), km=5, keep_b=related.category("planned")))
+    at = {"f1": 38.0, "f2": 38.3, "p1": 38.02, "p2": 38.12, "p3": 38.6, "p4": 38.02}
+    rows = [event(id=i, layer="WILDFIRE" if i[0] == "f" else "POWER", category="psps" if i == "p4" else "planned", headline="Ross Fire", status="ACTIVE", effective=t, observed_at=t, geojson=point(y, -120.0), first_ingested=t) for i, y in at.items()]
+    got = related.pairs(frame(spark, rows, ", first_ingested bigint"), t + DAY, rules)
+    assert {(r.a, r.b): r.rule for r in got.collect()} == {("f1", "p1"): "close", ("f2", "p1"): "far", ("f1", "p2"): "best", ("f2", "p2"): "far", ("f2", "p3"): "far", ("f1", "p4"): "best", ("f2", "p4"): "far"}
+    shapes = {"box": polygon(square(-120, 38)), "half": polygon([[-120, 38], [-119, 38], [-119, 39], [-120, 38]]), "bent": polygon([[-120, 38], [-119, 38], [-119, 39], [-120, 39], [-119.5, 38.5]])}
+    rows = [event(id=f"{n}{days}", layer="WEATHER_ALERT", category="Flood Watch", headline="x", status="ACTIVE", effective=t, observed_at=t, expires=t + days * DAY + 60, geojson=g, first_ingested=t) for n, g in shapes.items() for days in (0, 30)]
+    spots = {"low": (38.2, -119.5, 0), "high": (38.8, -119.5, 0), "edge": (38.0, -120.0, 0), "top": (39.0, -119.5, 0), "left": (38.5, -119.8, 0), "late": (38.2, -119.5, 29)}
+    rows += [event(id=n, layer="ROAD_INCIDENT", category="incident", headline="x", status="ACTIVE", effective=t + days * DAY, observed_at=t, geojson=point(y, x), first_ingested=t) for n, (y, x, days) in spots.items()]
+    got = related.pairs(frame(spark, rows, ", first_ingested bigint"), t + 40 * DAY)
+    held = {"box": {"low", "high", "edge", "left"}, "half": {"low", "edge"}, "bent": {"low", "high", "edge"}}
+    assert {(r.a, r.b) for r in got.collect()} == {(f"{n}{d}", b) for n, bs in held.items() for d in (0, 30) for b in bs} | {(f"{n}30", "late") for n in held}
+    assert "Aggregate [a" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_before_fire_are_a_key_of_what_names_fire_finds(spark):
+    """Whatever names_fire finds has its last word among those of the text, blank for a name that ends otherwise."""
+    from tideway.functions import text
+
+    said = ["Near the ROSS Fire", "bear  creek\tfire, ross fire", "North (2) fire", "fire fire fire", "no blaze", "", "Ross Fire Station", "x_ross fire"]
+    names = ["Ross", "Bear  Creek", "North (2)", "fire", "eek", "ear  creek", "O'Ross"]
+    rows = spark.createDataFrame([(s, n) for s in said for n in names], "s string, n string")
+    got = rows.select(text.names_fire(F.col("s"), F.col("n")).alias("found"), F.array_contains(text.words_before_fire(F.col("s")), text.last_word(F.col("n"))).alias("met"), "s", "n").collect()
+    assert all(r.met for r in got if r.found) and {(r.s, r.n) for r in got if r.found} == {(said[0], "Ross"), (said[1], "Ross"), (said[1], "Bear  Creek"), (said[2], "North (2)"), (said[3], "fire")}
+    assert sum(not r.met for r in got) > 20
