@@ -112,3 +112,31 @@ def test_continued_ids(spark):
     winners = spark.createDataFrame([("z", 1, "c", 1.0, 1.0), ("z", 2, "c", 1.1, 1.0), ("z", 3, "d", 0.0, 0.0), ("y", 1, "c", 0.0, 0.0)], "base string, n long, county string, lat double, lng double")
     prior = spark.createDataFrame([("z", "z", "c", 5.0, 5.0), ("z", "z-2", "c", 1.0, 1.0)], "base string, id string, county string, lat double, lng double")
     assert {(r.base, r.n): r.id for r in grouped.continued_ids(winners, prior).collect()} == {("z", 1): "z-2", ("z", 2): "z", ("z", 3): "z-3", ("y", 1): "y"}
+
+
+def test_continued_ids_of_winners_alone(spark):
+    """A base of one winner is settled without Python, by the same rules; a county that is not known fits nothing."""
+    rng = random.Random(5)
+    winners, prior = [], []
+    for i in range(60):
+        base = f"b{i}"
+        winners += [(base, n, rng.choice(["a", "b", None]), rng.randint(0, 3) / 10, rng.randint(0, 3) / 10) for n in range(1 if i % 3 else rng.randint(1, 4))]
+        prior += [(base, x, rng.choice(["a", "b", None]), rng.randint(0, 3) / 10, rng.randint(0, 3) / 10) for x in rng.sample([base, *(f"{base}-{n}" for n in (1, 2, 3, 5, "03", "x"))], rng.randint(0, 7))]
+    want = {}
+    for base in {w[0] for w in winners}:
+        old = sorted((p for p in prior if p[0] == base), key=lambda p: p[1])
+        used, names, later = set(), {p[1] for p in old}, []
+        for _, n, county, y, x in sorted(w for w in winners if w[0] == base):
+            fits = [p for p in old if p[1] not in used and county is not None and p[2] == county]
+            if fits:
+                want[base, n] = min(fits, key=lambda p: (p[3] - y) ** 2 + (p[4] - x) ** 2)[1]
+                used.add(want[base, n])
+            else:
+                later.append(n)
+        for n in later:
+            want[base, n] = next(m for k in range(1, 99) if (m := base if k == 1 else f"{base}-{k}") not in names)
+            names.add(want[base, n])
+    columns = "base string, {} , county string, lat double, lng double"
+    got = grouped.continued_ids(spark.createDataFrame(winners, columns.format("n long")), spark.createDataFrame(prior, columns.format("id string")))
+    assert {(r.base, r.n): r.id for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1

@@ -6,7 +6,8 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def telemetry_kept(samples: DataFrame, order: str = "seq") -> DataFrame:
@@ -80,14 +81,30 @@ def continued_ids(winners: DataFrame, prior: DataFrame, order: str = "id") -> Da
 
     In order, a winner takes the nearest unused prior id of its base and
     county, of equally near ones the first by ``order``; the others take the base, or the next free suffix ``base-2`` on.
+    A winner alone in its base, for whom no id is used yet, finds its id in a join; only bases of several go to Python.
     """
+    c = F.col
+    winners, prior = (d.toDF(*d.columns) for d in (winners, prior))  # two sides of one table have columns of their own
+    winners = winners.withColumn("_many", F.count("*").over(Window.partitionBy("base")) > 1)
+    alone, several = winners.where(~c("_many")).drop("_many"), winners.where("_many").drop("_many")
+    p = prior.select(c("base").alias("_base"), c("id").alias("_id"), c("county").alias("_county"), c("lat").alias("_lat"), c("lng").alias("_lng"), c(order).alias("_order"))
+    fits = c("county") == c("_county")
+    y, x = c("_lat") - c("lat"), c("_lng") - c("lng")
+    far = y * y + x * x
+    # The suffix that an id of the base bears, 1 for none.
+    k = F.when(c("_id") == c("base"), 1).otherwise(F.regexp_extract("_id", r"-([2-9]|[1-9][0-9]{1,8})\z", 1).try_cast("int"))
+    k = F.when(F.concat(c("base"), F.when(k > 1, F.concat(F.lit("-"), k)).otherwise("")) == c("_id"), k)
+    met = alone.join(p, c("base") == c("_base"), "left").groupBy("base", "n").agg(F.min_by(F.when(fits, c("_id")), F.when(fits, F.struct(far, "_order"))).alias("id"), F.collect_set(k).alias("_used"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("_used") + 1), c("_used")))
+    suffixed = F.concat(c("base"), F.when(free > 1, F.concat(F.lit("-"), free)).otherwise(""))
+    met = met.select("base", "n", F.coalesce("id", suffixed).alias("id"))
 
     def assign(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         new, ids = new.sort_values("n", kind="stable").reset_index(drop=True), {}
         old = old.sort_values(order, kind="stable").reset_index(drop=True)
         free, lat, lng, county = np.ones(len(old), bool), old["lat"].to_numpy(float), old["lng"].to_numpy(float), old["county"].to_numpy()
         for i, (y, x, c) in enumerate(zip(new["lat"], new["lng"], new["county"], strict=True)):
-            fits = np.flatnonzero(free & (county == c))
+            fits = np.flatnonzero(free & (county == c) & pd.notna(c))
             if len(fits):
                 best = fits[np.argmin((lat[fits] - y) ** 2 + (lng[fits] - x) ** 2)]
                 ids[i], free[best] = old["id"][best], False
@@ -100,5 +117,5 @@ def continued_ids(winners: DataFrame, prior: DataFrame, order: str = "id") -> Da
                 taken.add(name)
         return new.assign(id=[ids[i] for i in new.index])[["base", "n", "id"]]
 
-    winners, prior = (d.toDF(*d.columns) for d in (winners, prior))  # two sides of one table have columns of their own
-    return winners.groupBy("base").cogroup(prior.groupBy("base")).applyInPandas(assign, "base string, n long, id string")
+    old = prior.join(several.select("base").distinct(), "base", "left_semi")
+    return met.unionByName(several.groupBy("base").cogroup(old.groupBy("base")).applyInPandas(assign, "base string, n long, id string"))
