@@ -417,3 +417,20 @@ def test_registry_nodes_share_rows_of_state(spark, tmp_path):
             want.append((n, node, last, name, sorted(known[node][4]), mean, count + 1))
     assert sorted(told, key=repr) == sorted(want, key=repr)
     assert 0 < max(sizes) <= jobs.PARTS + 1
+
+
+def test_telemetry_nodes_share_rows_of_state(spark, tmp_path):
+    """Many nodes over three batches, some of them silent in one: a batch has a call for each part, and the rows are those of the loop."""
+    rng = random.Random(41)
+    rows = [(i, f"n{rng.randint(0, 1_400) if i % 3 else i % 2}", rng.choice(["x", "y", "z"]), 10 * (i + rng.randint(-30, 30)), rng.choice([None, 1.0, 2.0, float(i)]), rng.randint(0, 2), rng.randint(0, 1), rng.randint(0, 1)) for i in range(31, 4_000)]
+    want = sorted(map(repr, map(tuple, grouped.telemetry_kept(spark.createDataFrame(rows, SAMPLES)).collect())))
+    told, sizes = [], []
+    with registry.timed_state(spark):
+        for k in range(3):
+            spark.createDataFrame(rows[k * 1_323 : (k + 1) * 1_323], SAMPLES).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+            out = telemetry.kept(spark.readStream.schema(SAMPLES).parquet(f"file://{tmp_path}/in"), 100_000).writeStream.outputMode("append").foreachBatch(lambda d, n: told.extend(d.collect()))
+            query = out.option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+            sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sorted(map(repr, map(tuple, told))) == want and len(want) > 2_000
+    assert 500 < sizes[-1] <= 1_024
